@@ -53,9 +53,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_uid(df: DataFrame, name: str) -> DataFrame:
-    """df stored with a row number of its own (uid), so that repeated rows stay apart."""
-    return stored(df.withColumn("uid", F.monotonically_increasing_id()), name)
+def with_uid(df: DataFrame, name: str, uid: str = "uid") -> DataFrame:
+    """df stored with a row number of its own, so that repeated rows stay apart."""
+    return stored(df.withColumn(uid, F.monotonically_increasing_id()), name)
 
 
 def buckets_for(rows: int, per: int = 20_000, least: int = 32, most: int = 1 << 20) -> int:

@@ -117,27 +117,28 @@ def bound(counts: dict[int, int], size: int) -> int:
     return best
 
 
-def plan(counts: dict[int, int], size: int = SIZE, nodes: int = 60) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], size: int = SIZE, nodes: int = 60, steps: int = 4000) -> list[tuple[tuple[int, ...], int]]:
     """Bins for a multiset of lengths: (lengths in the bin, how many such bins).
 
     Best-fit decreasing gives the incumbent. Bin completion then works around the longest length left:
     it takes the undominated fillings in order of waste, applies one as often as the counts allow, and
     goes on; a branch is cut when the waste so far pushes its bound to the incumbent's bins or over. It
-    stops at the lower bound (then the answer is optimal) or after `nodes` fillings beside the first of
-    each step, with the best plan so far. Time and memory depend on the number of different lengths
+    stops at the lower bound (then the answer is optimal), or after `nodes` branches or `steps` fillings past
+    the first descent, with the best plan so far. Time and memory depend on the number of different lengths
     (at most `size`), not on the number of documents.
     """
     counts = {x: n for x, n in counts.items() if n > 0}
     incumbent = best_fit(counts, size)
     best, floor = sum(n for _, n in incumbent), bound(counts, size)
     full = sum(x * n for x, n in counts.items())
-    budget = nodes
+    budget, spare_steps = nodes, steps + len(counts)
     # depth first without recursion: (what is left, bins so far, wasted so far)
     stack: list[tuple[dict[int, int], list[tuple[tuple[int, ...], int]], int]] = [(counts, [], 0)]
-    while stack and best > floor:
+    while stack and best > floor and spare_steps > 0:
         left, made, waste = stack.pop()
         while left:
-            if math.ceil((full + waste) / size) >= best:
+            spare_steps -= 1
+            if math.ceil((full + waste) / size) >= best or spare_steps <= 0:
                 break
             lengths = sorted(left, reverse=True)
             first = lengths[0]

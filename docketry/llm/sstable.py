@@ -193,7 +193,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, p
                     close()
                     out = Writer()
         close()
-        yield pd.DataFrame(made, columns=["file", "low", "high", "entries", "tokens"])
+        if made:
+            yield pd.DataFrame(made, columns=["file", "low", "high", "entries", "tokens"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spread = rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")
@@ -219,7 +220,8 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                     if held > 8 << 20:
                         yield pd.DataFrame(got, columns=COLUMNS)
                         got, held = [], 0
-                yield pd.DataFrame(got, columns=COLUMNS)
+                if got:
+                    yield pd.DataFrame(got, columns=COLUMNS)
 
     COLUMNS = ["file", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(folder).select("path", "content")
@@ -236,7 +238,8 @@ def lookup(spark: SparkSession, folder: str, files: DataFrame, wanted: DataFrame
         place, root = fs.FileSystem.from_uri(folder)
         with place.open_input_stream(f"{root}/{key[0]}") as f:
             table = Reader(f.read())
-        return pd.DataFrame([(d, v) for d in rows["doc_id"].unique() for v in table.get(key_of(int(d)))], columns=["doc_id", "ids"])
+        got = [(d, v) for d in rows["doc_id"].unique() for v in table.get(key_of(int(d)))]
+        return pd.DataFrame({"doc_id": pd.Series([d for d, _ in got], dtype="int64"), "ids": pd.Series([v for _, v in got], dtype=object)})
 
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     near = asked.join(files, (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high"))).select("file", "doc_id")
