@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,39 +42,40 @@ def token_pieces(docs: DataFrame, size: int = SIZE, end: int = END, path: str |
 # ---- the plan: which lengths share a bin ------------------------------------------------------------
 
 
-def completions(first: int, counts: dict[int, int], lengths: list[int], size: int, most_waste: int, limit: int = 64) -> list[tuple[int, ...]]:
+def completions(first: int, counts: dict[int, int], lengths: list[int], size: int, most_waste: int, limit: int = 24) -> list[tuple[int, ...]]:
     """Undominated fillings of a bin around `first`, least waste first, each at most `limit` tried.
 
     Lengths are tried from long to short. A filling is kept when no unused shorter-or-equal-room swap
     betters it: one length could be exchanged for a longer one that is left and still fits. Branches that
     cannot get down to `most_waste` are cut.
     """
-    room, found, least = size - first, [], lengths[-1] if lengths else 0
-    tried = 0
+    room, found, tried = size - first, [], 0
+    rising = [-x for x in lengths]
 
     def grow(at: int, room: int, taken: list[int]) -> None:
         nonlocal tried
-        if tried >= limit:
-            return
-        fits = [i for i in range(at, len(lengths)) if lengths[i] <= room and counts[lengths[i]] > taken.count(lengths[i])]
-        if not fits or room < least:
+        i, branches = max(at, bisect_left(rising, -room)), 0
+        while i < len(lengths) and branches < 8 and tried < limit:
+            if counts[lengths[i]] > taken.count(lengths[i]):
+                branches += 1
+                grow(i, room - lengths[i], [*taken, lengths[i]])
+            i += 1
+        if not branches:
             tried += 1
-            if room <= most_waste and not _dominated(taken, room, counts, lengths):
+            if room <= most_waste and not _dominated(taken, room, counts, rising):
                 found.append(tuple(taken))
-            return
-        for i in fits[:8]:
-            taken.append(lengths[i])
-            grow(i, room - lengths[i], taken)
-            taken.pop()
-            if tried >= limit:
-                return
 
     grow(0, room, [])
     return sorted(dict.fromkeys(found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))
 
 
-def _dominated(taken: list[int], room: int, counts: dict[int, int], lengths: list[int]) -> bool:
-    return any(x < y <= x + room and counts[y] > taken.count(y) for x in set(taken) for y in lengths)
+def _dominated(taken: list[int], room: int, counts: dict[int, int], rising: list[int]) -> bool:
+    """Some taken length could give way to a longer one that is left and fits. rising: negated lengths."""
+    for x in set(taken):
+        for i in range(bisect_left(rising, -x - room), bisect_left(rising, -x)):
+            if counts[-rising[i]] > taken.count(-rising[i]):
+                return True
+    return False
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
