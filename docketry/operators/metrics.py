@@ -41,11 +41,13 @@ def bleu_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Clipped matches and totals by n-gram length, and lengths, over all pairs (A25, first half)."""
     tokens = pairs.select("doc_id", F.array_remove(F.split("gt", " "), "").alias("g"), F.array_remove(F.split("pred", " "), "").alias("p"))
 
+    def windows(side: str, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(side) - (n - 1)), lambda i: F.array_join(F.slice(side, i, F.lit(n)), " "))
+
     def grams(side: str) -> DataFrame:
         out = None
         for n in range(1, most + 1):
-            windows = F.transform(F.sequence(F.lit(1), F.size(side) - (n - 1)), lambda i, n=n: F.array_join(F.slice(side, i, n), " "))
-            one = tokens.where(F.size(side) >= n).select("doc_id", F.lit(n).alias("n"), F.explode(windows).alias("gram"))
+            one = tokens.where(F.size(side) >= n).select("doc_id", F.lit(n).alias("n"), F.explode(windows(side, n)).alias("gram"))
             out = one if out is None else out.union(one)
         return out.groupBy("doc_id", "n", "gram").agg(F.count("*").alias(side))
 

@@ -1 +1,174 @@
-"""Queries."""
+"""Queries over page layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docketry.operators import layout as L
+from docketry.registry import register
+
+from .fixtures import DUCK, NEEDS, duck, table, view
+
+DUCK["lines"] = "SELECT doc_id, page, max(y) AS y, min(x) AS x1, max(x + w) AS x2, string_agg(str, ' ' ORDER BY k) AS text, max(font_size) AS font_size, count(*) AS n FROM word_items GROUP BY doc_id, page, line_no"
+NEEDS["lines"] = ["word_items"]
+_W = "WINDOW p AS (PARTITION BY doc_id, page ORDER BY y DESC)"
+
+
+def words(spark, sf):
+    return view(spark, sf, "word_items")
+
+
+def lines(spark, sf):
+    return L.lines(words(spark, sf))
+
+
+@register("w4_lines", duck("lines", "SELECT doc_id, page, y, x1, x2, md5(text) AS digest, n FROM lines"))
+def w4(spark, sf):
+    return lines(spark, sf).select("doc_id", "page", "y", "x1", "x2", F.md5("text").alias("digest"), "n")
+
+
+@register("w5_blocks")
+def w5(spark, sf):
+    return L.blocks(lines(spark, sf)).select("doc_id", "page", "n_lines", "x1", "y1", "x2", "y2")
+
+
+@register("t6_layers")
+def t6(spark, sf):
+    return L.layered(L.blocks(lines(spark, sf))).select("doc_id", "page", "layer", "place", "x1", "y1")
+
+
+@register("w18_xy_cut")
+def w18(spark, sf):
+    return L.xy_cut(lines(spark, sf)).groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_lines"))
+
+
+@register("w7_column_clusters", duck("word_items", "SELECT doc_id, page, round(avg(x), 6) AS at_x, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) >= 12 THEN 1 ELSE 0 END AS nw FROM (SELECT DISTINCT doc_id, page, x FROM word_items) a) b) c GROUP BY doc_id, page, g"))
+def w7(spark, sf):
+    return L.clusters(words(spark, sf), "x", 12.0).select("doc_id", "page", F.col("at").alias("at_x"), "n")
+
+
+@register("w8_cells", duck("word_items", "SELECT doc_id, page, line_no, count(*) AS cells FROM word_items GROUP BY 1, 2, 3"))
+def w8(spark, sf):
+    return L.joined_cells(words(spark, sf), 0.5).groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("cells"))
+
+
+_TB = "r AS (SELECT doc_id, page, line_no, count(*) AS cells, max(y) AS y FROM word_items GROUP BY 1, 2, 3 HAVING count(*) >= 2), b AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS block FROM (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y > 25 THEN 1 ELSE 0 END AS nw FROM r) q), tb AS (SELECT doc_id, page, CAST(block AS BIGINT) AS block, count(*) AS n_rows, max(cells) AS columns FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND max(cells) <= 60)"
+
+
+@register("w9_tables", duck("word_items", f"WITH {_TB} SELECT * FROM tb"))
+def w9(spark, sf):
+    return L.tables(L.joined_cells(words(spark, sf), 0.5)).select("doc_id", "page", "block", "n_rows", "columns")
+
+
+@register("j14_continued_tables", duck("word_items", f"WITH {_TB}, l AS (SELECT *, lag(page) OVER w AS p, lag(columns) OVER w AS c, lag(block) OVER w AS pb FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY page, block)) SELECT doc_id, page, block, p AS previous_page, pb AS previous_block FROM l WHERE block = 0 AND p < page AND page - p <= 2 AND c = columns"))
+def j14(spark, sf):
+    return L.continued(L.tables(L.joined_cells(words(spark, sf), 0.5)))
+
+
+@register("w10_size_thresholds", duck("lines", "SELECT doc_id, max(CASE WHEN rn = floor(n * 0.5) + 1 THEN font_size END) AS median, max(CASE WHEN rn = floor(n * 0.85) + 1 THEN font_size END) AS p85, max(CASE WHEN rn = floor(n * 0.95) + 1 THEN font_size END) AS p95 FROM (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) q GROUP BY 1"))
+def w10(spark, sf):
+    return L.size_thresholds(lines(spark, sf))
+
+
+_GAP = f"g AS (SELECT doc_id, page, round((lag(y) OVER p - y) / 1.5) * 1.5 AS gap FROM lines {_W}), m AS (SELECT doc_id, page, gap, count(gap) AS n FROM g GROUP BY 1, 2, 3), mo AS (SELECT doc_id, page, coalesce(arg_max(gap, n * 100000 - gap) FILTER (WHERE n > 0), 12.0) AS modal FROM m GROUP BY 1, 2)"
+
+
+@register("w11_modal_gap", duck("lines", f"WITH {_GAP} SELECT * FROM mo"))
+def w11(spark, sf):
+    return L.modal_gap(lines(spark, sf))
+
+
+@register("w12_paragraphs", duck("lines", f"WITH {_GAP}, b AS (SELECT l.*, CASE WHEN lag(y) OVER p - y > 1.8 * modal OR lag(font_size) OVER p <> font_size THEN 1 ELSE 0 END AS nw FROM lines l JOIN mo USING (doc_id, page) {_W}), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS par FROM b) SELECT doc_id, page, CAST(par AS BIGINT) AS par, count(*) AS n_lines, md5(replace(replace(string_agg(text, chr(10) ORDER BY y DESC), '-' || chr(10), ''), chr(10), ' ')) AS digest FROM s GROUP BY 1, 2, 3"))
+def w12(spark, sf):
+    l = lines(spark, sf)
+    return L.paragraphs(l, L.modal_gap(l)).select("doc_id", "page", "par", "n_lines", F.md5("text").alias("digest"))
+
+
+@register("w13_tail_merge", duck("lines", f"WITH b AS (SELECT *, max(x2) OVER (PARTITION BY doc_id, page) AS width FROM lines), c AS (SELECT *, CASE WHEN lag(x2) OVER p < 0.9 * width THEN 1 ELSE 0 END AS nw FROM b {_W}), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS par FROM c) SELECT doc_id, page, CAST(par AS BIGINT) AS par, count(*) AS n_lines FROM s GROUP BY 1, 2, 3"))
+def w13(spark, sf):
+    return L.tail_merged(lines(spark, sf))
+
+
+@register("w14_footnotes", duck("lines", "SELECT doc_id, page, count(*) FILTER (WHERE y < 338) AS foot, count(*) FILTER (WHERE y >= 338) AS body FROM lines GROUP BY 1, 2"))
+def w14(spark, sf):
+    """Lines in the bottom 15 % of the lined area against the rest."""
+    return lines(spark, sf).groupBy("doc_id", "page").agg(F.count_if(F.col("y") < 338).alias("foot"), F.count_if(F.col("y") >= 338).alias("body"))
+
+
+@register("w16_math_regions", duck("lines", "WITH m AS (SELECT doc_id, page, y FROM lines WHERE len(regexp_extract_all(text, '[0-9=+*/|#%&$]')) > 0.25 * length(text)), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y >= 30 THEN 1 ELSE 0 END AS nw FROM m) q) SELECT doc_id, page, count(*) AS n_lines, max(y) AS top, min(y) AS bottom FROM s GROUP BY doc_id, page, g"))
+def w16(spark, sf):
+    share = F.regexp_count("text", F.lit("[0-9=+*/|#%&$]")) > 0.25 * F.length("text")
+    by = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"))
+    m = lines(spark, sf).where(share)
+    return m.withColumn("g", L.island(F.lag("y").over(by) - F.col("y") >= 30, by)).groupBy("doc_id", "page", "g").agg(F.count("*").alias("n_lines"), F.max("y").alias("top"), F.min("y").alias("bottom")).drop("g")
+
+
+@register("w17_gutters", duck("word_items", "WITH s AS (SELECT doc_id, page, unnest(range(CAST(floor(x / 5) AS BIGINT), CAST(floor((x + w - 1) / 5) AS BIGINT) + 1)) AS bin FROM word_items), c AS (SELECT doc_id, page, bin, count(*) AS n FROM s GROUP BY 1, 2, 3), t AS (SELECT *, max(n) OVER (PARTITION BY doc_id, page) AS most, max(bin) OVER (PARTITION BY doc_id, page) AS last FROM c), g AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS g FROM t WHERE n <= 0.25 * most AND bin BETWEEN 0.15 * last AND 0.85 * last) SELECT doc_id, page, min(bin) AS first, max(bin) AS last FROM g GROUP BY doc_id, page, g HAVING max(bin) - min(bin) >= 2"))
+def w17(spark, sf):
+    return L.gutters(words(spark, sf))
+
+
+@register("w19_entity_split", duck("word_items", "SELECT doc_id, page, CAST(sum(nw) + 1 AS BIGINT) AS entities FROM (SELECT *, CASE WHEN lag(x) OVER (PARTITION BY doc_id, page ORDER BY line_no, k) - x >= 10 THEN 1 ELSE 0 END AS nw FROM word_items) q GROUP BY 1, 2"))
+def w19(spark, sf):
+    by = Window.partitionBy("doc_id", "page").orderBy("line_no", "k")
+    back = F.coalesce(F.lag("x").over(by) - F.col("x") >= 10, F.lit(False))
+    return words(spark, sf).withColumn("back", back).groupBy("doc_id", "page").agg((F.count_if("back") + 1).alias("entities"))
+
+
+@register("f10_margin_filter", duck("word_items", "SELECT doc_id, page, count(*) AS n FROM word_items WHERE y < 790 AND y > 300 AND x < 2000 GROUP BY 1, 2"))
+def f10(spark, sf):
+    return words(spark, sf).where((L.gibberish() <= 0.2) & (F.col("y") < 790) & (F.col("y") > 300) & (F.col("x") < 2000)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+@register("f16_content_safety", duck("word_items", "SELECT doc_id, count(*) FILTER (WHERE x + w > 595) AS off_page, count(*) FILTER (WHERE font_size < 4) AS tiny, count(*) FILTER (WHERE x + w <= 595 AND font_size >= 4) AS safe FROM word_items GROUP BY 1"))
+def f16(spark, sf):
+    off, tiny = F.col("x") + F.col("w") > 595, F.col("font_size") < 4
+    return words(spark, sf).groupBy("doc_id").agg(F.count_if(off).alias("off_page"), F.count_if(tiny).alias("tiny"), F.count_if(~off & ~tiny).alias("safe"))
+
+
+_SIG = "sg AS (SELECT doc_id, page, count(*) FILTER (WHERE str = '|') >= 10 AS border, count(*) FILTER (WHERE regexp_matches(str, '[*#%&]{3}')) >= 10 AS vector, count(*) FILTER (WHERE regexp_matches(str, '^[0-9]+$')) >= 3 AS pattern, count(DISTINCT line_no) / count(*) > 0.3 AS ratio, count(*) FILTER (WHERE str = '|') >= 1 AS has_table FROM word_items GROUP BY 1, 2), tr AS (SELECT doc_id, page, CASE WHEN border THEN 'border' WHEN vector THEN 'vector' WHEN pattern THEN 'pattern' WHEN ratio THEN 'ratio' END AS signal, CASE WHEN border THEN 1.0 WHEN vector THEN 0.95 WHEN pattern THEN 0.9 WHEN ratio THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence, has_table FROM sg)"
+
+
+@register("f3_page_triage", duck("word_items", f"WITH {_SIG} SELECT doc_id, page, CASE WHEN signal IS NULL THEN 'local' ELSE 'backend' END AS decision, confidence, signal FROM tr"))
+def f3(spark, sf):
+    return L.triage(L.signals(words(spark, sf)))
+
+
+@register("f4_full_mode", duck("word_items", f"WITH {_SIG} SELECT doc_id, page, 'backend' AS decision FROM tr"))
+def f4(spark, sf):
+    return L.triage(L.signals(words(spark, sf)), mode="full").select("doc_id", "page", "decision")
+
+
+@register("a34_triage_scores", duck("word_items", f"WITH {_SIG}, n AS (SELECT count(*) FILTER (WHERE signal IS NOT NULL AND has_table) AS tp, count(*) FILTER (WHERE signal IS NOT NULL AND NOT has_table) AS fp, count(*) FILTER (WHERE signal IS NULL AND has_table) AS fn, count(*) FILTER (WHERE signal IS NULL AND NOT has_table) AS tn FROM tr) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, tp / (tp + fn) >= 0.95 AND fn <= 5 AS passes FROM n"))
+def a34(spark, sf):
+    w = words(spark, sf)
+    truth = w.groupBy("doc_id", "page").agg((F.count_if(F.col("str") == "|") >= 1).alias("has_table"))
+    return L.triage_scores(L.triage(L.signals(w)), truth)
+
+
+@register("p22_a41_garbage_pages", duck("word_items", "SELECT doc_id, page, round(avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS garbage, avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END) > 0.6 AS as_image FROM (SELECT doc_id, page, CASE WHEN regexp_matches(str, '[a-z]') AND regexp_matches(str, '[À-ÿ]') AND regexp_matches(str, '[0-9]') THEN 0.5 ELSE 0.0 END AS s FROM word_items) q GROUP BY 1, 2"))
+def p22(spark, sf):
+    bad = F.avg(F.when(L.gibberish() > 0.2, 1.0).otherwise(0.0))
+    return words(spark, sf).groupBy("doc_id", "page").agg(F.round(bad, 6).alias("garbage"), (bad > 0.6).alias("as_image"))
+
+
+@register("a11_fonts", duck("word_items", "SELECT doc_id, page, font_name, bad, chars, chars >= 3 AND (bad / chars > 0.30 OR (regexp_matches(font_name, '^[A-Z]{6}\\+') AND bad / chars > 0.05)) AS corrupted FROM (SELECT doc_id, page, font_name, CAST(sum(len(regexp_extract_all(str, '[^\\x20-\\x7e]'))) AS BIGINT) AS bad, CAST(sum(length(str)) AS BIGINT) AS chars FROM word_items GROUP BY 1, 2, 3) q"))
+def a11(spark, sf):
+    return L.fonts(words(spark, sf))
+
+
+@register("a10_ocr_confidence", duck("boxes_pred", "SELECT doc, round((avg(m) + any_value(d)) / 2, 6) AS confidence, (avg(m) + any_value(d)) / 2 < 0.95 AS low FROM (SELECT image_id % 100 AS doc, image_id, avg(score) AS m FROM boxes_pred GROUP BY 1, 2) p JOIN (SELECT image_id % 100 AS doc2, avg(score) AS d FROM boxes_pred GROUP BY 1) q ON doc = doc2 GROUP BY 1"))
+def a10(spark, sf):
+    b = view(spark, sf, "boxes_pred").withColumn("doc", F.col("image_id") % 100)
+    d = b.groupBy("doc").agg(F.avg("score").alias("d"))
+    p = b.groupBy("doc", "image_id").agg(F.avg("score").alias("m")).groupBy("doc").agg(F.avg("m").alias("m"))
+    c = (F.col("m") + F.col("d")) / 2
+    return p.join(d, "doc").select("doc", F.round(c, 6).alias("confidence"), (c < 0.95).alias("low"))
+
+
+@register("p29_word_boxes", duck("word_items", "SELECT doc_id, page, line_no, k, round(x / m * 100, 4) AS left_pct, round((x + w) / m * 100, 4) AS right_pct FROM (SELECT *, max(x + w) OVER (PARTITION BY doc_id, page, line_no) AS m FROM word_items) q WHERE page = 1"))
+def p29(spark, sf):
+    m = F.max(F.col("x") + F.col("w")).over(Window.partitionBy("doc_id", "page", "line_no"))
+    w = words(spark, sf).where("page = 1").withColumn("m", m)
+    return w.select("doc_id", "page", "line_no", "k", F.round(F.col("x") / F.col("m") * 100, 4).alias("left_pct"), F.round((F.col("x") + F.col("w")) / F.col("m") * 100, 4).alias("right_pct"))

@@ -1 +1,22 @@
-"""Queries."""
+"""Queries over dataset sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docketry.operators import sampling as O
+from docketry.registry import register
+
+from .fixtures import table
+
+
+@register("d1_ratio_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat('s1', doc_id)), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) q WHERE rn <= round_even(n * 0.25, 0)")
+def d1(spark, sf):
+    return O.ratio_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", 0.25, "s1")
+
+
+@register("d2_bucket_batches", "SELECT bucket, CAST(t % 4 AS BIGINT) AS replica, CAST(t // 4 // greatest(1, 64 // bucket) AS BIGINT) AS batch, count(*) AS n FROM (SELECT 1 + p_partkey % 8 AS bucket, row_number() OVER (PARTITION BY 1 + p_partkey % 8 ORDER BY p_partkey) - 1 AS t FROM part) q GROUP BY 1, 2, 3")
+def d2(spark, sf):
+    size = 1 + F.col("p_partkey") % 8
+    b = O.bucket_batches(table(spark, sf, "part"), "p_partkey", size, 4, 64)
+    return b.groupBy("bucket", F.col("replica").cast("long").alias("replica"), F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))

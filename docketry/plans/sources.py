@@ -1 +1,166 @@
-"""Queries."""
+"""Queries over sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docketry.operators import corpus as CO
+from docketry.registry import register
+from docketry.sources import records as S
+
+from .fixtures import duck, table, view
+
+
+@register("s1_resolve_files", "SELECT path, ext, CAST(row_number() OVER (PARTITION BY ext ORDER BY lower(path), path) AS INTEGER) AS place FROM (SELECT DISTINCT path, regexp_extract(lower(path), '\\.([a-z0-9]+)$', 1) AS ext FROM (SELECT concat(url, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' ELSE '.zip' END) AS path FROM pages) p) q WHERE ext IN ('pdf', 'txt')")
+def s1(spark, sf):
+    end = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".TXT").otherwise(".zip")
+    return S.resolve_files(table(spark, sf, "pages").select(F.concat("url", end).alias("path")))
+
+
+@register("s2_json_records", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE json_valid(props)) AS readable FROM events GROUP BY 1")
+def s2(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("readable"))
+
+
+@register("s3_results_by_file", duck("files", "SELECT concat('r', substring(file_id, 6)) AS result_id, CASE WHEN CAST(substring(file_id, 6) AS BIGINT) % 3 = 2 THEN NULL ELSE file_no END AS file_no FROM files"))
+def s3(spark, sf):
+    files = view(spark, sf, "files").select("file_id", "file_no", "output_dir")
+    k = F.substring("file_id", 6, 20).cast("long")
+    results = files.select(F.concat(F.lit("r"), k).alias("result_id"), F.when(k % 3 == 0, F.col("file_id")).otherwise("lost").alias("file_id"), F.when(k % 3 == 2, "").otherwise(F.col("output_dir")).alias("output_dir"))
+    return S.with_record(results, files).select("result_id", "file_no")
+
+
+@register("s4_ocr_payload", duck("boxes_pred", "SELECT image_id AS page_id, CAST(count(*) AS INTEGER) AS n_blocks, CASE WHEN count(*) > 1 THEN round(avg(score) FILTER (WHERE rn < n), 4) END AS confidence, CASE WHEN image_id % 9 = 0 THEN 'failed' ELSE 'success' END AS status FROM (SELECT image_id, round(score, 2) AS score, row_number() OVER (PARTITION BY image_id ORDER BY box_id, x1, y1, score) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM boxes_pred) q GROUP BY 1"))
+def s4(spark, sf):
+    """Payloads are made from the boxes: the last score of each page is missing."""
+    b = view(spark, sf, "boxes_pred")
+    rows = F.array_sort(F.collect_list(F.struct("box_id", "x1", "y1", F.col("score").alias("s0"), F.round("score", 2).alias("score"), F.when(F.col("image_id") % 9 == 0, "").otherwise(F.col("text")).alias("text"))))
+    g = b.groupBy(F.col("image_id").alias("page_id")).agg(rows.alias("r"))
+    payload = F.to_json(F.struct(F.transform("r", lambda x: x["text"]).alias("rec_texts"), F.slice(F.transform("r", lambda x: x["score"]), F.lit(1), F.size("r") - 1).alias("rec_scores")))
+    return S.ocr_pages(g.select("page_id", payload.alias("payload")))
+
+
+def _ledger_tables(spark, sf):
+    """One table a file: a header and positional rows in order; a blank row after every ninth."""
+    rows = view(spark, sf, "ledger_rows")
+    cells = F.array(F.col("src_ord").cast("string"), F.col("event_id"), F.col("event_date"))
+    body = F.array_sort(F.collect_list(F.struct("src_ord", F.when(F.col("src_ord") % 9 == 0, F.array(F.lit(""), F.lit(" "))).otherwise(cells).alias("c"))))
+    return rows.groupBy("file_id").agg(F.concat(F.array(F.array(F.lit("no"), F.lit("event_id"), F.lit("event_date"))), F.transform(body, lambda x: x["c"])).alias("rows"))
+
+
+@register("s5_table_rows", duck("ledger_rows", "SELECT file_id, CAST(src_ord AS VARCHAR) AS row_no, count(*) AS n FROM ledger_rows WHERE src_ord % 9 <> 0 GROUP BY 1, 2"))
+def s5(spark, sf):
+    return S.flatten_tables(_ledger_tables(spark, sf)).groupBy("file_id", "row_no").agg(F.count("*").alias("n"))
+
+
+@register("s6_bound_rows", duck("ledger_rows", "SELECT file_id, event_id, event_date, '' AS price_raw FROM ledger_rows WHERE src_ord % 9 <> 0"))
+def s6(spark, sf):
+    return S.bind(S.flatten_tables(_ledger_tables(spark, sf)), ["event_id", "event_date", "price_raw"]).drop("i")
+
+
+@register("w1_a13_row_batches", duck("ledger_rows", "WITH r AS (SELECT file_id, src_ord, row_number() OVER (PARTITION BY file_id ORDER BY src_ord, event_date, security_code, quantity_raw, direction, case_id) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM ledger_rows), b AS (SELECT DISTINCT file_id, (rn - 1) // 10 AS batch, n FROM r) SELECT b.file_id, b.batch + 1 AS batch, count(*) AS n_rows, min(rn) AS first, max(rn) AS last FROM b JOIN r ON r.file_id = b.file_id AND rn BETWEEN b.batch * 10 - 1 AND b.batch * 10 + 12 GROUP BY 1, 2"))
+def w1(spark, sf):
+    """Batches of 10 rows with 2 rows of overlap on each side."""
+    from docketry.operators import batches as B
+
+    rows = view(spark, sf, "ledger_rows")
+    return B.batched(rows, ["file_id"], ["src_ord", "event_date", "security_code", "quantity_raw", "direction", "case_id"], 10, 2).groupBy("file_id", "batch").agg(F.count("*").alias("n_rows"), F.min("rn").alias("first"), F.max("rn").alias("last"))
+
+
+@register("a14_trade_dedup", duck("ledger_rows", "SELECT file_id, ln, count(*) AS n_seen, max((securities_account <> '')::INT + (account_type <> '')::INT + (direction <> '')::INT + (quantity_raw <> '')::INT) AS filled FROM ledger_rows GROUP BY 1, 2"))
+def a14(spark, sf):
+    from docketry.operators import batches as B
+
+    return B.fullest(view(spark, sf, "ledger_rows"), ["file_id", "ln"], ["securities_account", "account_type", "direction", "quantity_raw"], "src_ord").select("file_id", "ln", "n_seen", "filled")
+
+
+@register("a15_event_merge", duck("ledger_rows", "SELECT case_id, event_date, security_code, arg_min(direction, src_ord) FILTER (WHERE direction <> '') AS direction, count(DISTINCT file_id) AS files FROM (SELECT case_id, event_date, security_code, file_id, src_ord * 100 + row_number() OVER (PARTITION BY src_ord ORDER BY direction DESC, case_id, event_date, security_code, quantity_raw) AS src_ord, direction FROM ledger_rows) q GROUP BY 1, 2, 3"))
+def a15(spark, sf):
+    from pyspark.sql import Window
+
+    from docketry.operators import batches as B
+
+    by = Window.partitionBy("src_ord").orderBy(F.desc("direction"), "case_id", "event_date", "security_code", "quantity_raw")
+    rows = view(spark, sf, "ledger_rows").withColumn("o", F.col("src_ord") * 100 + F.row_number().over(by))
+    return B.merged(rows, ["case_id", "event_date", "security_code"], ["direction"], "file_id", "o")
+
+
+@register("s7_jsonl_pages", "SELECT conv_id AS id, turn AS line, CAST(0 AS INTEGER) AS i, text FROM conversations")
+def s7(spark, sf):
+    c = table(spark, sf, "conversations")
+    value = F.to_json(F.struct(F.struct(F.array(F.struct("text")).alias("pages")).alias("result")), {"ignoreNullFields": "false"})
+    return S.jsonl_pages(c.select(F.col("conv_id").alias("id"), F.col("turn").alias("n"), value.alias("value")))
+
+
+@register("s8_s10_s11_labels", duck("boxes_gt", "SELECT concat('img_', image_id) AS path, text AS transcription, CAST(4 AS INTEGER) AS n_points, text IN ('###', '*') AS ignored FROM boxes_gt"))
+def s8(spark, sf):
+    """Boxes to JSON label lines and back."""
+    lines = S.box_json(view(spark, sf, "boxes_gt")).select(F.concat(F.lit("img_"), "image_id", F.when(F.col("image_id") % 2 == 0, F.lit("\t")).otherwise("    "), "label").alias("value"))
+    return S.label_lines(lines).drop("i")
+
+
+@register("s9_rec_labels", "SELECT concat('w', doc_id, chr(9), replace(replace(substring(text, 1, 60), ' ', ''), '\"', '')) AS line FROM documents WHERE text IS NOT NULL")
+def s9(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select(F.concat(F.lit("w"), "doc_id", F.lit("\t"), F.translate(F.substring("text", 1, 60), ' "', "")).alias("line"))
+
+
+@register("s12_p36_table_html", "SELECT l_orderkey AS id, concat('<tr>', string_agg(concat('<td>', CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END, '</td>'), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), '</tr>') AS html FROM lineitem GROUP BY 1")
+def s12(spark, sf):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.row_number().over(by).cast("long").alias("k"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey").cast("string")).alias("text"))
+    n = rows.groupBy("id").agg(F.max("k").alias("n"))
+    ends = n.select("id", F.lit(0).cast("long").alias("pos"), F.lit("<tr>").alias("token")).union(n.select("id", F.col("n") * 2 + 1, F.lit("</tr>")))
+    tokens = rows.select("id", (F.col("k") * 2 - 1).alias("pos"), F.lit("<td>").alias("token")).union(rows.select("id", F.col("k") * 2, F.lit("</td>"))).union(ends)
+    return S.table_html(tokens, rows.where("text is not null"))
+
+
+@register("s13_document_loader", duck("page_text", "SELECT doc_id, length(string_agg(t, chr(12) ORDER BY page)) AS n, count(*) AS pages FROM (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS t FROM page_text GROUP BY 1, 2) q WHERE trim(t) <> '' GROUP BY 1"))
+def s13(spark, sf):
+    pages = CO.ordered_join(view(spark, sf, "page_text"), ["doc_id", "page"], ["line_no"], "line", "\n").where(F.trim("text") != "")
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    return CO.ordered_join(pages, ["doc_id"], ["page"], "text", "\x0c").join(n, "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), "pages")
+
+
+@register("s14_export", duck("ledger_rows", "SELECT case_id, count(*) AS n FROM ledger_rows WHERE CAST(substring(case_id, 6) AS INTEGER) % 2 = 0 GROUP BY 1"))
+def s14(spark, sf):
+    """Writes the sheet of reviewed cases to the shared folder and reads it back."""
+    import uuid
+
+    from docketry.operators.boxes import cut
+
+    rows = view(spark, sf, "ledger_rows")
+    gate = cut(rows.select("case_id", (F.substring("case_id", 6, 9).cast("int") % 2 == 0).alias("excel_export_allowed")).distinct(), "gate")
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/export-{uuid.uuid4().hex}"
+    S.gated_export(rows, gate, path, ["case_id", "event_id", "event_type", "event_date"])
+    return spark.read.schema("event_id string, event_type string, event_date string, case_id string").parquet(path).groupBy("case_id").agg(F.count("*").alias("n"))
+
+
+@register("s15_corpus_sink", "SELECT source, md5(string_agg(concat('=== ', doc_id, ' ===', chr(10), text), chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 3 GROUP BY 1".replace(" AND doc_id % 10 = 3", ""))
+def s15(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").select("source", "doc_id", F.concat(F.lit("=== "), "doc_id", F.lit(" ===\n"), "text").alias("t"), F.length("text").alias("c"))
+    totals = d.groupBy("source").agg(F.sum("c").alias("chars"))
+    return CO.ordered_join(d, ["source"], ["doc_id"], "t", "\n").join(totals, "source").select("source", F.md5("text").alias("digest"), "chars")
+
+
+@register("s16_page_banner", duck("page_text", "SELECT doc_id, md5(string_agg(concat('--- page ', page, ' ---', chr(10), t), chr(10) ORDER BY page)) AS digest FROM (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS t FROM page_text GROUP BY 1, 2) q GROUP BY 1"))
+def s16(spark, sf):
+    pages = CO.ordered_join(view(spark, sf, "page_text"), ["doc_id", "page"], ["line_no"], "line", "\n")
+    return S.page_banner(pages, "--- page %page-number% ---\n", "doc_id", "page", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
+@register("s17_element_tree", "SELECT o_orderkey AS doc_id, d AS depth, CASE d WHEN 1 THEN 'table' WHEN 2 THEN 'cell' END AS type, CASE d WHEN 1 THEN 1 ELSE 2 END AS n FROM orders, (SELECT unnest([1, 2]) AS d) x".replace("CASE d WHEN 1 THEN 1 ELSE 2 END AS n", "CAST(CASE d WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS n"))
+def s17(spark, sf):
+    tree = F.concat(F.lit('{"kids":[{"type":"table","kids":[{"type":"cell","content":"'), "o_orderpriority", F.lit('"},{"type":"cell","content":"'), "o_custkey", F.lit('"}]}]}'))
+    rows = S.element_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), tree.alias("tree")))
+    return rows.groupBy("doc_id", "depth", "type").agg(F.count("*").alias("n"))
+
+
+@register("p14_fenced_json", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'invalid' END AS state FROM events WHERE props IS NOT NULL AND json_valid(props)")
+def p14(spark, sf):
+    e = table(spark, sf, "events").where(F.try_parse_json("props").isNotNull())
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("```json\n{\"a\": "), F.lit("["))).otherwise("no json")
+    return e.select("event_id", S.fenced_json(raw)[1].alias("state"))

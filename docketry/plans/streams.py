@@ -1 +1,80 @@
-"""Queries."""
+"""Streaming jobs over the given tables, run to the end of what is there and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docketry.operators.boxes import cut
+from docketry.registry import register
+from docketry.streaming import jobs as J
+
+from .fixtures import table
+
+
+def _place(spark, df, name):
+    """A folder of the shared place: df as stream input, and where to write."""
+    cut(df.limit(0), name)  # sets the shared folder where none is named
+    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/in")
+    return root
+
+
+@register("x1_arrivals", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[ \\t\\r\\n\\f]+', '', 'g')) >= 80 THEN 'direct' ELSE 'scanned' END AS route, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'failed', 'no text' FROM documents WHERE text IS NULL")
+def x1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    root = _place(spark, docs.repartition(6, "doc_id"), "x1")
+    J.run_once(J.routed(J.arrivals(spark, f"{root}/in", docs.schema)), f"{root}/out", f"{root}/ck")
+    return spark.read.schema("doc_id long, route string, error string").parquet(f"{root}/out")
+
+
+@register("x2_latest_state", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def x2(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    root = _place(spark, e.repartitionByRange(4, "event_id"), "x2")
+    stream = J.arrivals(spark, f"{root}/in", e.schema, 1)
+    J.run_once(stream, "", f"{root}/ck", "update", J.latest_state(stream, "user_id", "event_id", f"{root}/state"))
+    versions = spark.read.option("basePath", f"{root}/state").schema("user_id long, event_id long, event_type string, version int").parquet(f"{root}/state")
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+
+
+@register("x3_epoch_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2")
+def x3(spark, sf):
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    root = _place(spark, e.repartitionByRange(4, "ts"), "x3")
+    J.run_once(J.epoch_metrics(J.arrivals(spark, f"{root}/in", e.schema, 100)), f"{root}/out", f"{root}/ck")
+    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{root}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("x4_job_timeouts")
+def x4(spark, sf):
+    state = F.when(F.col("event_id") % 5 == 0, "done").when(F.col("event_id") % 17 == 0, "failed").otherwise("running")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), state.alias("state"), F.col("ts").cast("timestamp").alias("ts"))
+    root = _place(spark, e, "x4")
+    J.run_once(J.timeouts(J.arrivals(spark, f"{root}/in", e.schema, 100)), f"{root}/out", f"{root}/ck")
+    return spark.read.schema("job_id long, state string, n long").parquet(f"{root}/out")
+
+
+@register("x5_placeholders")
+def x5(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"))
+    r = table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("rtoken"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 MINUTES")).alias("rts"), F.col("event_type").alias("text"))
+    a, b = _place(spark, e, "x5"), _place(spark, r, "x5r")
+    J.run_once(J.filled_placeholders(J.arrivals(spark, f"{a}/in", e.schema, 100), J.arrivals(spark, f"{b}/in", r.schema, 100)), f"{a}/out", f"{a}/ck")
+    return spark.read.schema("token long, text string").parquet(f"{a}/out")
+
+
+@register("x6_progress", "SELECT user_id, count(*) AS done, max(event_id) AS last FROM events GROUP BY 1")
+def x6(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id")
+    root = _place(spark, e.repartition(4, "event_id"), "x6")
+    counts = J.arrivals(spark, f"{root}/in", e.schema, 100).groupBy("user_id").agg(F.count("*").alias("done"), F.max("event_id").alias("last"))
+
+    def each(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    J.run_once(counts, "", f"{root}/ck", "update", each)
+    out = spark.read.option("basePath", f"{root}/out").schema("user_id long, done long, last long, batch int").parquet(f"{root}/out")
+    return out.groupBy("user_id").agg(F.max_by("done", "batch").alias("done"), F.max_by("last", "batch").alias("last"))
