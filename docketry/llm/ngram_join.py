@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from .common import components, read, stored, with_uid
 
 N, NUM, DEN = 3, 90, 100  # words of a shingle; linked when DEN * both >= NUM * union
 CHUNK = 256  # sets of one tree
+SMALL = 64  # sets of a subtree that is settled in one go
 BROADCAST = 1_000_000  # ids at most that are sent to every task (8 MB)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -106,61 +107,94 @@ def same(a: int, b: int, both: int, num: int = NUM, den: int = DEN) -> bool:
     return den * both >= num * (a + b - both)
 
 
-def tree_links(sets: dict[int, np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """Links among a few sets of ascending elements that connect every two linked ones (a pair already connected is not looked at again).
+def tree_links(sets: dict[int, np.ndarray], known: dict[int, int] | None = None, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+    """Links among a few sets of ascending elements that connect every two linked ones: from the smallest of
+    each group to its others. Sets of one class in `known` count as connected and are not compared.
 
     The sets, sorted element by element, form a tree whose edges hold runs of elements. Each set walks the
     tree from the root and counts each run once for all the sets below it. A subtree is left when its
     sizes cannot match, or when the overlap so far plus all that can still come, the fewer of what
-    remains of either set, stays under what its smallest set needs.
+    remains of either set, stays under what its smallest set needs. The small subtrees below one node take that
+    test together, over a first run just long enough to use up the allowed misses.
     """
     order = sorted((i for i in sets if len(sets[i])), key=lambda i: (sets[i].astype(">u8").tobytes(), i))
     if len(order) < 2:
         return []
-    rows = [sets[i] for i in order]
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(sets[i]) for i in order])
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)  # elements by their place in the tree's own order
+    rows = [flat[off[k] : off[k + 1]] for k in range(len(order))]
     shared = np.array([_prefix(a, b) for a, b in zip(rows, rows[1:], strict=False)])
-    root, links = list(range(len(order))), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def visit(x: int, lo: int, hi: int, depth: int, both: int) -> None:
-        """rows lo..hi-1 agree on their first `depth` elements, of which `both` are in x."""
-        stack = [(lo, hi, depth, both)]
+    cluster, new = np.arange(len(order)), False
+    if known:
+        cluster = np.unique([known[i] for i in order], return_inverse=True)[1]
+
+    def join(x: int, y: int, both: int) -> None:
+        nonlocal new
+        if cluster[x] != cluster[y] and same(int(sizes[x]), int(sizes[y]), both, num, den):
+            cluster[cluster == cluster[y]] = cluster[x]
+            new = True
+
+    def hits(held: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How many of flat[start : start + length] x holds, for each run."""
+        cut = np.concatenate([[0], np.cumsum(lengths)])
+        sums = np.concatenate([[0], np.cumsum(held[flat[np.repeat(starts - cut[:-1], lengths) + np.arange(cut[-1])]])])
+        return sums[cut[1:]] - sums[cut[:-1]]
+
+    def few(x: int, at: np.ndarray, end: int, both: int, held: np.ndarray) -> None:
+        """Settle x against the rows `at` of small subtrees, all met at depth `end`."""
+        at, n = at[cluster[at] != cluster[x]], int(sizes[x])
+        at = at[den * np.minimum(n, sizes[at]) >= num * np.maximum(n, sizes[at])]
+        if not len(at):
+            return
+        need = -(-num * (n + sizes[at]) // (num + den))
+        run = np.minimum(int(max(0, (sizes[at] - need).max())) + 8, sizes[at] - end)
+        got = both + hits(held, off[at] + end, run)
+        may = got + sizes[at] - end - run >= need
+        at, run, got, need = at[may], run[may], got[may], need[may]
+        got = got + hits(held, off[at] + end + run, sizes[at] - end - run)
+        for y, k in zip(at[got >= need].tolist(), got[got >= need].tolist(), strict=True):
+            join(x, y, k)
+
+    def visit(x: int) -> None:
+        n, stack = int(sizes[x]), [(0, len(order), 0, 0)]
+        held = np.zeros(len(names), dtype=np.int32)
+        held[rows[x]] = 1
+        upto = np.cumsum(held)
         while stack:
+            # rows lo..hi-1 agree on their first `depth` elements, of which `both` are in x
             lo, hi, depth, both = stack.pop()
-            n, least, most = len(rows[x]), int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
+            least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
             if den * min(n, most) < num * max(n, least):
                 continue
             end = int(shared[lo : hi - 1].min()) if hi - lo > 1 else len(rows[lo])
-            run = rows[lo][depth:end]
-            if len(run):
-                at = np.searchsorted(rows[x], run)
-                both += int((rows[x][np.minimum(at, n - 1)] == run).sum())
-            left = n - int(np.searchsorted(rows[x], rows[lo][end - 1], side="right")) if end else n
+            both += int(held[rows[lo][depth:end]].sum())
+            left = n - int(upto[rows[lo][end - 1]]) if end else n
             need = -(-num * (n + least) // (num + den))
             if both + min(left, most - end) < need:
                 continue
             if hi - lo == 1 or end == most:  # a leaf, or equal sets
                 for y in range(lo, hi):
-                    if y != x and top(x) != top(y) and same(n, int(sizes[y]), both, num, den):
-                        links.append((order[x], order[y]))
-                        root[top(y)] = top(x)
+                    join(x, y, both)
                 continue
-            starts = [lo, *[int(lo + 1 + j) for j in np.flatnonzero(shared[lo : hi - 1] == end)], hi]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if any(top(y) != top(x) for y in range(a, b)):
-                    stack.append((a, b, end, both))
+            starts = np.concatenate([[lo], lo + 1 + np.flatnonzero(shared[lo : hi - 1] == end), [hi]])
+            large = np.flatnonzero(np.diff(starts) > SMALL).tolist()
+            rest = np.ones(hi - lo, dtype=bool)
+            for k in large:
+                rest[starts[k] - lo : starts[k + 1] - lo] = False
+                stack.append((int(starts[k]), int(starts[k + 1]), end, both))
+            few(x, lo + np.flatnonzero(rest), end, both, held)
 
     for x in range(len(order)):
-        visit(x, 0, len(order), 0, 0)
-        if len({top(i) for i in range(len(order))}) == 1:
+        visit(x)
+        if (cluster == cluster[0]).all():
             break
-    return links
+    if not new:
+        return []
+    least_of: dict[int, int] = {}
+    for k, i in zip(cluster.tolist(), order, strict=True):
+        least_of[k] = min(i, least_of.get(k, i))
+    return [(least_of[k], i) for k, i in zip(cluster.tolist(), order, strict=True) if least_of[k] != i]
 
 
 def _prefix(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,28 +227,26 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "elements"]).astype({"doc_id": "Int64"})
 
 
-def _grouped(links_of: Callable[[dict[int, np.ndarray]], list[tuple[int, int]]]):
-    """For rows sorted by tree: one tree at a time, also across batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, held = None, {}
-        for batch in batches:
-            out = []
-            for key, rep, elements in zip(batch["tree"], batch["rep"], batch["elements"], strict=True):
-                if key != tree:
-                    out += links_of(held)
-                    tree, held = key, {}
-                held[rep] = np.frombuffer(elements, dtype=np.uint64)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(links_of(held), columns=["a", "b"], dtype="int64")
-
-    return run
+def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by tree: the links of one tree at a time, also across batches."""
+    tree, held, known = None, {}, {}
+    for batch in batches:
+        out = []
+        for key, rep, c, elements in zip(batch["tree"], batch["rep"], batch["c"], batch["elements"], strict=True):
+            if key != tree:
+                out += tree_links(held, known)
+                tree, held, known = key, {}, {}
+            held[rep], known[rep] = np.frombuffer(elements, dtype=np.uint64), c
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    yield pd.DataFrame(tree_links(held, known), columns=["a", "b"], dtype="int64")
 
 
 def _join_trees(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members (tree, rep): links found in each tree."""
-    rows = members.join(sets, "rep").select("tree", "rep", "elements")
-    return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(_grouped(tree_links), "a long, b long")
+    """members (tree, rep, c: what rep is connected to already): links found in each tree."""
+    members = stored(members, "ngram-members")
+    small = F.broadcast(members) if members.count() <= BROADCAST else members
+    rows = sets.join(small, "rep").select("tree", "rep", "c", "elements")
+    return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(_trees, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -224,8 +256,9 @@ def classes(docs: DataFrame) -> DataFrame:
     2. Representatives that share a signature of `Parts` meet: the first of each signature leads, and every
        other goes to its leader's trees, CHUNK sets each, so no signature is listed pair by pair and no
        tree outgrows a task. Every tree holds its leader. Elements are rebuilt from the texts only for these.
-    3. `tree_links` joins each tree. Where a leader has several trees and not all its sets are connected,
-       its unconnected sets also meet every one of its trees, block by block.
+    3. `tree_links` joins each tree. Where a leader has several trees, those of its signatures whose sets are not
+       all connected yet get trees of their own, one for each two blocks of CHUNK sets (lists of sets that
+       several signatures share, once), so every pair that shares a signature has met.
     4. Components of all links; the smallest doc_id of a component names it.
 
     Null, empty or wordless texts have n = 0 and are linked with nothing; repeated rows are rows of one
@@ -237,36 +270,36 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = stored(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"), F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id")), "ngram-reps")
     entries = signed.select("uid", "sigs").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
-    multi = entries.withColumn("leader", F.min("rep").over(by)).where("rep <> leader").select("leader", "rep").distinct()
-    star = stored(multi, "ngram-stars")
+    meets = entries.withColumn("leader", F.min("rep").over(by)).withColumn("last", F.max("rep").over(by)).where("last > leader").drop("last")
+    meets = stored(meets, "ngram-meets")
+    star = stored(meets.where("rep <> leader").select("leader", "rep").distinct(), "ngram-stars")
     leads = star.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("trees"))
     led = star.join(leads, "leader").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"))
     tree = F.xxhash64("leader", "chunk").alias("tree")
     own = leads.select("leader", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk")).select(tree, F.col("leader").alias("rep"))
-    members = led.select(tree, "rep").union(own)
+    members = led.select(tree, "rep").union(own).withColumn("c", F.col("rep"))
 
-    near = star.select("rep").union(star.select(F.col("leader").alias("rep"))).distinct()
+    near = meets.select("rep").distinct()
     wanted = stored(reps.join(near, "rep").select("doc_id", "n", "k1", "k2", "rep"), "ngram-wanted")
     ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST else ids
+    ids, known = (F.broadcast(ids), F.broadcast(wanted)) if wanted.count() <= BROADCAST else (ids, wanted)
     built = rows.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, k1 long, k2 long, elements binary")
-    sets = built.join(wanted, [built["doc_id"].eqNullSafe(wanted["doc_id"]), built["n"] == wanted["n"], built["k1"] == wanted["k1"], built["k2"] == wanted["k2"]]).select("rep", "elements")
-    sets = stored(sets.dropDuplicates(["rep"]), "ngram-sets")
+    sets = built.join(known, [built["doc_id"].eqNullSafe(wanted["doc_id"]), built["n"] == wanted["n"], built["k1"] == wanted["k1"], built["k2"] == wanted["k2"]]).select("rep", "elements")
+    sets = stored(sets, "ngram-sets")  # a row repeated in the input repeats its set, which a tree holds once
 
     links = stored(_join_trees(members, sets), "ngram-links")
     label = components(spark, links, "ngram-part")
-    large = leads.where("trees > 1").select("leader", "trees")
+    large = leads.where("trees > 1").select("leader")
     if not large.isEmpty():
-        named = led.join(large.select("leader"), "leader").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        heads = large.select("leader").join(label.withColumnRenamed("id", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("lead"))
-        apart = named.join(heads, "leader").where("c <> lead").withColumn("block", (F.col("chunk") / 1).cast("int")).select("leader", "rep", "block", "trees")
-        if not apart.isEmpty():
-            cell = F.xxhash64("leader", "block", "chunk").alias("tree")
-            odd = apart.select("leader", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk")).select(cell, "rep")
-            facing = led.select("leader", "rep", "chunk").join(apart.select("leader", "block").distinct(), "leader").select(cell, "rep")
-            more = _join_trees(odd.union(facing).distinct(), sets)
-            links = stored(links.union(more), "ngram-links")
-            label = components(spark, links, "ngram-all")
+        spread = meets.join(large, "leader").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c"))
+        lists = spread.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        alike = lists.groupBy("n", "h").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        apart = spread.join(alike.select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        facing = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("tree")
+        more = stored(_join_trees(facing.select(cell, "rep", "c"), sets), "ngram-links")
+        if not more.isEmpty():
+            label = components(spark, links.union(more), "ngram-all")
 
     classed = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     least = classed.groupBy("c").agg(F.min("least").alias("component_id"))
