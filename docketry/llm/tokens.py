@@ -7,18 +7,18 @@ this with encoding whole texts.
 
 from __future__ import annotations
 
+import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
-
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
     """word bytes -> its ids as little-endian unsigned 32-bit integers."""
 
-    MOST = 400_000  # words kept
+    MOST = 1_000_000  # words kept, the first ones: about 200 MB; later ones are encoded each time
 
     def __init__(self, path: str):
         super().__init__()
@@ -27,17 +27,47 @@ class Encoder(dict):
         self.encode_one = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode_one(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.MOST:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        return self.learn([word])[0]
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Encode new words in one call, a line each; a token belongs to the line that its offset falls in."""
+        lines = [w.decode() for w in words]
+        got = self.encode_one("\n".join(lines), add_special_tokens=False)
+        ids, starts, out, at, end = got.ids, [o[0] for o in got.offsets], [], 0, 0
+        for word, line in zip(words, lines, strict=True):
+            end += len(line) + 1
+            upto = bisect_left(starts, end, at)
+            out.append(struct.pack(f"<{upto - at}I", *ids[at:upto]))
+            at = upto
+            if len(word) <= 64 and len(self) < self.MOST:
+                self[word] = out[-1]
+        return out
 
     def ids(self, text: str | None, end: int | None) -> bytes:
         """All ids of the text as bytes, and then the end id."""
-        got = b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
-        return got if end is None else got + np.uint32(end).tobytes()
+        words = (text or "").encode("utf-8", "replace").split()
+        new = {w: parts(w) for w in dict.fromkeys(words) if w not in self}
+        if new:
+            fresh = [p for p in dict.fromkeys(p for ps in new.values() for p in ps) if p not in self]
+            made = dict(zip(fresh, self.learn(fresh), strict=True)) if fresh else {}
+            for w, ps in new.items():
+                new[w] = b"".join([made[p] if p in made else self[p] for p in ps])
+                if len(w) <= 64 and len(self) < self.MOST:
+                    self[w] = new[w]
+            got = b"".join([new[w] if w in new else self[w] for w in words])
+        else:
+            got = b"".join(map(self.__getitem__, words))
+        return got if end is None else got + struct.pack("<I", end)
+
+
+def parts(word: bytes) -> tuple[bytes, ...]:
+    """Pieces whose ids follow each other: A-Z lower-cased as the vocabulary does anyway, and closing marks after an
+    ASCII letter or digit apart, where its splitter cuts too. Words with <| may be special tokens: whole."""
+    if b"<|" in word:
+        return (word,)
+    low = word.lower()
+    core = low.rstrip(b".,|!#*%$&;:?")
+    return (core, low[len(core) :]) if core and len(core) < len(low) and core[-1:].isalnum() else (low,)
 
 
 def encoder(path: str) -> Encoder:
