@@ -72,9 +72,13 @@ def l7(spark, sf):
     return _used(spark, sf).select("case_id", F.round(pct, 4).alias("pct"), F.when(pct < 70, "green").when(pct <= 90, "yellow").otherwise("red").alias("band"), F.round(F.col("budget") - F.col("spent"), 2).alias("remaining"))
 
 
-@register("l8_economics", duck("deadlines", f"WITH {_USE} SELECT case_id, round(budget * (case_id % 10) / 10 - spent * 1.2, 1) AS value FROM u"))
+@register("l8_economics", "SELECT o_orderkey AS case_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(o_orderkey % 10 AS DECIMAL(4,0)) * 0.1 - coalesce(s, 0) * 0.72 AS DOUBLE) AS value FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS s FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
 def l8(spark, sf):
-    return _used(spark, sf).select("case_id", F.round(F.col("budget") * (F.col("case_id") % 10) / 10 - F.col("spent") * 1.2, 1).alias("value"))
+    """Claim x chance - (spent + expected), in exact decimals."""
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("s"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("claim"))
+    value = F.expr("claim * CAST(case_id % 10 AS DECIMAL(4,0)) * 0.1 - coalesce(s, 0) * 0.72")
+    return o.join(s, "case_id", "left").select("case_id", value.cast("double").alias("value"))
 
 
 @register("l9_risk_register", "WITH r AS (SELECT p_partkey AS id, 1 + p_partkey % 5 AS p, 1 + p_partkey // 5 % 5 AS i, 0.8 + p_partkey % 3 * 0.2 AS t, 1.0 + p_partkey % 2 * 0.5 AS c, 1.0 + p_partkey % 4 * 0.1 AS r FROM part) SELECT id, p * i AS base, CASE WHEN p * i < 3 THEN 'very low' WHEN p * i < 6 THEN 'low' WHEN p * i < 11 THEN 'medium' WHEN p * i < 17 THEN 'high' ELSE 'critical' END AS band, round(p * i * t * c * r, 6)::DOUBLE AS adjusted, CAST(row_number() OVER (ORDER BY round(p * i * t * c * r, 6) DESC, i DESC, p DESC, id) AS INTEGER) AS rank FROM r")

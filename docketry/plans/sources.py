@@ -30,7 +30,7 @@ def s3(spark, sf):
     return S.with_record(results, files).select("result_id", "file_no")
 
 
-@register("s4_ocr_payload", duck("boxes_pred", "SELECT image_id AS page_id, CAST(count(*) AS INTEGER) AS n_blocks, CASE WHEN count(*) > 1 THEN round(avg(score) FILTER (WHERE rn < n), 4) END AS confidence, CASE WHEN image_id % 9 = 0 THEN 'failed' ELSE 'success' END AS status FROM (SELECT image_id, round(score, 2) AS score, row_number() OVER (PARTITION BY image_id ORDER BY box_id, x1, y1, score) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM boxes_pred) q GROUP BY 1"))
+@register("s4_ocr_payload", duck("boxes_pred", "SELECT image_id AS page_id, CAST(count(*) AS INTEGER) AS n_blocks, CASE WHEN count(*) > 1 THEN CAST(((sum(CAST(round(score * 100) AS BIGINT)) FILTER (WHERE rn < n)) * 200 + (count(*) - 1)) // (2 * (count(*) - 1)) AS DOUBLE) / 10000 END AS confidence, CASE WHEN image_id % 9 = 0 THEN 'failed' ELSE 'success' END AS status FROM (SELECT image_id, round(score, 2) AS score, row_number() OVER (PARTITION BY image_id ORDER BY box_id, x1, y1, score) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM boxes_pred) q GROUP BY 1"))
 def s4(spark, sf):
     """Payloads are made from the boxes: the last score of each page is missing."""
     b = view(spark, sf, "boxes_pred")

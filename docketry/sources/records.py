@@ -33,7 +33,7 @@ def ocr_pages(pages: DataFrame) -> DataFrame:
     """Parallel arrays to blocks by position, short ones filled with null; mean score; failed without text."""
     p = pages.withColumn("p", F.from_json("payload", OCR_SCHEMA))
     text = F.array_join(F.filter(F.col("p.rec_texts"), lambda t: t != ""), "\n")
-    mean = F.round(F.aggregate("p.rec_scores", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("p.rec_scores"), F.lit(0)), 4)
+    mean = F.round(F.round(F.aggregate("p.rec_scores", F.lit(0.0), lambda a, x: a + x), 9) / F.nullif(F.size("p.rec_scores"), F.lit(0)), 4)
     return p.select("page_id", F.size(F.arrays_zip("p.rec_texts", "p.rec_scores")).alias("n_blocks"), mean.alias("confidence"), F.when(text == "", "failed").otherwise("success").alias("status"))
 
 
