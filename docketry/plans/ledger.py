@@ -293,3 +293,10 @@ def p8(spark, sf):
     given = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("K"), "o_custkey")).alias("fund_account")
     rows = o.select("o_orderkey", given, F.concat(F.lit("证券账户： A"), "o_custkey").alias("text"))
     return rows.select("o_orderkey", FO.account(["fund_account"], "text").alias("account"))
+
+
+@register("j2_review_meta", duck("ledger_rows files", CHAIN + "SELECT event_id, coalesce(nullif(CASE WHEN src_ord % 2 = 0 THEN 'own title' ELSE '' END, ''), f.original_file_name) AS original_file_name, f.module FROM rs LEFT JOIN files f ON f.file_id = rs.file_id WHERE status = 'pending'"))
+def j2(spark, sf):
+    """Review rows with what their file says where they say nothing."""
+    rows = _resolved(spark, sf).where("status = 'pending'").select("event_id", "file_id", F.when(F.col("src_ord") % 2 == 0, "own title").otherwise("").alias("original_file_name"))
+    return FO.with_file(rows, view(spark, sf, "files").select("file_id", "original_file_name", "module")).select("event_id", "original_file_name", "module")

@@ -105,7 +105,7 @@ def s9(spark, sf):
     return d.select(F.concat(F.lit("w"), "doc_id", F.lit("\t"), F.translate(F.substring("text", 1, 60), ' "', "")).alias("line"))
 
 
-@register("s12_p36_table_html", "SELECT l_orderkey AS id, concat('<tr>', string_agg(concat('<td>', CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END, '</td>'), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), '</tr>') AS html FROM lineitem GROUP BY 1")
+@register("s12_table_html", "SELECT l_orderkey AS id, concat('<tr>', string_agg(concat('<td>', CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END, '</td>'), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), '</tr>') AS html FROM lineitem GROUP BY 1")
 def s12(spark, sf):
     from pyspark.sql import Window
 
@@ -164,3 +164,10 @@ def p14(spark, sf):
     k = F.col("event_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("```json\n{\"a\": "), F.lit("["))).otherwise("no json")
     return e.select("event_id", S.fenced_json(raw)[1].alias("state"))
+
+
+@register("p36_structure_tokens", "SELECT l_orderkey AS id, concat('<tr>', repeat('<td></td>', CAST(count(*) AS INTEGER)), '</tr>') AS structure FROM lineitem GROUP BY 1")
+def p36(spark, sf):
+    cells = F.transform(F.collect_list("l_linenumber"), lambda x: F.lit("<td></td>"))
+    tokens = F.concat(F.array(F.lit("<thead>"), F.lit("<tr>")), F.col("c"), F.array(F.lit("</tr>"), F.lit("</thead>"), F.lit("<tbody>"), F.lit("</tbody>")))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(cells.alias("c")).select("id", S.structure(tokens).alias("structure"))

@@ -109,3 +109,11 @@ def fenced_json(c: str | Column) -> tuple[Column, Column]:
     inner = F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
     state = F.when(F.try_parse_json(inner).isNotNull(), "ok").when(F.substring(inner, 1, 1) == "{", "truncated").otherwise("invalid")
     return inner, state
+
+
+def structure(tokens: Column) -> Column:
+    """Structure tokens as one string without head and body marks."""
+    out = F.array_join(tokens, "")
+    for mark in ("<thead>", "</thead>", "<tbody>", "</tbody>"):
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    return out
