@@ -10,6 +10,7 @@ from .common import read, stored, with_uid
 SITES = 5  # distinct sites from which on a line is boilerplate
 WORDS = 4  # words from which on a line is looked at
 LG_K = 12  # size of a sketch: 2**LG_K registers
+BROADCAST = 1_000_000  # keys at most that are sent to every task (about 32 MB)
 NEAR = 0.25  # estimates this near the threshold are counted exactly; a sketch of 2**12 errs by 0.05 in 3 standard errors
 
 _INNER = r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}"
@@ -25,18 +26,25 @@ def _key(line: Column) -> Column:
     return F.when(F.regexp_like(line, F.lit(_INNER % (WORDS - 1))), F.xxhash64(bare))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, sent to every task while it has at most BROADCAST rows (then a line that a third of all texts
+    have moves nothing and skews nothing); beyond that it is joined by a shuffle, whose skew AQE splits."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """key of the lines on `sites` or more distinct sites. lines: a stored table with key, site.
+    """key, first (doc, uid: the smallest row with it) of the lines on `sites` or more distinct sites. lines: a stored
+    table with key, site, doc, uid.
 
     A HyperLogLog sketch of the sites is built for each key and merged by aggregation, so a line that
     everyone has costs no more than another. Keys whose estimate lies near the threshold are counted
     exactly, so the answer is exact.
     """
-    spread = stored(lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.count("*").alias("n")).where("n > 1"), "line-spread")
-    sure = spread.where(F.col("sites") > sites * (1 + NEAR)).select("key")
-    near = spread.where(F.col("sites").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("key")
-    exact = lines.join(near, "key").select("key", "site").distinct().groupBy("key").count().where(F.col("count") >= sites).select("key")
-    return sure.union(exact)
+    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc", "uid")).alias("first"), F.count("*").alias("n"))
+    spread = stored(sketched.where((F.col("n") > 1) & (F.col("sites") >= sites * (1 - NEAR))), "line-spread")
+    sure, near = F.col("sites") > sites * (1 + NEAR), spread.where(F.col("sites") <= sites * (1 + NEAR))
+    exact = lines.join(_small(near.select("key")), "key").select("key", "site").distinct().groupBy("key").count().where(F.col("count") >= sites).select("key")
+    return spread.where(sure).select("key", "first").union(near.join(exact, "key").select("key", "first"))
 
 
 def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
@@ -54,9 +62,7 @@ def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
         rows.select(F.col("__uid").alias("uid"), F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("\x00")).alias("site"), F.explode(F.array_distinct("__keys")).alias("key")).where("key is not null"), "line-keys"
     )
     common = stored(boilerplate(lines, sites), "line-common")
-    held = lines.join(common, "key")
-    first = held.groupBy("key").agg(F.min(F.struct("doc", "uid")).alias("first"))
-    goes = held.join(first, "key").groupBy("uid").agg(F.collect_list("key").alias("__gone"), F.collect_list(F.when(F.col("first.uid") == F.col("uid"), F.col("key"))).alias("__own"))  # a text's own keys
+    goes = lines.join(_small(common), "key").groupBy("uid").agg(F.collect_list("key").alias("__gone"), F.collect_list(F.when(F.col("first.uid") == F.col("uid"), F.col("key"))).alias("__own"))  # a text's own keys
     met = rows.join(goes.withColumnRenamed("uid", "__uid"), "__uid", "left")
     # one row's lines are matched through a map key -> does its first standing stay here
     gone = F.map_from_entries(F.transform("__gone", lambda k: F.struct(k.alias("k"), F.array_contains("__own", k).alias("o"))))
