@@ -9,6 +9,7 @@ from .common import buckets_for, hash_bucket, read, running_total, stored, with_
 
 #: Nodes above this share of a shard's even load are dealt singly; there are fewer than shards / SHARE.
 SHARE = 1 / 256
+PER_BUCKET = 20_000  # rows about that one task sorts at a time
 
 
 def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = 12) -> DataFrame:
@@ -27,13 +28,16 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: in
     total = nodes.agg(F.sum("size")).first()[0] or 0
     quota = -(-total // n_shards)
     linked = links.dropDuplicates(["uid", "link_id"])
-    many = linked.groupBy("link_id").count().where("count > 1").select("link_id")
-    member = stored(linked.join(many, "link_id", "left_semi").join(nodes.select("uid", "size"), "uid"), "shard-links")
+    many = linked.groupBy("link_id").count().where("count > 1").select("link_id", F.ceil(F.col("count") / PER_BUCKET).alias("fan"))
+    member = stored(linked.join(many, "link_id").join(nodes.select("uid", "size"), "uid"), "shard-links")
+    near = F.min(F.struct(F.xxhash64("link_id").alias("near"), "fan"))
     state = stored(
-        member.groupBy("uid").agg(F.first("size").alias("size"), F.min(F.xxhash64("link_id")).alias("near")).withColumn("shard", hash_bucket(n_shards, "uid")),
+        member.groupBy("uid").agg(F.first("size").alias("size"), near.alias("l")).select("uid", "size", "l.near", "l.fan", hash_bucket(n_shards, "uid").alias("shard")),
         "shard-state",
     )
-    bucket = F.pmod(F.col("near"), F.lit(32)) * 8 + F.pmod(F.xxhash64("uid"), F.lit(8))
+    # small links stand whole in one of `wide` buckets, a large one in as many of its own as its rows need
+    wide = buckets_for(state.count(), PER_BUCKET)
+    bucket = F.pmod(F.col("near"), F.lit(wide)) * (1 << 32) + F.pmod(F.xxhash64("uid"), F.col("fan"))
     for _ in range(rounds):
         load = dict(state.groupBy("shard").agg(F.sum("size")).collect())  # n_shards rows
         room = {s: quota - load.get(s, 0) for s in range(n_shards)}
@@ -44,12 +48,12 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: in
         votes = now.join(open_, "link_id").select("uid", F.explode("around").alias("v")).groupBy("uid", F.col("v.to").alias("to")).agg(F.sum("v.m").alias("m"))
         seen = votes.join(state, "uid").where((F.col("to") == F.col("shard")) | (rooms[F.col("to")] >= F.col("size")))
         best = seen.groupBy("uid").agg(
-            F.max(F.struct("m", (-F.col("to")).alias("less"))).alias("b"), F.first("shard").alias("shard"), F.first("size").alias("size"), F.first("near").alias("near")
+            F.max(F.struct("m", (-F.col("to")).alias("less"))).alias("b"), F.first("shard").alias("shard"), F.first("size").alias("size"), F.first("near").alias("near"), F.first("fan").alias("fan")
         )
-        want = stored(best.select("uid", "size", "near", "shard", (-F.col("b.less")).alias("to"), bucket.alias("bucket"), F.col("b.m").alias("m")), "shard-want")
+        want = stored(best.select("uid", "size", "near", "fan", "shard", (-F.col("b.less")).alias("to"), bucket.alias("bucket"), F.col("b.m").alias("m")), "shard-want")
         moving = running_total(want.where("to <> shard"), ["to"], "bucket", ["near", "uid"], "size", "before")
         let = moving.where(F.col("before") + F.col("size") <= rooms[F.col("to")]).select("uid", F.col("to").alias("new"))
-        new = stored(want.join(let, "uid", "left").select("uid", "size", "near", F.coalesce("new", "shard").alias("shard"), F.col("new").isNotNull().alias("moved")), "shard-state")
+        new = stored(want.join(let, "uid", "left").select("uid", "size", "near", "fan", F.coalesce("new", "shard").alias("shard"), F.col("new").isNotNull().alias("moved")), "shard-state")
         state = new.drop("moved")
         if new.where("moved").isEmpty():
             break
