@@ -120,10 +120,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def training(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """text, toxic of at most `rows` labelled documents that are not held out, the first by hash of the id.
-    Rows with a null label or id are left out; where an id's labels differ the larger one holds."""
+    Rows with a null label or id are left out; where an id's labels differ the larger one holds, and of the texts under one id
+    the smallest, so that an id repeated any number of times is one row."""
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a top-k, at most `rows` rows
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> Lexicon:
