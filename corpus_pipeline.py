@@ -23,8 +23,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked texts stays."""
-    return ngram_join.keep_one(docs)
+    """One document of each class of texts stays, linked from 0.8 of their five-word shingles on."""
+    return ngram_join.keep_one(docs, words=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

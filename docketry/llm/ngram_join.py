@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -206,51 +207,52 @@ def _prefix(a: np.ndarray, b: np.ndarray) -> int:
 # ---- Spark ------------------------------------------------------------------------------------------
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = Parts()
+def _signed(batches: Iterator[pd.DataFrame], words: int = N, num: int = NUM, den: int = DEN) -> Iterator[pd.DataFrame]:
+    parts = Parts(num, den)
     for batch in batches:
         for lo in range(0, len(batch), 500):
             part, rows = batch.iloc[lo : lo + 500], []
             for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                s = shingles(text)
+                s = shingles(text, words)
                 rows.append((doc, len(s), *identity(s), parts.sign(s) if len(s) else np.empty(0, dtype=np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "sigs"]).astype({"doc_id": "Int64"})
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame], words: int = N) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lo in range(0, len(batch), 500):
             part, rows = batch.iloc[lo : lo + 500], []
             for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                s = shingles(text)
+                s = shingles(text, words)
                 rows.append((doc, len(s), *identity(s), s.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "elements"]).astype({"doc_id": "Int64"})
 
 
-def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _trees(batches: Iterator[pd.DataFrame], num: int = NUM, den: int = DEN) -> Iterator[pd.DataFrame]:
     """Rows sorted by tree: the links of one tree at a time, also across batches."""
     tree, held, known = None, {}, {}
     for batch in batches:
         out = []
         for key, rep, c, elements in zip(batch["tree"], batch["rep"], batch["c"], batch["elements"], strict=True):
             if key != tree:
-                out += tree_links(held, known)
+                out += tree_links(held, known, num, den)
                 tree, held, known = key, {}, {}
             held[rep], known[rep] = np.frombuffer(elements, dtype=np.uint64), c
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    yield pd.DataFrame(tree_links(held, known), columns=["a", "b"], dtype="int64")
+    yield pd.DataFrame(tree_links(held, known, num, den), columns=["a", "b"], dtype="int64")
 
 
-def _join_trees(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _join_trees(members: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """members (tree, rep, c: what rep is connected to already): links found in each tree."""
     members = stored(members, "ngram-members")
     small = F.broadcast(members) if members.count() <= BROADCAST else members
     rows = sets.join(small, "rep").select("tree", "rep", "c", "elements")
-    return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(_trees, "a long, b long")
+    return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(partial(_trees, num=num, den=den), "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), component_id for each row of docs (doc_id, text).
+def classes(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n (set size), component_id for each row of docs (doc_id, text), by shingles of `words` words
+    that are linked when den * both >= num * union.
 
     1. Every text is shingled once; equal sets (all exact copies among them) become one representative.
     2. Representatives that share a signature of `Parts` meet: the first of each signature leads, and every
@@ -266,7 +268,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = with_uid(rows.mapInPandas(_signed, "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "ngram-signed")
+    signed = with_uid(rows.mapInPandas(partial(_signed, words=words, num=num, den=den), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "ngram-signed")
     reps = stored(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"), F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id")), "ngram-reps")
     entries = signed.select("uid", "sigs").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
@@ -283,11 +285,11 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = stored(reps.join(near, "rep").select("doc_id", "n", "k1", "k2", "rep"), "ngram-wanted")
     ids = wanted.select("doc_id").distinct()
     ids, known = (F.broadcast(ids), F.broadcast(wanted)) if wanted.count() <= BROADCAST else (ids, wanted)
-    built = rows.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, n long, k1 long, k2 long, elements binary")
+    built = rows.join(ids, "doc_id", "left_semi").mapInPandas(partial(_sets, words=words), "doc_id long, n long, k1 long, k2 long, elements binary")
     sets = built.join(known, [built["doc_id"].eqNullSafe(wanted["doc_id"]), built["n"] == wanted["n"], built["k1"] == wanted["k1"], built["k2"] == wanted["k2"]]).select("rep", "elements")
     sets = stored(sets, "ngram-sets")  # a row repeated in the input repeats its set, which a tree holds once
 
-    links = stored(_join_trees(members, sets), "ngram-links")
+    links = stored(_join_trees(members, sets, num, den), "ngram-links")
     label = components(spark, links, "ngram-part")
     large = leads.where("trees > 1").select("leader")
     if not large.isEmpty():
@@ -297,7 +299,7 @@ def classes(docs: DataFrame) -> DataFrame:
         apart = spread.join(alike.select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         facing = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cell = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("tree")
-        more = stored(_join_trees(facing.select(cell, "rep", "c"), sets), "ngram-links")
+        more = stored(_join_trees(facing.select(cell, "rep", "c"), sets, num, den), "ngram-links")
         if not more.isEmpty():
             label = components(spark, links.union(more), "ngram-all")
 
@@ -308,11 +310,11 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents with the smallest doc_id of each class of linked texts, all columns; of rows repeated
     under that id one stays for each. Texts without words stay as they are."""
     rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    firsts = classes(docs).where("n > 0 and doc_id = component_id").select("doc_id").distinct()
+    firsts = classes(docs, words, num, den).where("n > 0 and doc_id = component_id").select("doc_id").distinct()
     empty = ~F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     kept = rows.where(~empty).join(firsts.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").dropDuplicates(["__id"])
     return kept.unionByName(rows.where(empty)).select(*docs.columns)
