@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, read, stored, with_uid
@@ -212,10 +212,10 @@ def _signed(batches: Iterator[pd.DataFrame], words: int = N, num: int = NUM, den
     for batch in batches:
         for lo in range(0, len(batch), 500):
             part, rows = batch.iloc[lo : lo + 500], []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+            for doc, digest, text in zip(part["doc_id"], part["digest"], part["text"], strict=True):
                 s = shingles(text, words)
-                rows.append((doc, len(s), *identity(s), parts.sign(s) if len(s) else np.empty(0, dtype=np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "sigs"]).astype({"doc_id": "Int64"})
+                rows.append((doc, digest, len(s), *identity(s), parts.sign(s) if len(s) else np.empty(0, dtype=np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "k1", "k2", "sigs"]).astype({"doc_id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame], words: int = N) -> Iterator[pd.DataFrame]:
@@ -250,9 +250,18 @@ def _join_trees(members: DataFrame, sets: DataFrame, num: int = NUM, den: int =
     return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(partial(_trees, num=num, den=den), "a long, b long")
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def classes(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n (set size), component_id for each row of docs (doc_id, text), by shingles of `words` words
-    that are linked when den * both >= num * union.
+    """doc_id, n (set size), component_id for each row of docs (doc_id, text)."""
+    return _classed(docs, words, num, den).select("doc_id", "n", "component_id")
+
+
+def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """uid, doc_id, digest (of the text), n (set size), class, component_id for each row of docs (doc_id, text),
+    by shingles of `words` words that are linked when den * both >= num * union.
 
     1. Every text is shingled once; equal sets (all exact copies among them) become one representative.
     2. Representatives that share a signature of `Parts` meet: the first of each signature leads, and every
@@ -261,15 +270,16 @@ def classes(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) ->
     3. `tree_links` joins each tree. Where a leader has several trees, those of its signatures whose sets are not
        all connected yet get trees of their own, one for each two blocks of CHUNK sets (lists of sets that
        several signatures share, once), so every pair that shares a signature has met.
-    4. Components of all links; the smallest doc_id of a component names it.
+    4. Components of all links; the smallest doc_id of a component names it (null
+       where all are null), and `class` tells components apart also then.
 
     Null, empty or wordless texts have n = 0 and are linked with nothing; repeated rows are rows of one
     class; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = with_uid(rows.mapInPandas(partial(_signed, words=words, num=num, den=den), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "ngram-signed")
-    reps = stored(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"), F.min("uid").alias("rep"), F.min_by("doc_id", "uid").alias("doc_id")), "ngram-reps")
+    signed = with_uid(rows.withColumn("digest", _digest()).mapInPandas(partial(_signed, words=words, num=num, den=den), "doc_id long, digest binary, n long, k1 long, k2 long, sigs array<long>"), "ngram-signed")
+    reps = stored(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("rep")), "ngram-reps")
     entries = signed.select("uid", "sigs").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
     meets = entries.withColumn("leader", F.min("rep").over(by)).withColumn("last", F.max("rep").over(by)).where("last > leader").drop("last")
@@ -285,7 +295,7 @@ def classes(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) ->
     wanted = stored(reps.join(near, "rep").select("doc_id", "n", "k1", "k2", "rep"), "ngram-wanted")
     ids = wanted.select("doc_id").distinct()
     ids, known = (F.broadcast(ids), F.broadcast(wanted)) if wanted.count() <= BROADCAST else (ids, wanted)
-    built = rows.join(ids, "doc_id", "left_semi").mapInPandas(partial(_sets, words=words), "doc_id long, n long, k1 long, k2 long, elements binary")
+    built = rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInPandas(partial(_sets, words=words), "doc_id long, n long, k1 long, k2 long, elements binary")
     sets = built.join(known, [built["doc_id"].eqNullSafe(wanted["doc_id"]), built["n"] == wanted["n"], built["k1"] == wanted["k1"], built["k2"] == wanted["k2"]]).select("rep", "elements")
     sets = stored(sets, "ngram-sets")  # a row repeated in the input repeats its set, which a tree holds once
 
@@ -304,19 +314,22 @@ def classes(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) ->
             label = components(spark, links.union(more), "ngram-all")
 
     classed = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    least = classed.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classed.join(least, "c").select(F.col("n").alias("__n"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "component_id")
-    out = signed.select("doc_id", "n", "k1", "k2").join(named, (F.col("n") == F.col("__n")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left")
-    return out.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = classed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = classed.join(least, "c").select(F.col("n").alias("__n"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("c").alias("class"), "component_id")
+    out = signed.select("uid", "doc_id", "digest", "n", "k1", "k2").join(named, (F.col("n") == F.col("__n")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left")
+    return out.select("uid", "doc_id", "digest", "n", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents with the smallest doc_id of each class of linked texts, all columns; of rows repeated
-    under that id one stays for each. Texts without words stay as they are."""
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    firsts = classes(docs, words, num, den).where("n > 0 and doc_id = component_id").select("doc_id").distinct()
+    """One document of each class of linked texts, all columns: the one with the smallest doc_id, one without
+    doc_id only where all are. Where an id stands over several texts, each text is of its own class. Texts
+    without words stay as they are."""
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": _digest()})
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    firsts = _classed(docs, words, num, den).where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("first")).select("first.*")
     empty = ~F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    kept = rows.where(~empty).join(firsts.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").dropDuplicates(["__id"])
+    chosen = rows["__id"].eqNullSafe(firsts["doc_id"]) & (rows["__digest"] == firsts["digest"])
+    kept = rows.where(~empty).join(firsts, chosen, "left_semi").dropDuplicates(["__id", "__digest"])
     return kept.unionByName(rows.where(empty)).select(*docs.columns)
 
 

@@ -82,3 +82,23 @@ def test_pipeline_stages_from_the_near_copies_on(spark, sf_dir):
     last = P.pack_sequences(spark, stage4, sf_dir)
     assert last.where("piece = 0").count() == stage4.count() and last.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
     assert sorted(map(tuple, last.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, P.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_ids_may_be_null_or_repeated(spark):
+    """A null id on a text's first copy loses no link; each class keeps one row, whatever its id."""
+    r = random.Random(5)
+
+    def pair(k):
+        w = [f"p{k}w{r.randrange(10**6)}" for _ in range(80)]
+        return " ".join(w), " ".join([*w[:-1], "end"])
+
+    (a, a2), (b, b2), (c, c2), (d, _), (e, _), (f, f2) = (pair(k) for k in range(6))
+    rows = [(None, a), (5, a), (6, a2), (None, b), (None, b2), (7, c), (7, d), (8, c2), (9, None), (7, e), (4, c), (None, f), (3, f2), (7, d)]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, place int").coalesce(1)
+    found = [(x["doc_id"], x["n"] > 0, x["component_id"]) for x in ngram_join.classes(docs).collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    want = [(None, True, 5), (5, True, 5), (6, True, 5), (None, True, None), (None, True, None), (7, True, 4), (7, True, 7), (8, True, 4), (9, False, 9), (7, True, 7), (4, True, 4), (None, True, 3), (3, True, 3), (7, True, 7)]
+    assert sorted(found, key=key) == sorted(want, key=key)
+    kept = [(x["doc_id"], x["text"]) for x in ngram_join.keep_one(docs, **RULE).collect()]
+    either = (None, b) if (None, b) in kept else (None, b2)
+    assert sorted(kept, key=key) == sorted([(5, a), either, (7, d), (9, None), (7, e), (4, c), (3, f2)], key=key)
