@@ -15,7 +15,7 @@ from .fixtures import duck, table, view
 W = "greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1))"
 U = "((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - i)"
 PAIRS = f"pr AS (SELECT *, i / {U.replace('g.x2 - g.x1', 'gx').replace('g.y2 - g.y1', 'gy').replace('p.x2 - p.x1', 'px').replace('p.y2 - p.y1', 'py')} AS iou FROM (SELECT g.image_id, g.box_id AS a, p.box_id AS b, g.x2 - g.x1 AS gx, g.y2 - g.y1 AS gy, p.x2 - p.x1 AS px, p.y2 - p.y1 AS py, g.ignore, g.text AS gt, p.text AS pt, {W} AS i FROM gt1 g JOIN pred1 p USING (image_id)) q WHERE i > 0)"
-#: box ids repeat inside an image of the given tables; one box each is kept
+#: box ids repeat inside an image of the given tables; boxes that share one are left out of the queries with this SQL
 ONE = "gt1 AS (SELECT * FROM boxes_gt QUALIFY count(*) OVER (PARTITION BY image_id, box_id) = 1), pred1 AS (SELECT * FROM boxes_pred QUALIFY count(*) OVER (PARTITION BY image_id, box_id) = 1)"
 
 
@@ -32,6 +32,20 @@ def _pred(spark, sf):
     return _one(view(spark, sf, "boxes_pred"))
 
 
+def _numbered(df):
+    """All boxes, each with a box_id of its own in its image."""
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("box_id", *[c for c in df.columns if c not in ("image_id", "box_id")]))
+    return df.withColumn("box_id", place.cast("long"))
+
+
+def _all_gt(spark, sf):
+    return _numbered(view(spark, sf, "boxes_gt"))
+
+
+def _all_pred(spark, sf):
+    return _numbered(view(spark, sf, "boxes_pred"))
+
+
 @register("a21_recognition", duck("text_pairs", "SELECT count(*) AS n, round(count(*) FILTER (WHERE gt = pred) / (count(*) + 1e-5), 6) AS acc, round(1 - sum(CASE WHEN greatest(length(gt), length(pred)) = 0 THEN 0.0 ELSE levenshtein(gt, pred) / greatest(length(gt), length(pred)) END) / (count(*) + 1e-5), 6) AS norm_edit FROM text_pairs"))
 def a21(spark, sf):
     return M.recognition(view(spark, sf, "text_pairs"))
@@ -134,7 +148,7 @@ def j6(spark, sf):
 
 
 def _matched(spark, sf):
-    return B.greedy_match(B.pairs_over(_gt(spark, sf), _pred(spark, sf), 0.5).withColumn("iou", F.round("iou", 9)), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
+    return B.greedy_match(B.pairs_over(_all_gt(spark, sf), _all_pred(spark, sf), 0.5).withColumn("iou", F.round("iou", 9)), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
 
 
 @register("j7_greedy_match")
@@ -145,7 +159,7 @@ def j7(spark, sf):
 @register("j8_detection_match")
 def j8(spark, sf):
     """Greedy by ground truth and not by IoU; predictions mostly inside an ignored box take no part."""
-    gt, pred = _gt(spark, sf), _pred(spark, sf)
+    gt, pred = _all_gt(spark, sf), _all_pred(spark, sf)
     care = B.overlapping(gt.where("ignore"), pred).where(overlap("a_", "b_") / area("b_") > 0.5).select("image_id", F.col("b_box_id").alias("box_id")).distinct()
     pairs = B.pairs_over(gt.where("not ignore"), pred.join(care, ["image_id", "box_id"], "left_anti"), 0.5).where("iou > 0.5")
     return B.greedy_match(pairs, [F.col("a_box_id"), F.col("b_box_id")]).select("image_id", "a_box_id", "b_box_id")
@@ -153,22 +167,22 @@ def j8(spark, sf):
 
 @register("a26_spotting")
 def a26(spark, sf):
-    return B.spotting(_gt(spark, sf), _pred(spark, sf), B.cut(_matched(spark, sf)))
+    return B.spotting(_all_gt(spark, sf), _all_pred(spark, sf), B.cut(_matched(spark, sf)))
 
 
 @register("a27_kie_scores")
 def a27(spark, sf):
     """As a26 with case and blanks ignored and background texts dropped."""
     flat = F.lower(F.replace("text", F.lit(" "), F.lit("")))
-    gt = _gt(spark, sf).where("text <> 't0'").withColumn("text", flat)
-    pred = _pred(spark, sf).where("text <> 't0'").withColumn("text", flat)
+    gt = _all_gt(spark, sf).where("text <> 't0'").withColumn("text", flat)
+    pred = _all_pred(spark, sf).where("text <> 't0'").withColumn("text", flat)
     m = B.greedy_match(B.pairs_over(gt, pred, 0.5).withColumn("iou", F.round("iou", 9)), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
     return B.spotting(gt, pred, B.cut(m))
 
 
 @register("a28_detection_hmean")
 def a28(spark, sf):
-    m, g, p = j8(spark, sf).count(), _gt(spark, sf).where("not ignore"), _pred(spark, sf)
+    m, g, p = j8(spark, sf).count(), _all_gt(spark, sf).where("not ignore"), _all_pred(spark, sf)
     n = g.agg(F.count("*").alias("gt")).crossJoin(p.agg(F.count("*").alias("pred")))
     r, q = F.lit(m) / F.col("gt"), F.lit(m) / F.col("pred")
     return n.select("gt", "pred", F.lit(m).alias("matched"), F.round(r, 6).alias("recall"), F.round(q, 6).alias("precision"), F.round(2 * r * q / (r + q), 6).alias("hmean"))
@@ -223,7 +237,7 @@ def j9(spark, sf):
 
 @register("j10_cascade")
 def j10(spark, sf):
-    return B.cascade(_pred(spark, sf), _gt(spark, sf))
+    return B.cascade(_all_pred(spark, sf), _all_gt(spark, sf))
 
 
 @register("j11_w6_leftovers", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS}, l AS (SELECT p.* FROM pred1 p WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.image_id = p.image_id AND pr.b = p.box_id)), w AS (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY image_id ORDER BY y1, x1, box_id) >= 3 THEN 1 ELSE 0 END AS nw FROM l), r AS (SELECT *, sum(nw) OVER (PARTITION BY image_id ORDER BY y1, x1, box_id ROWS UNBOUNDED PRECEDING) AS rw FROM w), n AS (SELECT image_id, count(*) AS cells FROM gt1 GROUP BY 1) SELECT image_id, box_id, cells + row_number() OVER (PARTITION BY image_id ORDER BY rw, x1, y1, box_id) AS cell_id FROM r JOIN n USING (image_id)"))
@@ -259,12 +273,12 @@ def t2(spark, sf):
 
 @register("t4_hard_nms")
 def t4(spark, sf):
-    return B.suppress(_pred(spark, sf), 0.5, 200).select("image_id", "box_id")
+    return B.suppress(_all_pred(spark, sf), 0.5, 200).select("image_id", "box_id")
 
 
 @register("t5_standard_nms")
 def t5(spark, sf):
-    return B.suppress(_pred(spark, sf), 0.3).select("image_id", "box_id")
+    return B.suppress(_all_pred(spark, sf), 0.3).select("image_id", "box_id")
 
 
 @register("t7_link_components", duck("links", "SELECT DISTINCT conv_id, id, (id - 1) // 4 * 4 + 1 AS component FROM (SELECT conv_id, a AS id FROM links WHERE a % 4 <> 0 UNION SELECT conv_id, b FROM links WHERE a % 4 <> 0) u"))
@@ -275,7 +289,7 @@ def t7(spark, sf):
 
 @register("w20_merge_fragments")
 def w20(spark, sf):
-    return B.merge_fragments(_pred(spark, sf))
+    return B.merge_fragments(_all_pred(spark, sf))
 
 
 @register("w22_tiles", duck("boxes_gt", "WITH s AS (SELECT image_id, max(x2) AS w, max(y2) AS h FROM boxes_gt GROUP BY 1), t AS (SELECT image_id, w, h, CAST(unnest(range(0, CAST(w AS BIGINT) + 1, 320)) AS INTEGER) AS ox FROM s), u AS (SELECT *, CAST(unnest(range(0, CAST(h AS BIGINT) + 1, 320)) AS INTEGER) AS oy FROM t) SELECT image_id, ox, oy, least(320, w - ox)::DOUBLE AS tw, least(320, h - oy)::DOUBLE AS th FROM u WHERE ox < w AND oy < h"))
