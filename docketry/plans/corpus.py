@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.functions import columns as C
+from docketry.operators.boxes import cut
 from docketry.operators import corpus as O
 from docketry.operators import metrics as M
 from docketry.registry import register
@@ -264,10 +265,19 @@ def l17(spark, sf):
     return n.groupBy("lang", "source").agg(F.count_distinct("quality").alias("views"), F.max("n").alias("strongest"), F.round(F.max("n") / F.sum("n"), 6).alias("strength"))
 
 
+def numbered(df, order: list[str], out: str):
+    """df with its row number in `order`, counted inside ranges of it and added to the rows of the ranges before."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranged.join(F.broadcast(base), "part").withColumn(out, (F.col("base") + within).cast("int")).drop("part", "base")
+
+
 @register("f2_triage", duck("page_text", "SELECT doc_id, state, CAST(row_number() OVER (ORDER BY CASE state WHEN 'native' THEN 1 WHEN 'ocr' THEN 2 ELSE 0 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'password' WHEN doc_id % 23 = 0 THEN 'corrupted' WHEN sum(CASE WHEN page = 1 THEN length(trim(line)) ELSE 0 END) = 0 THEN 'ocr' ELSE 'native' END AS state FROM page_text GROUP BY 1) q"))
 def f2(spark, sf):
-    """The queue's place is a report over one row a document."""
+    """The queue's place counts on over ranges of (rank, doc_id)."""
     first = F.sum(F.when(F.col("page") == 1, F.length(F.trim("line"))).otherwise(0))
     state = F.when(F.col("doc_id") % 19 == 0, "password").when(F.col("doc_id") % 23 == 0, "corrupted").when(first == 0, "ocr").otherwise("native")
     rank = F.when(F.col("state") == "native", 1).when(F.col("state") == "ocr", 2).otherwise(0)
-    return view(spark, sf, "page_text").groupBy("doc_id").agg(state.alias("state")).withColumn("place", F.row_number().over(Window.orderBy(rank, "doc_id")))
+    return numbered(view(spark, sf, "page_text").groupBy("doc_id").agg(state.alias("state")).withColumn("rank", rank), ["rank", "doc_id"], "place").drop("rank")
