@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import components, read, stored, with_uid
 
 N, NUM, DEN = 3, 90, 100  # words of a shingle; linked when DEN * both >= NUM * union
-CHUNK = 256  # sets of one tree
-SMALL = 64  # sets of a subtree that is settled in one go
+CHUNK = 1024  # sets of one tree
+ELEMENTS = 1 << 20  # and elements, about
+CELLS = 1 << 25  # bytes of the table of which set holds which element
 BROADCAST = 1_000_000  # ids at most that are sent to every task (8 MB)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -52,8 +55,10 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     last = len(words) - k + 1
     acc = np.full(last, np.uint64(k), dtype=np.uint64)
     for i in range(k):
-        acc = _mix(acc * _A + h[i : i + last] * _B + _C)
-    return np.unique(acc)
+        acc = acc * _A + h[i : i + last]  # the words' hashes are random, so are these sums
+    acc = _mix(acc)
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -66,136 +71,168 @@ class Parts:
     """Signatures by which similar sets are sure to meet.
 
     Sizes fall into classes such that linked sets are in one class or in neighbouring ones. For each class
-    pair the hash range is cut into one part more than two linked sets can differ by, plus one: so at
-    least two parts agree, element for element. A set signs each part by the hash of what it holds there.
-    Empty parts sign only where a set has two or more of them, which covers sets that agree nowhere else.
+    pair, linked sets differ by at most `most` elements; the hash range is cut into k = most + 1 + SPARE * most
+    parts, so at least k - most parts agree, element for element. A set names each part by the hash of what
+    it holds there and signs the first most + 1 of them, larger parts first: two sets that agree on k - most of k
+    parts agree on one of those, whatever the order, as long as both use the same. What is left out are
+    the empty and the smallest parts, in which unlike sets may agree by chance or by one shared passage.
     """
 
+    SPARE = 0.2
+
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den, self.low, self.bounds = num, den, [1], {}
 
     def klass(self, n: int) -> int:
         while self.low[-1] <= n:
             self.low.append(self.low[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.low, n, side="right")) - 1
+        return bisect_right(self.low, n) - 1
 
-    def count(self, level: int) -> int:
+    def most(self, level: int) -> int:
         self.klass(self.low[min(level + 1, len(self.low) - 1)])
-        high = self.low[level + 1] - 1  # |x| <= high and |y| <= high * den / num differ in at most high * (den - num) / num
-        return high * (self.den - self.num) // self.num + 2
-
-    def cuts(self, k: int) -> np.ndarray:
-        if k not in self.bounds:
-            self.bounds[k] = np.array([(i << 64) // k for i in range(k)], dtype=np.uint64)
-        return self.bounds[k]
+        high = self.low[level + 1] - 1  # |x| <= high and |y| <= |x| * den / num differ in at most |x| * (den - num) / num
+        return high * (self.den - self.num) // self.num
+
+    def cuts(self, level: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """most, the first hash of each part, the parts' own names."""
+        if level not in self.bounds:
+            most = self.most(level)
+            k = most + 1 + math.ceil(most * self.SPARE)
+            names = np.arange(k, dtype=np.uint64) * _B + np.full(k, level, dtype=np.uint64) * _C + _A
+            self.bounds[level] = most, np.array([(i << 64) // k for i in range(k)], dtype=np.uint64), names
+        return self.bounds[level]
 
     def sign(self, s: np.ndarray) -> np.ndarray:
         c, out = self.klass(len(s)), []
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(s + _C), dtype=np.uint64)])
-        for level in (c - 1, c):
-            if level < 0:
-                continue
-            k = self.count(level)
-            at = np.append(np.searchsorted(s, self.cuts(k)), len(s))
+        for level in range(max(0, c - 1), c + 1):
+            most, cuts, names = self.cuts(level)
+            at = np.append(np.searchsorted(s, cuts), len(s))
             held, size = sums[at[1:]] - sums[at[:-1]], (at[1:] - at[:-1]).astype(np.uint64)
-            part = np.arange(k, dtype=np.uint64)
-            sig = _mix(_mix(held * _A + size) ^ _mix(part * _B + np.uint64(level) * _C + _A))
-            out.append(sig if (size == 0).sum() > 1 else sig[size > 0])
-        return np.unique(np.concatenate(out)).view(np.int64)
+            sig = _mix(_mix(held * _A + size) ^ names)
+            if len(sig) > most + 1:  # by size, then by name
+                rank = (np.minimum(size, np.uint64(255)) << np.uint64(56)) | (sig >> np.uint64(8))
+                sig = sig[np.argpartition(rank, len(sig) - most - 1)[len(sig) - most - 1 :]]
+            out.append(sig)
+        return np.concatenate(out).view(np.int64)
 
 
 def same(a: int, b: int, both: int, num: int = NUM, den: int = DEN) -> bool:
     return den * both >= num * (a + b - both)
 
 
-def tree_links(sets: dict[int, np.ndarray], known: dict[int, int] | None = None, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+def tree_links(sets: dict[int, np.ndarray], known: dict[int, int] | None = None, num: int = NUM, den: int = DEN, side: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """Links among a few sets of ascending elements that connect every two linked ones: from the smallest of
-    each group to its others. Sets of one class in `known` count as connected and are not compared.
-
-    The sets, sorted element by element, form a tree whose edges hold runs of elements. Each set walks the
-    tree from the root and counts each run once for all the sets below it. A subtree is left when its
-    sizes cannot match, or when the overlap so far plus all that can still come, the fewer of what
-    remains of either set, stays under what its smallest set needs. The small subtrees below one node take that
-    test together, over a first run just long enough to use up the allowed misses.
+    each group to its others. Sets of one class in `known` count as connected and are not compared, nor are sets of
+    one `side`.
+
+    The sets' elements, ordered from the rarest of the tree to the most frequent, form a trie whose edges
+    hold runs of elements. One walk serves all sets: at each node it holds the sets that may still match
+    something below and how much of the path each of them has, so an overlap is counted once for a whole
+    subtree. A set leaves the walk when its size cannot match, or when its overlap so far plus all that can
+    still come, the fewer of what remains of either set, stays under what the subtree's smallest set
+    needs; a subtree without sets is not entered. Runs are read in pieces, the first just long enough to use up the
+    misses allowed, and rare elements stand first, so sets that are not linked leave early. An element that only
+    one set has is a miss from the start. Each pair is looked at once, from the later row.
     """
-    order = sorted((i for i in sets if len(sets[i])), key=lambda i: (sets[i].astype(">u8").tobytes(), i))
-    if len(order) < 2:
+    trie = _Trie(sets, num, den)
+    if trie.n < 2:
         return []
-    sizes = np.array([len(sets[i]) for i in order])
-    off = np.concatenate([[0], np.cumsum(sizes)])
-    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)  # elements by their place in the tree's own order
-    rows = [flat[off[k] : off[k + 1]] for k in range(len(order))]
-    shared = np.array([_prefix(a, b) for a, b in zip(rows, rows[1:], strict=False)])
-    cluster, new = np.arange(len(order)), False
+    cluster, new = np.arange(trie.n), False
     if known:
-        cluster = np.unique([known[i] for i in order], return_inverse=True)[1]
-
-    def join(x: int, y: int, both: int) -> None:
-        nonlocal new
-        if cluster[x] != cluster[y] and same(int(sizes[x]), int(sizes[y]), both, num, den):
-            cluster[cluster == cluster[y]] = cluster[x]
+        cluster = np.unique([known[i] for i in trie.ids], return_inverse=True)[1]
+    sides = None if side is None else np.array([side[i] for i in trie.ids])
+    for x, y in trie.matches(cluster, sides):
+        old = np.unique(cluster[x])
+        if (old != cluster[y]).any():
+            cluster[np.isin(cluster, old)] = cluster[y]
             new = True
-
-    def hits(held: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """How many of flat[start : start + length] x holds, for each run."""
-        cut = np.concatenate([[0], np.cumsum(lengths)])
-        sums = np.concatenate([[0], np.cumsum(held[flat[np.repeat(starts - cut[:-1], lengths) + np.arange(cut[-1])]])])
-        return sums[cut[1:]] - sums[cut[:-1]]
-
-    def few(x: int, at: np.ndarray, end: int, both: int, held: np.ndarray) -> None:
-        """Settle x against the rows `at` of small subtrees, all met at depth `end`."""
-        at, n = at[cluster[at] != cluster[x]], int(sizes[x])
-        at = at[den * np.minimum(n, sizes[at]) >= num * np.maximum(n, sizes[at])]
-        if not len(at):
-            return
-        need = -(-num * (n + sizes[at]) // (num + den))
-        run = np.minimum(int(max(0, (sizes[at] - need).max())) + 8, sizes[at] - end)
-        got = both + hits(held, off[at] + end, run)
-        may = got + sizes[at] - end - run >= need
-        at, run, got, need = at[may], run[may], got[may], need[may]
-        got = got + hits(held, off[at] + end + run, sizes[at] - end - run)
-        for y, k in zip(at[got >= need].tolist(), got[got >= need].tolist(), strict=True):
-            join(x, y, k)
-
-    def visit(x: int) -> None:
-        n, stack = int(sizes[x]), [(0, len(order), 0, 0)]
-        held = np.zeros(len(names), dtype=np.int32)
-        held[rows[x]] = 1
-        upto = np.cumsum(held)
-        while stack:
-            # rows lo..hi-1 agree on their first `depth` elements, of which `both` are in x
-            lo, hi, depth, both = stack.pop()
-            least, most = int(sizes[lo:hi].min()), int(sizes[lo:hi].max())
-            if den * min(n, most) < num * max(n, least):
-                continue
-            end = int(shared[lo : hi - 1].min()) if hi - lo > 1 else len(rows[lo])
-            both += int(held[rows[lo][depth:end]].sum())
-            left = n - int(upto[rows[lo][end - 1]]) if end else n
-            need = -(-num * (n + least) // (num + den))
-            if both + min(left, most - end) < need:
-                continue
-            if hi - lo == 1 or end == most:  # a leaf, or equal sets
-                for y in range(lo, hi):
-                    join(x, y, both)
-                continue
-            starts = np.concatenate([[lo], lo + 1 + np.flatnonzero(shared[lo : hi - 1] == end), [hi]])
-            large = np.flatnonzero(np.diff(starts) > SMALL).tolist()
-            rest = np.ones(hi - lo, dtype=bool)
-            for k in large:
-                rest[starts[k] - lo : starts[k + 1] - lo] = False
-                stack.append((int(starts[k]), int(starts[k + 1]), end, both))
-            few(x, lo + np.flatnonzero(rest), end, both, held)
-
-    for x in range(len(order)):
-        visit(x)
-        if (cluster == cluster[0]).all():
-            break
     if not new:
         return []
     least_of: dict[int, int] = {}
-    for k, i in zip(cluster.tolist(), order, strict=True):
+    for k, i in zip(cluster.tolist(), trie.ids, strict=True):
         least_of[k] = min(i, least_of.get(k, i))
-    return [(least_of[k], i) for k, i in zip(cluster.tolist(), order, strict=True) if least_of[k] != i]
+    return [(least_of[k], i) for k, i in zip(cluster.tolist(), trie.ids, strict=True) if least_of[k] != i]
+
+
+class _Trie:
+    """Rows of element ranks, sorted; sets that lack too much to match any other are left out."""
+
+    def __init__(self, sets: dict[int, np.ndarray], num: int, den: int):
+        self.num, self.den, self.n = num, den, 0
+        ids = [i for i in sets if len(sets[i])]
+        while len(ids) > 1:  # without the hopeless sets more elements stand alone
+            size = np.array([len(sets[i]) for i in ids])
+            names, place, df = np.unique(np.concatenate([sets[i] for i in ids]), return_inverse=True, return_counts=True)
+            left = np.bincount(np.repeat(np.arange(len(ids)), size)[df[place] > 1], minlength=len(ids))
+            may = den * left >= num * size
+            if may.all():
+                break
+            ids = [i for i, ok in zip(ids, may.tolist(), strict=True) if ok]
+        else:
+            return
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[np.lexsort((names, df))] = np.arange(len(names)) - (df == 1).sum()  # negative: held by one set alone
+        held = rank[place]
+        owner = np.repeat(np.arange(len(ids)), size)[held >= 0]
+        held = held[held >= 0]
+        at = np.lexsort((held, owner))
+        rows = np.split(held[at], np.cumsum(left)[:-1])
+        order = sorted(range(len(ids)), key=lambda k: (rows[k].astype(">u4").tobytes(), ids[k]))
+        self.ids, self.n, self.width = [ids[k] for k in order], len(ids), len(names) - int((df == 1).sum())
+        self.rows, self.size, self.left = [rows[k] for k in order], size[order], left[order]
+        self.off = np.concatenate([[0], np.cumsum(self.left)])
+        self.keys = np.concatenate(self.rows) + np.repeat(np.arange(self.n) * self.width, self.left)
+        self.common = np.array([_prefix(a, b) for a, b in zip(self.rows, self.rows[1:], strict=False)])
+
+    def need(self, n: np.ndarray, least: int) -> np.ndarray:
+        return -(-self.num * (n + least) // (self.num + self.den))
+
+    def matches(self, cluster: np.ndarray, sides: np.ndarray | None) -> Iterator[tuple[np.ndarray, int]]:
+        """(x, y): rows x linked to row y, in blocks of rows small enough for a table of CELLS bytes. Reads
+        `cluster` anew at each leaf."""
+        block = max(16, CELLS // max(1, self.width))
+        for lo in range(0, self.n, block):
+            hi = min(self.n, lo + block)
+            holds = np.zeros((self.width, hi - lo), dtype=np.uint8)
+            k = self.keys[self.off[lo] : self.off[hi]]
+            holds[k % self.width, k // self.width - lo] = 1
+            yield from self._walk(lo, hi, holds, cluster, sides)
+
+    def _walk(self, first: int, last: int, holds: np.ndarray, cluster: np.ndarray, sides: np.ndarray | None) -> Iterator[tuple[np.ndarray, int]]:
+        size, num, den = self.size, self.num, self.den
+        x = np.arange(first, last)
+        stack = [(0, last, 0, x, np.zeros(len(x), dtype=np.int64))]
+        while stack:
+            # rows lo..hi-1 agree on their first `depth` elements, of which each x holds `both`
+            lo, hi, depth, x, both = stack.pop()
+            leaf = hi - lo == 1
+            least, most, rest = int(size[lo:hi].min()), int(size[lo:hi].max()), int(self.left[lo:hi].max())
+            ok = (x > lo) & (den * np.minimum(size[x], most) >= num * np.maximum(size[x], least))
+            if leaf:
+                ok &= cluster[x] != cluster[lo]
+                if sides is not None:
+                    ok &= sides[x] != sides[lo]
+            x, both = x[ok], both[ok]
+            run = self.rows[lo]
+            end = len(run) if leaf else int(self.common[lo : hi - 1].min())
+            step = 8 + max(0, most - num * most // den)
+            while len(x) and depth < end:
+                upto = min(end, depth + step)
+                both = both + holds[run[depth:upto]][:, x - first].sum(axis=0, dtype=np.int64)
+                depth, step = upto, 2 * step
+                seen = np.searchsorted(self.keys, x * self.width + run[depth - 1], side="right") - self.off[x]
+                ok = both + np.minimum(self.left[x] - seen, rest - depth) >= self.need(size[x], least)
+                x, both = x[ok], both[ok]
+            if not len(x):
+                continue
+            if leaf:
+                hit = den * both >= num * (size[x] + size[lo] - both)
+                if hit.any():
+                    yield x[hit], lo
+                continue
+            cuts = [lo, *(lo + 1 + np.flatnonzero(self.common[lo : hi - 1] == end)).tolist(), hi]
+            stack += [(a, b, end, x, both) for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True)]
 
 
 def _prefix(a: np.ndarray, b: np.ndarray) -> int:
@@ -230,23 +267,30 @@ def _sets(batches: Iterator[pd.DataFrame], words: int = N) -> Iterator[pd.DataFr
 
 def _trees(batches: Iterator[pd.DataFrame], num: int = NUM, den: int = DEN) -> Iterator[pd.DataFrame]:
     """Rows sorted by tree: the links of one tree at a time, also across batches."""
-    tree, held, known = None, {}, {}
+    tree, held, known, side = None, {}, {}, {}
+
+    def links() -> list[tuple[int, int]]:
+        return tree_links(held, known, num, den, side if any(s is not None for s in side.values()) else None)
+
     for batch in batches:
         out = []
-        for key, rep, c, elements in zip(batch["tree"], batch["rep"], batch["c"], batch["elements"], strict=True):
+        for key, rep, c, s, elements in zip(batch["tree"], batch["rep"], batch["c"], batch["side"], batch["elements"], strict=True):
             if key != tree:
-                out += tree_links(held, known, num, den)
-                tree, held, known = key, {}, {}
-            held[rep], known[rep] = np.frombuffer(elements, dtype=np.uint64), c
+                out += links()
+                tree, held, known, side = key, {}, {}, {}
+            held[rep], known[rep], side[rep] = np.frombuffer(elements, dtype=np.uint64), c, None if pd.isna(s) else int(s)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    yield pd.DataFrame(tree_links(held, known, num, den), columns=["a", "b"], dtype="int64")
+    yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, sent to every task while it has at most BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _join_trees(members: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """members (tree, rep, c: what rep is connected to already): links found in each tree."""
-    members = stored(members, "ngram-members")
-    small = F.broadcast(members) if members.count() <= BROADCAST else members
-    rows = sets.join(small, "rep").select("tree", "rep", "c", "elements")
+    """members (tree, rep, c: what rep is connected to already, side): links found in each tree."""
+    rows = sets.join(_small(stored(members, "ngram-members")), "rep").select("tree", "rep", "c", "side", "elements")
     return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(partial(_trees, num=num, den=den), "a long, b long")
 
 
@@ -265,11 +309,10 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     1. Every text is shingled once; equal sets (all exact copies among them) become one representative.
     2. Representatives that share a signature of `Parts` meet: the first of each signature leads, and every
-       other goes to its leader's trees, CHUNK sets each, so no signature is listed pair by pair and no
-       tree outgrows a task. Every tree holds its leader. Elements are rebuilt from the texts only for these.
-    3. `tree_links` joins each tree. Where a leader has several trees, those of its signatures whose sets are not
-       all connected yet get trees of their own, one for each two blocks of CHUNK sets (lists of sets that
-       several signatures share, once), so every pair that shares a signature has met.
+       other goes to one of its leader's trees of about CHUNK sets and ELEMENTS elements, so no signature is listed
+       pair by pair and no tree outgrows a task. Every tree holds its leader. Elements are rebuilt from the texts only for these.
+    3. `tree_links` joins each tree. Where a leader has several trees that are not all connected yet, each two of
+       them are joined once, the sets of one with those of the other, so every pair that shares a signature has met.
     4. Components of all links; the smallest doc_id of a component names it (null
        where all are null), and `class` tells components apart also then.
 
@@ -284,13 +327,6 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     by = Window.partitionBy("sig")
     meets = entries.withColumn("leader", F.min("rep").over(by)).withColumn("last", F.max("rep").over(by)).where("last > leader").drop("last")
     meets = stored(meets, "ngram-meets")
-    star = stored(meets.where("rep <> leader").select("leader", "rep").distinct(), "ngram-stars")
-    leads = star.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("trees"))
-    led = star.join(leads, "leader").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"))
-    tree = F.xxhash64("leader", "chunk").alias("tree")
-    own = leads.select("leader", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk")).select(tree, F.col("leader").alias("rep"))
-    members = led.select(tree, "rep").union(own).withColumn("c", F.col("rep"))
-
     near = meets.select("rep").distinct()
     wanted = stored(reps.join(near, "rep").select("doc_id", "n", "k1", "k2", "rep"), "ngram-wanted")
     ids = wanted.select("doc_id").distinct()
@@ -299,17 +335,21 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     sets = built.join(known, [built["doc_id"].eqNullSafe(wanted["doc_id"]), built["n"] == wanted["n"], built["k1"] == wanted["k1"], built["k2"] == wanted["k2"]]).select("rep", "elements")
     sets = stored(sets, "ngram-sets")  # a row repeated in the input repeats its set, which a tree holds once
 
+    star = stored(meets.where("rep <> leader").select("leader", "rep").distinct().join(wanted.select("rep", "n"), "rep"), "ngram-stars")
+    count = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / ELEMENTS)).cast("int")
+    leads = stored(star.groupBy("leader").agg(count.alias("trees")), "ngram-leads")
+    led = star.join(_small(leads), "leader").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("trees")).cast("int"))
+    own = leads.select("leader", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("chunk"))
+    tree, none = F.xxhash64("leader", "chunk").alias("tree"), F.lit(None).cast("int").alias("side")
+    members = led.select(tree, "rep", F.col("rep").alias("c"), none).union(own.select(tree, F.col("leader").alias("rep"), F.col("leader").alias("c"), none))
     links = stored(_join_trees(members, sets, num, den), "ngram-links")
     label = components(spark, links, "ngram-part")
-    large = leads.where("trees > 1").select("leader")
-    if not large.isEmpty():
-        spread = meets.join(large, "leader").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c"))
-        lists = spread.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        alike = lists.groupBy("n", "h").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.col("n") / CHUNK).cast("int"))
-        apart = spread.join(alike.select("sig", "blocks"), "sig").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        facing = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cell = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("tree")
-        more = stored(_join_trees(facing.select(cell, "rep", "c"), sets, num, den), "ngram-links")
+    if not leads.where("trees > 1").isEmpty():
+        spread = led.where("trees > 1").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        apart = spread.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("leader")
+        facing = spread.join(_small(stored(apart, "ngram-apart")), "leader").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).where("other <> chunk")
+        cell = F.xxhash64("leader", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree")
+        more = stored(_join_trees(facing.select(cell, "rep", "c", F.col("chunk").alias("side")), sets, num, den), "ngram-links")
         if not more.isEmpty():
             label = components(spark, links.union(more), "ngram-all")
 
