@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docketry.operators.boxes import cut
+from docketry.operators.boxes import shared_dir
 from docketry.registry import register
 from docketry.streaming import jobs as J
 
@@ -15,8 +15,7 @@ from .fixtures import table
 
 def _place(spark, df, name):
     """A folder of the shared place: df as stream input, and where to write."""
-    cut(df.limit(0), name)  # sets the shared folder where none is named
-    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/in")
     return root
 
@@ -34,9 +33,8 @@ def x2(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     root = _place(spark, e.repartitionByRange(4, "event_id"), "x2")
     stream = J.arrivals(spark, f"{root}/in", e.schema, 1)
-    J.run_once(stream, "", f"{root}/ck", "update", J.latest_state(stream, "user_id", "event_id", f"{root}/state"))
-    versions = spark.read.option("basePath", f"{root}/state").schema("user_id long, event_id long, event_type string, version int").parquet(f"{root}/state")
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    J.run_once(stream, "", f"{root}/ck", "update", J.latest_state("user_id", "event_id", f"{root}/state"))
+    return J.current_state(spark, f"{root}/state", e.schema)
 
 
 @register("x3_epoch_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2")
@@ -48,20 +46,20 @@ def x3(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("x4_job_timeouts")
+@register("x4_job_timeouts", "WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 17 = 0 THEN 'failed' ELSE 'running' END AS state FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) <= INTERVAL 600 SECOND THEN 0 ELSE 1 END AS nw FROM e), s AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, CASE WHEN max(struct_pack(a := ts, b := state)).b IN ('done', 'failed') THEN max(struct_pack(a := ts, b := state)).b ELSE 'timeout' END AS state, count(*) AS n FROM s GROUP BY job_id, run")
 def x4(spark, sf):
     state = F.when(F.col("event_id") % 5 == 0, "done").when(F.col("event_id") % 17 == 0, "failed").otherwise("running")
     e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), state.alias("state"), F.col("ts").cast("timestamp").alias("ts"))
-    root = _place(spark, e, "x4")
+    root = _place(spark, J.with_end(e, "ts"), "x4")
     J.run_once(J.timeouts(J.arrivals(spark, f"{root}/in", e.schema, 100)), f"{root}/out", f"{root}/ck")
     return spark.read.schema("job_id long, state string, n long").parquet(f"{root}/out")
 
 
-@register("x5_placeholders")
+@register("x5_placeholders", "SELECT event_id AS token, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '[pending]' END AS text FROM events")
 def x5(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"))
     r = table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("rtoken"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 MINUTES")).alias("rts"), F.col("event_type").alias("text"))
-    a, b = _place(spark, e, "x5"), _place(spark, r, "x5r")
+    a, b = _place(spark, J.with_end(e, "ts"), "x5"), _place(spark, J.with_end(r, "rts"), "x5r")
     J.run_once(J.filled_placeholders(J.arrivals(spark, f"{a}/in", e.schema, 100), J.arrivals(spark, f"{b}/in", r.schema, 100)), f"{a}/out", f"{a}/ck")
     return spark.read.schema("token long, text string").parquet(f"{a}/out")
 

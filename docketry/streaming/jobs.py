@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def arrivals(spark: SparkSession, path: str, schema, per_trigger: int = 4) -> DataFrame:
@@ -19,21 +20,38 @@ def routed(files: DataFrame) -> DataFrame:
     return files.select("doc_id", F.when(F.col("text").isNull(), "failed").when(n >= 80, "direct").otherwise("scanned").alias("route"), F.when(F.col("text").isNull(), "no text").alias("error"))
 
 
-def latest_state(patches: DataFrame, key: str, seq: str, to: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: last patch of each key by seq, merged into a table written anew as `to`/version=batch
-    (X2). A batch that runs again writes the same version again."""
+def current_state(spark: SparkSession, to: str, schema, before: int | None = None) -> DataFrame:
+    """The state that `latest_state` keeps in `to`, as it was before the batch `before`: of each bucket the latest version."""
+    kept = spark.read.option("basePath", to).schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])).parquet(to)
+    kept = kept if before is None else kept.where(F.col("version") < before)
+    last = kept.groupBy("bucket").agg(F.max("version").alias("version"))  # a row a bucket
+    return kept.join(F.broadcast(last), ["bucket", "version"]).select(*schema.fieldNames())
+
+
+def latest_state(key: str, seq: str, to: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: last patch of each key by seq (X2). The state is cut into buckets by the key's hash, and a batch writes
+    those it touches anew, as `to`/version=batch/bucket=b. A batch that runs again writes the same version again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        at = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         fresh = batch
         if batch_id > 0:
-            fresh = spark.read.schema(batch.schema).parquet(f"{to}/version={batch_id - 1}").unionByName(batch)
+            touched = [r[0] for r in batch.select(at.alias("b")).distinct().collect()]  # `buckets` numbers at most
+            fresh = current_state(batch.sparkSession, to, batch.schema, batch_id).where(at.isin(touched)).unionByName(batch)
         row = F.struct(*batch.columns)
-        fresh.groupBy(key).agg(F.max_by(row, seq).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{to}/version={batch_id}")
+        new = fresh.groupBy(key).agg(F.max_by(row, seq).alias("r")).select("r.*").withColumn("bucket", at)
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/version={batch_id}")
 
     return write
 
 
+def with_end(rows: DataFrame, ts: str, after: str = "2 days") -> DataFrame:
+    """rows and one more with nothing but a time `after` the last: the end of the input, past which the watermark lets
+    everything before it come out. The closing row itself never does."""
+    end = rows.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias("end"))
+    return rows.union(end.select(*[F.col("end").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+
+
 def epoch_metrics(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Sums of each window and type, final once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
