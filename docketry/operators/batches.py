@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.columns import blank
 
+from .boxes import cut
+
 
 def batched(rows: DataFrame, keys: list[str], order: list[str], size: int = 50, overlap: int = 5) -> DataFrame:
     """Rows to batches of `size` with `overlap` more on each side (W1): a row goes to at most two batches. Batches are
@@ -31,3 +33,12 @@ def merged(rows: DataFrame, keys: list[str], fields: list[str], place: str, orde
     """One row a key: the first filled value of each field, and how many places it came from."""
     first = [F.min_by(F.when(~blank(c), F.col(c)), F.when(~blank(c), F.col(order))).alias(c) for c in fields]
     return rows.groupBy(*keys).agg(*first, F.count_distinct(place).alias("files"))
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df with its row number in `order`, counted inside ranges of it and added to the rows of the ranges before."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(base), "__part").withColumn(out, (F.col("__base") + within).cast("int")).drop("__part", "__base")

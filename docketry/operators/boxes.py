@@ -6,10 +6,11 @@ boxes far apart never meet. Rounds end when nothing is left to decide and fail l
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.columns import area, corner_distance, iou, overlap
@@ -18,14 +19,22 @@ CELL = 128.0
 ROUNDS = 100
 
 
-def cut(df: DataFrame, name: str = "rounds") -> DataFrame:
-    """df written to the shared folder and read again: rounds restart from files when an executor is lost."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local one in local mode, which has no other
+    executors, and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/docketry-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """df written to the shared folder and read again: rounds restart from files when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -171,6 +180,17 @@ def merge_fragments(boxes: DataFrame, near: float = 3.0) -> DataFrame:
     raise RuntimeError(f"merging did not end in {ROUNDS} rounds")
 
 
+def region_text(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Texts of the boxes that meet each region, touching included (F13): image_id, region_id, n, text in reading order. They meet
+    through the cells that both touch, each pair once: in the cell of their intersection's corner."""
+    a, b = cells(prefixed(boxes, "a_", ["image_id"]), "a_"), cells(prefixed(regions, "b_", ["image_id"]), "b_")
+    home = (F.col("cx") == F.floor(F.greatest("a_x1", "b_x1") / CELL)) & (F.col("cy") == F.floor(F.greatest("a_y1", "b_y1") / CELL))
+    touch = (F.col("a_x1") <= F.col("b_x2")) & (F.col("a_x2") >= F.col("b_x1")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("a_y2") >= F.col("b_y1"))
+    met = a.join(b, ["image_id", "cx", "cy"]).where(home & touch)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("a_y1", "a_x1", "a_box_id", "a_text"))), lambda x: x["a_text"])
+    return met.groupBy("image_id", F.col("b_box_id").alias("region_id")).agg(F.count("*").alias("n"), F.array_join(ordered, " ").alias("text"))
+
+
 def tiles(sizes: DataFrame, tile: int, step: int) -> DataFrame:
     """Tiles of each image (image_id, w, h) with their offsets."""
     xs = F.explode(F.sequence(F.lit(0), F.col("w").cast("int"), F.lit(step))).alias("ox")

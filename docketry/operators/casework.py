@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import numbered
+
 # Fixed values.
 TERMS = {"1-URGENT": 5, "2-HIGH": 15, "3-MEDIUM": 30, "4-NOT SPECIFIED": 60, "5-LOW": 90}
 RATES = {"partner": 500.0, "associate": 250.0, "counsel": 350.0, "paralegal": 120.0}
@@ -40,7 +42,7 @@ def risk(rows: DataFrame) -> DataFrame:
     base = F.col("p") * F.col("i")
     adjusted = base * F.col("t") * F.col("c") * F.col("r")
     out = rows.withColumn("base", base).withColumn("band", banded(base, (3, "very low"), (6, "low"), (11, "medium"), (17, "high"), top="critical")).withColumn("adjusted", F.round(adjusted, 6))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("adjusted"), F.desc("i"), F.desc("p"), "id")))
+    return numbered(out, [F.desc("adjusted"), F.desc("i"), F.desc("p"), F.asc("id")], "rank")
 
 
 def weighted(scores: list[Column], weights: tuple[float, ...]) -> Column:

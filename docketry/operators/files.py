@@ -101,14 +101,14 @@ def known_summaries(told: DataFrame, files: DataFrame, types: list[str]) -> Data
     return told.join(files, "file_id", "left_semi").withColumn("types", F.array_intersect("types", F.array(*[F.lit(t) for t in types])))
 
 
-def roll_up(issues: DataFrame, pending: DataFrame, many: int = 5) -> DataFrame:
+def roll_up(issues: DataFrame, many: int = 5) -> DataFrame:
     """Issues of each file: kinds, worst severity, how many, last filled action; `many` pending rows are one issue more."""
-    more = pending.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("file_id", F.lit("many_pending"), F.lit(1), F.lit(""), F.lit(9_000_000_000).cast("long"))
-    every = issues.union(more)
     worst = F.max("severity")
-    return every.groupBy("file_id").agg(
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.when(worst == 2, "error").when(worst == 1, "warning").otherwise("normal").alias("severity"),
-        F.count("*").alias("n"), F.max_by(F.when(F.col("action") != "", F.col("action")), F.when(F.col("action") != "", F.col("ord"))).alias("action"),
+    more = F.count_if(F.col("kind") == "pending_record") >= many
+    kinds = F.array_union(F.collect_set("kind"), F.when(more, F.array(F.lit("many_pending"))).otherwise(F.array().cast("array<string>")))
+    return issues.groupBy("file_id").agg(
+        F.array_join(F.array_sort(kinds), ",").alias("kinds"), F.when(worst == 2, "error").when(worst == 1, "warning").otherwise("normal").alias("severity"),
+        (F.count("*") + more.cast("int")).alias("n"), F.max_by(F.when(F.col("action") != "", F.col("action")), F.when(F.col("action") != "", F.col("ord"))).alias("action"),
     )
 
 

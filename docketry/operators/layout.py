@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boxes as B
+from . import metrics as M
 
 PAGE = ["doc_id", "page"]
 
@@ -44,12 +45,39 @@ def clusters(values: DataFrame, value: str, gap: float) -> DataFrame:
     return one.withColumn("g", island(F.col(value) - F.lag(value).over(by) >= gap, by)).groupBy(*PAGE, "g").agg(F.round(F.avg(value), 6).alias("at"), F.count("*").alias("n"))
 
 
-def tables(cells: DataFrame, most_gap: float = 2.5) -> DataFrame:
-    """Blocks of rows with two cells or more, no more than most_gap * h apart; two such rows at least."""
-    rows = cells.groupBy(*PAGE, "line_no").agg(F.count("*").alias("cells"), F.max("y").alias("y"), F.max("h").alias("h")).where("cells >= 2")
-    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
-    blocks = rows.withColumn("block", island(F.lag("y").over(by) - F.col("y") > most_gap * F.col("h"), by))
-    return blocks.groupBy(*PAGE, "block").agg(F.count("*").alias("n_rows"), F.max("cells").alias("columns"), F.max("y").alias("top"), F.min("y").alias("bottom")).where("n_rows >= 2 and columns <= 60")
+def tables(cells: DataFrame, apart: float = 4.0, near: float = 2.5, step: float = 12.0, fill: float = 0.20, spread: float = 0.35) -> DataFrame:
+    """Table blocks of a page (W9): doc_id, page, block, n_rows, columns, top, bottom.
+
+    Rows with two cells or more are a table's; such a row starts a block when it lies more than apart * h under the line before it in the block,
+    and a row with one cell goes on a block within near * h and ends it beyond. Columns are the runs of the block's left edges, a new one at a
+    step of `step`. Blocks count with two table rows or more, 2 to 60 columns, `fill` of the grid's places filled, and at most `spread` of them
+    crossed by cells that reach over the next columns (to within 15).
+    """
+    lines_ = cells.groupBy(*PAGE, "line_no").agg(F.count("*").alias("cells"), F.max("y").alias("y"), F.max("h").alias("h"))
+    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "line_no")
+    gap, tall = F.lag("y").over(by) - F.col("y"), F.greatest(F.lag("h").over(by), F.col("h"))
+    single = F.col("cells") < 2
+    # a single line that is too far ends what is open; it and the single lines after it belong to nothing until a table row
+    cut = lines_.withColumns({"far": F.coalesce(F.when(single, gap >= near * tall).otherwise(gap > apart * tall), F.lit(True)), "single": single})
+    open_ = cut.withColumn("piece", island(F.col("far"), by))
+    first = Window.partitionBy(*PAGE, "piece").orderBy(F.desc("y"), "line_no")
+    started = open_.withColumn("begun", F.max((~F.col("single")).cast("int")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = started.where("begun = 1")
+    kept = rows.groupBy(*PAGE, "piece").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("single")).alias("table_rows"), F.max("y").alias("top"), F.min("y").alias("bottom")).where("table_rows >= 2")
+    kept = kept.withColumn("block", (F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("top"))) - 1).cast("long"))
+    inside = cells.join(rows.select(*PAGE, "line_no", "piece"), [*PAGE, "line_no"]).join(kept.select(*PAGE, "piece", "block"), [*PAGE, "piece"])
+    edges = Window.partitionBy(*PAGE, "block").orderBy("x1")
+    runs = inside.withColumn("run", island(F.col("x1") - F.lag("x1").over(edges) >= step, edges))
+    columns = runs.groupBy(*PAGE, "block", "run").agg(F.avg("x1").alias("at"))
+    numbered = columns.groupBy(*PAGE, "block").agg(F.array_sort(F.collect_list("at")).alias("at")).where(F.size("at").between(2, 60))
+    met = inside.join(numbered, [*PAGE, "block"])
+    place = F.array_position(F.transform("at", lambda a: F.round(F.abs(a - F.col("x1")), 9)), F.array_min(F.transform("at", lambda a: F.round(F.abs(a - F.col("x1")), 9))))
+    last = F.aggregate(F.transform("at", lambda a, i: F.when((i + 1 > F.col("place")) & (F.col("x2") > a - 15), i + 1).otherwise(0)), F.lit(0), lambda m, i: F.greatest(m, i))
+    put = met.withColumn("place", place.cast("int")).withColumn("last", F.greatest(last, F.col("place")))
+    grid = put.groupBy(*PAGE, "block").agg(F.max(F.size("at")).alias("columns"), F.sum(F.col("last") - F.col("place")).alias("crossed"), F.count_distinct(F.when(F.trim("text") != "", F.struct("line_no", "place"))).alias("filled"))
+    places = F.col("n_rows") * F.col("columns")
+    out = kept.join(grid, [*PAGE, "block"]).where((F.col("filled") >= fill * places) & (F.col("crossed") <= spread * places))
+    return out.select(*PAGE, "block", "n_rows", F.col("columns").cast("long").alias("columns"), "top", "bottom")
 
 
 def continued(found: DataFrame) -> DataFrame:
@@ -103,7 +131,7 @@ def gutters(words: DataFrame, bin_: float = 5.0, share: float = 0.25) -> DataFra
 
 def as_boxes(found: DataFrame) -> DataFrame:
     """Lines as boxes of one image a page."""
-    return found.select(F.xxhash64(*PAGE).alias("image_id"), *PAGE, (F.col("row") * 64 + F.col("part")).alias("box_id"), "x1", (-F.col("y")).alias("y1"), "x2", (F.col("h") - F.col("y")).alias("y2"))
+    return found.select(F.xxhash64(*PAGE).alias("image_id"), *PAGE, (F.col("row").cast("long") * (1 << 20) + F.col("part")).alias("box_id"), "x1", (-F.col("y")).alias("y1"), "x2", (F.col("h") - F.col("y")).alias("y2"))
 
 
 def blocks(found: DataFrame) -> DataFrame:
@@ -117,26 +145,26 @@ def blocks(found: DataFrame) -> DataFrame:
     return named.groupBy("image_id", *PAGE, F.coalesce("component", "box_id").alias("box_id")).agg(F.count("*").alias("n_lines"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def layered(found: DataFrame, rounds: int = 60) -> DataFrame:
+def layered(found: DataFrame, rounds: int = 1000) -> DataFrame:
     """Reading order of blocks (T6): a block's layer is the longest chain of blocks above it that share x. One round
-    settles every block whose layer has stopped growing; what a cycle leaves comes last."""
+    settles every block whose layer has stopped growing. Fails loudly when `rounds` do not suffice."""
     b = B.cut(found, "layers")
-    tall = b.withColumns({"y1": F.col("y1") - 800, "y2": F.col("y2") + 0.0})
-    above = B.overlapping(b, tall, 512.0).where((F.col("a_box_id") != F.col("b_box_id")) & (F.col("a_y2") <= F.col("b_y1") + 800)).select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
-    above = B.cut(above, "layers")
+    wide = b.select("image_id", "box_id", "x1", F.lit(0.0).alias("y1"), "x2", F.lit(1.0).alias("y2"), F.col("y1").alias("top"), F.col("y2").alias("foot"))
+    over = (F.col("a_foot") <= F.col("b_top")) & (F.struct("a_top", "a_foot", "a_box_id") < F.struct("b_top", "b_foot", "b_box_id"))  # all share a band in y, so only x decides who meets
+    above = B.cut(B.overlapping(wide, wide, 512.0).where(over).select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")), "layers")
     state = B.cut(b.select("image_id", "box_id", F.lit(0).alias("layer")), "layers")
     for _ in range(rounds):
         up = above.join(state.withColumnsRenamed({"box_id": "a", "layer": "la"}), ["image_id", "a"]).groupBy("image_id", F.col("b").alias("box_id")).agg((F.max("la") + 1).alias("next"))
         new = B.cut(state.join(up, ["image_id", "box_id"], "left").select("image_id", "box_id", F.coalesce("next", F.lit(0)).alias("layer"), (F.coalesce("next", F.lit(0)) != F.col("layer")).alias("moved")), "layers")
         state = new.drop("moved")
         if new.where("moved").isEmpty():
-            break
-    return b.join(state, ["image_id", "box_id"]).withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("layer", "x1", "y1", "box_id")))
+            return b.join(state, ["image_id", "box_id"]).withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("layer", "x1", "y1", "box_id")))
+    raise RuntimeError(f"layers did not settle in {rounds} rounds")
 
 
-def xy_cut(found: DataFrame, depth: int = 10, least: int = 5, gap: float = 12.0) -> DataFrame:
+def xy_cut(found: DataFrame, depth: int = 60, least: int = 5, gap: float = 12.0) -> DataFrame:
     """Recursive X-Y cut, all pages level by level (W18): a block of `least` lines or more is cut at its widest
-    gap of `gap` or more, in y or x; ends when nothing is cut or at `depth`."""
+    gap of `gap` or more, in y or x; ends when nothing is cut, and fails loudly when `depth` levels do not suffice."""
     now = B.cut(as_boxes(found).withColumn("block", F.lit(1).cast("long")), "xycut")
     for _ in range(depth + 1):
         n = Window.partitionBy("image_id", "block")
@@ -149,10 +177,10 @@ def xy_cut(found: DataFrame, depth: int = 10, least: int = 5, gap: float = 12.0)
             cuts = one if cuts is None else cuts.union(one)
         best = B.cut(cuts.groupBy("image_id", "block").agg(F.max_by(F.struct("axis", "at"), F.struct("width", "axis", -F.col("at"))).alias("c")), "xycut")
         if best.isEmpty():
-            break
+            return now
         side = F.when(F.col("c.axis") == "x", F.col("x1") >= F.col("c.at")).otherwise(F.col("y1") >= F.col("c.at"))
         now = B.cut(now.join(best, ["image_id", "block"], "left").withColumn("block", F.when(F.col("c").isNull(), F.col("block")).otherwise(F.col("block") * 2 + side.cast("long"))).drop("c"), "xycut")
-    return now
+    raise RuntimeError(f"cuts did not end in {depth} levels")
 
 
 SIGNALS = [("border", 1.0), ("vector", 0.95), ("pattern", 0.9), ("gap", 0.85), ("ratio", 0.8), ("aligned", 0.7)]
@@ -181,18 +209,38 @@ def triage_scores(routed: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select("tp", "fp", "fn", "tn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"), ((r >= 0.95) & (F.col("fn") <= 5)).alias("passes"))
 
 
-def gibberish() -> Column:
-    """Score of a word: private-use and replacement characters, and mixed letters."""
-    n = F.greatest(F.length("str"), F.lit(1))
-    pua = F.regexp_count("str", F.lit("[-]")) / n
-    odd = F.regexp_count("str", F.lit("[�\x01-\x08]")) / n
-    mix = F.when(F.regexp_like("str", F.lit("[a-z]")) & F.regexp_like("str", F.lit("[À-ÿ]")) & F.regexp_like("str", F.lit("[0-9]")), 0.5).otherwise(0.0)
-    return F.least(F.lit(1.0), 2 * pua + 1.2 * odd + mix)
-
-
-def fonts(words: DataFrame) -> DataFrame:
-    """Suspicious characters of each font and whether it is corrupted."""
-    bad, all_ = F.sum(F.regexp_count("str", F.lit("[^\\x20-\\x7e]"))), F.sum(F.length("str"))
-    share = bad / all_
-    subset = F.regexp_like("font_name", F.lit(r"^[A-Z]{6}\+"))
-    return words.groupBy(*PAGE, "font_name").agg(bad.alias("bad"), all_.alias("chars")).withColumn("corrupted", (F.col("chars") >= 3) & ((F.col("bad") / F.col("chars") > 0.30) | (subset & (F.col("bad") / F.col("chars") > 0.05))))
+BLANK = r"[\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"  # not scored
+
+
+def gibberish(flagged: Column | None = None) -> Column:
+    """Score of a word (P22): twice the share of private-use and special characters, 1.2 times that of other suspicious scripts, and half a point
+    where Latin letters stand among two suspicious scripts or more; at most 1. `flagged`: the word's font is corrupted, which
+    scores 1 by itself."""
+    seen = F.regexp_replace("str", BLANK, "")
+    n = F.greatest(F.length(seen), F.lit(1))
+    pua = F.regexp_count(seen, F.lit(M.in_scripts(M.PRIVATE))) / n
+    odd = F.regexp_count(seen, F.lit(M.in_scripts([s for s in M.SUSPICIOUS if s not in M.PRIVATE]))) / n
+    kinds = sum((F.regexp_like(seen, F.lit(M.in_scripts([s]))).cast("int") for s in M.SUSPICIOUS), F.lit(0))
+    mix = F.when((pua + odd > 0) & F.regexp_like(seen, F.lit(M.in_scripts(M.LATIN))) & (kinds >= 2), 0.5).otherwise(0.0)
+    score = F.least(F.lit(1.0), 2 * pua + 1.2 * odd + mix)
+    return score if flagged is None else F.when(flagged, 1.0).otherwise(score)
+
+
+def fonts(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """Suspicious characters of each font and whether it is corrupted (A11): from 3 characters on, over 0.30 of them, over 0.08 beside Latin
+    letters, or over 0.05 in a subset font (six capitals and a plus sign). Math and symbol fonts never are."""
+    visible = F.regexp_replace("str", r"[\x00-\x20]", "")
+    counts = {"bad": F.regexp_count(visible, F.lit(M.in_scripts(M.SUSPICIOUS))), "chars": F.length(visible), "latin": F.regexp_like(visible, F.lit(M.in_scripts(M.LATIN))).cast("int")}
+    f = words.groupBy(*keys, "font_name").agg(F.sum(counts["bad"]).alias("bad"), F.sum(counts["chars"]).alias("chars"), F.max(counts["latin"]).alias("latin"))
+    share, subset = F.try_divide("bad", "chars"), F.regexp_like("font_name", F.lit(r"^[A-Z]{6}\+"))
+    exempt = F.regexp_like(F.lower("font_name"), F.lit("math|cmsy|cmmi|symbol"))
+    corrupted = (F.col("chars") >= 3) & ~exempt & ((share > 0.30) | ((share > 0.08) & (F.col("latin") == 1)) | (subset & (share > 0.05)))
+    return f.select(*keys, "font_name", "bad", "chars", corrupted.alias("corrupted"))
+
+
+def footnotes(found: DataFrame, height: float = 800.0, foot: float = 0.15, small: float = 0.85) -> DataFrame:
+    """Adds is_footnote to lines (W14): in the bottom `foot` of the page, in type under `small` of the page's median size, and begun by a
+    number or a note mark."""
+    middle = F.expr("percentile(font_size, 0.5)").over(Window.partitionBy(*PAGE))
+    mark = F.regexp_like(F.trim("text"), F.lit(r"^[0-9]{1,2}[.)\s]|^[*†‡§¶]"))
+    return found.withColumn("is_footnote", (F.col("y") < foot * height) & (F.col("font_size") < small * middle) & mark)

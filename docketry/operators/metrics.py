@@ -6,9 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# First and last code point of each script bucket; all else is `other`.
+SCRIPTS = [
+    (0x0000, 0x007F, "latin-basic"),
+    (0x0080, 0x024F, "latin-ext"),
+    (0x0250, 0x02FF, "ipa"),
+    (0x0300, 0x036F, "combining"),
+    (0x0370, 0x03FF, "greek"),
+    (0x0400, 0x04FF, "cyrillic"),
+    (0x0600, 0x06FF, "arabic"),
+    (0x0900, 0x097F, "devanagari"),
+    (0x1800, 0x18AF, "mongolian"),
+    (0x2000, 0x206F, "general-punct"),
+    (0x2070, 0x209F, "super-sub"),
+    (0x20A0, 0x20CF, "currency"),
+    (0x2100, 0x214F, "letterlike"),
+    (0x2150, 0x218F, "numforms"),
+    (0x2190, 0x21FF, "arrows"),
+    (0x2200, 0x22FF, "math-ops"),
+    (0x2300, 0x23FF, "misc-tech"),
+    (0x2400, 0x243F, "control-pics"),
+    (0x2440, 0x245F, "ocr"),
+    (0x2460, 0x24FF, "enclosed-alpha"),
+    (0x2500, 0x257F, "box-drawing"),
+    (0x2580, 0x259F, "block-elements"),
+    (0x25A0, 0x25FF, "geom-shapes"),
+    (0x2600, 0x27FF, "misc-symbols"),
+    (0x2800, 0x28FF, "braille"),
+    (0x2E80, 0x2FFF, "cjk-radicals"),
+    (0x3000, 0x303F, "cjk-symbols"),
+    (0x3040, 0x309F, "hiragana"),
+    (0x30A0, 0x30FF, "katakana"),
+    (0x3100, 0x312F, "bopomofo"),
+    (0x3190, 0x319F, "kanbun"),
+    (0x3200, 0x32FF, "enclosed-cjk"),
+    (0x3300, 0x33FF, "cjk-compat"),
+    (0x3400, 0x9FFF, "cjk-unified"),
+    (0xA000, 0xA4CF, "yi"),
+    (0xE000, 0xF8FF, "pua"),
+    (0xFB00, 0xFDFF, "arabic-pres"),
+    (0xFE00, 0xFEFF, "halfwidth"),
+    (0xFFF0, 0xFFFF, "specials"),
+    (0xF0000, 0x10FFFF, "pua-supp"),
+]
+SUSPICIOUS = ["braille", "mongolian", "cjk-radicals", "cjk-symbols", "hiragana", "katakana", "enclosed-cjk", "cjk-compat", "cjk-unified", "pua", "pua-supp", "specials", "yi", "misc-symbols", "control-pics"]
+PRIVATE = ["pua", "pua-supp", "specials"]
+LATIN = ["latin-basic", "latin-ext"]
+
+
 def script(cp: Column) -> Column:
-    """Script bucket of a code point (P21): the ranges the other operators need."""
-    return F.when(cp < 128, "latin").when(cp < 592, "latin_ext").when(cp.between(880, 1023), "greek").when(cp.between(1024, 1279), "cyrillic").when(cp.between(57344, 63743), "pua").otherwise("other")
+    """Script bucket of a code point."""
+    out = F.when(cp.isNull(), None)
+    for first, last, name in SCRIPTS:
+        out = out.when(cp.between(first, last), name)
+    return out.otherwise("other")
+
+
+def in_scripts(names: list[str]) -> str:
+    """A pattern for one visible character of the named buckets."""
+    return "[" + "".join(rf"\x{{{max(first, 0x21):X}}}-\x{{{last:X}}}" for first, last, name in SCRIPTS if name in names) + "]"
 
 
 def wild(text: Column, pattern: str) -> Column:
@@ -24,22 +80,33 @@ def recognition(pairs: DataFrame, eps: float = 1e-5) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.round(F.count_if(F.col("gt") == F.col("pred")) / (F.count("*") + eps), 6).alias("acc"), F.round(1 - F.sum(d) / (F.count("*") + eps), 6).alias("norm_edit"))
 
 
+def mteval_tokens(text: str, rules: list[tuple[str, str]]) -> Column:
+    """Tokens of a text, padded with blanks, after the rules in order (P25)."""
+    out = F.concat(F.lit(" "), F.col(text), F.lit(" "))
+    for pattern, new in rules:
+        out = F.regexp_replace(out, pattern, new)
+    return F.array_remove(F.split(out, r"[\x20\x09-\x0D]+", -1), "")
+
+
 def token_edits(pairs: DataFrame) -> DataFrame:
-    """Token edit distance of each pair (A23): tokens become single characters, one for each distinct token of the pair,
-    and levenshtein runs over those. A pair may have up to 50,000 distinct tokens."""
-    both = pairs.select("doc_id", F.split("gt", " ").alias("g"), F.split("pred", " ").alias("p"))
-    named = both.withColumn("d", F.array_distinct(F.concat("g", "p")))
+    """Token edit distance of each pair (doc_id, n, gt, pred) (A23): the distinct tokens of a pair are numbered, each number becomes one
+    character, and levenshtein runs over those. The characters leave out surrogates; a pair may have up to 1,000,000 distinct tokens."""
+    sides = [pairs.select("doc_id", "n", F.lit(s).alias("side"), F.posexplode(F.split(s, " ")).alias("i", "t")) for s in ("gt", "pred")]
+    no = F.dense_rank().over(Window.partitionBy("doc_id", "n").orderBy("t")) + 0x20
+    point = F.when(no >= 0xD800, no + 0x800).otherwise(no)  # past the surrogates
+    char = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+    coded = sides[0].union(sides[1]).withColumn("c", char)
 
-    def coded(tokens: str) -> Column:
-        # code points from U+4E00 on: 20,992 of them, far from surrogates
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex((F.array_position("d", t) + 0x4E00).cast("long")), 4, "0")), "UTF-16BE")), "")
+    def text(side: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("i", "c")))), lambda x: x["c"]), "")
 
-    return named.select("doc_id", F.size("g").alias("n_gt"), F.size("p").alias("n_pred"), F.levenshtein(coded("g"), coded("p")).alias("edits"))
+    both = coded.groupBy("doc_id", "n").agg(text("gt").alias("g"), text("pred").alias("p"))
+    return both.select("doc_id", "n", F.length("g").alias("n_gt"), F.length("p").alias("n_pred"), F.levenshtein("g", "p").alias("edits"))
 
 
 def bleu_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
     """Clipped matches and totals by n-gram length, and lengths, over all pairs (A25, first half)."""
-    tokens = pairs.select("doc_id", F.array_remove(F.split("gt", " "), "").alias("g"), F.array_remove(F.split("pred", " "), "").alias("p"))
+    tokens = pairs.select("doc_id", F.col("n").alias("line"), F.array_remove(F.split("gt", " "), "").alias("g"), F.array_remove(F.split("pred", " "), "").alias("p"))
 
     def windows(side: str, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(side) - (n - 1)), lambda i: F.array_join(F.slice(side, i, F.lit(n)), " "))
@@ -47,11 +114,11 @@ def bleu_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
     def grams(side: str) -> DataFrame:
         out = None
         for n in range(1, most + 1):
-            one = tokens.where(F.size(side) >= n).select("doc_id", F.lit(n).alias("n"), F.explode(windows(side, n)).alias("gram"))
+            one = tokens.where(F.size(side) >= n).select("doc_id", "line", F.lit(n).alias("n"), F.explode(windows(side, n)).alias("gram"))
             out = one if out is None else out.union(one)
-        return out.groupBy("doc_id", "n", "gram").agg(F.count("*").alias(side))
+        return out.groupBy("doc_id", "line", "n", "gram").agg(F.count("*").alias(side))
 
-    met = grams("p").join(grams("g"), ["doc_id", "n", "gram"], "left")
+    met = grams("p").join(grams("g"), ["doc_id", "line", "n", "gram"], "left")
     by_n = met.groupBy("n").agg(F.sum(F.least("p", F.coalesce("g", F.lit(0)))).alias("matches"), F.sum("p").alias("total"))
     sizes = tokens.agg(F.sum(F.size("g")).alias("ref_len"), F.sum(F.size("p")).alias("hyp_len"))
     return by_n.crossJoin(F.broadcast(sizes))  # four rows by one

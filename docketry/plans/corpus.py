@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.functions import columns as C
-from docketry.operators.boxes import cut
+from docketry.operators.batches import numbered
 from docketry.operators import corpus as O
 from docketry.operators import metrics as M
 from docketry.registry import register
@@ -139,12 +139,11 @@ def p15(spark, sf):
     return docs(spark, sf).select("doc_id", F.length(F.translate("text", "\x01�", "??")).cast("long").alias("n"), F.md5(F.translate("text", "\x01", "?")).alias("digest"))
 
 
-@register("p23_half_width", "SELECT doc_id, upper(substring(text, 1, 50)) AS t FROM documents WHERE text IS NOT NULL AND lang = 'en'")
+@register("p23_half_width", "SELECT doc_id, replace(text, chr(12288), ' ') AS t FROM documents WHERE text IS NOT NULL")
 def p23(spark, sf):
-    """Widens the head of each text and narrows it again."""
-    lower, wide = "".join(chr(0x21 + i) for i in range(94)), "".join(chr(0xFF01 + i) for i in range(94))
-    full = F.translate(F.upper(F.substring("text", 1, 50)), lower + " ", wide + "　")
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", C.half_width(full).alias("t"))
+    """Widens each text and narrows it again."""
+    ascii_, wide = "".join(chr(0x21 + i) for i in range(94)), "".join(chr(0xFF01 + i) for i in range(94))
+    return docs(spark, sf).select("doc_id", C.half_width(F.translate("text", ascii_ + " ", wide + "　")).alias("t"))
 
 
 @register("p32_clean_markdown", "SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '-' || chr(10), ''), '(?m)^[\"“”]$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL")
@@ -226,25 +225,34 @@ def p39(spark, sf):
     return O.ordered_join(e.withColumn("md", md), ["doc_id", "page"], ["elem_ord"], "md", "\n").select("doc_id", "page", F.md5("text").alias("digest"))
 
 
-@register("p21_script_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN c < 128 THEN 'latin' WHEN c < 592 THEN 'latin_ext' WHEN c BETWEEN 880 AND 1023 THEN 'greek' WHEN c BETWEEN 1024 AND 1279 THEN 'cyrillic' WHEN c BETWEEN 57344 AND 63743 THEN 'pua' ELSE 'other' END AS bucket FROM (SELECT unicode(unnest(string_split(text, ''))) AS c FROM documents WHERE text IS NOT NULL) a) b GROUP BY 1")
+_CASE = "CASE " + " ".join(f"WHEN c BETWEEN {a} AND {b} THEN '{name}'" for a, b, name in M.SCRIPTS) + " ELSE 'other' END"
+
+
+@register("p21_script_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT {_CASE} AS bucket FROM (SELECT unicode(unnest(string_split(text, ''))) AS c FROM documents WHERE text IS NOT NULL) a) b GROUP BY 1")
 def p21(spark, sf):
     chars = docs(spark, sf).select(F.explode(F.split("text", "", -1)).alias("c")).where("c <> ''")
     return chars.groupBy("c").agg(F.count("*").alias("k")).groupBy(M.script(F.ascii("c")).alias("bucket")).agg(F.sum("k").alias("n"))
 
 
+@register("t8_first_headings", duck("planted", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS place, trim(line) AS heading FROM (SELECT *, {NO} AS no FROM planted) q WHERE no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 10"))
+def t8(spark, sf):
+    heads = view(spark, sf, "planted").withColumn("no", O.chapter_no("line")).where("no is not null")
+    return O.head_of(heads, ["doc_id"], ["n"], 10).select("doc_id", "place", F.trim("line").alias("heading"))
+
+
 @register("p26_word_runs", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+([.''-][A-Za-z0-9]+)*')) AS latin, len(regexp_extract_all(text, '[À-ÿ]+')) AS other FROM documents WHERE text IS NOT NULL")
 def p26(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+([.'-][A-Za-z0-9]+)*"), F.lit(0))).cast("long").alias("latin"), F.size(F.regexp_extract_all("text", F.lit("[À-ÿ]+"), F.lit(0))).cast("long").alias("other"))
 
 
-@register("p27_bidi_reverse", "SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(substring(text, 1, 100), '[A-Za-z0-9 ]+|[^A-Za-z0-9 ]')), '') AS t FROM documents WHERE text IS NOT NULL")
+@register("p27_bidi_reverse", "SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(text, '[A-Za-z0-9 ]+|[^A-Za-z0-9 ]')), '') AS t FROM documents WHERE text IS NOT NULL")
 def p27(spark, sf):
-    return docs(spark, sf).select("doc_id", F.array_join(F.reverse(F.regexp_extract_all(F.substring("text", 1, 100), F.lit("[A-Za-z0-9 ]+|[^A-Za-z0-9 ]"), F.lit(0))), "").alias("t"))
+    return docs(spark, sf).select("doc_id", F.array_join(F.reverse(F.regexp_extract_all("text", F.lit("[A-Za-z0-9 ]+|[^A-Za-z0-9 ]"), F.lit(0))), "").alias("t"))
 
 
-@register("p37_cell_text", "SELECT doc_id, regexp_replace(replace(substring(text, 1, 80), '</b><b>', ''), ' +', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL")
+@register("p37_cell_text", "SELECT doc_id, regexp_replace(replace(text, '</b><b>', ''), ' +', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL")
 def p37(spark, sf):
-    return docs(spark, sf).select("doc_id", F.regexp_replace(F.replace(F.substring("text", 1, 80), F.lit("</b><b>"), F.lit("")), " +", " ").alias("t"))
+    return docs(spark, sf).select("doc_id", F.regexp_replace(F.replace("text", F.lit("</b><b>"), F.lit("")), " +", " ").alias("t"))
 
 
 @register("a39_log_values", duck("doc_lines", "SELECT doc_id, count(*) AS n, CAST(sum(TRY_CAST(regexp_extract(line, '([0-9]+)', 1) AS BIGINT) % 1000) AS BIGINT) AS total FROM doc_lines WHERE contains(line, ' = ') AND length(regexp_extract(line, '([0-9]+)', 1)) BETWEEN 1 AND 9 GROUP BY 1"))
@@ -265,15 +273,6 @@ def l17(spark, sf):
     return n.groupBy("lang", "source").agg(F.count_distinct("quality").alias("views"), F.max("n").alias("strongest"), F.round(F.max("n") / F.sum("n"), 6).alias("strength"))
 
 
-def numbered(df, order: list[str], out: str):
-    """df with its row number in `order`, counted inside ranges of it and added to the rows of the ranges before."""
-    ranged = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.join(F.broadcast(base), "part").withColumn(out, (F.col("base") + within).cast("int")).drop("part", "base")
-
-
 @register("f2_triage", duck("page_text", "SELECT doc_id, state, CAST(row_number() OVER (ORDER BY CASE state WHEN 'native' THEN 1 WHEN 'ocr' THEN 2 ELSE 0 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'password' WHEN doc_id % 23 = 0 THEN 'corrupted' WHEN sum(CASE WHEN page = 1 THEN length(trim(line)) ELSE 0 END) = 0 THEN 'ocr' ELSE 'native' END AS state FROM page_text GROUP BY 1) q"))
 def f2(spark, sf):
     """The queue's place counts on over ranges of (rank, doc_id)."""

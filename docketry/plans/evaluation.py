@@ -15,21 +15,8 @@ from .fixtures import duck, table, view
 W = "greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1))"
 U = "((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - i)"
 PAIRS = f"pr AS (SELECT *, i / {U.replace('g.x2 - g.x1', 'gx').replace('g.y2 - g.y1', 'gy').replace('p.x2 - p.x1', 'px').replace('p.y2 - p.y1', 'py')} AS iou FROM (SELECT g.image_id, g.box_id AS a, p.box_id AS b, g.x2 - g.x1 AS gx, g.y2 - g.y1 AS gy, p.x2 - p.x1 AS px, p.y2 - p.y1 AS py, g.ignore, g.text AS gt, p.text AS pt, {W} AS i FROM gt1 g JOIN pred1 p USING (image_id)) q WHERE i > 0)"
-#: box ids repeat inside an image of the given tables; boxes that share one are left out of the queries with this SQL
-ONE = "gt1 AS (SELECT * FROM boxes_gt QUALIFY count(*) OVER (PARTITION BY image_id, box_id) = 1), pred1 AS (SELECT * FROM boxes_pred QUALIFY count(*) OVER (PARTITION BY image_id, box_id) = 1)"
-
-
-def _one(df):
-    n = F.count("*").over(Window.partitionBy("image_id", "box_id"))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
-
-
-def _gt(spark, sf):
-    return _one(view(spark, sf, "boxes_gt"))
-
-
-def _pred(spark, sf):
-    return _one(view(spark, sf, "boxes_pred"))
+#: box ids repeat inside an image of the given tables; each box gets an id of its own
+ONE = "gt1 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY image_id ORDER BY box_id, x1, y1, x2, y2, ignore, text) AS box_id) FROM boxes_gt), pred1 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY image_id ORDER BY box_id, x1, y1, x2, y2, score, text) AS box_id) FROM boxes_pred)"
 
 
 def _numbered(df):
@@ -51,15 +38,28 @@ def a21(spark, sf):
     return M.recognition(view(spark, sf, "text_pairs"))
 
 
-@register("p24_scoring_text", duck("text_pairs", "SELECT doc_id, replace(gt, ' ', '') = replace(pred, ' ', '') AS same FROM text_pairs"))
+@register("p24_scoring_text", duck("text_pairs", "SELECT doc_id, n, replace(gt, ' ', '') = replace(pred, ' ', '') AS same FROM text_pairs"))
 def p24(spark, sf):
-    return view(spark, sf, "text_pairs").select("doc_id", (F.replace("gt", F.lit(" "), F.lit("")) == F.replace("pred", F.lit(" "), F.lit(""))).alias("same"))
+    return view(spark, sf, "text_pairs").select("doc_id", "n", (F.replace("gt", F.lit(" "), F.lit("")) == F.replace("pred", F.lit(" "), F.lit(""))).alias("same"))
+
 
+_MTEVAL = [  # the tokenizer's rules in order: pattern, replacement
+    (r"<skipped>", ""), (r"-\n", ""), (r"\n", " "), (r"&quot;", '"'), (r"&amp;", "&"), (r"&lt;", "<"), (r"&gt;", ">"),
+    (r"([!-+:-@\[-`{-~/])", " {1} "), (r"([^0-9])([.,])", "{1} {2} "), (r"([.,])([^0-9])", " {1} {2}"), (r"([0-9])(-)", "{1} {2} "),
+]
 
-@register("p25_mteval_tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(substring(text, 1, 300), '([^A-Za-z0-9 \\n])', ' \\1 ', 'g'), '([^0-9])([.,])', '\\1 \\2 ', 'g'), '[ \\n\\t]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL")
+
+def _mteval_sql() -> str:
+    t = "concat(' ', text, ' ')"
+    for pattern, new in _MTEVAL:
+        t = f"regexp_replace({t}, '{pattern}', '{new.replace('{', chr(92)).replace('}', '')}', 'g')"
+    return f"SELECT doc_id, n, md5(t) AS digest FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w, ' ') AS t FROM (SELECT doc_id, list_filter(regexp_split_to_array({t}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) a) b"
+
+
+@register("p25_mteval_tokens", _mteval_sql())
 def p25(spark, sf):
-    t = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 300), r"([^A-Za-z0-9 \n])", " $1 "), "([^0-9])([.,])", "$1 $2 ")
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(F.array_remove(F.split(t, r"[ \n\t]+", -1), "")).cast("long").alias("n"))
+    w = M.mteval_tokens("text", [(pattern, new.replace("{", "$").replace("}", "")) for pattern, new in _MTEVAL])
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @register("a22_exact_accuracy", "SELECT round(count(*) FILTER (WHERE quality = 1 - toxic) / (count(*) + 1e-5), 6) AS acc, count(*) AS n FROM labels")
@@ -72,10 +72,10 @@ def a23(spark, sf):
     return M.token_edits(view(spark, sf, "text_pairs"))
 
 
-_GRAMS = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, side, array_to_string(t[i:i + {n - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(t) - {n - 2})) AS i FROM tk WHERE len(t) >= {n}) q" for n in (1, 2, 3, 4))
+_GRAMS = " UNION ALL ".join(f"SELECT doc_id, line, {n} AS n, side, array_to_string(t[i:i + {n - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(t) - {n - 2})) AS i FROM tk WHERE len(t) >= {n}) q" for n in (1, 2, 3, 4))
 
 
-@register("a25_bleu", duck("text_pairs", f"WITH tk AS (SELECT doc_id, 'g' AS side, list_filter(string_split(gt, ' '), lambda x: x <> '') AS t FROM text_pairs UNION ALL SELECT doc_id, 'p', list_filter(string_split(pred, ' '), lambda x: x <> '') FROM text_pairs), gr AS ({_GRAMS}), c AS (SELECT doc_id, n, gram, count(*) FILTER (WHERE side = 'g') AS g, count(*) FILTER (WHERE side = 'p') AS p FROM gr GROUP BY ALL), m AS (SELECT n, CAST(sum(least(g, p)) AS BIGINT) AS matches, sum(p) AS total FROM c GROUP BY 1), z AS (SELECT CAST(sum(CASE WHEN side = 'g' THEN len(t) ELSE 0 END) AS BIGINT) AS r, CAST(sum(CASE WHEN side = 'p' THEN len(t) ELSE 0 END) AS BIGINT) AS h FROM tk) SELECT CAST(sum(matches) AS BIGINT) AS matches, any_value(r) AS r, any_value(h) AS h, round(CASE WHEN any_value(h) > any_value(r) THEN 1.0 ELSE exp(1 - any_value(r) / any_value(h)) END * exp(avg(ln(matches / total))), 6) AS bleu FROM m, z"))
+@register("a25_bleu", duck("text_pairs", f"WITH tk AS (SELECT doc_id, n AS line, 'g' AS side, list_filter(string_split(gt, ' '), lambda x: x <> '') AS t FROM text_pairs UNION ALL SELECT doc_id, n, 'p', list_filter(string_split(pred, ' '), lambda x: x <> '') FROM text_pairs), gr AS ({_GRAMS}), c AS (SELECT doc_id, line, n, gram, count(*) FILTER (WHERE side = 'g') AS g, count(*) FILTER (WHERE side = 'p') AS p FROM gr GROUP BY ALL), m AS (SELECT n, CAST(sum(least(g, p)) AS BIGINT) AS matches, sum(p) AS total FROM c GROUP BY 1), z AS (SELECT CAST(sum(CASE WHEN side = 'g' THEN len(t) ELSE 0 END) AS BIGINT) AS r, CAST(sum(CASE WHEN side = 'p' THEN len(t) ELSE 0 END) AS BIGINT) AS h FROM tk) SELECT CAST(sum(matches) AS BIGINT) AS matches, any_value(r) AS r, any_value(h) AS h, round(CASE WHEN any_value(h) > any_value(r) THEN 1.0 ELSE exp(1 - any_value(r) / any_value(h)) END * exp(avg(ln(matches / total))), 6) AS bleu FROM m, z"))
 def a25(spark, sf):
     return M.bleu(view(spark, sf, "text_pairs"))
 
@@ -116,11 +116,11 @@ def a38(spark, sf):
     return M.close_to(a, b, ["k"], "v", 0.01, 0.001)
 
 
-@register("j13_truth_prediction", duck("text_pairs", "SELECT g.doc_id, CASE WHEN p.doc_id IS NULL THEN 0.0 ELSE round(1 - levenshtein(g.gt, p.pred) / greatest(length(g.gt), length(p.pred), 1), 6) END AS score FROM text_pairs g LEFT JOIN (SELECT doc_id, pred FROM text_pairs WHERE doc_id % 7 <> 0) p ON p.doc_id = g.doc_id"))
+@register("j13_truth_prediction", duck("text_pairs", "SELECT g.doc_id, g.n, CASE WHEN p.doc_id IS NULL THEN 0.0 ELSE round(1 - levenshtein(g.gt, p.pred) / greatest(length(g.gt), length(p.pred), 1), 6) END AS score FROM text_pairs g LEFT JOIN (SELECT doc_id, n, pred FROM text_pairs WHERE doc_id % 7 <> 0) p ON p.doc_id = g.doc_id AND p.n = g.n"))
 def j13(spark, sf):
     t = view(spark, sf, "text_pairs")
-    met = t.select("doc_id", "gt").join(t.where("doc_id % 7 <> 0").select("doc_id", "pred"), "doc_id", "left")
-    return met.select("doc_id", F.when(F.col("pred").isNull(), 0.0).otherwise(F.round(1 - F.levenshtein("gt", "pred") / F.greatest(F.length("gt"), F.length("pred"), F.lit(1)), 6)).alias("score"))
+    met = t.select("doc_id", "n", "gt").join(t.where("doc_id % 7 <> 0").select("doc_id", "n", "pred"), ["doc_id", "n"], "left")
+    return met.select("doc_id", "n", F.when(F.col("pred").isNull(), 0.0).otherwise(F.round(1 - F.levenshtein("gt", "pred") / F.greatest(F.length("gt"), F.length("pred"), F.lit(1)), 6)).alias("score"))
 
 
 @register("p28_collapse_ids", "SELECT l_orderkey AS k, list_aggregate(list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] <> 0 AND (i = 1 OR a[i] <> a[i - 1]) THEN a[i] END), lambda x: x IS NOT NULL), 'string_agg', ',') AS ids FROM (SELECT l_orderkey, list(l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS a FROM lineitem GROUP BY 1) q")
@@ -143,7 +143,7 @@ def a40(spark, sf):
 
 @register("p31_j6_pairs", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS} SELECT image_id, a, b, round(iou, 6) AS iou, round(i / (gx * gy), 6) AS contained FROM pr WHERE iou >= 0.3"))
 def j6(spark, sf):
-    p = B.pairs_over(_gt(spark, sf), _pred(spark, sf), 0.3)
+    p = B.pairs_over(_all_gt(spark, sf), _all_pred(spark, sf), 0.3)
     return p.select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round("iou", 6).alias("iou"), F.round(overlap("a_", "b_") / area("a_"), 6).alias("contained"))
 
 
@@ -182,15 +182,15 @@ def a27(spark, sf):
 
 @register("a28_detection_hmean")
 def a28(spark, sf):
-    m, g, p = j8(spark, sf).count(), _all_gt(spark, sf).where("not ignore"), _all_pred(spark, sf)
-    n = g.agg(F.count("*").alias("gt")).crossJoin(p.agg(F.count("*").alias("pred")))
-    r, q = F.lit(m) / F.col("gt"), F.lit(m) / F.col("pred")
-    return n.select("gt", "pred", F.lit(m).alias("matched"), F.round(r, 6).alias("recall"), F.round(q, 6).alias("precision"), F.round(2 * r * q / (r + q), 6).alias("hmean"))
+    g, p, m = _all_gt(spark, sf).where("not ignore"), _all_pred(spark, sf), j8(spark, sf)
+    n = g.agg(F.count("*").alias("gt")).crossJoin(p.agg(F.count("*").alias("pred"))).crossJoin(m.agg(F.count("*").alias("matched")))  # one row each
+    r, q = F.col("matched") / F.col("gt"), F.col("matched") / F.col("pred")
+    return n.select("gt", "pred", "matched", F.round(r, 6).alias("recall"), F.round(q, 6).alias("precision"), F.round(2 * r * q / (r + q), 6).alias("hmean"))
 
 
-@register("a29_threshold_sweep", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS}, t AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS least), n AS (SELECT (SELECT count(*) FROM gt1) AS g, (SELECT count(*) FROM pred1) AS p) SELECT least, count(DISTINCT image_id * 100 + a) AS hit, round(count(DISTINCT image_id * 100 + a) / any_value(g), 6) AS recall, round(count(DISTINCT image_id * 100 + b) / any_value(p), 6) AS precision FROM pr, t, n WHERE iou >= least GROUP BY 1"))
+@register("a29_threshold_sweep", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS}, t AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS least), n AS (SELECT (SELECT count(*) FROM gt1) AS g, (SELECT count(*) FROM pred1) AS p) SELECT least, count(DISTINCT image_id * 10000 + a) AS hit, round(count(DISTINCT image_id * 10000 + a) / any_value(g), 6) AS recall, round(count(DISTINCT image_id * 10000 + b) / any_value(p), 6) AS precision FROM pr, t, n WHERE iou >= least GROUP BY 1"))
 def a29(spark, sf):
-    gt, pred = _gt(spark, sf), _pred(spark, sf)
+    gt, pred = _all_gt(spark, sf), _all_pred(spark, sf)
     pairs = B.pairs_over(gt, pred, 0.3).withColumn("least", F.explode(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7)]))).where("iou >= least")
     n = gt.agg(F.count("*").alias("g")).crossJoin(pred.agg(F.count("*").alias("p")))
     by = pairs.groupBy("least").agg(F.count_distinct("image_id", "a_box_id").alias("hit"), F.count_distinct("image_id", "b_box_id").alias("hp")).crossJoin(n)
@@ -199,7 +199,7 @@ def a29(spark, sf):
 
 @register("a30_area_credit", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS}, q AS (SELECT *, round(i / (gx * gy), 2) AS sigma, round(i / (px * py), 2) AS tau FROM pr), k AS (SELECT *, count(*) OVER (PARTITION BY image_id, a) AS na, count(*) OVER (PARTITION BY image_id, b) AS nb FROM q WHERE sigma >= 0.7 AND tau >= 0.6) SELECT count(*) FILTER (WHERE na = 1 AND nb = 1) AS one_to_one, count(*) FILTER (WHERE na > 1) AS one_to_many, count(*) FILTER (WHERE nb > 1 AND na = 1) AS many_to_one FROM k"))
 def a30(spark, sf):
-    p = B.overlapping(_gt(spark, sf), _pred(spark, sf)).select("image_id", "a_box_id", "b_box_id", F.round(overlap("a_", "b_") / area("a_"), 2).alias("sigma"), F.round(overlap("a_", "b_") / area("b_"), 2).alias("tau")).where("sigma >= 0.7 and tau >= 0.6")
+    p = B.overlapping(_all_gt(spark, sf), _all_pred(spark, sf)).select("image_id", "a_box_id", "b_box_id", F.round(overlap("a_", "b_") / area("a_"), 2).alias("sigma"), F.round(overlap("a_", "b_") / area("b_"), 2).alias("tau")).where("sigma >= 0.7 and tau >= 0.6")
     k = p.withColumns({"na": F.count("*").over(Window.partitionBy("image_id", "a_box_id")), "nb": F.count("*").over(Window.partitionBy("image_id", "b_box_id"))})
     return k.agg(F.count_if((F.col("na") == 1) & (F.col("nb") == 1)).alias("one_to_one"), F.count_if(F.col("na") > 1).alias("one_to_many"), F.count_if((F.col("nb") > 1) & (F.col("na") == 1)).alias("many_to_one"))
 
@@ -209,9 +209,16 @@ def f12(spark, sf):
     return view(spark, sf, "boxes_pred").where("score >= 0.95").groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@register("f13_region_text", duck("boxes_gt", "SELECT image_id, count(*) AS n FROM boxes_gt WHERE x1 <= 400 AND x2 >= 100 AND y1 <= 200 AND y2 >= 50 GROUP BY 1"))
+_REGIONS = "rg AS (SELECT image_id, k AS region_id, CASE k WHEN 0 THEN x1 ELSE (x1 + x2) / 2 END AS x1, y1, CASE k WHEN 0 THEN (x1 + x2) / 2 ELSE x2 END AS x2, y2 FROM (SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes_pred GROUP BY 1) o, (SELECT unnest([0, 1]) AS k) h)"
+
+
+@register("f13_region_text", duck("boxes_gt boxes_pred", f"WITH {ONE}, {_REGIONS} SELECT g.image_id, r.region_id, count(*) AS n, string_agg(g.text, ' ' ORDER BY g.y1, g.x1, g.box_id) AS text FROM gt1 g JOIN rg r ON g.image_id = r.image_id AND g.x1 <= r.x2 AND g.x2 >= r.x1 AND g.y1 <= r.y2 AND g.y2 >= r.y1 GROUP BY 1, 2"))
 def f13(spark, sf):
-    return view(spark, sf, "boxes_gt").where("x1 <= 400 and x2 >= 100 and y1 <= 200 and y2 >= 50").groupBy("image_id").agg(F.count("*").alias("n"))
+    """Regions: the left and the right half of what the predictions of an image cover."""
+    o = view(spark, sf, "boxes_pred").groupBy("image_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    middle = (F.col("x1") + F.col("x2")) / 2
+    halves = [o.select("image_id", F.lit(k).alias("box_id"), (F.col("x1") if k == 0 else middle).alias("x1"), "y1", (middle if k == 0 else F.col("x2")).alias("x2"), "y2") for k in (0, 1)]
+    return B.region_text(_all_gt(spark, sf), halves[0].union(halves[1]))
 
 
 @register("f14_header_zone", duck("boxes_gt boxes_pred", "SELECT p.image_id, p.box_id FROM boxes_pred p JOIN (SELECT image_id, min(y1) AS top FROM boxes_gt GROUP BY 1) g USING (image_id) WHERE p.y2 >= top"))
@@ -232,7 +239,7 @@ _DIST = "abs(g.x1 - p.x1) + abs(g.y1 - p.y1) + abs(g.x2 - p.x2) + abs(g.y2 - p.y
 
 @register("j9_nearest_cell", duck("boxes_gt boxes_pred", f"WITH {ONE} SELECT image_id, box_id, cell_id FROM (SELECT image_id, p.box_id, g.box_id AS cell_id, row_number() OVER (PARTITION BY image_id, p.box_id ORDER BY round(1 - ({W}) / ((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - ({W})), 9), round({_DIST}, 6), g.box_id) AS rn FROM pred1 p JOIN gt1 g USING (image_id)) q WHERE rn = 1"))
 def j9(spark, sf):
-    return B.nearest_cell(_pred(spark, sf), _gt(spark, sf))
+    return B.nearest_cell(_all_pred(spark, sf), _all_gt(spark, sf))
 
 
 @register("j10_cascade")
@@ -242,7 +249,7 @@ def j10(spark, sf):
 
 @register("j11_w6_leftovers", duck("boxes_gt boxes_pred", f"WITH {ONE}, {PAIRS}, l AS (SELECT p.* FROM pred1 p WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.image_id = p.image_id AND pr.b = p.box_id)), w AS (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY image_id ORDER BY y1, x1, box_id) >= 3 THEN 1 ELSE 0 END AS nw FROM l), r AS (SELECT *, sum(nw) OVER (PARTITION BY image_id ORDER BY y1, x1, box_id ROWS UNBOUNDED PRECEDING) AS rw FROM w), n AS (SELECT image_id, count(*) AS cells FROM gt1 GROUP BY 1) SELECT image_id, box_id, cells + row_number() OVER (PARTITION BY image_id ORDER BY rw, x1, y1, box_id) AS cell_id FROM r JOIN n USING (image_id)"))
 def j11(spark, sf):
-    gt, pred = _gt(spark, sf), _pred(spark, sf)
+    gt, pred = _all_gt(spark, sf), _all_pred(spark, sf)
     met = B.overlapping(gt, pred).select("image_id", F.col("b_box_id").alias("box_id")).distinct()
     left = B.reading_order(pred.join(met, ["image_id", "box_id"], "left_anti"), 3.0)
     n = gt.groupBy("image_id").agg(F.count("*").alias("cells"))
@@ -263,12 +270,12 @@ _ROW = "w AS (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY image_id ORDER
 
 @register("t1_reading_order", duck("boxes_gt boxes_pred", f"WITH {ONE}, {_ROW} SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY rw, x1, y1, box_id) AS INTEGER) AS place FROM r"))
 def t1(spark, sf):
-    return B.reading_order(_gt(spark, sf)).select("image_id", "box_id", "place")
+    return B.reading_order(_all_gt(spark, sf)).select("image_id", "box_id", "place")
 
 
 @register("t2_two_columns", duck("boxes_gt boxes_pred", f"WITH {ONE}, s AS (SELECT *, CASE WHEN x1 < 200 AND x2 < 480 THEN 0 WHEN x1 > 320 THEN 1 ELSE 2 END AS side FROM gt1), g AS (SELECT *, count(*) FILTER (WHERE side = 2) OVER (PARTITION BY image_id ORDER BY y1, x1, box_id ROWS UNBOUNDED PRECEDING) AS grp FROM s) SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY grp, CASE WHEN side = 2 THEN -1 ELSE side END, y1, x1, box_id) AS INTEGER) AS place FROM g"))
 def t2(spark, sf):
-    return B.two_columns(_gt(spark, sf), 800.0).select("image_id", "box_id", "place")
+    return B.two_columns(_all_gt(spark, sf), 800.0).select("image_id", "box_id", "place")
 
 
 @register("t4_hard_nms")

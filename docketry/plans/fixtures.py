@@ -56,10 +56,6 @@ SELECT concat('file_', k) AS file_id, min(concat('case_', o_custkey % 50)) AS ca
   CASE k % 4 WHEN 0 THEN 'account_info' WHEN 1 THEN 'broker' WHEN 2 THEN '' ELSE 'identity_info' END AS module,
   CASE k % 3 WHEN 0 THEN 'chinaclear' WHEN 1 THEN 'identity' ELSE 'unknown' END AS content_type
 FROM (SELECT o_orderkey % 500 AS k, o_custkey FROM {orders}) o GROUP BY k""",
-    "text_pairs": """
-SELECT doc_id, gt, CASE WHEN doc_id % 5 = 0 AND length(p) > 0 THEN substring(p, 1, CAST(length(p) AS INT) - 1) ELSE p END AS pred
-FROM (SELECT doc_id, gt, CASE WHEN doc_id % 3 = 0 THEN replace(gt, 'e', '3') ELSE gt END AS p
-  FROM (SELECT doc_id, {clean} AS gt FROM {documents} WHERE text IS NOT NULL) a) b""",
     "deadlines": """
 SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS start_date, o_orderpriority AS kind, o_custkey AS client
 FROM {orders}""",
@@ -74,6 +70,9 @@ FROM {lineitem}""",
 #: DuckDB's text for views that Spark builds with DataFrames.
 DUCK = {
     "doc_lines": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL",
+    "text_pairs": """SELECT doc_id, n, gt, CASE WHEN doc_id % 5 = 0 AND length(p) > 0 THEN substring(p, 1, CAST(length(p) AS INT) - 1) ELSE p END AS pred
+FROM (SELECT doc_id, n, gt, CASE WHEN doc_id % 3 = 0 THEN replace(gt, 'e', '3') ELSE gt END AS p
+  FROM (SELECT doc_id, CAST(n AS INTEGER) AS n, regexp_replace(lower(line), '[^a-z0-9 ]', '', 'g') AS gt FROM doc_lines) a) b""",
     "page_text": "SELECT doc_id, CAST(n // 40 AS BIGINT) + 1 AS page, CAST(n % 40 AS BIGINT) AS line_no, line FROM doc_lines",
     "word_raw": "SELECT doc_id, page, line_no, unnest(list_filter(string_split(line, ' '), lambda x: x <> '')) AS str, generate_subscripts(list_filter(string_split(line, ' '), lambda x: x <> ''), 1) - 1 AS k FROM page_text",
     "word_items": """SELECT doc_id, page, line_no, CAST(k AS BIGINT) AS k, str, CAST(5 * coalesce(sum(length(str)) OVER (PARTITION BY doc_id, page, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 5 * k AS DOUBLE) AS x,
@@ -87,7 +86,7 @@ DUCK = {
     "elements": """SELECT p.doc_id, p.page, p.line_no, p.page * 40 + p.line_no AS elem_ord, p.line AS text,
   CASE WHEN p.line_no = 0 THEN 'heading' WHEN p.line_no % 11 = 0 THEN 'table cell' ELSE 'paragraph' END AS type, CASE WHEN p.line_no = 0 THEN 1 + p.page % 3 END AS level FROM page_text p""",
 }
-NEEDS = {"page_text": ["doc_lines"], "word_raw": ["page_text"], "word_items": ["word_raw"], "planted": ["doc_lines"], "elements": ["page_text"]}
+NEEDS = {"text_pairs": ["doc_lines"], "page_text": ["doc_lines"], "word_raw": ["page_text"], "word_items": ["word_raw"], "planted": ["doc_lines"], "elements": ["page_text"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,11 +96,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
     if name in SHARED:
-        text = SHARED[name].replace("{clean}", "regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9 ]', '')")
+        text = SHARED[name]
         return spark.sql(text, **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
     lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     if name == "doc_lines":
         return lines
+    if name == "text_pairs":  # a line of a document against the same line misread
+        gt = lines.select("doc_id", "n", F.regexp_replace(F.lower("line"), "[^a-z0-9 ]", "").alias("gt"))
+        misread = F.when(F.col("doc_id") % 3 == 0, F.replace("gt", F.lit("e"), F.lit("3"))).otherwise(F.col("gt"))
+        return gt.withColumn("p", misread).select("doc_id", "n", "gt", F.when((F.col("doc_id") % 5 == 0) & (F.length("p") > 0), F.substring("p", F.lit(1), F.length("p") - 1)).otherwise(F.col("p")).alias("pred"))
     if name == "planted":
         k = (F.floor(F.col("n") / 30) + 1).cast("int")
         title = F.concat(F.lit("Chapter "), k, F.lit(": Title"))
@@ -135,7 +138,7 @@ def duck(names: str, body: str) -> str:
         for need in NEEDS.get(name, []):
             add(need)
         if name not in made:
-            text = DUCK.get(name) or SHARED[name].replace("{clean}", "regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9 ]', '', 'g')")
+            text = DUCK.get(name) or SHARED[name]
             for t in TABLES:
                 text = text.replace(f"{{{t}}}", t)
             made[name] = text

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.operators import layout as L
+from docketry.operators import metrics as M
 from docketry.registry import register
 
 from .fixtures import DUCK, NEEDS, duck, table, view
@@ -53,17 +54,40 @@ def w8(spark, sf):
     return L.joined_cells(words(spark, sf), 0.5).groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("cells"))
 
 
-_TB = "r AS (SELECT doc_id, page, line_no, count(*) AS cells, max(y) AS y FROM word_items GROUP BY 1, 2, 3 HAVING count(*) >= 2), b AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS block FROM (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y > 25 THEN 1 ELSE 0 END AS nw FROM r) q), tb AS (SELECT doc_id, page, CAST(block AS BIGINT) AS block, count(*) AS n_rows, max(cells) AS columns FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND max(cells) <= 60)"
+#: words of even documents set in columns, so that there are tables
+DUCK["grid_words"] = "SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN CAST(70 * k AS DOUBLE) ELSE x END AS x, CASE WHEN doc_id % 2 = 0 THEN least(w, 50.0) ELSE w END AS w) FROM word_items WHERE doc_id % 2 = 1 OR k < 2 + doc_id % 5"
+NEEDS["grid_words"] = ["word_items"]
 
 
-@register("w9_tables", duck("word_items", f"WITH {_TB} SELECT * FROM tb"))
+def _grid_words(spark, sf):
+    even = F.col("doc_id") % 2 == 0
+    w = words(spark, sf).where(~even | (F.col("k") < 2 + F.col("doc_id") % 5))
+    return w.withColumns({"x": F.when(even, (70 * F.col("k")).cast("double")).otherwise(F.col("x")), "w": F.when(even, F.least("w", F.lit(50.0))).otherwise(F.col("w"))})
+
+
+_TB = """c AS (SELECT doc_id, page, line_no, x AS x1, x + w AS x2, y, str FROM grid_words),
+l AS (SELECT doc_id, page, line_no, count(*) AS cells, max(y) AS y FROM c GROUP BY 1, 2, 3),
+f AS (SELECT *, cells < 2 AS single, coalesce(CASE WHEN cells < 2 THEN lag(y) OVER o - y >= 25 ELSE lag(y) OVER o - y > 40 END, true) AS far FROM l WINDOW o AS (PARTITION BY doc_id, page ORDER BY y DESC, line_no)),
+p AS (SELECT *, sum(CAST(far AS INT)) OVER (PARTITION BY doc_id, page ORDER BY y DESC, line_no ROWS UNBOUNDED PRECEDING) AS piece FROM f),
+g AS (SELECT *, max(CAST(NOT single AS INT)) OVER (PARTITION BY doc_id, page, piece ORDER BY y DESC, line_no ROWS UNBOUNDED PRECEDING) AS begun FROM p),
+k AS (SELECT doc_id, page, piece, count(*) AS n_rows, row_number() OVER (PARTITION BY doc_id, page ORDER BY max(y) DESC) - 1 AS block FROM g WHERE begun = 1 GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE NOT single) >= 2),
+i AS (SELECT c.*, k.block, k.n_rows FROM c JOIN g USING (doc_id, page, line_no) JOIN k USING (doc_id, page, piece) WHERE begun = 1),
+e AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page, block ORDER BY x1 ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN x1 - lag(x1) OVER (PARTITION BY doc_id, page, block ORDER BY x1) >= 12 THEN 1 ELSE 0 END AS nw FROM i) q),
+co AS (SELECT doc_id, page, block, list(a ORDER BY a) AS edges FROM (SELECT doc_id, page, block, run, avg(x1) AS a FROM e GROUP BY 1, 2, 3, 4) q GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 2 AND 60),
+pl AS (SELECT i.*, edges, list_position(list_transform(edges, lambda a: round(abs(a - x1), 9)), list_min(list_transform(edges, lambda a: round(abs(a - x1), 9)))) AS place FROM i JOIN co USING (doc_id, page, block)),
+la AS (SELECT *, greatest(place, list_max(list_transform(range(1, len(edges) + 1), lambda j: CASE WHEN j > place AND x2 > edges[j] - 15 THEN j ELSE 0 END))) AS last FROM pl),
+gr AS (SELECT doc_id, page, block, any_value(n_rows) AS n_rows, max(len(edges)) AS columns, sum(last - place) AS crossed, count(DISTINCT CASE WHEN trim(str) <> '' THEN line_no * 1000 + place END) AS filled FROM la GROUP BY 1, 2, 3),
+tb AS (SELECT doc_id, page, block, n_rows, CAST(columns AS BIGINT) AS columns FROM gr WHERE filled >= 0.2 * n_rows * columns AND crossed <= 0.35 * n_rows * columns)"""
+
+
+@register("w9_tables", duck("grid_words", f"WITH {_TB} SELECT * FROM tb"))
 def w9(spark, sf):
-    return L.tables(L.joined_cells(words(spark, sf), 0.5)).select("doc_id", "page", "block", "n_rows", "columns")
+    return L.tables(L.joined_cells(_grid_words(spark, sf), 0.5)).select("doc_id", "page", "block", "n_rows", "columns")
 
 
-@register("j14_continued_tables", duck("word_items", f"WITH {_TB}, l AS (SELECT *, lag(page) OVER w AS p, lag(columns) OVER w AS c, lag(block) OVER w AS pb FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY page, block)) SELECT doc_id, page, block, p AS previous_page, pb AS previous_block FROM l WHERE block = 0 AND p < page AND page - p <= 2 AND c = columns"))
+@register("j14_continued_tables", duck("grid_words", f"WITH {_TB}, lg AS (SELECT *, lag(page) OVER w AS p, lag(columns) OVER w AS c, lag(block) OVER w AS pb FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY page, block)) SELECT doc_id, page, block, p AS previous_page, pb AS previous_block FROM lg WHERE block = 0 AND p < page AND page - p <= 2 AND c = columns"))
 def j14(spark, sf):
-    return L.continued(L.tables(L.joined_cells(words(spark, sf), 0.5)))
+    return L.continued(L.tables(L.joined_cells(_grid_words(spark, sf), 0.5)))
 
 
 @register("w10_size_thresholds", duck("lines", "SELECT doc_id, max(CASE WHEN rn = floor(n * 0.5) + 1 THEN font_size END) AS median, max(CASE WHEN rn = floor(n * 0.85) + 1 THEN font_size END) AS p85, max(CASE WHEN rn = floor(n * 0.95) + 1 THEN font_size END) AS p95 FROM (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) q GROUP BY 1"))
@@ -90,10 +114,16 @@ def w13(spark, sf):
     return L.tail_merged(lines(spark, sf))
 
 
-@register("w14_footnotes", duck("lines", "SELECT doc_id, page, count(*) FILTER (WHERE y < 338) AS foot, count(*) FILTER (WHERE y >= 338) AS body FROM lines GROUP BY 1, 2"))
+_NOTES = "nt AS (SELECT doc_id, page, y, CASE WHEN doc_id % 2 = 0 AND y < 330 THEN 8.0 ELSE font_size END AS font_size, CASE WHEN doc_id % 3 = 0 AND y < 300 THEN concat('1) ', text) ELSE text END AS text FROM lines)"
+
+
+@register("w14_footnotes", duck("lines", f"WITH {_NOTES}, m AS (SELECT *, quantile_cont(font_size, 0.5) OVER (PARTITION BY doc_id, page) AS mid FROM nt), f AS (SELECT *, y < 0.4225 * 800 AND font_size < 0.85 * mid AND regexp_matches(trim(text), '^[0-9]{{1,2}}[.)\\s]|^[*†‡§¶]') AS note FROM m) SELECT doc_id, page, count(*) FILTER (WHERE note) AS foot, count(*) FILTER (WHERE NOT note) AS body FROM f GROUP BY 1, 2"))
 def w14(spark, sf):
-    """Lines in the bottom 15 % of the lined area against the rest."""
-    return lines(spark, sf).groupBy("doc_id", "page").agg(F.count_if(F.col("y") < 338).alias("foot"), F.count_if(F.col("y") >= 338).alias("body"))
+    """Small print is planted below on even documents, and marks on every third; a page's lines end at y 254."""
+    low = F.when((F.col("doc_id") % 2 == 0) & (F.col("y") < 330), 8.0).otherwise(F.col("font_size"))
+    marked = F.when((F.col("doc_id") % 3 == 0) & (F.col("y") < 300), F.concat(F.lit("1) "), "text")).otherwise(F.col("text"))
+    noted = L.footnotes(lines(spark, sf).withColumns({"font_size": low, "text": marked}), foot=0.4225)
+    return noted.groupBy("doc_id", "page").agg(F.count_if("is_footnote").alias("foot"), F.count_if(~F.col("is_footnote")).alias("body"))
 
 
 @register("w16_math_regions", duck("lines", "WITH m AS (SELECT doc_id, page, y FROM lines WHERE len(regexp_extract_all(text, '[0-9=+*/|#%&$]')) > 0.25 * length(text)), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y >= 30 THEN 1 ELSE 0 END AS nw FROM m) q) SELECT doc_id, page, count(*) AS n_lines, max(y) AS top, min(y) AS bottom FROM s GROUP BY doc_id, page, g"))
@@ -116,9 +146,40 @@ def w19(spark, sf):
     return words(spark, sf).withColumn("back", back).groupBy("doc_id", "page").agg((F.count_if("back") + 1).alias("entities"))
 
 
-@register("f10_margin_filter", duck("word_items", "SELECT doc_id, page, count(*) AS n FROM word_items WHERE y < 790 AND y > 300 AND x < 2000 GROUP BY 1, 2"))
+def _gibberish_sql() -> str:
+    """CTEs gb (score of each word but for flagged fonts) and fo (fonts) over word_items."""
+
+    def n(names: list[str], text: str) -> str:
+        return f"len(regexp_extract_all({text}, '{M.in_scripts(names)}'))"
+
+    kinds = " + ".join(f"CAST(regexp_matches(seen, '{M.in_scripts([s])}') AS INT)" for s in M.SUSPICIOUS)
+    other = [s for s in M.SUSPICIOUS if s not in M.PRIVATE]
+    return (
+        f"sn AS (SELECT *, regexp_replace(str, '{L.BLANK}', '', 'g') AS seen, regexp_replace(str, '[\\x00-\\x20]', '', 'g') AS vis FROM word_items), "
+        f"ct AS (SELECT *, greatest(length(seen), 1) AS m, {n(M.PRIVATE, 'seen')} AS pua, {n(other, 'seen')} AS odd, {kinds} AS kinds, regexp_matches(seen, '{M.in_scripts(M.LATIN)}') AS latin FROM sn), "
+        "gb AS (SELECT *, least(1.0, 2 * (pua / m) + 1.2 * (odd / m) + CASE WHEN latin AND kinds >= 2 THEN 0.5 ELSE 0 END) AS score FROM ct), "
+        f"fs AS (SELECT doc_id, page, font_name, CAST(sum({n(M.SUSPICIOUS, 'vis')}) AS BIGINT) AS bad, CAST(sum(length(vis)) AS BIGINT) AS chars, max(CAST(regexp_matches(vis, '{M.in_scripts(M.LATIN)}') AS INT)) AS latin FROM sn GROUP BY 1, 2, 3), "
+        "fo AS (SELECT doc_id, page, font_name, bad, chars, chars >= 3 AND NOT regexp_matches(lower(font_name), 'math|cmsy|cmmi|symbol') AND (bad / chars > 0.30 OR (bad / chars > 0.08 AND latin = 1) OR (regexp_matches(font_name, '^[A-Z]{6}\\+') AND bad / chars > 0.05)) AS corrupted FROM fs)"
+    )
+
+
+_GB = _gibberish_sql()
+
+
+def _odd_words(spark, sf):
+    """Some words get characters of other scripts, and some fonts other names, so that every rule has something to find."""
+    k, d = F.col("k"), F.col("doc_id")
+    plant = F.when((d % 7 == 3) & (k % 3 == 0), F.concat("str", F.lit("⠿"))).when((d % 7 == 5) & (k % 4 == 0), F.concat("str", F.lit("漢ꀀ"))).when((d % 11 == 2) & (k % 2 == 0), F.lit("\ue000\ue001")).otherwise(F.col("str"))
+    return words(spark, sf).withColumns({"str": plant, "font_name": F.when(d % 13 == 5, "CMSY10").otherwise(F.col("font_name"))})
+
+
+DUCK["odd_words"] = "SELECT * REPLACE (CASE WHEN doc_id % 7 = 3 AND k % 3 = 0 THEN concat(str, '⠿') WHEN doc_id % 7 = 5 AND k % 4 = 0 THEN concat(str, '漢ꀀ') WHEN doc_id % 11 = 2 AND k % 2 = 0 THEN concat(chr(57344), chr(57345)) ELSE str END AS str, CASE WHEN doc_id % 13 = 5 THEN 'CMSY10' ELSE font_name END AS font_name) FROM word_items"
+NEEDS["odd_words"] = ["word_items"]
+
+
+@register("f10_margin_filter", duck("odd_words", f"WITH {_GB.replace('FROM word_items', 'FROM odd_words')} SELECT doc_id, page, count(*) AS n FROM gb WHERE score <= 0.2 AND y < 790 AND y > 300 AND x < 2000 GROUP BY 1, 2"))
 def f10(spark, sf):
-    return words(spark, sf).where((L.gibberish() <= 0.2) & (F.col("y") < 790) & (F.col("y") > 300) & (F.col("x") < 2000)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return _odd_words(spark, sf).where((L.gibberish() <= 0.2) & (F.col("y") < 790) & (F.col("y") > 300) & (F.col("x") < 2000)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
 @register("f16_content_safety", duck("word_items", "SELECT doc_id, count(*) FILTER (WHERE x + w > 595) AS off_page, count(*) FILTER (WHERE font_size < 4) AS tiny, count(*) FILTER (WHERE x + w <= 595 AND font_size >= 4) AS safe FROM word_items GROUP BY 1"))
@@ -147,15 +208,17 @@ def a34(spark, sf):
     return L.triage_scores(L.triage(L.signals(w)), truth)
 
 
-@register("p22_a41_garbage_pages", duck("word_items", "SELECT doc_id, page, round(avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS garbage, avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END) > 0.6 AS as_image FROM (SELECT doc_id, page, CASE WHEN regexp_matches(str, '[a-z]') AND regexp_matches(str, '[À-ÿ]') AND regexp_matches(str, '[0-9]') THEN 0.5 ELSE 0.0 END AS s FROM word_items) q GROUP BY 1, 2"))
+@register("p22_a41_garbage_pages", duck("odd_words", f"WITH {_GB.replace('FROM word_items', 'FROM odd_words')}, s AS (SELECT g.doc_id, g.page, CASE WHEN fo.corrupted THEN 1.0 ELSE g.score END AS s FROM gb g JOIN fo USING (doc_id, page, font_name)) SELECT doc_id, page, round(avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS garbage, avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END) > 0.6 AS as_image FROM s GROUP BY 1, 2"))
 def p22(spark, sf):
-    bad = F.avg(F.when(L.gibberish() > 0.2, 1.0).otherwise(0.0))
-    return words(spark, sf).groupBy("doc_id", "page").agg(F.round(bad, 6).alias("garbage"), (bad > 0.6).alias("as_image"))
+    w = _odd_words(spark, sf)
+    flagged = w.join(L.fonts(w).select("doc_id", "page", "font_name", "corrupted"), ["doc_id", "page", "font_name"])
+    bad = F.avg(F.when(L.gibberish(F.col("corrupted")) > 0.2, 1.0).otherwise(0.0))
+    return flagged.groupBy("doc_id", "page").agg(F.round(bad, 6).alias("garbage"), (bad > 0.6).alias("as_image"))
 
 
-@register("a11_fonts", duck("word_items", "SELECT doc_id, page, font_name, bad, chars, chars >= 3 AND (bad / chars > 0.30 OR (regexp_matches(font_name, '^[A-Z]{6}\\+') AND bad / chars > 0.05)) AS corrupted FROM (SELECT doc_id, page, font_name, CAST(sum(len(regexp_extract_all(str, '[^\\x20-\\x7e]'))) AS BIGINT) AS bad, CAST(sum(length(str)) AS BIGINT) AS chars FROM word_items GROUP BY 1, 2, 3) q"))
+@register("a11_fonts", duck("odd_words", f"WITH {_GB.replace('FROM word_items', 'FROM odd_words')} SELECT * FROM fo"))
 def a11(spark, sf):
-    return L.fonts(words(spark, sf))
+    return L.fonts(_odd_words(spark, sf))
 
 
 @register("a10_ocr_confidence", duck("boxes_pred", "SELECT doc, round((avg(m) + any_value(d)) / 2, 6) AS confidence, (avg(m) + any_value(d)) / 2 < 0.95 AS low FROM (SELECT image_id % 100 AS doc, image_id, avg(score) AS m FROM boxes_pred GROUP BY 1, 2) p JOIN (SELECT image_id % 100 AS doc2, avg(score) AS d FROM boxes_pred GROUP BY 1) q ON doc = doc2 GROUP BY 1"))
@@ -167,8 +230,8 @@ def a10(spark, sf):
     return p.join(d, "doc").select("doc", F.round(c, 6).alias("confidence"), (c < 0.95).alias("low"))
 
 
-@register("p29_word_boxes", duck("word_items", "SELECT doc_id, page, line_no, k, round(x / m * 100, 4) AS left_pct, round((x + w) / m * 100, 4) AS right_pct FROM (SELECT *, max(x + w) OVER (PARTITION BY doc_id, page, line_no) AS m FROM word_items) q WHERE page = 1"))
+@register("p29_word_boxes", duck("word_items", "SELECT doc_id, page, line_no, k, round(x / m * 100, 4) AS left_pct, round((x + w) / m * 100, 4) AS right_pct FROM (SELECT *, max(x + w) OVER (PARTITION BY doc_id, page, line_no) AS m FROM word_items) q"))
 def p29(spark, sf):
     m = F.max(F.col("x") + F.col("w")).over(Window.partitionBy("doc_id", "page", "line_no"))
-    w = words(spark, sf).where("page = 1").withColumn("m", m)
+    w = words(spark, sf).withColumn("m", m)
     return w.select("doc_id", "page", "line_no", "k", F.round(F.col("x") / F.col("m") * 100, 4).alias("left_pct"), F.round((F.col("x") + F.col("w")) / F.col("m") * 100, 4).alias("right_pct"))

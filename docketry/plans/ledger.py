@@ -218,24 +218,21 @@ _ISSUES = f"""{CHAIN[:-1]}, iss AS (SELECT file_id, 'pending_record' AS kind, 1
 many AS (SELECT file_id, 'many_pending' AS kind, 1 AS sev, '' AS action, CAST(9000000000 AS BIGINT) AS ord FROM rs WHERE status = 'pending' GROUP BY 1 HAVING count(*) >= 5), al AS (SELECT * FROM iss UNION ALL SELECT * FROM many)"""
 
 
+def _issues(spark, sf):
+    """Issues of all resolved rows, from one pass over them: file_id, kind, severity, action, ord."""
+    kinds = [(F.col("status") == "pending", "pending_record", 1, "review the record"), (F.array_contains("issue_types", "conflict_between_sources"), "conflict", 2, "compare the sources"), (F.col("event_type") == "unknown_event", "uncertain_type", 1, "")]
+    each = [F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(action).alias("action"), (F.col("src_ord") * 4 + i).alias("ord"))) for i, (when, kind, severity, action) in enumerate(kinds)]
+    return _resolved(spark, sf).select("file_id", F.explode(F.array_compact(F.array(*each))).alias("i")).select("file_id", "i.*")
+
+
 @register("a9_file_issues", duck("ledger_rows", _ISSUES + " SELECT file_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, CASE max(sev) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'normal' END AS severity, count(*) AS n, arg_max(action, ord) FILTER (WHERE action <> '') AS action FROM al GROUP BY 1"))
 def a9(spark, sf):
-    r = _resolved(spark, sf)
-    pending = r.where("status = 'pending'")
-    parts = [(pending, "pending_record", 1, "review the record"), (r.where("array_contains(issue_types, 'conflict_between_sources')"), "conflict", 2, "compare the sources"), (r.where("event_type = 'unknown_event'"), "uncertain_type", 1, "")]
-    issues = None
-    for i, (df, kind, severity, action) in enumerate(parts):
-        one = df.select("file_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(action).alias("action"), (F.col("src_ord") * 4 + i).alias("ord"))
-        issues = one if issues is None else issues.union(one)
-    return FO.roll_up(issues, pending)
+    return FO.roll_up(_issues(spark, sf))
 
 
 @register("a17_file_summary", duck("ledger_rows", _ISSUES + " SELECT file_id, count(*) FILTER (WHERE sev = 2) AS errors, count(*) FILTER (WHERE sev = 1) AS warnings, concat(array_to_string((list(event_id ORDER BY ord))[1:3], '、'), CASE WHEN count(*) > 3 THEN '等' ELSE '' END) AS sample FROM (SELECT a.*, 'i' || CAST(ord AS VARCHAR) AS event_id FROM iss a) GROUP BY 1"))
 def a17(spark, sf):
-    r = _resolved(spark, sf)
-    kinds = [(r.where("status = 'pending'"), 1), (r.where("array_contains(issue_types, 'conflict_between_sources')"), 2), (r.where("event_type = 'unknown_event'"), 1)]
-    parts = [df.select("file_id", F.lit(sev).alias("severity"), (F.col("src_ord") * 4 + i).alias("ord")) for i, (df, sev) in enumerate(kinds)]
-    return FO.file_summary(parts[0].union(parts[1]).union(parts[2]).withColumn("name", F.concat(F.lit("i"), "ord")))
+    return FO.file_summary(_issues(spark, sf).withColumn("name", F.concat(F.lit("i"), "ord")))
 
 
 @register("w25_next_ids", duck("ledger_rows", CHAIN + "SELECT event_id, concat('复核问题_', lpad(CAST(ln0 + row_number() OVER (PARTITION BY case_id ORDER BY src_ord) AS VARCHAR), 6, '0')) AS issue_id FROM (SELECT *, (SELECT count(DISTINCT file_id) FROM rs b WHERE b.case_id = rs.case_id) AS ln0 FROM rs) q WHERE status = 'pending'"))

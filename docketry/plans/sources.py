@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docketry.operators import corpus as CO
+from docketry.operators import ledger as L
+from docketry.operators.boxes import cut, shared_dir
 from docketry.registry import register
 from docketry.sources import records as S
 
 from .fixtures import duck, table, view
+from .ledger import CHAIN
 
 
 @register("s1_resolve_files", "SELECT path, ext, CAST(row_number() OVER (PARTITION BY ext ORDER BY lower(path), path) AS INTEGER) AS place FROM (SELECT DISTINCT path, regexp_extract(lower(path), '\\.([a-z0-9]+)$', 1) AS ext FROM (SELECT concat(url, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' ELSE '.zip' END) AS path FROM pages) p) q WHERE ext IN ('pdf', 'txt')")
@@ -99,10 +104,10 @@ def s8(spark, sf):
     return S.label_lines(lines).drop("i")
 
 
-@register("s9_rec_labels", "SELECT concat('w', doc_id, chr(9), replace(replace(substring(text, 1, 60), ' ', ''), '\"', '')) AS line FROM documents WHERE text IS NOT NULL")
+@register("s9_rec_labels", "SELECT concat('w', doc_id, chr(9), replace(replace(text, ' ', ''), '\"', '')) AS line FROM documents WHERE text IS NOT NULL")
 def s9(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select(F.concat(F.lit("w"), "doc_id", F.lit("\t"), F.translate(F.substring("text", 1, 60), ' "', "")).alias("line"))
+    return d.select(F.concat(F.lit("w"), "doc_id", F.lit("\t"), F.translate("text", ' "', "")).alias("line"))
 
 
 @register("s12_table_html", "SELECT l_orderkey AS id, concat('<tr>', string_agg(concat('<td>', CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END, '</td>'), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice), '</tr>') AS html FROM lineitem GROUP BY 1")
@@ -124,25 +129,36 @@ def s13(spark, sf):
     return CO.ordered_join(pages, ["doc_id"], ["page"], "text", "\x0c").join(n, "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), "pages")
 
 
-@register("s14_export", duck("ledger_rows", "SELECT case_id, count(*) AS n FROM ledger_rows WHERE CAST(substring(case_id, 6) AS INTEGER) % 2 = 0 GROUP BY 1"))
-def s14(spark, sf):
-    """Writes the sheet of reviewed cases to the shared folder and reads it back."""
-    import uuid
-
-    from docketry.operators.boxes import cut
-
-    rows = view(spark, sf, "ledger_rows")
-    gate = cut(rows.select("case_id", (F.substring("case_id", 6, 9).cast("int") % 2 == 0).alias("excel_export_allowed")).distinct(), "gate")
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/export-{uuid.uuid4().hex}"
-    S.gated_export(rows, gate, path, ["case_id", "event_id", "event_type", "event_date"])
-    return spark.read.schema("event_id string, event_type string, event_date string, case_id string").parquet(path).groupBy("case_id").agg(F.count("*").alias("n"))
+_SHEETS = """ UNION ALL """.join(f"SELECT '{sheet}' AS sheet, case_id, count(*) AS n, count(DISTINCT event_id) AS ids FROM rs WHERE CAST(substring(case_id, 6) AS INTEGER) % 2 = 0 AND {rule} GROUP BY 1, 2" for sheet, rule in (
+    ("final", "is_final"), ("complete", "status = 'verified'"), ("review_issues", "status = 'pending'"), ("holdings", "event_type = 'bonus_share'"), ("identity", "event_type = 'no_account_record'"), ("checklist", "event_type NOT LIKE 'no_%'"),
+))
 
 
-@register("s15_corpus_sink", "SELECT source, md5(string_agg(concat('=== ', doc_id, ' ===', chr(10), text), chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 3 GROUP BY 1".replace(" AND doc_id % 10 = 3", ""))
+@register("s14_export", duck("ledger_rows", CHAIN + _SHEETS))
+def s14(spark, sf):
+    """Six sheets of the reviewed cases, written to the shared folder with fixed columns and read back."""
+    r = L.resolve(view(spark, sf, "ledger_rows"))
+    gate = cut(r.select("case_id").distinct().select("case_id", (F.substring("case_id", 6, 9).cast("int") % 2 == 0).alias("excel_export_allowed")), "gate")
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    row = ["account_type", "securities_account", "security_code", "security_name", "event_type", "event_date", "quantity_raw"]
+    rules = {
+        "final": (F.col("is_final"), row), "complete": (F.col("status") == "verified", [*row, "file_id"]), "review_issues": (F.col("status") == "pending", ["event_type", "file_id"]),
+        "holdings": (F.col("event_type") == "bonus_share", row), "identity": (F.col("event_type") == "no_account_record", ["securities_account"]), "checklist": (~F.col("event_type").startswith("no_"), ["event_type"]),
+    }
+    stored = cut(r.select("case_id", "event_id", *[c for c in [*row, "file_id", "status", "is_final"]]), "resolved")
+    out = None
+    for sheet, (rule, columns) in rules.items():
+        S.gated_export(stored.where(rule), gate, f"{path}/{sheet}", ["case_id", "event_id", *columns])
+        one = spark.read.schema("event_id string, case_id string").parquet(f"{path}/{sheet}").groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")).select(F.lit(sheet).alias("sheet"), "case_id", "n", "ids")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@register("s15_corpus_sink", "WITH b AS (SELECT source, doc_id, concat('=== ', doc_id, ' ===', chr(10), text) AS t FROM documents WHERE text IS NOT NULL) SELECT source, doc_id, CAST(row_number() OVER o AS BIGINT) AS place, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, md5(t) AS digest FROM b WINDOW o AS (PARTITION BY source ORDER BY doc_id)")
 def s15(spark, sf):
-    d = table(spark, sf, "documents").where("text is not null").select("source", "doc_id", F.concat(F.lit("=== "), "doc_id", F.lit(" ===\n"), "text").alias("t"), F.length("text").alias("c"))
-    totals = d.groupBy("source").agg(F.sum("c").alias("chars"))
-    return CO.ordered_join(d, ["source"], ["doc_id"], "t", "\n").join(totals, "source").select("source", F.md5("text").alias("digest"), "chars")
+    """Each source's documents under banners, written in order to text files and read back, with their place in the source's corpus."""
+    d = table(spark, sf, "documents").where("text is not null").select("source", "doc_id", F.concat(F.lit("=== "), "doc_id", F.lit(" ===\n"), "text").alias("block"))
+    return S.corpus_sink(d, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}").select("source", "doc_id", "place", "at", F.md5("block").alias("digest"))
 
 
 @register("s16_page_banner", duck("page_text", "SELECT doc_id, md5(string_agg(concat('--- page ', page, ' ---', chr(10), t), chr(10) ORDER BY page)) AS digest FROM (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS t FROM page_text GROUP BY 1, 2) q GROUP BY 1"))
@@ -151,9 +167,11 @@ def s16(spark, sf):
     return S.page_banner(pages, "--- page %page-number% ---\n", "doc_id", "page", "text").select("doc_id", F.md5("text").alias("digest"))
 
 
-@register("s17_element_tree", "SELECT o_orderkey AS doc_id, d AS depth, CASE d WHEN 1 THEN 'table' WHEN 2 THEN 'cell' END AS type, CASE d WHEN 1 THEN 1 ELSE 2 END AS n FROM orders, (SELECT unnest([1, 2]) AS d) x".replace("CASE d WHEN 1 THEN 1 ELSE 2 END AS n", "CAST(CASE d WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS n"))
+@register("s17_element_tree", "SELECT o_orderkey AS doc_id, d AS depth, CASE d WHEN 1 THEN 'table' WHEN 2 THEN 'cell' ELSE 'list' END AS type, CAST(CASE d WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n FROM orders, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS d) x WHERE d <= 2 + o_orderkey % 5")
 def s17(spark, sf):
-    tree = F.concat(F.lit('{"kids":[{"type":"table","kids":[{"type":"cell","content":"'), "o_orderpriority", F.lit('"},{"type":"cell","content":"'), "o_custkey", F.lit('"}]}]}'))
+    """A table with two cells; in the second a chain of up to four lists."""
+    lists = F.expr("concat(repeat('{\"type\":\"list\",\"kids\":[', CAST(o_orderkey % 5 AS INT)), repeat(']}', CAST(o_orderkey % 5 AS INT)))")
+    tree = F.concat(F.lit('{"kids":[{"type":"table","kids":[{"type":"cell","content":"'), "o_orderpriority", F.lit('"},{"type":"cell","content":"'), "o_custkey", F.lit('","kids":['), lists, F.lit("]}]}]}"))
     rows = S.element_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), tree.alias("tree")))
     return rows.groupBy("doc_id", "depth", "type").agg(F.count("*").alias("n"))
 

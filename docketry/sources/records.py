@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.boxes import cut
+
 # Fixed values.
 SUPPORTED = ["pdf", "epub", "docx", "txt", "md", "html", "htm", "rtf", "mobi", "azw", "azw3"]
 OCR_SCHEMA = "rec_texts array<string>, rec_scores array<double>, rec_boxes array<array<double>>"
@@ -80,16 +82,35 @@ def table_html(tokens: DataFrame, cells: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda x: x["t"]), "").alias("html"))
 
 
-def element_rows(trees: DataFrame, depth: int = 4) -> DataFrame:
-    """Nested kids (doc_id, tree as JSON) to rows with depth and ordinal path, one pass a level."""
+def element_rows(trees: DataFrame) -> DataFrame:
+    """Nested kids (doc_id, tree as JSON) to rows with depth and ordinal path, to any depth (S17). A level's subtrees are written down once and
+    the next level is read from them, until none has kids."""
     level = trees.select("doc_id", F.lit("").alias("path"), F.col("tree").alias("node"))
-    out = None
-    for d in range(depth):
+    out, depth = None, 0
+    while True:
+        depth += 1
         kids = level.select("doc_id", "path", F.posexplode(F.from_json(F.get_json_object("node", "$.kids"), "array<string>")).alias("i", "node"))
-        level = kids.select("doc_id", F.concat("path", F.lit("/"), F.col("i").cast("string")).alias("path"), "node")
-        one = level.select("doc_id", "path", F.lit(d + 1).alias("depth"), F.get_json_object("node", "$.type").alias("type"), F.get_json_object("node", "$.content").alias("content"))
+        level = cut(kids.select("doc_id", F.concat("path", F.lit("/"), F.col("i").cast("string")).alias("path"), "node"), "tree")
+        one = level.select("doc_id", "path", F.lit(depth).alias("depth"), F.get_json_object("node", "$.type").alias("type"), F.get_json_object("node", "$.content").alias("content"))
+        if level.isEmpty():
+            return one if out is None else out
         out = one if out is None else out.unionByName(one)
-    return out
+
+
+def corpus_sink(blocks: DataFrame, path: str) -> DataFrame:
+    """Texts (source, doc_id, block) written in order of doc_id as one corpus a source, in files cut by range (S15): returns them with place (from 1)
+    and at (characters before it, a line break between two) in their source's corpus. A source may hold any share of the rows: places are
+    counted inside ranges and added to what the ranges before hold."""
+    ranged = blocks.repartitionByRange("source", "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("source", "doc_id")
+    ranged.write.partitionBy("part").parquet(path)
+    kept = blocks.sparkSession.read.schema(ranged.schema).parquet(path).withColumn("size", F.length("block") + 1)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = kept.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    base = base.toDF("from", "of", "n0", "s0")  # a row a source and range
+    within = Window.partitionBy("source", "part").orderBy("doc_id")
+    placed = kept.withColumns({"k": F.row_number().over(within), "c": F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    met = placed.join(base, placed["source"].eqNullSafe(base["from"]) & (placed["part"] == base["of"]))
+    return met.select("source", "doc_id", "block", (F.col("n0") + F.col("k")).alias("place"), (F.col("s0") + F.col("c")).alias("at"))
 
 
 def page_banner(pages: DataFrame, template: str, key: str, page: str, text: str) -> DataFrame:

@@ -72,5 +72,5 @@ def test_components_close_over_chains(spark):
 
 
 def test_token_edits_count_tokens(spark):
-    r = M.token_edits(spark.createDataFrame([(1, "a bb c d", "a c d e")], "doc_id long, gt string, pred string")).first()
+    r = M.token_edits(spark.createDataFrame([(1, 0, "a bb c d", "a c d e")], "doc_id long, n int, gt string, pred string")).first()
     assert r["edits"] == 2
