@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +19,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application."""
+    """Give the executors' Python workers this package, once an application, and see to it that a batch of texts takes some MB: Arrow's
+    default of 10,000 rows a batch is made for short rows. A session that sets its own number keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]
@@ -36,9 +40,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local one in local mode, which has no
+    other executors, and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/docketry-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -53,12 +60,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one struct column `row` with the columns `more` beside it, so that no name of docs can clash."""
+    return docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"), *more)
+
+
+def released(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs out of `row`, those named in `new` with new values of the old types."""
+    return df.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema.fields])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.casefold() in {c.casefold() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_uid(df: DataFrame, name: str, uid: str = "uid") -> DataFrame:
     """df stored with a row number of its own, so that repeated rows stay apart."""
     return stored(df.withColumn(uid, F.monotonically_increasing_id()), name)
 
 
-def buckets_for(rows: int, per: int = 20_000, least: int = 32, most: int = 1 << 20) -> int:
+def buckets_for(rows: int, per: int = 5_000, least: int = 256, most: int = 1 << 20) -> int:
     """How many hash buckets hold about `per` rows each."""
     return int(min(most, max(least, rows // per)))
 
@@ -84,6 +112,19 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     )
 
 
+def totals_before(df: DataFrame, order: list[Column | str], sums: dict[str, str], name: str) -> DataFrame:
+    """df with, for each `out: column` of sums, the sum of the column over all rows before this one in `order`: inside ranges of it, and
+    added to what the ranges before hold, so no task sorts more than a range."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    by_part = ranged.groupBy("__part").agg(*[F.sum(c).alias(out) for out, c in sums.items()])  # a row a range
+    base = by_part.select("__part", *[F.coalesce(F.sum(out).over(before), zero).alias(f"__{out}") for out in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {out: F.col(f"__{out}") + F.coalesce(F.sum(c).over(within), zero) for out, c in sums.items()}
+    return ranged.join(F.broadcast(base), "__part").withColumns(added).select(*df.columns, *sums)
+
+
 def components(spark: SparkSession, links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b: long) by joins: (id, component), component the smallest id
     reachable. Each round joins every vertex to the smallest label around it and then to that label's

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, with_uid
+from .common import carried, read, released, stored
 
 SITES = 5  # distinct sites from which on a line is boilerplate
 WORDS = 4  # words from which on a line is looked at
@@ -33,64 +33,63 @@ def _small(keys: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """key, first (doc, uid: the smallest row with it) of the lines on `sites` or more distinct sites. lines: a stored
-    table with key, site, doc, uid.
+    """key, first (doc, uid, at: the smallest standing of it) of the lines on `sites` or more distinct sites. lines: a stored
+    table with key, site, doc, uid, at.
 
     A HyperLogLog sketch of the sites is built for each key and merged by aggregation, so a line that
     everyone has costs no more than another. Keys whose estimate lies near the threshold are counted
     exactly, so the answer is exact.
     """
-    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc", "uid")).alias("first"), F.count("*").alias("n"))
+    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc", "uid", "at")).alias("first"), F.count("*").alias("n"))
     spread = stored(sketched.where((F.col("n") > 1) & (F.col("sites") >= sites * (1 - NEAR))), "line-spread")
     sure, near = F.col("sites") > sites * (1 + NEAR), spread.where(F.col("sites") <= sites * (1 + NEAR))
     exact = lines.join(_small(near.select("key")), "key").select("key", "site").distinct().groupBy("key").count().where(F.col("count") >= sites).select("key")
     return spread.where(sure).select("key", "first").union(near.join(exact, "key").select("key", "first"))
 
 
+def _cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """row (the columns of docs), text (without the boilerplate lines), n_lines, n_removed."""
+    uid = F.xxhash64("doc_id", "text").alias("uid")
+    stand = docs.where("text is not null").select(F.col("doc_id").alias("doc"), uid, F.coalesce("source", F.lit("\x00")).alias("site"), F.posexplode(F.transform(_lines(F.col("text")), _key)).alias("at", "key"))
+    lines = stored(stand.where("key is not null"), "line-keys")
+    common = stored(boilerplate(lines, sites), "line-common")
+    again = ~F.col("first.doc").eqNullSafe(F.col("doc")) | (F.col("first.uid") != F.col("uid")) | (F.col("first.at") != F.col("at"))
+    goes = lines.join(_small(common), "key").where(again).groupBy("doc", "uid").agg(F.array_sort(F.collect_set("at")).alias("gone"))  # one text's own places
+    rows = carried(docs, F.col("doc_id"), uid.alias("id"))
+    met = rows.join(goes, rows["doc_id"].eqNullSafe(goes["doc"]) & (rows["id"] == goes["uid"]), "left")
+    # a mark for each line, built from the gaps between the places that go, so that no place is searched for
+    gaps = F.transform("gone", lambda at, i: at - F.when(i == 0, 0).otherwise(F.get(F.col("gone"), i - 1) + 1))
+    marks = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(False), g), F.array(F.lit(True)))))
+    marked = F.filter(F.arrays_zip(_lines(F.col("row.text")).alias("line"), marks.alias("goes")), lambda x: F.coalesce(~x["goes"], F.lit(True)))
+    new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(marked, lambda x: x["line"]), "\n"))
+    total = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(_lines(F.col("row.text"))))
+    return met.select("row", new.alias("text"), total.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+
+
 def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs (doc_id, text, source and any more columns) with the boilerplate lines taken out of text, and __n_lines,
-    __n_removed.
+    """docs (doc_id, text, source and any more columns, whatever their names) with the boilerplate lines taken out of text.
 
     A line counts once for each site (source; a null source is a site). Of a boilerplate line the first stays: where it first stands in the document with the
-    smallest (doc_id, row), so that no content is lost altogether. Lines of under WORDS words stay. A null text
-    stays null with no lines; an empty one has one empty line. Only line hashes move, and the texts once to meet what goes.
+    smallest (doc_id, hash), so that no content is lost altogether. Lines of under WORDS words stay. A null text
+    stays null with no lines; an empty one has one empty line; rows alike in id and text are one document, which stands in each of
+    them. Only line hashes move, and the texts once to meet what goes.
     """
-    columns = docs.columns
-    keyed = F.transform(_lines(F.col("text")), _key)
-    rows = with_uid(docs.select("*", F.coalesce(keyed, F.array().cast("array<bigint>")).alias("__keys")), "line-docs", "__uid")
-    lines = stored(
-        rows.select(F.col("__uid").alias("uid"), F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("\x00")).alias("site"), F.explode(F.array_distinct("__keys")).alias("key")).where("key is not null"), "line-keys"
-    )
-    common = stored(boilerplate(lines, sites), "line-common")
-    goes = lines.join(_small(common), "key").groupBy("uid").agg(F.collect_list("key").alias("__gone"), F.collect_list(F.when(F.col("first.uid") == F.col("uid"), F.col("key"))).alias("__own"))  # a text's own keys
-    met = rows.join(goes.withColumnRenamed("uid", "__uid"), "__uid", "left")
-    # one row's lines are matched through a map key -> does its first standing stay here
-    gone = F.map_from_entries(F.transform("__gone", lambda k: F.struct(k.alias("k"), F.array_contains("__own", k).alias("o"))))
-    marked = F.arrays_zip(_lines(F.col("text")).alias("line"), F.col("__keys").alias("key"))
-
-    def keep(x: Column, i: Column) -> Column:
-        stays = F.try_element_at(F.col("__map"), x["key"])
-        return x["key"].isNull() | stays.isNull() | (stays & (F.array_position("__keys", x["key"]) == i + 1))
-
-    kept = met.withColumn("__map", F.when(F.col("__gone").isNotNull(), gone)).withColumn("__kept", F.when(F.col("__map").isNull(), marked).otherwise(F.filter(marked, keep)))
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size("__keys"))
-    new = F.when(F.col("__map").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda x: x["line"]), "\n"))
-    removed = F.when(F.col("__map").isNull(), 0).otherwise(F.size("__keys") - F.size("__kept"))
-    return kept.select(*[new.alias("text") if c == "text" else F.col(c) for c in columns], total.cast("long").alias("__n_lines"), removed.cast("long").alias("__n_removed"))
+    return released(_cleaned(docs, sites), docs, text=F.col("text"))
 
 
 def deduped_documents(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with clean texts and n_chars to match; documents of which nothing but white space is left go."""
-    out = cleaned(docs, sites).where((F.col("__n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    """`cleaned` with n_chars, where there is one, to match; documents of which nothing but white space is left go."""
+    out = _cleaned(docs, sites).where((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return released(out, docs, **new)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without cross-site boilerplate lines: doc_id, text, n_lines, n_removed."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return cleaned(docs).select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+    return _cleaned(docs).select("row.doc_id", "text", "n_lines", "n_removed")
 
 
 OP10_SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, buckets_for, hash_bucket, read, running_total, stored, with_uid
+from .common import SPACE, buckets_for, carried, hash_bucket, read, released, running_total, stored, totals_before, with_uid
 
 BLOCK, SHARDS, EPOCHS, SEED = 64, 16, 3, 17
 
@@ -19,18 +19,20 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
     Sources in order of code points, null last, weigh 1, 2, 3, repeating, and share all words; none gets
     more than `epochs` times its own, what is over going to the others by weight. Sorted by cap / weight
-    the capped sources are a prefix, so prefix sums give the water level without a loop. The windows run
-    over the table of sources, not over documents.
+    the capped sources come first, so totals over the sources before give the water level without a loop. Sources are
+    numbered and summed inside ranges, as there may be as many of them as documents.
     """
-    ordered = sizes.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighed = ordered.withColumn("weight", (F.col("number") - 1) % 3 + 1).withColumn("cap", epochs * F.col("source_size"))
-    rise = Window.orderBy(F.col("cap") / F.col("weight"), "number")
-    before, after = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
-    all_ = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    level = weighed.withColumn("level", left / F.sum("weight").over(after)).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    first = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), F.col("number"), F.col("level")))).over(all_)
-    return level.withColumn("water", first["level"]).select(
+    one = F.lit(1).cast("long")
+    counted = totals_before(stored(sizes.withColumn("one", one), "mix-sizes"), [F.col("source").asc_nulls_last()], {"earlier": "one"}, "mix-numbered")
+    weighed = counted.withColumn("number", (F.col("earlier") + 1).cast("int")).withColumn("weight", F.col("earlier") % 3 + 1).withColumn("cap", epochs * F.col("source_size"))
+    rising = weighed.withColumn("rise", F.col("cap") / F.col("weight")).drop("one", "earlier")
+    summed = totals_before(rising, ["rise", "number"], {"caps": "cap", "weights": "weight"}, "mix-rising")
+    all_ = summed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))
+    level = (F.col("words") - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    marked = summed.crossJoin(F.broadcast(all_)).withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))  # one row
+    marked = stored(marked.drop("words", "all_weights", "caps", "weights"), "mix-level")
+    water = marked.where("not capped").agg(F.min(F.struct("rise", "number", "level")).alias("first")).select(F.col("first.level").alias("water"))
+    return marked.crossJoin(F.broadcast(water)).select(
         "source", "number", "weight", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("water") * F.col("weight")).alias("target")
     )
 
@@ -73,7 +75,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
     reach = sources.join(plan, "number", "left").withColumn("reach", F.least(F.coalesce("blocks", F.lit(0)) * block, epochs * F.col("source_size")))
     known = reach.select(F.col("source").alias("__source"), "number", "source_size", "target", "reach")
     dealt = docs.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    n = buckets_for(docs.count(), 10_000)
+    n = buckets_for(docs.count())
     placed = running_total(dealt.withColumn("bucket", hash_bucket(n, "order")), ["number"], "bucket", ["order", "doc_id", "uid"], "size", "place")
     whole = F.floor(F.col("reach") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.col("reach") - whole * F.col("source_size")
@@ -89,17 +91,15 @@ def order_of(seed: int = SEED) -> Column:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix with the columns of docs: each as often as it is taken whole, and one more
     time cut after its last taken word where the mix ends inside it. n_chars, where there is one, follows the text. Documents of which no word
-    is taken go, those without words included."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = with_uid(docs.select(row, "doc_id", "source", n_words().alias("size"), order_of(seed).alias("order")), "mix-docs")
+    is taken go, those without words included. Repeated rows are documents each; columns may have any names."""
+    rows = with_uid(carried(docs, F.col("doc_id"), F.col("source"), n_words().alias("size"), order_of(seed).alias("order")), "mix-docs")
     taken = mix(rows.select("uid", "doc_id", "source", "size", "order"), seed).where("taken > 0").select("uid", "whole", "part")
     held = rows.join(taken, "uid")
     words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
     last = F.when(F.col("part") == F.col("size"), F.array("row.text")).when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
     copies = held.select("row", F.explode(F.concat(F.array_repeat("row.text", F.col("whole")), last)).alias("copy"))
-    new = {"text": F.col("copy"), "n_chars": F.length("copy")}
-    return copies.select(*[new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    return released(copies, docs, text=F.col("copy"), n_chars=F.length("copy"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

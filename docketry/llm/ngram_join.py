@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, read, stored, with_uid
+from .common import carried, components, read, released, stored, with_uid
 
 N, NUM, DEN = 3, 90, 100  # words of a shingle; linked when DEN * both >= NUM * union
 CHUNK = 1024  # sets of one tree
 ELEMENTS = 1 << 20  # and elements, about
 CELLS = 1 << 25  # bytes of the table of which set holds which element
-BROADCAST = 1_000_000  # ids at most that are sent to every task (8 MB)
+BROADCAST = 1_000_000  # rows of a few numbers at most that are sent to every task
+COPIES = 4_000_000  # and single ids at most (about 160 MB as a hash table)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -35,7 +36,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -253,6 +254,7 @@ def _signed(batches: Iterator[pd.DataFrame], words: int = N, num: int = NUM, den
                 s = shingles(text, words)
                 rows.append((doc, digest, len(s), *identity(s), parts.sign(s) if len(s) else np.empty(0, dtype=np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "k1", "k2", "sigs"]).astype({"doc_id": "Int64"})
+    _WORDS.clear()  # a worker goes on to other stages
 
 
 def _sets(batches: Iterator[pd.DataFrame], words: int = N) -> Iterator[pd.DataFrame]:
@@ -263,6 +265,7 @@ def _sets(batches: Iterator[pd.DataFrame], words: int = N) -> Iterator[pd.DataFr
                 s = shingles(text, words)
                 rows.append((doc, len(s), *identity(s), s.tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "elements"]).astype({"doc_id": "Int64"})
+    _WORDS.clear()
 
 
 def _trees(batches: Iterator[pd.DataFrame], num: int = NUM, den: int = DEN) -> Iterator[pd.DataFrame]:
@@ -283,9 +286,9 @@ def _trees(batches: Iterator[pd.DataFrame], num: int = NUM, den: int = DEN) -> I
     yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table of a few numbers a row, sent to every task while it has at most BROADCAST rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A stored table of a few numbers a row, sent to every task while it has at most `most` rows; beyond, it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _join_trees(members: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -323,7 +326,9 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = with_uid(rows.withColumn("digest", _digest()).mapInPandas(partial(_signed, words=words, num=num, den=den), "doc_id long, digest binary, n long, k1 long, k2 long, sigs array<long>"), "ngram-signed")
     reps = stored(signed.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("rep")), "ngram-reps")
-    entries = signed.select("uid", "sigs").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
+    # copies of a set do not sign: they are few, so the signatures stay where they are instead of moving to meet the representatives
+    copies = stored(signed.where("n > 0").select("uid").join(reps.select(F.col("rep").alias("uid")), "uid", "left_anti"), "ngram-copies")
+    entries = signed.where("n > 0").select("uid", "sigs").join(_small(copies, COPIES), "uid", "left_anti").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
     meets = entries.withColumn("leader", F.min("rep").over(by)).withColumn("last", F.max("rep").over(by)).where("last > leader").drop("last")
     meets = stored(meets, "ngram-meets")
@@ -362,15 +367,25 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """One document of each class of linked texts, all columns: the one with the smallest doc_id, one without
-    doc_id only where all are. Where an id stands over several texts, each text is of its own class. Texts
-    without words stay as they are."""
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": _digest()})
+    doc_id only where all are. Where an id stands over several texts, each text is of its own class; of rows repeated
+    under one id and text one stays. Texts without words, null ones too, stay as they are, however often. Columns may have any names."""
+    rows = carried(docs, F.col("doc_id").cast("long").alias("id"), _digest().alias("hash"))
+    classed = stored(_classed(docs, words, num, den).where("n > 0").select("uid", "doc_id", "digest", "class"), "ngram-classed")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    firsts = _classed(docs, words, num, den).where("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("first")).select("first.*")
-    empty = ~F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    chosen = rows["__id"].eqNullSafe(firsts["doc_id"]) & (rows["__digest"] == firsts["digest"])
-    kept = rows.where(~empty).join(firsts, chosen, "left_semi").dropDuplicates(["__id", "__digest"])
-    return kept.unionByName(rows.where(empty)).select(*docs.columns)
+    firsts = classed.groupBy("class").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("first"))
+    other = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))
+    texts = classed.groupBy("class", "doc_id", "digest").agg(F.count("*").alias("times")).join(firsts, "class")  # texts under their ids
+    told = stored(texts.select("doc_id", "digest", other.alias("goes"), "times").where("goes or times > 1"), "ngram-told")
+
+    def named(df: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        return df.join(_small(names), df["id"].eqNullSafe(names["doc_id"]) & (df["hash"] == names["digest"]), how)
+
+    # what goes is less than what stays, so the texts stay where they are
+    kept = named(rows, told.select("doc_id", "digest"), "left_anti")
+    repeated = told.where("not goes").select("doc_id", "digest")
+    if not repeated.isEmpty():
+        kept = kept.union(named(rows, repeated, "left_semi").dropDuplicates(["id", "hash"]))
+    return released(kept, docs)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

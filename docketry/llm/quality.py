@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read
+from .common import SPACE, carried, read
 
 # Frequent function words of the corpus languages.
 STOP_WORDS = (
@@ -51,22 +51,23 @@ def _repeats(words: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs with the counts and ratios of each whole text; a null text has none (all counts 0)."""
+    """row (the columns of docs, whatever their names) and the counts and ratios of each whole text; a null text has none
+    (all counts 0); repeated rows are measured each."""
     t = F.coalesce("text", F.lit(""))
     line = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    held = docs.withColumn("__w", F.array_remove(F.split(t, SPACE, -1), "")).withColumn("__l", line)
-    bare = F.regexp_replace(t, SPACE, "")
+    held = carried(docs, F.array_remove(F.split(t, SPACE, -1), "").alias("w"), line.alias("l"), t.alias("t"))
+    bare = F.regexp_replace("t", SPACE, "")
     counted = held.select(
-        *docs.columns,
-        F.size("__w").cast("long").alias("n_words"),
+        "row",
+        F.size("w").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        _repeats(F.col("__w")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("__w", lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop"),
-        F.size("__l").cast("long").alias("n_lines"),
-        F.size(F.filter("__l", lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*•]")))).cast("long").alias("n_bullets"),
-        F.size(F.filter("__l", lambda x: F.regexp_like(x, F.lit(r"(\.\.\.|…)[\x20\x09]*$")))).cast("long").alias("n_ellipsis"),
+        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        _repeats(F.col("w")).cast("long").alias("n_repeat_words"),
+        F.size(F.filter("w", lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop"),
+        F.size("l").cast("long").alias("n_lines"),
+        F.size(F.filter("l", lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*•]")))).cast("long").alias("n_bullets"),
+        F.size(F.filter("l", lambda x: F.regexp_like(x, F.lit(r"(\.\.\.|…)[\x20\x09]*$")))).cast("long").alias("n_ellipsis"),
     )
 
     def share(part: str, whole: str) -> Column:
@@ -94,5 +95,5 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return measures(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict()).alias("kept")
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict()).alias("kept")
     )

@@ -1,12 +1,13 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
-The vocabulary's normaliser and splitter never reach across ASCII white space, so a text's ids are its
+Where a vocabulary's normaliser and splitter never reach across ASCII white space, a text's ids are its
 words' ids in order; a word's ids are kept in a bounded cache of the Python worker. tests/llm compare
-this with encoding whole texts.
+this with encoding whole texts. Texts are encoded whole under any other vocabulary.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from bisect import bisect_left
@@ -18,13 +19,14 @@ _ENCODERS: dict[str, "Encoder"] = {}
 class Encoder(dict):
     """word bytes -> its ids as little-endian unsigned 32-bit integers."""
 
-    MOST = 1_000_000  # words kept, the first ones: about 200 MB; later ones are encoded each time
+    MOST = 300_000  # words kept, the first ones: about 60 MB; later ones are encoded each time
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode_one = Tokenizer.from_file(path).encode
+        made = Tokenizer.from_file(path)
+        self.encode_one, self.by_word = made.encode, word_by_word(json.loads(made.to_str()))
 
     def __missing__(self, word: bytes) -> bytes:
         return self.learn([word])[0]
@@ -45,6 +47,9 @@ class Encoder(dict):
 
     def ids(self, text: str | None, end: int | None) -> bytes:
         """All ids of the text as bytes, and then the end id."""
+        if not self.by_word:
+            whole = self.encode_one((text or "").encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(whole)}I", *whole) + (b"" if end is None else struct.pack("<I", end))
         words = (text or "").encode("utf-8", "replace").split()
         new = {w: parts(w) for w in dict.fromkeys(words) if w not in self}
         if new:
@@ -60,6 +65,20 @@ class Encoder(dict):
         return got if end is None else got + struct.pack("<I", end)
 
 
+# Fixed value: how the default vocabulary's splitter finds its pieces.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_by_word(spec: dict) -> bool:
+    """Whether words may be encoded apart, as far as is known: the normaliser composes, folds white space and lower-cases, the splitter
+    takes pieces of PIECE and drops the rest, and all special tokens hold <|."""
+    norm = (spec.get("normalizer") or {}).get("normalizers") or []
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    plain = [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": "\\s+"} and norm[1]["content"] == " "
+    cut = split.get("type") == "Split" and split["pattern"] == {"Regex": PIECE} and split["behavior"] == "Removed" and split["invert"]
+    return bool(plain and cut and all("<|" in t["content"] for t in spec["added_tokens"]))
+
+
 def parts(word: bytes) -> tuple[bytes, ...]:
     """Pieces whose ids follow each other: A-Z lower-cased as the vocabulary does anyway, and closing marks after an
     ASCII letter or digit apart, where its splitter cuts too. Words with <| may be special tokens: whole."""

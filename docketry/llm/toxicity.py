@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, ship
+from .common import carried, read, ship, unused
 
 # Look-alike letters and the digits and signs written for letters.
 HOMOGLYPHS = {
@@ -99,7 +100,12 @@ class Lexicon:
                 spared.append((at, end))
             elif w > best.get(at, 0):
                 best[at] = w
-        total = sum(w for at, w in best.items() if not any(a <= at <= b for a, b in spared))
+        total, last, k = 0.0, -1, 0  # phrases by start; `last` is where those that have begun end at the latest
+        spared.sort()
+        for at in sorted(best):
+            while k < len(spared) and spared[k][0] <= at:
+                last, k = max(last, spared[k][1]), k + 1
+            total += best[at] if at > last else 0.0
         return math.log1p(total), math.log1p(100 * total / max(1, plain.count(" ")))
 
     def score(self, text: str | None) -> float:
@@ -199,19 +205,23 @@ def scored(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> DataFrame:
     """docs with the column `out` (0 to 1), in place of one of that name, of each whole text; a null text scores as an empty one. The lexicon has at
     most TERMS entries, so it travels with the tasks."""
     ship(docs.sparkSession)
-    docs = docs.drop(out)
+    rows = carried(docs.drop(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([lexicon.score(t.as_py()) for t in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([score, *batch.columns], names=[out, *batch.schema.names])
+            row = batch.column("row")
+            score = pa.array([lexicon.score(t.as_py()) for t in pc.struct_field(row, "text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([score, row], names=["score", "row"])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(out, T.DoubleType()), *docs.schema.fields]))
+    got = rows.mapInArrow(run, T.StructType([T.StructField("score", T.DoubleType()), *rows.schema.fields]))
+    return got.select(F.col("score").alias(out), *[F.col("row").getField(c).alias(c) for c in docs.columns if c.casefold() != out.casefold()])
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, from_score: float = 0.7) -> DataFrame:
-    """docs without those that score `from_score` or more."""
-    return scored(docs, lexicon, "__score").where(F.col("__score") < from_score).select(*docs.columns)
+    """docs without those that score `from_score` or more, all columns, whatever their names. Null and empty texts score
+    low and stay; repeated rows are judged each."""
+    name = unused(docs, "score")
+    return scored(docs, lexicon, name).where(F.col(name) < from_score).drop(name)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
