@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, hash_bucket, read, stored
+from .common import hash_bucket, read, stored, with_uid
 
 FOCUS = 4  # coordinates looked at by coordinate pruning
 STEEP = 0.6  # local cosine threshold from which coordinates prune better than lengths
-BLOCK = 2048  # rows of a candidate chunk, queries of a block
+BLOCK = 2048  # rows of a candidate chunk; a block has FOLD as many queries
+FOLD = 4
+GROUP = 32  # queries multiplied at once
 
 
 def vectors(df: DataFrame, scale: int = 256) -> DataFrame:
@@ -26,10 +28,10 @@ def vectors(df: DataFrame, scale: int = 256) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(fine).select("vec_id", v.alias("v")).withColumn("norm", length).withColumn("dim", F.size("v"))
 
 
-def _scores(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products: by doubles while every partial sum stays below 2**53, else by integers."""
+def _numbers(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """q and p as doubles while every partial sum of their products stays below 2**53, else as they are: products are exact."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(float) @ p.astype(float).T).astype(np.int64) if top < 2**53 else q @ p.T
+    return (q.astype(float), p.astype(float)) if top < 2**53 else (q, p)
 
 
 def prune(q: np.ndarray, length: float, theta: float, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -60,86 +62,121 @@ def prune(q: np.ndarray, length: float, theta: float, p: np.ndarray, lengths: np
 
 
 def _search(k: int):
+    """For each query the k best rows, by score and then by id, of those that may reach its theta. Queries that length alone
+    prunes share products over the longest rows they need; each of the others multiplies what its coordinates leave."""
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        if queries.empty or rows.empty:
-            return empty
-        rows = rows.sort_values(["norm", "vec_id"], ascending=[False, True])
-        p, lengths, ids = np.array(rows["v"].tolist(), dtype=np.int64), rows["norm"].to_numpy(), rows["vec_id"].to_numpy()
-        q, out = np.array(queries["v"].tolist(), dtype=np.int64), []
-        for i, (query, length, theta) in enumerate(zip(queries["vec_id"], queries["norm"], queries["theta"], strict=True)):
-            at = prune(q[i], length, theta, p, lengths)
-            if not len(at):
-                continue
-            score = _scores(q[i : i + 1], p[at])[0]
-            ok = (score >= theta) & (ids[at] != query)
-            score, found = score[ok], ids[at][ok]
-            if len(score) > 4 * k:  # only the best can matter; equal scores at the edge stay
-                edge = np.partition(score, len(score) - k)[len(score) - k]
-                score, found = score[score >= edge], found[score >= edge]
-            best = np.lexsort((found, -score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": found[best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True).astype("int64") if out else empty
+        out = [np.empty((0, 3), dtype=np.int64)]
+        if len(queries) and len(rows):
+            rows = rows.sort_values("norm", ascending=False)
+            p, lengths, ids, own = np.array(rows["v"].tolist(), dtype=np.int64), rows["norm"].to_numpy(), rows["id"].to_numpy(), rows["uid"].to_numpy()
+            q, asks = np.array(queries["v"].tolist(), dtype=np.int64), queries["uid"].to_numpy()
+            norm, theta = queries["norm"].to_numpy(), queries["theta"].to_numpy()
+            (qf, pf), place = _numbers(q, p), np.arange(len(p))
+
+            def take(i: np.ndarray, at: np.ndarray, score: np.ndarray, ok: np.ndarray) -> None:
+                """Queries i, rows at, a score for each two, and which of them count."""
+                ok = ok & (score >= theta[i, None]) & (asks[i, None] != own[at])
+                if len(at) > 4 * k:  # only the best can matter; equal scores at the edge stay
+                    held = np.where(ok, score, np.iinfo(np.int64).min if score.dtype == np.int64 else -np.inf)
+                    ok &= held >= np.partition(held, len(at) - k, axis=1)[:, [len(at) - k]]
+                a, b = np.nonzero(ok)
+                s, r = score[a, b].astype(np.int64), at[b]
+                order = np.lexsort((ids[r], -s, a))
+                a, s, r = a[order], s[order], r[order]
+                first = np.searchsorted(a, a)
+                best = np.arange(len(a)) - first < k
+                out.append(np.column_stack([asks[i][a[best]], own[r[best]], s[best]]))
+
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = theta / (norm * lengths[0])
+            steep = (theta > 0) & ~(t < STEEP)  # also where a length is 0: prune() settles those
+            for i in np.flatnonzero(steep):
+                at = prune(q[i], norm[i], theta[i], p, lengths)
+                if len(at):
+                    take(np.array([i]), at, (pf[at] @ qf[i])[None, :], np.ones((1, len(at)), dtype=bool))
+            flat = np.flatnonzero(~steep)
+            upto = np.where(theta[flat] > 0, np.searchsorted(-lengths, -(theta[flat] / np.maximum(norm[flat], 1e-300)) * (1 - 1e-9), side="right"), len(p))
+            order = np.argsort(-upto, kind="stable")
+            for lo in range(0, len(flat), GROUP):
+                i, n = flat[order[lo : lo + GROUP]], upto[order[lo : lo + GROUP]]
+                if n[0]:
+                    take(i, place[: n[0]], qf[i] @ pf[: n[0]].T, place[: n[0]] < n[:, None])
+        return pd.DataFrame(np.concatenate(out), columns=["ask", "uid", "score"])
 
     return run
 
 
 def _pairs(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Queries and candidates meet once for each (dim, chunk, block) that both name."""
+    """Queries and candidates meet once for each (dim, chunk, block) that both name: ask, uid (row ids), score."""
     by = ["dim", "chunk", "block"]
-    return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(_search(k), "ask long, uid long, score long")
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _dealt(df: DataFrame, by: str, size: int, n: int, name: str) -> DataFrame:
+    """df (n rows) with `name`_bucket, cut at quantiles of `by` (0: the largest), and `name`_part, by hash, of about `size` rows each, so that
+    many equal values never meet in one task; `name`_parts says how many parts the bucket has."""
+    cuts = min(64, max(1, n // size))
+    bounds = sorted(set(df.approxQuantile(by, [i / cuts for i in range(1, cuts)], 0.002))) if cuts > 1 else []
+    cut = df.withColumn(f"{name}_bucket", sum(((F.col(by) < F.lit(b)).cast("int") for b in bounds), F.lit(0)))
+    keys = ["dim", f"{name}_bucket"]
+    parts = cut.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_parts"))
+    parts = parts.toDF("dim", "b", f"{name}_parts").withColumnRenamed("dim", "d")
+    return cut.join(F.broadcast(parts), (F.col("dim") == F.col("d")) & (F.col(f"{name}_bucket") == F.col("b"))).drop("d", "b").withColumn(f"{name}_part", F.pmod(F.xxhash64("uid"), F.col(f"{name}_parts")).cast("int"))  # 64 rows a dimension
 
 
-def top_k(vecs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k best integer inner products of each query with every other vector of its dimension:
-    query_id, rank (from 1), vec_id, score; ties to the smaller vec_id. vecs and queries: as `vectors`
-    gives them (ids unique; of repeated ids one row is taken).
+def top_k(vecs: DataFrame, queries: Column | DataFrame, k: int = 5) -> DataFrame:
+    """The k best integer inner products of each query row with every other row of its dimension:
+    query_id, rank (from 1), vec_id, score; ties to the smaller vec_id, null ids last. vecs: as `vectors` gives them.
+    queries: which of the rows ask, as a condition or as a table of their vec_ids. A row is known by a number of its own: rows
+    repeated under one id are candidates each, also for each other, and each asks for itself.
 
     Candidates are cut at quantiles of their length into buckets, and these by hash into chunks of about
-    BLOCK rows, so that many equal vectors never meet in one task. The longest bucket's first chunk gives
-    each query a sound threshold theta (its k-th best there); the bucket test theta <= |q| * longest then
-    drops whole buckets before anything moves, and inside a chunk `prune` chooses length or coordinates.
-    Queries meet chunks in blocks, so each vector moves once per block of queries, not once per query.
+    BLOCK rows. One chunk of the longest bucket gives each query a sound threshold theta (its k-th best there); the bucket test theta <= |q| * longest
+    then drops whole buckets before anything moves, and inside a chunk `prune` chooses length or coordinates.
+    Queries are cut into blocks by theta / |q|, the length they ask for, so that a block asks for much the same buckets, and a vector
+    moves once for each block that asks for its chunk, not once for each query.
     """
-    vecs = stored(vecs.dropDuplicates(["vec_id"]), "topk-vectors")
-    queries = stored(queries.dropDuplicates(["vec_id"]), "topk-queries")
-    n, n_queries = vecs.count(), queries.count()
-    cuts = min(64, max(1, n // BLOCK))
-    bounds = sorted(set(vecs.approxQuantile("norm", [i / cuts for i in range(1, cuts)], 0.002))) if cuts > 1 and n else []
-    bucket = sum(((F.col("norm") < F.lit(b)).cast("int") for b in bounds), F.lit(0))  # 0: the longest
-    vecs = vecs.withColumn("bucket", bucket)
-    sizes = vecs.groupBy("dim", "bucket").agg(F.count("*").alias("rows"), F.max("norm").alias("longest"))
-    chunks = sizes.withColumn("parts", F.ceil(F.col("rows") / BLOCK).cast("int"))  # a row a bucket and dimension
-    first = Window.partitionBy("dim").orderBy("bucket")
-    chunks = stored(chunks.withColumn("first", F.row_number().over(first) == 1), "topk-chunks")
-    blocks = max(1, -(-n_queries // BLOCK))
-    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    name = (F.col("bucket").cast("long") * F.lit(1 << 32) + F.col("part")).alias("chunk")
-    rows = vecs.join(chunks.select("dim", "bucket", "parts", "first"), ["dim", "bucket"]).withColumn("part", part)
-    asked = queries.withColumn("block", hash_bucket(blocks, "vec_id"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-
-    head = rows.where(F.col("first") & (F.col("part") == 0)).select("dim", "vec_id", "v", "norm", F.lit(0).alias("chunk"), spread)
-    start = asked.withColumn("chunk", F.lit(0)).withColumn("theta", F.lit(float("-inf")))
-    seen = _best(_pairs(start, head, k), k)
-    theta = stored(seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta")), "topk-theta")
-    asked = asked.join(theta.select(F.col("query_id").alias("vec_id"), "theta"), "vec_id", "left")
-    asked = asked.withColumn("theta", F.coalesce(F.col("theta").cast("double"), F.lit(float("-inf"))))
-    may = asked.join(chunks.select("dim", "bucket", "parts", "longest"), "dim").where(F.col("theta") <= F.greatest(F.lit(0.0), F.col("norm") * F.col("longest")) * (1 + 1e-9))
-    met = may.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", name, "block", "vec_id", "v", "norm", "theta")
-    found = _pairs(met, rows.select("dim", name, spread, "vec_id", "v", "norm"), k)
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if isinstance(queries, DataFrame):
+        asking = queries.select("vec_id").distinct().withColumn("asks", F.lit(True))
+        vecs = vecs.join(asking, "vec_id", "left").select("vec_id", "v", "norm", "dim", F.coalesce("asks", F.lit(False)).alias("asks"))
+    else:
+        vecs = vecs.select("vec_id", "v", "norm", "dim", F.coalesce(queries, F.lit(False)).alias("asks"))
+    vecs = with_uid(vecs, "topk-vectors")
+    n, n_queries = vecs.agg(F.count("*"), F.count_if("asks")).first()
+    rows = _dealt(vecs, "norm", BLOCK, n, "c").withColumn("chunk", F.col("c_bucket").cast("long") * (1 << 32) + F.col("c_part"))
+    rows = stored(rows.withColumn("id", F.coalesce("vec_id", F.lit((1 << 63) - 1))), "topk-rows")  # for ties; the id itself comes back by uid
+    chunks = stored(rows.groupBy("dim", "c_bucket", "chunk").agg(F.max("norm").alias("longest")), "topk-chunks")  # a row a chunk
+    wide = BLOCK * FOLD
+    asked = stored(rows.where("asks").select("dim", "uid", "v", "norm"), "topk-queries")
+
+    first = chunks.groupBy("dim").agg(F.min("chunk").alias("chunk"))
+    blocks = max(1, -(-n_queries // wide))
+    start = asked.join(F.broadcast(first), "dim").withColumn("block", hash_bucket(blocks, "uid")).withColumn("theta", F.lit(float("-inf")))
+    head = rows.join(F.broadcast(first), ["dim", "chunk"]).select("dim", "chunk", "uid", "id", "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    order = Window.partitionBy("ask").orderBy(F.desc("score"))
+    seen = _pairs(start, head, k).withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+    theta = stored(seen.select(F.col("ask").alias("uid"), F.col("score").cast("double").alias("theta")), "topk-theta")
+    asked = asked.join(theta, "uid", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+    asked = asked.withColumn("length", F.when(F.col("theta") > 0, F.col("theta") / F.greatest("norm", F.lit(1e-300))).otherwise(F.lit(-1.0)))
+    asked = stored(_dealt(asked, "length", wide, n_queries, "q").withColumn("block", F.col("q_bucket").cast("long") * (1 << 32) + F.col("q_part")), "topk-asked")
+
+    asks = asked.groupBy("dim", "block").agg(F.min("length").alias("least"))  # a row a block
+    met = chunks.join(F.broadcast(asks), "dim").where(F.col("least") <= F.col("longest") * (1 + 1e-9)).select("dim", "chunk", "block", "longest")
+    met = stored(met, "topk-met")  # which chunks meet which blocks
+    calls = asked.join(met, ["dim", "block"]).where(F.col("length") <= F.col("longest") * (1 + 1e-9)).select("dim", "chunk", "block", "uid", "v", "norm", "theta")
+    called = rows.join(met.drop("longest"), ["dim", "chunk"]).select("dim", "chunk", "block", "uid", "id", "v", "norm")
+    found = _pairs(calls, called, k).join(rows.select("uid", "vec_id"), "uid")
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    named = rows.where("asks").select(F.col("uid").alias("ask"), F.col("vec_id").alias("query_id"))
+    return found.join(named, "ask").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 5 of every embedding whose vec_id is divisible by 50, over all embeddings."""
-    vecs = vectors(read(spark, sf_dir, "embeddings"))
-    return top_k(vecs, vecs.where(F.col("vec_id") % 50 == 0), 5)
+    """Top 5 of every embedding whose vec_id is divisible by 50, over all embeddings. Vectors without components take no part,
+    and only vectors of one dimension have a product; other columns are not read; an empty table gives no rows."""
+    return top_k(vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, 5)
 
 
 OP2_SQL = """
