@@ -7,29 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, hash_bucket, read, running_total, stored, with_uid
 
-#: Nodes above this share of a shard's even load are dealt singly; there are fewer than shards / SHARE.
+#: Nodes and whole groups above this share of a shard's even load are dealt singly; there are fewer than shards / SHARE.
 SHARE = 1 / 256
+#: Groups (the nodes of one link in one shard) up to this share of an even load move whole.
+WHOLE = 1 / 32
 PER_BUCKET = 20_000  # rows about that one task sorts at a time
+PER_SALT = 256  # rows of one link that meet its votes in one place
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = 12) -> DataFrame:
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = 12, slack: float = 0.5) -> DataFrame:
     """Move linked nodes towards their neighbours' shards.
 
     nodes: uid long (unique), size long (>= 1). links: uid, link_id; nodes that share a link_id are
-    neighbours. Both stored tables. Returns uid, size, shard for the linked nodes only.
+    neighbours. Both stored tables. Returns uid, size, shard, near (one of the node's links) for the linked nodes only.
 
     Every node starts in a shard by hash. A round sums each link's mass per shard (at most n_shards rows
-    a link, however many nodes it has), gives every node the shard around it with most mass, ties to the
-    smaller shard, among those with room under the quota (an even share of all sizes), and lets moves in,
-    link by link, until a shard's room is used. Equal masses move only to a smaller shard, so two nodes
-    never swap for ever. It ends when nothing moves, or after `rounds`.
+    a link, however many nodes it has), gives every node the shard around it with most mass, among those with room under the
+    quota (an even share of all sizes and `slack` of it more, so that full shards can still exchange nodes), and lets moves in,
+    link by link, until a shard's room is used. Equal masses are decided by an order of the shards that is the link's own, so that nodes of one
+    link agree and links spread. It ends when nothing moves, or after `rounds`.
     """
     spark = nodes.sparkSession
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    quota = -(-total // n_shards)
+    quota = int(-(-total // n_shards) * (1 + slack))
     linked = links.dropDuplicates(["uid", "link_id"])
-    many = linked.groupBy("link_id").count().where("count > 1").select("link_id", F.ceil(F.col("count") / PER_BUCKET).alias("fan"))
-    member = stored(linked.join(many, "link_id").join(nodes.select("uid", "size"), "uid"), "shard-links")
+    many = linked.groupBy("link_id").count().where("count > 1")
+    many = many.select("link_id", F.ceil(F.col("count") / PER_BUCKET).alias("fan"), F.ceil(F.col("count") / PER_SALT).alias("salts"))
+    member = linked.join(many, "link_id").join(nodes.select("uid", "size"), "uid")
+    member = stored(member.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts"))), "shard-links")  # a large link's rows stand under many salts
     near = F.min(F.struct(F.xxhash64("link_id").alias("near"), "fan"))
     state = stored(
         member.groupBy("uid").agg(F.first("size").alias("size"), near.alias("l")).select("uid", "size", "l.near", "l.fan", hash_bucket(n_shards, "uid").alias("shard")),
@@ -43,47 +48,65 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: in
         room = {s: quota - load.get(s, 0) for s in range(n_shards)}
         rooms = F.create_map(*[F.lit(x) for s in room for x in (s, max(0, room[s]))])
         now = member.join(state.select("uid", "shard"), "uid")
-        mass = now.groupBy("link_id", "shard").agg(F.sum("size").alias("m")).withColumnRenamed("shard", "to")
-        open_ = mass.groupBy("link_id").agg(F.collect_list(F.struct("to", "m")).alias("around"))  # at most n_shards entries
-        votes = now.join(open_, "link_id").select("uid", F.explode("around").alias("v")).groupBy("uid", F.col("v.to").alias("to")).agg(F.sum("v.m").alias("m"))
+        mass = now.groupBy("link_id", "salts", "shard").agg(F.sum("size").alias("m")).withColumnRenamed("shard", "to")
+        open_ = mass.groupBy("link_id", "salts").agg(F.collect_list(F.struct("to", "m")).alias("around"))  # at most n_shards entries
+        open_ = open_.select("link_id", "around", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        votes = now.join(open_, ["link_id", "salt"]).select("uid", F.explode("around").alias("v")).groupBy("uid", F.col("v.to").alias("to")).agg(F.sum("v.m").alias("m"))
         seen = votes.join(state, "uid").where((F.col("to") == F.col("shard")) | (rooms[F.col("to")] >= F.col("size")))
         best = seen.groupBy("uid").agg(
-            F.max(F.struct("m", (-F.col("to")).alias("less"))).alias("b"), F.first("shard").alias("shard"), F.first("size").alias("size"), F.first("near").alias("near"), F.first("fan").alias("fan")
+            F.max(F.struct("m", F.pmod(F.xxhash64("near") + F.col("to"), F.lit(n_shards)).alias("favour"), "to")).alias("b"), F.first("shard").alias("shard"), F.first("size").alias("size"), F.first("near").alias("near"), F.first("fan").alias("fan")
         )
-        want = stored(best.select("uid", "size", "near", "fan", "shard", (-F.col("b.less")).alias("to"), bucket.alias("bucket"), F.col("b.m").alias("m")), "shard-want")
+        want = stored(best.select("uid", "size", "near", "fan", "shard", F.col("b.to").alias("to"), bucket.alias("bucket"), F.col("b.m").alias("m")), "shard-want")
         moving = running_total(want.where("to <> shard"), ["to"], "bucket", ["near", "uid"], "size", "before")
         let = moving.where(F.col("before") + F.col("size") <= rooms[F.col("to")]).select("uid", F.col("to").alias("new"))
         new = stored(want.join(let, "uid", "left").select("uid", "size", "near", "fan", F.coalesce("new", "shard").alias("shard"), F.col("new").isNotNull().alias("moved")), "shard-state")
         state = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    return state.select("uid", "size", "shard")
+    return state.select("uid", "size", "shard", "near")
 
 
 def shard(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = 12) -> DataFrame:
     """All nodes to shards 0..n_shards-1 of near equal size: uid, size, shard.
 
-    Linked nodes are placed by `propagate`; the others, which no edge ties, even the sizes out: those
-    above SHARE of an even load (fewer than n_shards / SHARE, so they fit in the driver) go singly to the
-    shard that lacks most, the rest by running total along the shards' lacks. No nodes: no rows.
+    Linked nodes are placed by `propagate`. What a shard then holds over an even share goes back to a pool: whole
+    groups where they are under WHOLE of an even share, single nodes of the larger ones, small groups before large ones and those before
+    nodes of a group that is split. The pool, and the nodes that no edge ties, even the sizes out: what is above SHARE of an even
+    share (fewer than n_shards / SHARE things, so they fit in the driver) goes singly to the
+    shard that lacks most, the rest by running total along the shards' lacks. So shards end within the largest node or the largest
+    whole group of each other, and only groups above WHOLE are split. No nodes: no rows.
     """
     spark = nodes.sparkSession
     placed = stored(propagate(nodes, links, n_shards, rounds), "shard-placed")
-    free = stored(nodes.select("uid", "size").join(placed.select("uid"), "uid", "left_anti"), "shard-free")
     n, total = nodes.agg(F.count("*"), F.sum("size")).first()
     if not n:
-        return placed
+        return placed.select("uid", "size", "shard")
     level = total / n_shards
-    load = dict(placed.groupBy("shard").agg(F.sum("size")).collect())
-    lack = [level - load.get(s, 0) for s in range(n_shards)]
-    heavy = free.where(F.col("size") > level * SHARE)
+    part = level * SHARE
+    units = stored(placed.groupBy("shard", "near").agg(F.sum("size").alias("mass")), "shard-units")
+    large = F.broadcast(units.where(F.col("mass") > level * WHOLE).select("shard", "near", F.lit(False).alias("whole")))  # fewer than n_shards / WHOLE
+    tied = placed.join(large, ["shard", "near"], "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
+    item = F.when(F.col("whole"), F.col("near")).otherwise(F.col("uid")).alias("item")
+    singles = tied.where("not whole").select("shard", "whole", item, "size")
+    items = stored(units.where(F.col("mass") <= level * WHOLE).select("shard", F.lit(True).alias("whole"), F.col("near").alias("item"), F.col("mass").alias("size")).union(singles), "shard-items")
+    bucket = hash_bucket(buckets_for(n), "item")
+    keep = F.when(F.col("size") > part, 0).when(~F.col("whole"), 1).otherwise(2).cast("long") * (1 << 32)  # what stays first
+    out = running_total(items.withColumn("bucket", keep + bucket), ["shard"], "bucket", ["whole", "item"], "size", "before")
+    out = stored(out.where(F.col("before") + F.col("size") > level).select("shard", "whole", "item", "size"), "shard-out")
+    free = nodes.select("uid", "size").join(placed.select("uid"), "uid", "left_anti").select(F.lit(-1).alias("shard"), F.lit(False).alias("whole"), F.col("uid").alias("item"), "size")
+    pool = stored(out.union(free), "shard-pool")
+
+    load = dict(placed.groupBy("shard").agg(F.sum("size")).collect())  # n_shards rows, and so the next
+    gone = dict(out.groupBy("shard").agg(F.sum("size")).collect())
+    lack = [level - load.get(s, 0) + gone.get(s, 0) for s in range(n_shards)]
+    heavy = pool.where(F.col("size") > part)
     deal = []
-    for r in sorted(heavy.collect(), key=lambda r: (-r["size"], r["uid"])):
+    for r in sorted(heavy.collect(), key=lambda r: (-r["size"], r["item"])):
         s = max(range(n_shards), key=lambda k: (lack[k], -k))
         lack[s] -= r["size"]
-        deal.append((r["uid"], s))
-    dealt = heavy.join(F.broadcast(spark.createDataFrame(deal, "uid long, shard int")), "uid").select("uid", "size", "shard")
-    light = free.where(F.col("size") <= level * SHARE).withColumn("bucket", hash_bucket(buckets_for(n), "uid")).withColumn("all", F.lit(0))
+        deal.append((r["shard"], r["whole"], r["item"], s))
+    dealt = spark.createDataFrame(deal, "shard int, whole boolean, item long, new int")
+    light = pool.where(F.col("size") <= part).withColumn("bucket", bucket).withColumn("all", F.lit(0))
     spare = light.agg(F.sum("size")).first()[0] or 0
     lack = _fill(lack, spare)
     at, shards = 0.0, F.lit(n_shards - 1)
@@ -94,8 +117,11 @@ def shard(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int =
     middle = F.col("before") + F.col("size") / 2
     for s in reversed(range(n_shards - 1)):
         shards = F.when(middle < F.lit(float(ends[s])), s).otherwise(shards)
-    filled = running_total(light, ["all"], "bucket", ["uid"], "size", "before").select("uid", "size", shards.cast("int").alias("shard"))
-    return placed.select("uid", "size", F.col("shard").cast("int").alias("shard")).union(dealt).union(filled)
+    filled = running_total(light, ["all"], "bucket", ["whole", "item", "shard"], "size", "before").select("shard", "whole", "item", shards.cast("int").alias("new"))
+    new = stored(dealt.union(filled), "shard-new")
+    again = tied.select("uid", "size", "shard", "whole", item).join(new.where("shard >= 0"), ["shard", "whole", "item"], "left")
+    first = nodes.select("uid", "size").join(new.where("shard < 0").select(F.col("item").alias("uid"), "new"), "uid")
+    return again.select("uid", "size", F.coalesce("new", "shard").cast("int").alias("shard")).union(first.select("uid", "size", F.col("new").alias("shard")))
 
 
 def _fill(lack: list[float], spare: int) -> list[float]:
