@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import heapq
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,31 +44,58 @@ def token_pieces(docs: DataFrame, size: int = SIZE, end: int = END, path: str |
 # ---- the plan: which lengths share a bin ------------------------------------------------------------
 
 
-def completions(first: int, counts: dict[int, int], lengths: list[int], size: int, most_waste: int, limit: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of a bin around `first`, least waste first, each at most `limit` tried.
+def completions(first: int, counts: dict[int, int], lengths: list[int], size: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of a bin around `first` that waste `most_waste` at most, least waste first, longest lengths first.
 
-    Lengths are tried from long to short. A filling is kept when no unused shorter-or-equal-room swap
-    betters it: one length could be exchanged for a longer one that is left and still fits. Branches that
-    cannot get down to `most_waste` are cut.
+    Which sums the lengths from each one down can reach is worked out beforehand, a bit a sum, so a branch that cannot
+    end in the waste looked for is never entered. A filling is dominated when one of its lengths could give way to a longer one
+    that is left and still fits. lengths: falling, each with a count left beside `first`.
     """
-    room, found, tried = size - first, [], 0
-    rising = [-x for x in lengths]
-
-    def grow(at: int, room: int, taken: list[int]) -> None:
-        nonlocal tried
-        i, branches = max(at, bisect_left(rising, -room)), 0
-        while i < len(lengths) and branches < 8 and tried < limit:
-            if counts[lengths[i]] > taken.count(lengths[i]):
-                branches += 1
-                grow(i, room - lengths[i], [*taken, lengths[i]])
-            i += 1
-        if not branches:
-            tried += 1
-            if room <= most_waste and not _dominated(taken, room, counts, rising):
-                found.append(tuple(taken))
-
-    grow(0, room, [])
-    return sorted(dict.fromkeys(found), key=lambda f: (room - sum(f), len(f), [-x for x in f]))
+    room, rising = size - first, [-x for x in lengths]
+    mask, reach = (1 << room + 1) - 1, [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        x, r, step = lengths[i], reach[i + 1], 1
+        left = min(counts[x], room // x)
+        while left:
+            step = min(step, left)
+            r |= r << x * step
+            left, step = left - step, step * 2
+        reach[i] = r & mask
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for j in range(max(i, bisect_left(rising, -total)), len(lengths)):
+            x = lengths[j]
+            for m in range(min(counts[x], total // x), 0, -1):
+                if reach[j + 1] >> total - m * x & 1:
+                    for rest in exact(j + 1, total - m * x):
+                        yield (x,) * m + rest
+            if not reach[j + 1] >> total & 1:
+                return
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[0] >> room - waste & 1:
+            for taken in exact(0, room - waste):
+                if not _dominated(list(taken), waste, counts, rising):
+                    yield taken
+
+
+def _fullest(left: dict[int, int], lengths: list[int], size: int) -> tuple[int, ...]:
+    """The longest length left, then again and again the longest that fits."""
+    taken, room = [lengths[0]], size - lengths[0]
+    i = 0
+    while room:
+        i = max(i, bisect_left(lengths, -room, key=lambda x: -x))
+        if i == len(lengths):
+            break
+        x = lengths[i]
+        n = min(room // x, left[x] - (x == lengths[0]))
+        taken += [x] * n
+        room -= n * x
+        i += 1
+    return tuple(taken)
 
 
 def _dominated(taken: list[int], room: int, counts: dict[int, int], rising: list[int]) -> bool:
@@ -84,14 +113,11 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     what best fit does to the fullest open bin. One step uses up a length or more, so there are at most
     as many steps as lengths, whatever the counts."""
     left, plan = dict(counts), []
+    lengths = sorted(left, reverse=True)
     while left:
-        lengths = sorted(left, reverse=True)
-        taken, room = [lengths[0]], size - lengths[0]
-        for x in lengths:
-            n = min(room // x, left[x] - taken.count(x))
-            taken += [x] * n
-            room -= n * x
-        plan.append(_use(left, tuple(taken)))
+        filling, n = _use(left, _fullest(left, lengths, size))
+        plan.append((filling, n))
+        lengths = [x for x in lengths if x in left]
     return plan
 
 
@@ -108,64 +134,95 @@ def _use(left: dict[int, int], filling: tuple[int, ...]) -> tuple[tuple[int, ...
 def bound(counts: dict[int, int], size: int) -> int:
     """Bins that no packing can do without: all ids over the size, or the lengths over half a bin and
     what must go beside them, whichever is more."""
-    total = math.ceil(sum(x * n for x, n in counts.items()) / size)
-    best = total
-    for low in sorted({x for x in counts if x <= size / 2} | {0}):
-        big = sum(n for x, n in counts.items() if x > size - low)
-        mid = {x: n for x, n in counts.items() if size / 2 < x <= size - low}
-        beside = sum(mid.values()) * size - sum(x * n for x, n in mid.items())
-        small = sum(x * n for x, n in counts.items() if low <= x <= size / 2)
-        best = max(best, big + sum(mid.values()) + max(0, math.ceil((small - beside) / size)))
+    many, ids = [0] * (size + 2), [0] * (size + 2)  # of the lengths from x on
+    for x in range(size, -1, -1):
+        n = counts.get(x, 0)
+        many[x], ids[x] = many[x + 1] + n, ids[x + 1] + n * x
+    half, best = size // 2 + 1, -(-ids[0] // size)
+    for low in range(half):
+        big = many[size - low + 1]
+        mid, held = many[half] - big, ids[half] - ids[size - low + 1]
+        small = ids[low] - ids[half]
+        best = max(best, big + mid + max(0, -(-(small - (mid * size - held)) // size)))
     return best
 
 
-def plan(counts: dict[int, int], size: int = SIZE, nodes: int = 60, steps: int = 4000) -> list[tuple[tuple[int, ...], int]]:
-    """Bins for a multiset of lengths: (lengths in the bin, how many such bins).
+@dataclass
+class Search:
+    """A plan (bin, how many such bins), with what it took: the bins of best fit and of the lower bound, the descents begun and
+    the fillings chosen in them."""
+
+    plan: list[tuple[tuple[int, ...], int]]
+    bins: int
+    best_fit: int
+    bound: int
+    descents: int = 0
+    fillings: int = 0
+
+
+def search(counts: dict[int, int], size: int = SIZE, descents: int = 400, steps: int = 8_000, width: int = 24) -> Search:
+    """Bin completion for a multiset of lengths.
 
-    Best-fit decreasing gives the incumbent. Bin completion then works around the longest length left:
-    it takes the undominated fillings in order of waste, applies one as often as the counts allow, and
-    goes on; a branch is cut when the waste so far pushes its bound to the incumbent's bins or over. It
-    stops at the lower bound (then the answer is optimal), or after `nodes` branches or `steps` fillings past
-    the first descent, with the best plan so far. Time and memory depend on the number of different lengths
-    (at most `size`), not on the number of documents.
+    Best-fit decreasing gives the incumbent. A descent works around the longest length left: it takes the first undominated
+    filling in order of waste, applies it as often as the counts allow, and goes on; it is cut when the waste so far pushes its
+    bound to the incumbent's bins or over. Other fillings are gone back to, those with the fewest departures from first
+    choices first, then those nearest the start. The first descent's plan is taken where it needs no more bins than
+    best fit, a later one where it needs fewer than the best so far.
+
+    It ends when the plan meets the lower bound (it is then optimal), when nothing is left to try, or after `descents` descents
+    or `steps` fillings past the first; each node tries `width` fillings at most. Then the plan may be above the optimum,
+    by `bins - bound` at most. No length is lost in any case, and time and memory depend on the number of different
+    lengths (at most `size`), not on the number of documents.
     """
     counts = {x: n for x, n in counts.items() if n > 0}
     incumbent = best_fit(counts, size)
-    best, floor = sum(n for _, n in incumbent), bound(counts, size)
-    full = sum(x * n for x, n in counts.items())
-    budget, spare_steps = nodes, steps + len(counts)
-    # depth first without recursion: (what is left, bins so far, wasted so far)
-    stack: list[tuple[dict[int, int], list[tuple[tuple[int, ...], int]], int]] = [(counts, [], 0)]
-    while stack and best > floor and spare_steps > 0:
-        left, made, waste = stack.pop()
+    best, full = sum(n for _, n in incumbent), sum(x * n for x, n in counts.items())
+    out = Search(incumbent, best, best, bound(counts, size))
+    queue: list[tuple[int, int, int, list, int]] = [(0, 0, 0, [], 0)]  # departures, depth, number, bins before, which filling
+    pushed = 0
+    while queue and counts and (not out.descents or out.bins > out.bound) and out.descents < descents and out.fillings < steps + len(counts) * (out.descents < 1):
+        off, depth, _, before, skip = heapq.heappop(queue)
+        out.descents += 1
+        made, left = before[:depth], dict(counts)
+        for filling, n in made:
+            for x in filling:
+                left[x] -= n
+        left = {x: n for x, n in left.items() if n}
+        lengths = sorted(left, reverse=True)
+        waste = sum(n * (size - sum(f)) for f, n in made)
         while left:
-            spare_steps -= 1
-            if math.ceil((full + waste) / size) >= best or spare_steps <= 0:
-                break
-            lengths = sorted(left, reverse=True)
-            first = lengths[0]
-            rest = dict(left)
-            rest[first] -= 1
-            spare = best * size - full - waste - 1  # waste that still beats the incumbent
-            short = [x for x in lengths if x <= size - first and rest[x] > 0]
-            options = completions(first, rest, short, size, spare) or ([()] if size - first <= spare and not short else [])
-            if not options:
+            spare = (out.bins if out.descents > 1 else out.bins + 1) * size - full - waste - 1  # waste that still gains, or at first draws level
+            if spare < 0:
                 break
-            for other in options[1:3]:
-                if budget <= 0:
+            filling = None if skip else _fullest(left, lengths, size)
+            if filling is None or sum(filling) < size:  # a full bin comes first in the order of completions() anyway
+                rest = dict(left)
+                rest[lengths[0]] -= 1
+                short = [x for x in lengths if x <= size - lengths[0] and rest[x] > 0]
+                filling = next(islice(completions(lengths[0], rest, short, size, spare), skip, None), None)
+                if filling is None:
                     break
-                budget -= 1
-                branch = dict(left)
-                step = _use(branch, (first, *other))
-                stack.append((branch, [*made, step], waste + step[1] * (size - sum(step[0]))))
-            left = dict(left)
-            step = _use(left, (first, *options[0]))
-            made = [*made, step]
-            waste += step[1] * (size - sum(step[0]))
+                filling = (lengths[0], *filling)
+            if skip + 1 < width and pushed < 10 * descents:
+                pushed += 1
+                heapq.heappush(queue, (off + 1, len(made), pushed, made, skip + 1))
+            step = _use(left, filling)
+            out.fillings += 1
+            made.append(step)
+            waste += step[1] * (size - sum(filling))
+            skip = 0
+            if any(x not in left for x in filling):
+                lengths = [x for x in lengths if x in left]
         else:
-            if (n := sum(k for _, k in made)) < best:
-                best, incumbent = n, made
-    return incumbent
+            n = sum(k for _, k in made)
+            if n < out.bins or out.descents == 1 and n == out.bins:
+                out.plan, out.bins = made, n
+    return out
+
+
+def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """Bins for a multiset of lengths, by `search`: (lengths in the bin, how many such bins)."""
+    return search(counts, size).plan
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
