@@ -165,7 +165,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, p
     """Tokenise (doc_id, text) and write files of at most about `most` bytes to `folder`, any place that
     pyarrow.fs opens: file, low, high, entries, tokens of each file.
 
-    Rows are range-partitioned by doc_id; each task writes its range. A file gets its final name by a
+    Rows are range-partitioned by doc_id, and by the text's hash where one id has many; each task writes its range. A file gets its final name by a
     rename when it is whole, under the name of its first key, so a task that runs again replaces what a
     lost one left and never leaves half a file. Null text: only the end id; a null doc_id sorts first.
     """
@@ -197,12 +197,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, p
             yield pd.DataFrame(made, columns=["file", "low", "high", "entries", "tokens"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spread = rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")
+    rows = rows.withColumn("salt", F.xxhash64("text"))  # many texts under one id go to many tasks
+    spread = rows.repartitionByRange(parts, "doc_id", "salt") if parts else rows.repartitionByRange("doc_id", "salt")
     from pyarrow import fs
 
     place, root = fs.FileSystem.from_uri(folder)
     place.create_dir(root, recursive=True)
-    return stored(spread.sortWithinPartitions("doc_id", "text").mapInPandas(save, "file string, low long, high long, entries long, tokens long"), "sst-files")
+    return stored(spread.sortWithinPartitions("doc_id", "salt", "text").mapInPandas(save, "file string, low long, high long, entries long, tokens long"), "sst-files")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
