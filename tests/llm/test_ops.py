@@ -404,13 +404,13 @@ def test_mixed_texts_hold_the_words_taken(spark, sf_dir):
 # ---- op8 -------------------------------------------------------------------------------------------
 
 
-def sets_of(text):
+def sets_of(text, words=3):
     w = WORD.findall((text or "").translate(ASCII_LOW))
-    return frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1))) if w else frozenset()
 
 
-def brute(texts):
-    s = {d: sets_of(t) for d, t in texts.items()}
+def brute(texts, words=3, num=90):
+    s = {d: sets_of(t, words) for d, t in texts.items()}
     root = {d: d for d in s}
 
     def top(d):
@@ -422,7 +422,7 @@ def brute(texts):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             both = len(s[a] & s[b])
-            if s[a] and s[b] and 100 * both >= 90 * (len(s[a]) + len(s[b]) - both):
+            if s[a] and s[b] and 100 * both >= num * (len(s[a]) + len(s[b]) - both):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     return {d: (len(s[d]), top(d)) for d in s}
@@ -532,7 +532,7 @@ def test_pipeline_stages(spark, sf_dir):
     stage2 = common.stored(P.drop_boilerplate(spark, stage1, sf_dir), "t")
     stage3 = common.stored(P.drop_near_copies(spark, stage2, sf_dir), "t")
     texts = {r["doc_id"]: r["text"] for r in stage2.collect()}
-    classes = brute(texts)
+    classes = brute(texts, 5, 80)  # a stage on word shingles takes five words and 0.8
     assert {r["doc_id"] for r in stage3.collect()} == {d for d, (n, c) in classes.items() if d == c or n == 0}
     stage4 = common.stored(P.mix_sources(spark, stage3, sf_dir), "t")
     n = stage4.agg(F.sum(mixing.n_words())).first()[0]
