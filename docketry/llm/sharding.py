@@ -11,8 +11,7 @@ from .common import buckets_for, hash_bucket, read, running_total, stored, with_
 SHARE = 1 / 256
 #: Groups (the nodes of one link in one shard) up to this share of an even load move whole.
 WHOLE = 1 / 32
-PER_BUCKET = 20_000  # rows about that one task sorts at a time
-PER_SALT = 256  # rows of one link that meet its votes in one place
+PER_SALT = 256  # rows of one link that meet its votes in one place, or are sorted there
 
 
 def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: int = 12, slack: float = 0.5) -> DataFrame:
@@ -32,16 +31,16 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = 16, rounds: in
     quota = int(-(-total // n_shards) * (1 + slack))
     linked = links.dropDuplicates(["uid", "link_id"])
     many = linked.groupBy("link_id").count().where("count > 1")
-    many = many.select("link_id", F.ceil(F.col("count") / PER_BUCKET).alias("fan"), F.ceil(F.col("count") / PER_SALT).alias("salts"))
+    many = many.select("link_id", F.ceil(F.col("count") / PER_SALT).alias("salts"))
     member = linked.join(many, "link_id").join(nodes.select("uid", "size"), "uid")
     member = stored(member.withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts"))), "shard-links")  # a large link's rows stand under many salts
-    near = F.min(F.struct(F.xxhash64("link_id").alias("near"), "fan"))
+    near = F.min(F.struct(F.xxhash64("link_id").alias("near"), F.col("salts").alias("fan")))
     state = stored(
         member.groupBy("uid").agg(F.first("size").alias("size"), near.alias("l")).select("uid", "size", "l.near", "l.fan", hash_bucket(n_shards, "uid").alias("shard")),
         "shard-state",
     )
     # small links stand whole in one of `wide` buckets, a large one in as many of its own as its rows need
-    wide = buckets_for(state.count(), PER_BUCKET)
+    wide = buckets_for(state.count())
     bucket = F.pmod(F.col("near"), F.lit(wide)) * (1 << 32) + F.pmod(F.xxhash64("uid"), F.col("fan"))
     for _ in range(rounds):
         load = dict(state.groupBy("shard").agg(F.sum("size")).collect())  # n_shards rows
