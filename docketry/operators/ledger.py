@@ -111,18 +111,17 @@ def evidence() -> Column:
 def merge_duplicates(events: DataFrame) -> DataFrame:
     """One row for each case and 11-field key, the first; adds merged (rows it stands for) and evidence of
     all of them, in order, each once (A1). Rows whose key is blank throughout stay as they are: their key
-    takes in src_ord. One sort by the key finds the first rows; evidence is gathered only where a key has several
-    rows, and for those the list is as long as the evidence asked for."""
+    takes in src_ord. Rows are combined on the map side; the evidence of a key is one list, as long as what is asked for."""
+    key = [text_of(c) for c in EXACT_KEY]
     empty = F.lit(True)
     for c in EXACT_KEY:
         empty = empty & blank(c)
-    key = F.md5(F.to_json(F.array(*[text_of(c) for c in EXACT_KEY], F.coalesce(F.when(empty, F.col("src_ord")).cast("string"), F.lit("")))))
-    keyed = events.withColumn("__key", key)
-    by = Window.partitionBy("case_id", "__key")
-    placed = keyed.withColumns({"__place": F.row_number().over(by.orderBy("src_ord")), "merged": F.count("*").over(by)})
-    several = keyed.select("case_id", "__key", "src_ord", evidence().alias("v")).groupBy("case_id", "__key")
-    listed = several.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("src_ord", "v"))), lambda p: p["v"])).alias("evidence"))
-    return placed.where("__place = 1").join(listed, ["case_id", "__key"]).select(*events.columns, "merged", "evidence")
+    keyed = events.withColumn("__key", F.struct(*[k.alias(c) for k, c in zip(key, EXACT_KEY, strict=True)])).withColumn("__own", F.when(empty, F.col("src_ord")))
+    row = F.struct(*events.columns)
+    merged = keyed.groupBy("case_id", "__key", "__own").agg(
+        F.min_by(row, "src_ord").alias("row"), F.count("*").alias("merged"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("src_ord", evidence().alias("v")))), lambda p: p["v"])).alias("evidence")
+    )
+    return merged.select("row.*", "merged", "evidence")
 
 
 def mark_conflicts(events: DataFrame) -> DataFrame:
@@ -132,14 +131,12 @@ def mark_conflicts(events: DataFrame) -> DataFrame:
     full = F.lit(True)
     for c in CONFLICT_KEY:
         full = full & ~blank(c)
-    key = F.when(full, F.md5(F.to_json(F.array(*[F.trim(c) for c in CONFLICT_KEY])))).otherwise(F.concat(F.lit("row "), F.col("src_ord").cast("string")))
-    keyed = events.withColumn("__key", key)
-    by = Window.partitionBy("case_id", "__key")
+    by = Window.partitionBy("case_id", *[F.when(full, F.trim(c)) for c in CONFLICT_KEY], F.when(~full, F.col("src_ord")))
     many = []
     for c in CONFLICT_FIELDS:
         value = F.when(~blank(c), F.trim(c))
         many.append(F.when(full & (F.min(value).over(by) != F.max(value).over(by)), F.lit(c)))
-    return keyed.withColumn("conflict_fields", F.array_compact(F.array(*many))).drop("__key")
+    return events.withColumn("conflict_fields", F.array_compact(F.array(*many)))
 
 
 def validate(events: DataFrame) -> DataFrame:
