@@ -174,8 +174,8 @@ def _sql() -> str:
     assign = f"SELECT p.vec_id, p.part, any_value(p.x) AS x, arg_min(c.entry, {far} * 16 + c.entry) AS entry, min({far}) AS far FROM p JOIN c{{0}} c ON p.part = c.part GROUP BY 1, 2"
     rounds = "".join(
         f"""a{i} AS MATERIALIZED ({assign.format(i)}),
-m{i} AS (SELECT part, entry, list(CAST(floor_div AS BIGINT) ORDER BY at) AS c FROM (SELECT part, entry, at, (s - ((s % n) + n) % n) // n AS floor_div FROM
-  (SELECT part, entry, at, sum(y) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y, generate_subscripts(x, 1) AS at FROM a{i}) GROUP BY 1, 2, 3)) GROUP BY 1, 2),
+m{i} AS (SELECT part, entry, list(CAST(floor_div AS BIGINT) ORDER BY pos) AS c FROM (SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS floor_div FROM
+  (SELECT part, entry, pos, sum(y) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY 1, 2, 3)) GROUP BY 1, 2),
 c{i + 1} AS MATERIALIZED (SELECT o.part, o.entry, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON o.part = m.part AND o.entry = m.entry),
 """
         for i in range(ROUNDS)

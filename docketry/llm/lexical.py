@@ -210,7 +210,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         ids = sorted(by, key=lambda i: (i is None, i or 0))
         vocabulary = {t: i for i, t in enumerate(sorted({t for ts in by.values() for t in ts}))}
         rows = stored(postings(docs, vocabulary), "lexical-postings")
-        n_docs, n_words = rows.agg(F.count_if("n > 0"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n_docs, n_words = rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = {r["t"]: r["count"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # a row a term of the vocabulary
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df.get(t, 0) + 1))) for t in range(len(vocabulary))], dtype=np.int64)
         numbers = [np.array(sorted(vocabulary[t] for t in by[i]), dtype=np.int64) for i in ids]

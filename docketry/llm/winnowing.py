@@ -26,44 +26,60 @@ def words_of(text: Column) -> Column:
     return F.filter(low, lambda x: x != "")
 
 
-def _paired(a: str, by: int, f) -> Column:
-    """f over the elements of array column a and those `by` places on."""
-    n = F.greatest(F.size(a) - by, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, 1 + by, n), f)
+def _let(value: Column, f) -> Column:
+    """f(value) with value worked out once a row, however often f names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _with_fingerprints(df: DataFrame) -> DataFrame:
-    """df (words) with `prints`: the fingerprint of the window from each place on. Runs of 4 words are two of 2, minima over 7
-    are made of those over 2 and 4."""
+def _paired(values: Column, by: int, f) -> Column:
+    """f over the elements of an array and those `by` places on."""
+
+    def pairs(a: Column) -> Column:
+        n = F.greatest(F.size(a) - by, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + by), n), f)
+
+    return _let(values, pairs)
+
+
+def fingerprints(words: Column) -> Column:
+    """The fingerprint of the window from each place on. Runs of 4 words are two of 2, minima over 7 are made of those over 2 and 4."""
     mix, least = (lambda x, y: F.xxhash64(x, y)), (lambda x, y: F.least(x, y))
-    hashed = df.withColumn("h1", F.transform("words", lambda x: F.xxhash64(x)))
-    hashed = hashed.withColumn("h2", _paired("h1", 1, mix)).withColumn("h4", _paired("h2", 2, mix))
-    return hashed.withColumn("m2", _paired("h4", 1, least)).withColumn("m4", _paired("m2", 2, least)).withColumn("prints", _paired("m4", 3, least)).drop("h1", "h2", "h4", "m2", "m4")
+    runs = _paired(_paired(F.transform(words, lambda x: F.xxhash64(x)), 1, mix), 2, mix)
+    return _paired(_paired(_paired(runs, 1, least), 2, least), 3, least)
 
 
-def _runs(words: str, n: int) -> Column:
+def _runs(words: Column, n: int) -> Column:
     """The texts of the runs of n words from each place on."""
-    return F.transform(F.slice(F.col(words), 1, F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(F.col(words), i + 1, F.lit(n)), " "))
+    return _let(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))
 
 
 def _short_print(text: Column) -> Column:
     return F.xxhash64(F.lit("short"), text)
 
 
-def _places(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """df's words and fingerprints as `places`: fingerprint, first word, number of words and text of every window, and of every run as
-    long as a short item."""
-    full = F.transform(_runs("words", WINDOW), lambda t, i: F.struct(F.get(F.col("prints"), i).alias("fp"), i.cast("long").alias("at"), F.lit(WINDOW).cast("long").alias("len"), t.alias("t")))
-    short = [F.transform(_runs("words", n), lambda t, i, n=n: F.struct(_short_print(t).alias("fp"), i.cast("long").alias("at"), F.lit(n).cast("long").alias("len"), t.alias("t"))) for n in lengths]
-    return df.withColumn("places", F.concat(full, *short))
+def _places(words: Column, lengths: list[int]) -> Column:
+    """Fingerprint, first word, number of words and text of every window, and of every run as long as a short item."""
+
+    def place(fp: Column, i: Column, n: int, t: Column) -> Column:
+        return F.struct(fp.alias("fp"), i.cast("long").alias("at"), F.lit(n).cast("long").alias("len"), t.alias("t"))
+
+    def all_of(w: Column) -> Column:
+        pairs = F.zip_with(fingerprints(w), _runs(w, WINDOW), lambda fp, t: F.struct(fp.alias("fp"), t.alias("t")))
+        full = F.transform(pairs, lambda x, i: place(x["fp"], i, WINDOW, x["t"]))
+        return F.concat(full, *[F.transform(_runs(w, n), lambda t, i, n=n: place(_short_print(t), i, n, t)) for n in lengths])
+
+    return _let(words, all_of)
 
 
 def windows(items: DataFrame) -> DataFrame:
     """item_id, fp, len, t of the distinct windows of each item: WINDOW words from each place on, or all words of a shorter one."""
-    worded = _with_fingerprints(items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")))
-    whole = F.array_join("words", " ")
-    short = F.array(F.struct(_short_print(whole).alias("fp"), F.lit(0).cast("long").alias("at"), F.size("words").cast("long").alias("len"), whole.alias("t")))
-    each = _places(worded.where(F.size("words") > 0), []).select("item_id", F.explode(F.when(F.size("words") < WINDOW, short).otherwise(F.col("places"))).alias("w"))
+
+    def own(w: Column) -> Column:
+        whole = F.array_join(w, " ")
+        short = F.array(F.struct(_short_print(whole).alias("fp"), F.lit(0).cast("long").alias("at"), F.size(w).cast("long").alias("len"), whole.alias("t")))
+        return F.when(F.size(w) >= WINDOW, _places(w, [])).when(F.size(w) > 0, short)
+
+    each = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(_let(words_of(F.col("text")), own)).alias("w"))
     return each.select("item_id", "w.fp", "w.len", "w.t").distinct()
 
 
@@ -88,16 +104,18 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     texts = stored(grams.select("fp", "t").distinct(), "winnow-texts")
     lengths = [r[0] for r in grams.where(F.col("len") < WINDOW).select("len").distinct().collect()]  # 9 at most
     key = F.xxhash64("text").alias("key")
-    worded = _with_fingerprints(docs.select("doc_id", key, words_of(F.col("text")).alias("words")))
-    shorts = [F.transform(_runs("words", n), _short_print) for n in lengths]
-    each = worded.select("doc_id", "key", F.monotonically_increasing_id().alias("row"), F.size("words").cast("long").alias("n_words"), F.array_distinct(F.concat("prints", *shorts)).alias("fps"))
+
+    def told(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n"), F.array_distinct(F.concat(fingerprints(w), *[F.transform(_runs(w, n), _short_print) for n in lengths])).alias("fps"))
+
+    each = docs.select("doc_id", key, F.monotonically_increasing_id().alias("row"), _let(words_of(F.col("text")), told).alias("w")).select("doc_id", "key", "row", F.col("w.n").alias("n_words"), F.col("w.fps").alias("fps"))
     probed = _held(each.select("doc_id", "key", "row", "n_words", F.explode_outer("fps").alias("fp")), prints.withColumn("met", F.lit(True)), ["fp"], "left")
     base = stored(probed.groupBy("row", "doc_id", "key", "n_words").agg(F.max("met").alias("met")).drop("row"), "winnow-documents")
 
     suspects = stored(base.where("met").select(F.col("doc_id").alias("id"), F.col("key").alias("k")).distinct(), "winnow-suspects")
     some = F.broadcast(suspects) if suspects.count() <= BROADCAST else suspects
     again = docs.select("doc_id", key, "text").join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left_semi")
-    placed = _places(_with_fingerprints(again.select("doc_id", "key", words_of(F.col("text")).alias("words"))), lengths).select("doc_id", "key", F.explode("places").alias("p"))
+    placed = again.select("doc_id", "key", F.explode(_places(words_of(F.col("text")), lengths)).alias("p"))
     found = _held(placed.select("doc_id", "key", "p.*"), texts, ["fp", "t"]).select("doc_id", "key", "at", "len", "t")
     return base, stored(found.distinct(), "winnow-hits"), grams
 
@@ -143,7 +161,7 @@ b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
 i AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS t FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
 p AS (SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i))),
 h AS MATERIALIZED (SELECT p.doc_id, p.n, p.k, i.item_id FROM p JOIN i ON p.n = i.n AND p.t = i.t),
-c AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM (SELECT DISTINCT doc_id, n, k FROM h)) GROUP BY 1),
+c AS (SELECT doc_id, count(DISTINCT o) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS o FROM (SELECT DISTINCT doc_id, n, k FROM h)) GROUP BY 1),
 s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
