@@ -37,17 +37,45 @@ def x2(spark, sf):
     return J.current_state(spark, f"{root}/state", e.schema)
 
 
-@register("x3_epoch_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2")
+@register("x3_epoch_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x3(spark, sf):
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     root = _place(spark, e.repartitionByRange(4, "ts"), "x3")
-    J.run_once(J.epoch_metrics(J.arrivals(spark, f"{root}/in", e.schema, 100)), f"{root}/out", f"{root}/ck")
-    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{root}/out")
+    J.run_once(J.epoch_metrics(J.arrivals(spark, f"{root}/in", e.schema, 100)), "", f"{root}/ck", "update", J.each_version(f"{root}/out"))
+    out = J.newest(spark, f"{root}/out", "start timestamp, event_type string, n long, total double", ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@register("x4_job_timeouts", "WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 17 = 0 THEN 'failed' ELSE 'running' END AS state FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) <= INTERVAL 600 SECOND THEN 0 ELSE 1 END AS nw FROM e), s AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, CASE WHEN max(struct_pack(a := ts, b := state)).b IN ('done', 'failed') THEN max(struct_pack(a := ts, b := state)).b ELSE 'timeout' END AS state, count(*) AS n FROM s GROUP BY job_id, run")
+_LOOKS = ", ".join(map(str, J.poll_offsets()))
+
+
+@register("x4_job_polling", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS job_id, epoch_us(ts) AS tm, event_id, CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 17 = 0 THEN 'failed' ELSE 'running' END AS state FROM events),
+u AS (SELECT job_id, tm, arg_max(state, event_id) AS state FROM e GROUP BY 1, 2),
+o AS (SELECT unnest([{_LOOKS}]) AS off, unnest(range(1, {len(J.poll_offsets())} + 1)) AS looks),
+l AS (SELECT u.job_id, u.tm AS began, off, looks, u.tm + off AS look FROM u, o),
+s AS (SELECT l.*, CASE WHEN off = {J.poll_offsets()[-1]} THEN 'timeout' ELSE p.state END AS state FROM l ASOF JOIN u p ON l.job_id = p.job_id AND l.look >= p.tm),
+f AS MATERIALIZED (SELECT job_id, began, arg_min(state, looks) AS state, CAST(min(looks) - CAST(arg_min(state, looks) = 'timeout' AS INT) AS INTEGER) AS looks, arg_min(look, looks) AS ended FROM s WHERE state <> 'running' GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT f.*, n.tm AS next FROM f ASOF LEFT JOIN u n ON f.job_id = n.job_id AND f.ended < n.tm),
+r AS (SELECT x.* FROM x JOIN (SELECT job_id, min(tm) AS tm FROM u GROUP BY 1) m ON x.job_id = m.job_id AND x.began = m.tm UNION ALL SELECT x.* FROM r JOIN x ON x.job_id = r.job_id AND x.began = r.next)
+SELECT job_id, began, state, looks, ended FROM r""")
 def x4(spark, sf):
+    """Events as states of the job `user_id`, looked at with growing pauses until it is done, has failed or has timed out."""
+    state = F.when(F.col("event_id") % 5 == 0, "done").when(F.col("event_id") % 17 == 0, "failed").otherwise("running")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), state.alias("state"))
+    root = _place(spark, J.with_end(e, "ts", job_id=-1, ord=-1, state="running"), "x4")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        J.run_once(J.polled(J.arrivals(spark, f"{root}/in", e.schema, 100)), f"{root}/out", f"{root}/ck")
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema("job_id long, began long, state string, looks int, ended long").parquet(f"{root}/out")
+
+
+@register("x4_job_timeouts", "WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN event_id % 5 = 0 THEN 'done' WHEN event_id % 17 = 0 THEN 'failed' ELSE 'running' END AS state FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) <= INTERVAL 600 SECOND THEN 0 ELSE 1 END AS nw FROM e), s AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, CASE WHEN max(struct_pack(a := ts, b := state)).b IN ('done', 'failed') THEN max(struct_pack(a := ts, b := state)).b ELSE 'timeout' END AS state, count(*) AS n FROM s GROUP BY job_id, run")
+def x4_sessions(spark, sf):
     state = F.when(F.col("event_id") % 5 == 0, "done").when(F.col("event_id") % 17 == 0, "failed").otherwise("running")
     e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), state.alias("state"), F.col("ts").cast("timestamp").alias("ts"))
     root = _place(spark, J.with_end(e, "ts"), "x4")
@@ -59,7 +87,7 @@ def x4(spark, sf):
 def x5(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"))
     r = table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("rtoken"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 MINUTES")).alias("rts"), F.col("event_type").alias("text"))
-    a, b = _place(spark, J.with_end(e, "ts"), "x5"), _place(spark, J.with_end(r, "rts"), "x5r")
+    a, b = _place(spark, J.with_end(e, "ts", token=-1), "x5"), _place(spark, J.with_end(r, "rts", rtoken=-2), "x5r")
     J.run_once(J.filled_placeholders(J.arrivals(spark, f"{a}/in", e.schema, 100), J.arrivals(spark, f"{b}/in", r.schema, 100)), f"{a}/out", f"{a}/ck")
     return spark.read.schema("token long, text string").parquet(f"{a}/out")
 
@@ -70,9 +98,5 @@ def x6(spark, sf):
     root = _place(spark, e.repartition(4, "event_id"), "x6")
     counts = J.arrivals(spark, f"{root}/in", e.schema, 100).groupBy("user_id").agg(F.count("*").alias("done"), F.max("event_id").alias("last"))
 
-    def each(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    J.run_once(counts, "", f"{root}/ck", "update", each)
-    out = spark.read.option("basePath", f"{root}/out").schema("user_id long, done long, last long, batch int").parquet(f"{root}/out")
-    return out.groupBy("user_id").agg(F.max_by("done", "batch").alias("done"), F.max_by("last", "batch").alias("last"))
+    J.run_once(counts, "", f"{root}/ck", "update", J.each_version(f"{root}/out"))
+    return J.newest(spark, f"{root}/out", "user_id long, done long, last long", ["user_id"])

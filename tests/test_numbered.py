@@ -16,4 +16,4 @@ def test_number_is_the_place_in_order(spark):
 
 def test_triage_numbers_inside_ranges(spark, sf_dir):
     plan = corpus.f2(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-    assert "row_number() windowspecdefinition(part" in plan
+    assert "row_number() windowspecdefinition(__part" in plan
