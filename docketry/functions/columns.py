@@ -92,3 +92,8 @@ def area(a: str) -> Column:
 
 def corner_distance(a: str, b: str) -> Column:
     return sum((F.abs(F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in ("y1", "x2", "y2")), F.abs(F.col(f"{a}x1") - F.col(f"{b}x1")))
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once a row, however often f names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.columns import let
+
 from . import boxes as B
 from . import metrics as M
 
@@ -95,92 +97,265 @@ def size_thresholds(found: DataFrame) -> DataFrame:
     return ranked.groupBy("doc_id").agg(*pick)
 
 
-def modal_gap(found: DataFrame, bucket: float = 1.5, fallback: float = 12.0) -> DataFrame:
-    """The commonest step between lines of each page."""
-    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
-    gaps = found.withColumn("gap", F.round((F.lag("y").over(by) - F.col("y")) / bucket) * bucket)
+def modal_gap(found: DataFrame, bucket: float = 1.5, fallback: float = 12.0, order: list[Column | str] | None = None) -> DataFrame:
+    """The commonest step down between lines of each page, in `order` (by falling y), the smaller of equals."""
+    by = Window.partitionBy(*PAGE).orderBy(*(order or [F.desc("y")]))
+    step = F.lag("y").over(by) - F.col("y")
+    gaps = found.withColumn("gap", F.when(step > 0, F.round(step / bucket) * bucket))
     counted = gaps.groupBy(*PAGE, "gap").agg(F.count("gap").alias("n"))
     return counted.groupBy(*PAGE).agg(F.coalesce(F.max_by(F.when(F.col("n") > 0, F.col("gap")), F.struct("n", -F.coalesce("gap", F.lit(0.0)))), F.lit(fallback)).alias("modal"))
 
 
-def paragraphs(found: DataFrame, modal: DataFrame, factor: float = 1.8) -> DataFrame:
-    """Lines to paragraphs (W12): a break at a step over factor * modal or a change of size; hyphens at line ends go."""
-    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
-    broken = (F.lag("y").over(by) - F.col("y") > factor * F.col("modal")) | (F.lag("font_size").over(by) != F.col("font_size"))
-    marked = found.join(modal, PAGE).withColumn("par", island(broken, by)).withColumn("top", -F.col("y"))
-    text = F.regexp_replace(F.regexp_replace(texts("top", "text", "\n"), r"-\n", ""), "\n", " ")
-    return marked.groupBy(*PAGE, "par").agg(F.count("*").alias("n_lines"), text.alias("text"))
+BULLET = r"^[•*‑\-◦‣⁃∙]\s+(.*)"
+NUMBERED = r"^([0-9]{1,3}[.)\]])\s+(.+)"
+
 
+def _at_share(value: Column, over: list[str], order: Column, share: float, few: Column) -> Column:
+    """The value at index floor(n * share) in `order` of a page, `few` where there are not more than two."""
+    rank = F.row_number().over(Window.partitionBy(*over).orderBy(order))
+    n = F.count("*").over(Window.partitionBy(*over))
+    return F.when(n > 2, F.when(rank == F.floor(n * share) + 1, value)).otherwise(few)
 
-def tail_merged(found: DataFrame, full: float = 0.9) -> DataFrame:
-    """Paragraphs by the tail rule: one ends after a line that does not fill the column."""
-    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
-    wide = found.withColumn("width", F.max("x2").over(Window.partitionBy(*PAGE)))
-    return wide.withColumn("par", island(F.lag(F.col("x2") < full * F.col("width")).over(by), by)).groupBy(*PAGE, "par").agg(F.count("*").alias("n_lines"))
 
+def paragraphs(found: DataFrame, modal: DataFrame, sizes: DataFrame, page_w: float, factor: float = 1.8) -> DataFrame:
+    """Lines to list items, headings, quotes and paragraphs (W12): doc_id, page, el, kind, level, n_lines, text.
 
-def gutters(words: DataFrame, bin_: float = 5.0, share: float = 0.25) -> DataFrame:
-    """Vertical gutters: runs of thinly covered x bins in the middle 70 % of a page."""
-    spread = words.select(*PAGE, F.explode(F.sequence(F.floor(F.col("x") / bin_), F.floor((F.col("x") + F.col("w") - 1) / bin_))).alias("bin")).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
+    found: doc_id, page, seq (reading order), x1, x2, y, font_size, is_bold, text; modal: W11's step of each page; sizes: W10's thresholds of each document.
+    A line with a bullet or a number of up to three digits is an item of its own. Its heading level comes from its size and weight; a bold short line
+    after a wide gap and before a line that isn't bold is a heading too; a heading whose run of equal sizes (to within .6) has over 115 characters is
+    a quote. A line joins the one before when both are body text of one size, the step is over 0, under 1.6 * modal (a break is over factor * modal), and their
+    left edges agree to within a tenth of the page; a hyphen before a small letter goes. A paragraph is a quote when its first line stands in from the page's usual margin by over .12 of the
+    column, on pages of more than three lines. The state that a line needs is that of the line before it, so everything is windows over the page.
+    """
+    by = Window.partitionBy(*PAGE).orderBy("seq")
     page = Window.partitionBy(*PAGE)
-    ranged = spread.withColumns({"most": F.max("n").over(page), "last": F.max("bin").over(page)})
-    thin = ranged.where((F.col("n") <= share * F.col("most")) & F.col("bin").between(0.15 * F.col("last"), 0.85 * F.col("last")))
-    g = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    return thin.withColumn("g", g).groupBy(*PAGE, "g").agg(F.min("bin").alias("first"), F.max("bin").alias("last")).where("last - first >= 2").drop("g")
+    rows = found.withColumn("t", F.trim("text")).where("t <> ''").join(modal, PAGE).join(sizes, "doc_id")
+    low, high = _at_share(F.col("x1"), PAGE, F.col("x1"), 0.2, F.min("x1").over(page)), _at_share(F.col("x2"), PAGE, F.desc("x2"), 0.2, F.lit(page_w))
+    rows = rows.withColumns({"low": low, "high": high, "run": island(F.abs(F.col("font_size") - F.lag("font_size").over(by)) >= 0.6, by)})
+    rows = rows.withColumns({"left": F.max("low").over(page), "right": F.max("high").over(page), "on_page": F.count("*").over(page), "chars": F.sum(F.length("t")).over(Window.partitionBy(*PAGE, "run"))})
+    column = F.when(F.col("right") > F.col("left"), F.col("right") - F.col("left")).otherwise(page_w)
+    gap = F.lag("y").over(by) - F.col("y")
+    size, bold = F.col("font_size"), F.col("is_bold")
+    level = F.when(size >= 0.97 * F.col("p95"), F.when(bold | ~(F.col("p95") > 1.1 * F.col("p85")), 3).otherwise(2)).when(size >= 0.97 * F.col("p85"), F.when(bold, 2).otherwise(1))
+    level = level.when((size > 1.2 * F.col("median")) | (bold & (size > 1.05 * F.col("median"))), 1).otherwise(0)
+    level = F.when(~bold & (size <= 1.05 * F.col("median")), 0).otherwise(level)
+    alone = bold & (F.length("t") < 80) & (F.coalesce(gap, 2 * F.col("modal")) > 1.3 * F.col("modal")) & ~F.coalesce(F.lead("is_bold").over(by), F.lit(False))
+    rows = rows.withColumns({"lv": F.when(level > 0, level).when(alone, 1).otherwise(0), "gap": gap, "in": (F.col("on_page") > 3) & (F.col("x1") - F.col("left") > 0.12 * column)})
+    item = F.regexp_like("t", F.lit(BULLET))
+    number = F.regexp_like("t", F.lit(NUMBERED)) & (F.length("t") < 200)
+    long = (F.col("lv") > 0) & (F.col("chars") > 115)
+    rows = rows.withColumn("kind", F.when(item, "item").when(number, "number").when((F.col("lv") > 0) & ~long, "heading").otherwise("text")).withColumn("quote", F.col("in") | long)
+    goes_on = (F.col("gap") <= factor * F.col("modal")) & (F.abs(size - F.lag("font_size").over(by)) < 0.6) & (F.col("gap") > 0) & (F.col("gap") < 1.6 * F.col("modal")) & (F.abs(F.col("x1") - F.lag("x1").over(by)) < 0.1 * page_w)
+    joins = F.coalesce((F.col("kind") == "text") & (F.lag("kind").over(by) == "text") & goes_on, F.lit(False))
+    mark = F.when(F.col("kind") == "item", F.concat(F.lit("- "), F.regexp_extract("t", BULLET, 1))).when(F.col("kind") == "number", F.concat_ws(" ", F.regexp_extract("t", NUMBERED, 1), F.regexp_extract("t", NUMBERED, 2)))
+    mark = mark.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), 4 - F.col("lv")), F.lit(" "), F.col("t"))).otherwise(F.col("t"))
+    marked = rows.withColumns({"el": island(~joins, by), "mark": mark})
+    first = F.min_by(F.struct("kind", "quote", "lv"), "seq")
+    text = F.regexp_replace(F.regexp_replace(texts("seq", "mark", "\n"), "-\n([a-z])", "$1"), "\n", " ")
+    out = marked.groupBy(*PAGE, "el").agg(first.alias("f"), F.count("*").alias("n_lines"), text.alias("body"))
+    kind = F.when((F.col("f.kind") == "text") & F.col("f.quote"), "quote").otherwise(F.col("f.kind"))
+    return out.select(*PAGE, "el", kind.alias("kind"), F.when(kind == "heading", F.col("f.lv")).otherwise(0).alias("level"), "n_lines", F.when(kind == "quote", F.concat(F.lit("> "), F.col("body"))).otherwise(F.col("body")).alias("text"))
+
+
+def merged_region(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of a region to paragraphs (W13), by one of two rules, chosen by the region's first line: keys, rule, par, n_lines.
+
+    found: keys, seq, x1, x2, h. When the first line stands in by more than its height, the head rule holds: after a line that begins a paragraph, one at the same left
+    edge (to within its height) begins another, and after a line that goes on, one at another edge does. So a line begins a paragraph just when
+    the number of changes of edge up to it is even, a running sum. Else the tail rule: one begins after a line that ends more than its height short of the region's width.
+    """
+    by, whole = Window.partitionBy(*keys).orderBy("seq"), Window.partitionBy(*keys)
+    rows = found.withColumns({"left": F.min("x1").over(whole), "width": F.max("x2").over(whole) - F.min("x1").over(whole)})
+    head = F.first(F.col("x1") - F.col("left") > F.col("h")).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    changes = island(F.abs(F.lag("x1").over(by) - F.col("x1")) >= F.col("h"), by)
+    short = F.lag(F.col("x2") - F.col("x1") < F.col("width") - F.col("h")).over(by)
+    ruled = rows.withColumns({"head": head, "changes": changes, "short": short})
+    begins = F.when(F.col("head"), F.col("changes") % 2 == 0).otherwise(F.coalesce("short", F.lit(False)))
+    begins = begins | (F.row_number().over(by) == 1)
+    return ruled.withColumn("par", island(begins, by)).groupBy(*keys, F.when(F.col("head"), "head").otherwise("tail").alias("rule"), "par").agg(F.count("*").alias("n_lines"))
+
+
+def math_regions(words: DataFrame, share: float = 0.25) -> DataFrame:
+    """Regions of formulas (W16): doc_id, page, n_lines, x1, x2, bottom, top. A word is math by its font, by a math, arrow, Greek or private-use
+    character, or as an operator; a line by over `share` of its characters. Math lines that follow each other are one region while they are less
+    than 3 heights apart; regions over 15 wide and 10 high count. Lines go by (y down, line_no)."""
+    t, font = F.trim("str"), F.lower("font_name")
+    signs = M.in_scripts(["math-ops", "arrows", "greek", "pua", "pua-supp"])
+    math = F.regexp_like(font, F.lit("math|cmsy|cmmi|symbol")) | F.regexp_like(t, F.lit(signs)) | t.isin("=", "+", "-", "±")
+    lines_ = words.groupBy(*PAGE, "line_no").agg(F.sum(F.length(t)).alias("chars"), F.sum(F.when(math, F.length(t)).otherwise(0)).alias("math"), F.min("x").alias("x1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max("y").alias("y"), F.max("h").alias("h"))
+    by = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "line_no")
+    rows = lines_.withColumn("is_math", (F.col("chars") > 0) & (F.col("math") > share * F.col("chars")))
+    apart = ~F.lag("is_math").over(by) | (F.greatest(F.lit(0.0), F.lag("y").over(by) - F.col("y") - F.col("h")) >= 3 * F.col("h"))
+    regions = rows.withColumn("region", island(~F.col("is_math") | apart, by)).where("is_math").groupBy(*PAGE, "region")
+    out = regions.agg(F.count("*").alias("n_lines"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y").alias("bottom"), F.max(F.col("y") + F.col("h")).alias("top"))
+    return out.where("x2 - x1 > 15 and top - bottom > 10").drop("region")
+
+
+def _coverage(words: DataFrame, page_w: int) -> DataFrame:
+    """doc_id, page, x, upto, n: how many words cover each stretch of whole x of a page. Words over half the page wide don't count. A word adds one where it starts and
+    takes it back past its end; a running sum over these places is the coverage, whatever their widths."""
+    start = F.greatest(F.lit(0), F.floor("x")).cast("long")
+    end = F.least(F.lit(page_w - 1), F.ceil(F.col("x") + F.col("w"))).cast("long")
+    counted = words.where(F.col("w") <= 0.5 * page_w).withColumns({"s": start, "e": end}).where("e >= s")
+    steps = counted.select(*PAGE, F.explode(F.array(F.struct(F.col("s").alias("x"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("x"), F.lit(-1).alias("d")))).alias("p"))
+    edges = words.select(*PAGE).distinct().select(*PAGE, F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(0).alias("d")) for x in (0, page_w)])).alias("p"))
+    places = steps.unionByName(edges).groupBy(*PAGE, "p.x").agg(F.sum("p.d").alias("d"))
+    by = Window.partitionBy(*PAGE).orderBy("x")
+    return places.select(*PAGE, "x", F.lead("x").over(by).alias("upto"), F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n")).where("upto is not null")
+
+
+def gutters(words: DataFrame, page_w: int, least: int = 12, share: float = 0.25, noise: int = 10) -> DataFrame:
+    """Vertical gutters of a page, widest first (W17): doc_id, page, place, x (their middle), width. Runs of `least` or more in the middle 70 % of the page that at most
+    max(noise, share of the largest coverage) words cross; pages of under five words have none."""
+    enough = words.groupBy(*PAGE).agg(F.count("*").alias("words")).where("words >= 5").select(*PAGE)
+    page = Window.partitionBy(*PAGE)
+    covered = _coverage(words, page_w).join(enough, PAGE, "left_semi").withColumn("thin", F.col("n") <= F.greatest(F.lit(noise), F.floor(share * F.max("n").over(page))))
+    low, high = int(page_w * 0.15), int(page_w * 0.85) + 1
+    inside = covered.select(*PAGE, F.greatest("x", F.lit(low)).alias("x"), F.least("upto", F.lit(high)).alias("upto"), "thin").where("upto > x")
+    by = Window.partitionBy(*PAGE).orderBy("x")
+    runs = inside.withColumn("run", island(F.col("thin") != F.lag("thin").over(by), by)).where("thin").groupBy(*PAGE, "run").agg(F.min("x").alias("start"), F.max("upto").alias("end"))
+    wide = runs.where(F.col("end") - F.col("start") >= least).select(*PAGE, ((F.col("start") + F.col("end")) / 2).alias("x"), (F.col("end") - F.col("start")).alias("width"))
+    return wide.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("width"), "x")))
+
+
+def page_classes(words: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """Layout class of each page (W17, second half): doc_id, page, layout, n_gutters, gutter (its x, on pages of two columns). Pages wider than 1.05 times their
+    height are landscape; else no gutter is a single column, one is columns, more are a grid; pages of under five words are single columns."""
+    n = words.groupBy(*PAGE).agg(F.count("*").alias("words"))
+    found = gutters(words, page_w).groupBy(*PAGE).agg(F.count("*").alias("g"), F.min_by("x", "place").alias("gx"))
+    both = n.join(found, PAGE, "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    layout = F.when(F.col("words") < 5, "single").when(F.lit(page_w > page_h * 1.05), "landscape").when(F.col("g") > 1, "grid").when(F.col("g") == 1, "columns").otherwise("single")
+    return both.select(*PAGE, layout.alias("layout"), F.col("g").alias("n_gutters"), F.when(layout == "columns", F.col("gx")).alias("gutter"))
+
+
+def as_boxes(found: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Lines as boxes of one image a page, or a region of it that `within` names; y grows downwards."""
+    return found.select(F.xxhash64(*PAGE, *within).alias("image_id"), *PAGE, (F.col("row").cast("long") * (1 << 20) + F.col("part")).alias("box_id"), "x1", (-F.col("y")).alias("y1"), "x2", (F.col("h") - F.col("y")).alias("y2"))
+
+
+def blocks(found: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Lines to blocks (W5): components of lines (x1, x2, y, h) that overlap in y, or of which the lower lies from half its height over to 2.5 of its heights under the
+    other, and that share more than 30 % of the narrower width or have both edges within 20 of each other. Lines of different regions (`within`, columns of found) never meet."""
+    lines_ = as_boxes(found, within)
+    near = lines_.withColumns({"y1": F.col("y1") - 1.25 * (F.col("y2") - F.col("y1")), "y2": F.col("y2") + 1.25 * (F.col("y2") - F.col("y1")), "x1": F.col("x1") - 10, "x2": F.col("x2") + 10, "u1": F.col("x1"), "u2": F.col("x2"), "top": F.col("y1"), "foot": F.col("y2")})
+    tall = near.select(F.max(F.col("foot") - F.col("top")), F.min(F.col("foot") - F.col("top"))).first()
+    if tall[0] is not None and tall[0] > tall[1]:  # heights differ: reach as far as the tallest line asks
+        near = near.withColumns({"y1": F.col("top") - 1.25 * tall[0], "y2": F.col("foot") + 1.25 * tall[0]})
+    upper = F.struct("a_top", "a_box_id") < F.struct("b_top", "b_box_id")
+    height, gap = F.col("b_foot") - F.col("b_top"), F.col("b_top") - F.col("a_foot")
+    shared = F.least("a_u2", "b_u2") - F.greatest("a_u1", "b_u1")
+    beside = (F.abs(F.col("a_u1") - F.col("b_u1")) < 20) & (F.abs(F.col("a_u2") - F.col("b_u2")) < 20)
+    reach = (gap < 0) & (F.col("a_top") < F.col("b_foot")) | gap.between(-0.5 * height, 2.5 * height) & (gap < 2.5 * height)
+    pairs = B.overlapping(near, near).where(upper & reach & ((shared > 0.3 * F.least(F.col("a_u2") - F.col("a_u1"), F.col("b_u2") - F.col("b_u1"))) | beside))
+    part = B.components(pairs.select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")), ["image_id"]).withColumnRenamed("id", "box_id")
+    named = lines_.join(part, ["image_id", "box_id"], "left")
+    return named.groupBy(F.xxhash64(*PAGE).alias("image_id"), *PAGE, F.coalesce("component", "box_id").alias("box_id")).agg(F.count("*").alias("n_lines"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def as_boxes(found: DataFrame) -> DataFrame:
-    """Lines as boxes of one image a page."""
-    return found.select(F.xxhash64(*PAGE).alias("image_id"), *PAGE, (F.col("row").cast("long") * (1 << 20) + F.col("part")).alias("box_id"), "x1", (-F.col("y")).alias("y1"), "x2", (F.col("h") - F.col("y")).alias("y2"))
+def _shared_x(a: Column, b: Column, most: float, share: float) -> Column:
+    """Boxes share more of x than the lesser of `most` and a share of the narrower width."""
+    narrow = F.least(a["x2"] - a["x1"], b["x2"] - b["x1"])
+    return F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) > F.least(F.lit(most), share * narrow)
 
 
-def blocks(found: DataFrame) -> DataFrame:
-    """Lines to blocks (W5): components of lines under 2.5 h apart that share more than 30 % of the narrower width."""
-    lines_ = as_boxes(found)
-    near = lines_.withColumns({"y1": F.col("y1") - 12.5, "y2": F.col("y2") + 12.5})
-    shared = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")
-    pairs = B.overlapping(near, near).where(F.col("a_box_id") < F.col("b_box_id")).where(shared > 0.3 * F.least(F.col("a_x2") - F.col("a_x1"), F.col("b_x2") - F.col("b_x1")))
-    part = B.components(pairs.select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")), ["image_id"]).withColumnRenamed("id", "box_id")
-    named = lines_.join(part, ["image_id", "box_id"], "left")
-    return named.groupBy("image_id", *PAGE, F.coalesce("component", "box_id").alias("box_id")).agg(F.count("*").alias("n_lines"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-
-
-def layered(found: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Reading order of blocks (T6): a block's layer is the longest chain of blocks above it that share x. One round
-    settles every block whose layer has stopped growing. Fails loudly when `rounds` do not suffice."""
-    b = B.cut(found, "layers")
-    wide = b.select("image_id", "box_id", "x1", F.lit(0.0).alias("y1"), "x2", F.lit(1.0).alias("y2"), F.col("y1").alias("top"), F.col("y2").alias("foot"))
-    over = (F.col("a_foot") <= F.col("b_top")) & (F.struct("a_top", "a_foot", "a_box_id") < F.struct("b_top", "b_foot", "b_box_id"))  # all share a band in y, so only x decides who meets
-    above = B.cut(B.overlapping(wide, wide, 512.0).where(over).select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")), "layers")
-    state = B.cut(b.select("image_id", "box_id", F.lit(0).alias("layer")), "layers")
-    for _ in range(rounds):
-        up = above.join(state.withColumnsRenamed({"box_id": "a", "layer": "la"}), ["image_id", "a"]).groupBy("image_id", F.col("b").alias("box_id")).agg((F.max("la") + 1).alias("next"))
-        new = B.cut(state.join(up, ["image_id", "box_id"], "left").select("image_id", "box_id", F.coalesce("next", F.lit(0)).alias("layer"), (F.coalesce("next", F.lit(0)) != F.col("layer")).alias("moved")), "layers")
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return b.join(state, ["image_id", "box_id"]).withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("layer", "x1", "y1", "box_id")))
-    raise RuntimeError(f"layers did not settle in {rounds} rounds")
-
-
-def xy_cut(found: DataFrame, depth: int = 60, least: int = 5, gap: float = 12.0) -> DataFrame:
-    """Recursive X-Y cut, all pages level by level (W18): a block of `least` lines or more is cut at its widest
-    gap of `gap` or more, in y or x; ends when nothing is cut, and fails loudly when `depth` levels do not suffice."""
-    now = B.cut(as_boxes(found).withColumn("block", F.lit(1).cast("long")), "xycut")
+def _comes_first(a: Column, b: Column) -> Column:
+    """Block a goes out before b where both could: the left one of two that share no x, or that begin within 15 of each other; else the upper one."""
+    return F.when(~_shared_x(a, b, 15.0, 0.15) | (F.abs(a["y1"] - b["y1"]) < 15), a["x1"] < b["x1"]).otherwise(a["y1"] < b["y1"])
+
+
+def reading_order(found: DataFrame) -> DataFrame:
+    """Place of each block (image_id, doc_id, page, box_id, x1, y1, x2, y2; y grows downwards) in the reading order of its page.
+
+    a goes before b when it is above it (to within 10) and shares x, or left of it (to within 20) and shares y (to within 20). Blocks go out one by one: of those with
+    none left before them the one that `_comes_first` (looked for from the top, as that rule is no total order); when all that are left wait for each other, they follow as they stand, from the top.
+    A page's blocks are one row's array; what is before what is a table of flags in it, and the blocks go out in a fold over it that keeps how many each still waits for.
+    """
+    packed = found.groupBy("image_id", *PAGE).agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "box_id", "x2", "y2"))).alias("b"))
+
+    def before(a: Column, b: Column) -> Column:
+        above = (a["y2"] <= b["y1"] + 10) & _shared_x(a, b, 10.0, 0.1)
+        return above | ((a["x2"] <= b["x1"] + 20) & (F.greatest(a["y1"], b["y1"]) < F.least(a["y2"], b["y2"]) + 20))
+
+    def order(b: Column) -> Column:
+        n = F.size(b)
+        edges = F.transform(b, lambda x, i: F.transform(b, lambda y, j: (i != j) & before(x, y)))
+        return let(edges, lambda m: fold(b, n, m))
+
+    def fold(b: Column, n: Column, m: Column) -> Column:
+        every = F.sequence(F.lit(0), n - 1)
+        waits = F.transform(every, lambda j: F.aggregate(m, F.lit(0), lambda s, row: s + F.get(row, j).cast("int")))
+        none = F.array().cast("array<int>")
+        start = F.struct(none.alias("out"), every.alias("left"), waits.alias("waits"))
+
+        def step(s: Column, _: Column) -> Column:
+            ready = F.filter(s["left"], lambda j: F.get(s["waits"], j) == 0)
+            stuck = F.struct(F.concat(s["out"], s["left"]).alias("out"), none.alias("left"), s["waits"].alias("waits"))
+
+            def take(r: Column) -> Column:
+                best = F.aggregate(r, F.get(r, F.lit(0)), lambda p, j: F.when(_comes_first(F.get(b, j), F.get(b, p)), j).otherwise(p))
+                gone = lambda i: F.struct(F.concat(s["out"], F.array(i)).alias("out"), F.array_remove(s["left"], i).alias("left"), F.zip_with(s["waits"], F.get(m, i), lambda w, e: w - e.cast("int")).alias("waits"))
+                return F.when(F.size(r) == 0, stuck).otherwise(let(best, gone))
+
+            return let(ready, take)
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["out"], lambda i: F.get(b, i)))
+
+    placed = packed.select("image_id", *PAGE, F.posexplode(let(F.col("b"), order)).alias("place", "r"))
+    return placed.select("image_id", *PAGE, (F.col("place") + 1).alias("place"), *[F.col("r").getField(c).alias(c) for c in ("box_id", "x1", "y1", "x2", "y2")])
+
+
+def xy_cut(items: DataFrame, depth: int = 10, least: int = 5) -> DataFrame:
+    """Recursive X-Y cut (W18), all pages level by level: items (doc_id, page, item, x, y, w, h, str; y grows upwards) with `block`, a string of 1, 2 and 3 in whose
+    order the blocks are read.
+
+    A block of `least` items or more is looked at, up to `depth` levels under the page. Gaps are those between the merged intervals (to within 2) of its structural items: not blank, 2 or more in both sizes, under
+    .9 of the block's width, up to 1.5 of its median height and not across its middle; of all its items that aren't blank where none is. The best gap in x has the largest size,
+    which on blocks over 300 wide counts less the farther it lies from the middle, squared; in y the largest size. The x gap is taken when it is the larger and 5 or more, else the y gap from 4 on,
+    else the x gap from 5 on. Items over .55 of the block's width that an x cut crosses are a third group, read last; others go by their centres. A cut
+    that leaves a side empty is none. Levels are at most depth + 1, whatever the data.
+    """
+    keys = [*PAGE, "block"]
+    now = B.cut(items.select(*PAGE, "item", "x", "y", "w", "h", (F.trim(F.coalesce("str", F.lit(""))) == "").alias("blank"), F.lit("").alias("block")), "xycut")
+    done = []
+    by = Window.partitionBy(*keys)
     for _ in range(depth + 1):
-        n = Window.partitionBy("image_id", "block")
-        sized = now.withColumn("n", F.count("*").over(n))
-        cuts = None
-        for axis in ("x", "y"):
-            by = Window.partitionBy("image_id", "block").orderBy(f"{axis}1", "box_id")
-            reach = F.max(f"{axis}2").over(by.rowsBetween(Window.unboundedPreceding, -1))
-            one = sized.where(F.col("n") >= least).withColumn("width", F.col(f"{axis}1") - reach).where(F.col("width") >= gap).select("image_id", "block", F.lit(axis).alias("axis"), "width", F.col(f"{axis}1").alias("at"))
-            cuts = one if cuts is None else cuts.union(one)
-        best = B.cut(cuts.groupBy("image_id", "block").agg(F.max_by(F.struct("axis", "at"), F.struct("width", "axis", -F.col("at"))).alias("c")), "xycut")
-        if best.isEmpty():
-            return now
-        side = F.when(F.col("c.axis") == "x", F.col("x1") >= F.col("c.at")).otherwise(F.col("y1") >= F.col("c.at"))
-        now = B.cut(now.join(best, ["image_id", "block"], "left").withColumn("block", F.when(F.col("c").isNull(), F.col("block")).otherwise(F.col("block") * 2 + side.cast("long"))).drop("c"), "xycut")
-    raise RuntimeError(f"cuts did not end in {depth} levels")
+        right = F.col("x") + F.col("w")
+        s = now.withColumns({"n": F.count("*").over(by), "valid": ~F.col("blank") & (F.col("w") >= 2) & (F.col("h") >= 2)})
+        s = s.withColumns({"b1": F.min(F.when(F.col("valid"), F.col("x"))).over(by), "b2": F.max(F.when(F.col("valid"), right)).over(by), "nv": F.count_if("valid").over(by), "rank": F.row_number().over(by.orderBy(F.desc("valid"), "h"))})
+        s = s.withColumns({"bw": F.col("b2") - F.col("b1"), "tall": F.max(F.when(F.col("valid") & (F.col("rank") == F.floor(F.col("nv") / 2) + 1), F.col("h"))).over(by)})
+        middle = F.col("b1") + F.col("bw") / 2
+        plain = F.col("valid") & (F.col("w") < 0.9 * F.col("bw")) & (F.col("h") <= 1.5 * F.col("tall")) & ~((F.col("x") <= middle - 10) & (right >= middle + 10))
+        s = s.withColumn("plain", plain).withColumn("used", F.when(F.count_if("plain").over(by) > 0, F.col("plain")).otherwise(F.col("valid")))
+        gaps = {}
+        for axis, size in (("x", "w"), ("y", "h")):
+            reach = F.max(F.when(F.col("used"), F.col(axis) + F.col(size))).over(by.orderBy(axis, "item").rowsBetween(Window.unboundedPreceding, -1))
+            gaps[axis] = F.when(F.col("used") & (F.col(axis) > reach + 2), F.struct(reach.alias("start"), F.col(axis).alias("end"), (F.col(axis) - reach).alias("size")))
+        s = s.where(F.col("n") >= least).withColumns({"gx": gaps["x"], "gy": gaps["y"]})
+        off = F.abs((F.col("gx.start") + F.col("gx.end")) / 2 - middle) / (F.col("bw") / 2)
+        near = 1 - F.least(off, F.lit(1.0))
+        score = F.when(F.col("bw") > 300, F.col("gx.size") * near * near).otherwise(F.col("gx.size"))
+        best = s.groupBy(*keys).agg(
+            F.first("bw").alias("bw"), F.max_by("gx", F.when(F.col("gx").isNotNull(), F.struct(score, -F.col("gx.start")))).alias("gx"), F.max_by("gy", F.when(F.col("gy").isNotNull(), F.struct(F.col("gy.size"), -F.col("gy.start")))).alias("gy")
+        )
+        x, y = F.coalesce("gx.size", F.lit(-1.0)), F.coalesce("gy.size", F.lit(-1.0))
+        axis = F.when((x > y) & (x >= 5), "x").when(y >= 4, "y").when(x >= 5, "x")
+        at = F.when(F.col("axis") == "x", (F.col("gx.start") + F.col("gx.end")) / 2).otherwise((F.col("gy.start") + F.col("gy.end")) / 2)
+        cuts = best.withColumn("axis", axis).where("axis is not null").select(*keys, "axis", at.alias("at"), "bw")
+        side = F.when((F.col("axis") == "x") & (F.col("w") > 0.55 * F.col("bw")) & (F.col("x") < F.col("at")) & (right > F.col("at")), "3")
+        side = side.when(F.col("axis") == "x", F.when(F.col("x") + F.col("w") / 2 < F.col("at"), "1").otherwise("2")).when(F.col("axis") == "y", F.when(F.col("y") + F.col("h") / 2 > F.col("at"), "1").otherwise("2"))
+        sided = now.join(cuts, keys, "left").withColumn("side", side)
+        both = (F.count_if(F.col("side") == "1").over(by) > 0) & (F.count_if(F.col("side") == "2").over(by) > 0)
+        new = B.cut(sided.withColumn("both", both).select(*PAGE, "item", "x", "y", "w", "h", "blank", F.when(F.col("both"), F.concat("block", "side")).otherwise(F.col("block")).alias("block"), "both"), "xycut")
+        done.append(new.where("not both").drop("both"))
+        now = new.where("both").drop("both")
+        if now.isEmpty():
+            break
+    else:
+        done.append(now)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*PAGE, "item", "block")
 
 
 SIGNALS = [("border", 1.0), ("vector", 0.95), ("pattern", 0.9), ("gap", 0.85), ("ratio", 0.8), ("aligned", 0.7)]

@@ -29,19 +29,61 @@ def w4(spark, sf):
     return lines(spark, sf).select("doc_id", "page", "y", "x1", "x2", F.md5("text").alias("digest"), "n")
 
 
+PAGE_W, PAGE_H = 560, 842
+#: words set on pages of PAGE_W: the first line across, the rest of even documents in two columns of 240, of odd ones in one of 500; a wider step after every twelfth line
+DUCK["set_raw"] = """SELECT *, CASE WHEN line_no = 0 OR doc_id % 2 = 1 THEN 500 ELSE 240 END AS wide, CAST(floor(x / CASE WHEN line_no = 0 OR doc_id % 2 = 1 THEN 500 ELSE 240 END) AS BIGINT) AS sub FROM word_items"""
+NEEDS["set_raw"] = ["word_items"]
+DUCK["set_place"] = """SELECT doc_id, page, line_no, sub, row_number() OVER (PARTITION BY doc_id, page, line_no = 0 ORDER BY line_no, sub) - 1 AS idx, count(*) FILTER (WHERE line_no > 0) OVER p AS body, count(*) FILTER (WHERE line_no = 0) OVER p AS titles, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, sub) AS seq FROM (SELECT DISTINCT doc_id, page, line_no, sub FROM set_raw) q WINDOW p AS (PARTITION BY doc_id, page)"""
+NEEDS["set_place"] = ["set_raw"]
+_COL = "CASE WHEN line_no > 0 AND doc_id % 2 = 0 AND idx >= (body + 1) // 2 THEN 1 ELSE 0 END"
+DUCK["set_words"] = f"""SELECT doc_id, page, line_no, sub, CAST(seq AS INTEGER) AS seq, k, str, {_COL} AS col, x - sub * wide + 300 * {_COL} AS x, CAST(800 - 14 * (CASE WHEN line_no = 0 THEN idx ELSE titles + idx - (body + 1) // 2 * {_COL} END) - 40 * (line_no // 12) AS DOUBLE) AS y, w, h, font_size FROM set_raw JOIN set_place USING (doc_id, page, line_no, sub)"""
+NEEDS["set_words"] = ["set_raw", "set_place"]
+DUCK["set_lines"] = """SELECT doc_id, page, line_no, sub, seq, any_value(col) AS col, min(x) AS x1, max(x + w) AS x2, any_value(y) AS y, any_value(h) AS h, any_value(font_size) AS font_size, string_agg(str, ' ' ORDER BY k) AS text FROM set_words GROUP BY 1, 2, 3, 4, 5"""
+NEEDS["set_lines"] = ["set_words"]
+
+
+def set_words(spark, sf):
+    """The words of `word_items` on pages of two columns (even documents) or one, under a title line."""
+    no, odd = F.col("line_no"), F.col("doc_id") % 2 == 1
+    wide = F.when((no == 0) | odd, 500).otherwise(240)
+    raw = words(spark, sf).withColumn("wide", wide).withColumn("sub", F.floor(F.col("x") / F.col("wide")))
+    page, by = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "page", F.col("line_no") == 0).orderBy("line_no", "sub")
+    spots = raw.select("doc_id", "page", "line_no", "sub").distinct().withColumns({"idx": F.row_number().over(by) - 1, "body": F.count_if(no > 0).over(page), "titles": F.count_if(no == 0).over(page), "seq": F.row_number().over(page.orderBy("line_no", "sub"))})
+    half = F.floor((F.col("body") + 1) / 2)
+    spots = spots.withColumn("col", F.when((no > 0) & ~odd & (F.col("idx") >= half), 1).otherwise(0))
+    down = F.when(no == 0, F.col("idx")).otherwise(F.col("titles") + F.col("idx") - half * F.col("col"))
+    set_ = raw.join(spots, ["doc_id", "page", "line_no", "sub"])
+    x = F.col("x") - F.col("sub") * F.col("wide") + 300 * F.col("col")
+    return set_.select("doc_id", "page", "line_no", "sub", "seq", "k", "str", "col", x.alias("x"), (800 - 14 * down - 40 * F.floor(no / 12)).cast("double").alias("y"), "w", "h", "font_size")
+
+
+def set_lines(spark, sf):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "str"))), lambda w: w["str"]), " ")
+    return set_words(spark, sf).groupBy("doc_id", "page", "line_no", "sub", "seq").agg(F.first("col").alias("col"), F.min("x").alias("x1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.first("y").alias("y"), F.first("h").alias("h"), F.first("font_size").alias("font_size"), text.alias("text"))
+
+
+def _as_found(lines_):
+    return lines_.select("doc_id", "page", "col", (F.col("line_no") == 0).alias("title"), F.col("seq").alias("row"), F.lit(0).alias("part"), "y", "x1", "x2", "h", "font_size", "text")
+
+
 @register("w5_blocks")
 def w5(spark, sf):
-    return L.blocks(lines(spark, sf)).select("doc_id", "page", "n_lines", "x1", "y1", "x2", "y2")
+    return L.blocks(_as_found(set_lines(spark, sf)), ("col", "title")).select("doc_id", "page", "n_lines", "x1", "y1", "x2", "y2")
 
 
-@register("t6_layers")
+@register("t6_reading_order")
 def t6(spark, sf):
-    return L.layered(L.blocks(lines(spark, sf))).select("doc_id", "page", "layer", "place", "x1", "y1")
+    return L.reading_order(L.blocks(_as_found(set_lines(spark, sf)), ("col", "title"))).select("doc_id", "page", "place", "x1", "y1", "x2", "y2")
+
+
+def set_items(spark, sf):
+    """Lines of set pages as the items of a cut."""
+    return set_lines(spark, sf).select("doc_id", "page", F.col("seq").alias("item"), F.col("x1").alias("x"), "y", (F.col("x2") - F.col("x1")).alias("w"), "h", F.col("text").alias("str"))
 
 
 @register("w18_xy_cut")
 def w18(spark, sf):
-    return L.xy_cut(lines(spark, sf)).groupBy("doc_id", "page", "block").agg(F.count("*").alias("n_lines"))
+    return L.xy_cut(set_items(spark, sf))
 
 
 @register("w7_column_clusters", duck("word_items", "SELECT doc_id, page, round(avg(x), 6) AS at_x, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) >= 12 THEN 1 ELSE 0 END AS nw FROM (SELECT DISTINCT doc_id, page, x FROM word_items) a) b) c GROUP BY doc_id, page, g"))
@@ -103,15 +145,53 @@ def w11(spark, sf):
     return L.modal_gap(lines(spark, sf))
 
 
-@register("w12_paragraphs", duck("lines", f"WITH {_GAP}, b AS (SELECT l.*, CASE WHEN lag(y) OVER p - y > 1.8 * modal OR lag(font_size) OVER p <> font_size THEN 1 ELSE 0 END AS nw FROM lines l JOIN mo USING (doc_id, page) {_W}), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS par FROM b) SELECT doc_id, page, CAST(par AS BIGINT) AS par, count(*) AS n_lines, md5(replace(replace(string_agg(text, chr(10) ORDER BY y DESC), '-' || chr(10), ''), chr(10), ' ')) AS digest FROM s GROUP BY 1, 2, 3"))
+#: list marks, bold lines and indents planted by rule
+_MARKED = """ml AS (SELECT doc_id, page, seq, x1 + CASE WHEN line_no % 9 = 2 THEN 80 ELSE 0 END AS x1, x2, y, font_size, line_no % 15 = 6 AND sub = 0 AS is_bold,
+  trim(CASE WHEN sub = 0 AND line_no % 11 = 4 THEN concat('- ', text) WHEN sub = 0 AND line_no % 13 = 5 THEN concat(line_no, '. ', text) WHEN line_no % 6 = 1 AND sub = 0 THEN concat(text, '-') ELSE text END) AS t FROM set_lines)"""
+_W12_SQL = rf"""WITH {_MARKED},
+mg AS (SELECT doc_id, page, gap, count(gap) AS n FROM (SELECT doc_id, page, CASE WHEN st > 0 THEN round(st / 1.5) * 1.5 END AS gap FROM (SELECT doc_id, page, lag(y) OVER (PARTITION BY doc_id, page ORDER BY seq) - y AS st FROM ml) a) b GROUP BY 1, 2, 3),
+mo AS (SELECT doc_id, page, coalesce(arg_max(gap, n * 100000 - gap) FILTER (WHERE n > 0), 12.0) AS modal FROM mg GROUP BY 1, 2),
+sz AS (SELECT doc_id, max(CASE WHEN rn = floor(n * 0.5) + 1 THEN font_size END) AS median, max(CASE WHEN rn = floor(n * 0.85) + 1 THEN font_size END) AS p85, max(CASE WHEN rn = floor(n * 0.95) + 1 THEN font_size END) AS p95 FROM (SELECT doc_id, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM ml) q GROUP BY 1),
+pg AS (SELECT doc_id, page, count(*) AS n, CASE WHEN count(*) > 2 THEN list_sort(list(x1))[CAST(floor(count(*) * 0.2) AS BIGINT) + 1] ELSE min(x1) END AS lf, CASE WHEN count(*) > 2 THEN list_reverse_sort(list(x2))[CAST(floor(count(*) * 0.2) AS BIGINT) + 1] ELSE 560 END AS rt FROM ml WHERE t <> '' GROUP BY 1, 2),
+a1 AS (SELECT ml.*, modal, median, p85, p95, pg.n, lf, rt, sum(CASE WHEN abs(font_size - pf) >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY ml.doc_id, ml.page ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run, py - y AS gap, pf, px, nb FROM (SELECT *, lag(font_size) OVER o AS pf, lag(y) OVER o AS py, lag(x1) OVER o AS px, lead(is_bold) OVER o AS nb FROM ml WHERE t <> '' WINDOW o AS (PARTITION BY doc_id, page ORDER BY seq)) ml JOIN mo USING (doc_id, page) JOIN sz USING (doc_id) JOIN pg USING (doc_id, page)),
+a2 AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id, page, run) AS chars, CASE WHEN NOT is_bold AND font_size <= 1.05 * median THEN 0 WHEN font_size >= 0.97 * p95 THEN CASE WHEN is_bold OR p95 <= 1.1 * p85 THEN 3 ELSE 2 END WHEN font_size >= 0.97 * p85 THEN CASE WHEN is_bold THEN 2 ELSE 1 END WHEN font_size > 1.2 * median OR (is_bold AND font_size > 1.05 * median) THEN 1 ELSE 0 END AS l0 FROM a1),
+a3 AS (SELECT *, CASE WHEN l0 > 0 THEN l0 WHEN is_bold AND length(t) < 80 AND coalesce(gap, 2 * modal) > 1.3 * modal AND NOT coalesce(nb, false) THEN 1 ELSE 0 END AS lv, n > 3 AND x1 - lf > 0.12 * CASE WHEN rt > lf THEN rt - lf ELSE 560 END AS ind FROM a2),
+a4 AS (SELECT *, CASE WHEN regexp_matches(t, '^[•*‑\-◦‣⁃∙]\s+(.*)') THEN 'item' WHEN regexp_matches(t, '^([0-9]{{1,3}}[.)\]])\s+(.+)') AND length(t) < 200 THEN 'number' WHEN lv > 0 AND chars <= 115 THEN 'heading' ELSE 'text' END AS kind, ind OR (lv > 0 AND chars > 115) AS quote FROM a3),
+a5 AS (SELECT *, CASE WHEN kind = 'text' AND lag(kind) OVER (PARTITION BY doc_id, page ORDER BY seq) = 'text' AND gap <= 1.8 * modal AND abs(font_size - pf) < 0.6 AND gap > 0 AND gap < 1.6 * modal AND abs(x1 - px) < 56 THEN 0 ELSE 1 END AS nw,
+  CASE kind WHEN 'item' THEN concat('- ', regexp_extract(t, '^[•*‑\-◦‣⁃∙]\s+(.*)', 1)) WHEN 'number' THEN concat(regexp_extract(t, '^([0-9]{{1,3}}[.)\]])\s+(.+)', 1), ' ', regexp_extract(t, '^([0-9]{{1,3}}[.)\]])\s+(.+)', 2)) WHEN 'heading' THEN concat(repeat('#', 4 - lv), ' ', t) ELSE t END AS mark FROM a4),
+a6 AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY seq ROWS UNBOUNDED PRECEDING) AS el FROM a5),
+a7 AS (SELECT doc_id, page, el, arg_min(kind, seq) AS k0, arg_min(quote, seq) AS q0, arg_min(lv, seq) AS l0, count(*) AS n_lines, replace(regexp_replace(string_agg(mark, chr(10) ORDER BY seq), '-\n([a-z])', '\1', 'g'), chr(10), ' ') AS body FROM a6 GROUP BY 1, 2, 3)
+SELECT doc_id, page, CAST(el AS BIGINT) AS el, CASE WHEN k0 = 'text' AND q0 THEN 'quote' ELSE k0 END AS kind, CASE WHEN k0 = 'heading' THEN l0 ELSE 0 END AS level, n_lines, md5(CASE WHEN k0 = 'text' AND q0 THEN concat('> ', body) ELSE body END) AS digest FROM a7"""
+
+
+def _marked(spark, sf):
+    no, first = F.col("line_no"), F.col("sub") == 0
+    t = F.when(first & (no % 11 == 4), F.concat(F.lit("- "), "text")).when(first & (no % 13 == 5), F.concat(no.cast("string"), F.lit(". "), "text")).when(first & (no % 6 == 1), F.concat("text", F.lit("-"))).otherwise(F.col("text"))
+    x1 = F.col("x1") + F.when(no % 9 == 2, 80).otherwise(0)
+    return set_lines(spark, sf).select("doc_id", "page", "seq", x1.alias("x1"), "x2", "y", "font_size", ((no % 15 == 6) & first).alias("is_bold"), t.alias("text"))
+
+
+@register("w12_paragraphs", duck("set_lines", _W12_SQL))
 def w12(spark, sf):
-    l = lines(spark, sf)
-    return L.paragraphs(l, L.modal_gap(l)).select("doc_id", "page", "par", "n_lines", F.md5("text").alias("digest"))
+    l = _marked(spark, sf)
+    found = L.paragraphs(l, L.modal_gap(l, order=["seq"]), L.size_thresholds(l), PAGE_W)
+    return found.select("doc_id", "page", "el", "kind", "level", "n_lines", F.md5("text").alias("digest"))
+
+
+_W13_SQL = """WITH r0 AS (SELECT doc_id, page, col, line_no = 0 AS title, seq, x2, h, CASE WHEN doc_id % 4 < 2 AND line_no % 4 = 1 AND sub = 0 THEN x1 + 20 ELSE x1 END AS x1 FROM set_lines),
+r1 AS (SELECT *, min(x1) OVER p AS lf, max(x2) OVER p - min(x1) OVER p AS wd FROM r0 WINDOW p AS (PARTITION BY doc_id, page, col, title)),
+r2 AS (SELECT *, first_value(x1 - lf > h) OVER o AS head, sum(CASE WHEN abs(px - x1) >= h THEN 1 ELSE 0 END) OVER o AS changes, coalesce(px2 - px < wd - ph, true) AS short, px IS NULL AS opens FROM (SELECT *, lag(x1) OVER o AS px, lag(x2) OVER o AS px2, lag(h) OVER o AS ph FROM r1 WINDOW o AS (PARTITION BY doc_id, page, col, title ORDER BY seq)) q WINDOW o AS (PARTITION BY doc_id, page, col, title ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+r3 AS (SELECT *, sum(CASE WHEN opens OR CASE WHEN head THEN changes % 2 = 0 ELSE short END THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, col, title ORDER BY seq ROWS UNBOUNDED PRECEDING) AS par FROM r2)
+SELECT doc_id, page, col, title, CASE WHEN head THEN 'head' ELSE 'tail' END AS rule, CAST(par AS BIGINT) AS par, count(*) AS n_lines FROM r3 GROUP BY ALL"""
 
 
-@register("w13_tail_merge", duck("lines", f"WITH b AS (SELECT *, max(x2) OVER (PARTITION BY doc_id, page) AS width FROM lines), c AS (SELECT *, CASE WHEN lag(x2) OVER p < 0.9 * width THEN 1 ELSE 0 END AS nw FROM b {_W}), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS par FROM c) SELECT doc_id, page, CAST(par AS BIGINT) AS par, count(*) AS n_lines FROM s GROUP BY 1, 2, 3"))
+@register("w13_region_merge", duck("set_lines", _W13_SQL))
 def w13(spark, sf):
-    return L.tail_merged(lines(spark, sf))
+    """Regions: the columns of a page and its title. Every fourth line of half the documents stands in."""
+    keys = ["doc_id", "page", "col", "title"]
+    stands = (F.col("doc_id") % 4 < 2) & (F.col("line_no") % 4 == 1) & (F.col("sub") == 0)
+    l = set_lines(spark, sf).withColumns({"title": F.col("line_no") == 0, "x1": F.col("x1") + F.when(stands, 20).otherwise(0)})
+    return L.merged_region(l, keys)
 
 
 _NOTES = "nt AS (SELECT doc_id, page, y, CASE WHEN doc_id % 2 = 0 AND y < 330 THEN 8.0 ELSE font_size END AS font_size, CASE WHEN doc_id % 3 = 0 AND y < 300 THEN concat('1) ', text) ELSE text END AS text FROM lines)"
@@ -126,17 +206,42 @@ def w14(spark, sf):
     return noted.groupBy("doc_id", "page").agg(F.count_if("is_footnote").alias("foot"), F.count_if(~F.col("is_footnote")).alias("body"))
 
 
-@register("w16_math_regions", duck("lines", "WITH m AS (SELECT doc_id, page, y FROM lines WHERE len(regexp_extract_all(text, '[0-9=+*/|#%&$]')) > 0.25 * length(text)), s AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y >= 30 THEN 1 ELSE 0 END AS nw FROM m) q) SELECT doc_id, page, count(*) AS n_lines, max(y) AS top, min(y) AS bottom FROM s GROUP BY doc_id, page, g"))
+#: operators and Greek letters planted on some lines
+DUCK["math_words"] = "SELECT * REPLACE (CASE WHEN line_no % 10 IN (4, 5, 7) AND k % 3 <> 1 THEN CASE WHEN k % 2 = 0 THEN '=' ELSE concat('α', str) END ELSE str END AS str, CASE WHEN line_no % 10 = 8 AND doc_id % 3 = 0 THEN 'CMSY10' ELSE font_name END AS font_name) FROM word_items"
+NEEDS["math_words"] = ["word_items"]
+_W16_SQL = r"""WITH ln AS (SELECT doc_id, page, line_no, sum(length(trim(str))) AS chars, sum(CASE WHEN regexp_matches(lower(font_name), 'math|cmsy|cmmi|symbol') OR regexp_matches(trim(str), '[\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{0370}-\x{03FF}\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}]') OR trim(str) IN ('=', '+', '-', '±') THEN length(trim(str)) ELSE 0 END) AS math, min(x) AS x1, max(x + w) AS x2, max(y) AS y, max(h) AS h FROM math_words GROUP BY 1, 2, 3),
+mt AS (SELECT *, chars > 0 AND math > 0.25 * chars AS is_math FROM ln),
+br AS (SELECT *, CASE WHEN NOT is_math OR coalesce(NOT lag(is_math) OVER o OR greatest(0, lag(y) OVER o - y - h) >= 3 * h, false) THEN 1 ELSE 0 END AS nw FROM mt WINDOW o AS (PARTITION BY doc_id, page ORDER BY y DESC, line_no)),
+rg AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page ORDER BY y DESC, line_no ROWS UNBOUNDED PRECEDING) AS region FROM br)
+SELECT doc_id, page, count(*) AS n_lines, min(x1) AS x1, max(x2) AS x2, min(y) AS bottom, max(y + h) AS top FROM rg WHERE is_math GROUP BY doc_id, page, region HAVING max(x2) - min(x1) > 15 AND max(y + h) - min(y) > 10"""
+
+
+@register("w16_math_regions", duck("math_words", _W16_SQL))
 def w16(spark, sf):
-    share = F.regexp_count("text", F.lit("[0-9=+*/|#%&$]")) > 0.25 * F.length("text")
-    by = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"))
-    m = lines(spark, sf).where(share)
-    return m.withColumn("g", L.island(F.lag("y").over(by) - F.col("y") >= 30, by)).groupBy("doc_id", "page", "g").agg(F.count("*").alias("n_lines"), F.max("y").alias("top"), F.min("y").alias("bottom")).drop("g")
+    planted = F.col("line_no").isNotNull() & (F.col("line_no") % 10).isin(4, 5, 7) & (F.col("k") % 3 != 1)
+    w = words(spark, sf).withColumns({"str": F.when(planted, F.when(F.col("k") % 2 == 0, "=").otherwise(F.concat(F.lit("α"), "str"))).otherwise(F.col("str")), "font_name": F.when((F.col("line_no") % 10 == 8) & (F.col("doc_id") % 3 == 0), "CMSY10").otherwise(F.col("font_name"))})
+    return L.math_regions(w)
+
 
+_W17_SQL = """WITH w0 AS (SELECT doc_id, page, CAST(greatest(0, floor(x)) AS BIGINT) AS s, CAST(least(559, ceil(x + w)) AS BIGINT) AS e FROM set_words WHERE w <= 280),
+st AS (SELECT doc_id, page, x, CAST(sum(d) AS BIGINT) AS d FROM (SELECT doc_id, page, s AS x, 1 AS d FROM w0 WHERE e >= s UNION ALL SELECT doc_id, page, e + 1, -1 FROM w0 WHERE e >= s UNION ALL SELECT DISTINCT doc_id, page, unnest([0, 560]), 0 FROM set_words) q GROUP BY 1, 2, 3),
+cv AS (SELECT doc_id, page, x, lead(x) OVER (PARTITION BY doc_id, page ORDER BY x) AS upto, sum(d) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS n FROM st),
+nw AS (SELECT doc_id, page, count(*) AS words FROM set_words GROUP BY 1, 2),
+th AS (SELECT *, n <= greatest(10, floor(0.25 * max(n) OVER (PARTITION BY doc_id, page))) AS thin FROM cv JOIN nw USING (doc_id, page) WHERE upto IS NOT NULL AND words >= 5),
+ms AS (SELECT doc_id, page, greatest(x, 84) AS x, least(upto, 477) AS upto, thin FROM th WHERE least(upto, 477) > greatest(x, 84)),
+rn AS (SELECT *, sum(CASE WHEN thin <> pt THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(thin) OVER (PARTITION BY doc_id, page ORDER BY x) AS pt FROM ms) q),
+gt AS (SELECT doc_id, page, min(x) AS a, max(upto) AS b FROM rn WHERE thin GROUP BY doc_id, page, run HAVING max(upto) - min(x) >= 12),
+gn AS (SELECT doc_id, page, count(*) AS g, arg_max((a + b) / 2, (b - a) * 10000 - (a + b) / 2) AS gx FROM gt GROUP BY 1, 2)"""
 
-@register("w17_gutters", duck("word_items", "WITH s AS (SELECT doc_id, page, unnest(range(CAST(floor(x / 5) AS BIGINT), CAST(floor((x + w - 1) / 5) AS BIGINT) + 1)) AS bin FROM word_items), c AS (SELECT doc_id, page, bin, count(*) AS n FROM s GROUP BY 1, 2, 3), t AS (SELECT *, max(n) OVER (PARTITION BY doc_id, page) AS most, max(bin) OVER (PARTITION BY doc_id, page) AS last FROM c), g AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS g FROM t WHERE n <= 0.25 * most AND bin BETWEEN 0.15 * last AND 0.85 * last) SELECT doc_id, page, min(bin) AS first, max(bin) AS last FROM g GROUP BY doc_id, page, g HAVING max(bin) - min(bin) >= 2"))
+
+@register("w17_gutters", duck("set_words", _W17_SQL + " SELECT doc_id, page, (a + b) / 2 AS x, b - a AS width, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY b - a DESC, a) AS INTEGER) AS place FROM gt"))
 def w17(spark, sf):
-    return L.gutters(words(spark, sf))
+    return L.gutters(set_words(spark, sf), PAGE_W).select("doc_id", "page", "x", "width", "place")
+
+
+@register("w17_page_classes", duck("set_words", _W17_SQL + " SELECT doc_id, page, CASE WHEN words < 5 OR g IS NULL THEN 'single' WHEN g > 1 THEN 'grid' ELSE 'columns' END AS layout, coalesce(g, 0) AS n_gutters, CASE WHEN g = 1 THEN gx END AS gutter FROM nw LEFT JOIN gn USING (doc_id, page)"))
+def w17_classes(spark, sf):
+    return L.page_classes(set_words(spark, sf), PAGE_W, PAGE_H)
 
 
 @register("w19_entity_split", duck("word_items", "SELECT doc_id, page, CAST(sum(nw) + 1 AS BIGINT) AS entities FROM (SELECT *, CASE WHEN lag(x) OVER (PARTITION BY doc_id, page ORDER BY line_no, k) - x >= 10 THEN 1 ELSE 0 END AS nw FROM word_items) q GROUP BY 1, 2"))
