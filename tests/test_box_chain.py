@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from docketry import registry
 from docketry.operators import boxes as B
-from docketry.operators import layout as L
 from docketry.operators import metrics as M
 from docketry.plans import evaluation as E
-from docketry.plans import layout as PL
 from docketry.plans.fixtures import view
 
 Q = registry.queries()
@@ -172,89 +170,6 @@ def test_fragments_merge_to_the_fixpoint(spark, sf_dir, pred):
     assert {key(r["image_id"], r) for r in Q["w20_merge_fragments"](spark, sf_dir).collect()} == want
 
 
-def page_blocks(rows):
-    """Lines of one page to blocks: (lines, outer box)."""
-    near = [
-        (j, k) for j, a in enumerate(rows) for k, b in enumerate(rows)
-        if j < k and min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]) > -25 and min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) > 0.3 * min(a["x2"] - a["x1"], b["x2"] - b["x1"])
-    ]
-    groups = collections.defaultdict(list)
-    for b, c in zip(rows, components(len(rows), near), strict=True):
-        groups[c].append(b)
-    return list(groups.values())
-
-
-def layers(blocks):
-    depth = {}
-
-    def of(k):
-        if k not in depth:
-            b = blocks[k]
-            above = [j for j, a in enumerate(blocks) if j != k and a["y2"] <= b["y1"] and min(a["x2"], b["x2"]) > max(a["x1"], b["x1"])]
-            depth[k] = max((of(j) + 1 for j in above), default=0)
-        return depth[k]
-
-    return [of(k) for k in range(len(blocks))]
-
-
-@pytest.fixture(scope="module")
-def pages(spark, sf_dir):
-    out = collections.defaultdict(list)
-    for r in L.as_boxes(PL.lines(spark, sf_dir)).collect():
-        out[r["doc_id"], r["page"]].append(r.asDict())
-    return {k: sorted(v, key=lambda b: b["box_id"]) for k, v in out.items()}
-
-
-def test_blocks_and_layers(spark, sf_dir, pages):
-    want, order = collections.Counter(), collections.Counter()
-    for (doc, page), rows in pages.items():
-        groups = page_blocks(rows)
-        made = [outer(g) for g in groups]
-        want.update((doc, page, len(g), b["x1"], b["y1"], b["x2"], b["y2"]) for g, b in zip(groups, made, strict=True))
-        order.update((doc, page, n, b["x1"], b["y1"]) for n, b in zip(layers(made), made, strict=True))
-    assert collections.Counter(tuple(r) for r in Q["w5_blocks"](spark, sf_dir).collect()) == want
-    got = Q["t6_layers"](spark, sf_dir).collect()
-    assert collections.Counter((r["doc_id"], r["page"], r["layer"], r["x1"], r["y1"]) for r in got) == order
-    places = collections.defaultdict(list)
-    for r in got:
-        places[r["doc_id"], r["page"]].append((r["place"], r["layer"], r["x1"], r["y1"]))
-    assert all([p[0] for p in sorted(v)] == list(range(1, len(v) + 1)) and [p[1:] for p in sorted(v)] == sorted(p[1:] for p in v) for v in places.values())
-
-
-def test_a_long_chain_has_all_its_layers(spark):
-    rows = [(1, k, 0.0, 100.0 * k, 50.0, 100.0 * k + 20) for k in range(70)] + [(1, 100, 60.0, 0.0, 90.0, 7000.0)]
-    got = {r["box_id"]: r["layer"] for r in L.layered(spark.createDataFrame(rows, "image_id long, box_id long, x1 double, y1 double, x2 double, y2 double")).collect()}
-    assert got == {k: k for k in range(70)} | {100: 0}
-
-
-def cut(rows, block=1):
-    if len(rows) >= 5:
-        best = None
-        for axis in "xy":
-            by = sorted(rows, key=lambda b: (b[axis + "1"], b["box_id"]))
-            reach = by[0][axis + "2"]
-            for b in by[1:]:
-                if (w := b[axis + "1"] - reach) >= 12 and (best is None or (w, axis, -b[axis + "1"]) > best[0]):
-                    best = (w, axis, -b[axis + "1"]), axis + "1", b[axis + "1"]
-                reach = max(reach, b[axis + "2"])
-        if best:
-            _, side, at = best
-            return cut([b for b in rows if b[side] < at], block * 2) | cut([b for b in rows if b[side] >= at], block * 2 + 1)
-    return {block: len(rows)}
-
-
-def test_xy_cut(spark, sf_dir, pages):
-    want = {(d, p, block, n) for (d, p), rows in pages.items() for block, n in cut(rows).items()}
-    assert {tuple(r) for r in Q["w18_xy_cut"](spark, sf_dir).collect()} == want
-
-
-def test_xy_cut_goes_as_deep_as_it_must(spark):
-    rows = [(1, 1, 2**k * 100.0, 0.0, 2**k * 100.0 + 10, 10.0, k) for k in range(20)]
-    words = spark.createDataFrame(rows, "doc_id long, page long, x1 double, y double, x2 double, h double, row long").withColumn("part", F.lit(0))
-    got = {r["n"] for r in L.xy_cut(words).groupBy("block").agg(F.count("*").alias("n")).collect()}
-    assert got == {1, 4}
-
-
 def test_token_edits_of_lines(spark, sf_dir):
     pairs = {(r["doc_id"], r["n"]): (r["gt"].split(" "), r["pred"].split(" ")) for r in view(spark, sf_dir, "text_pairs").where("length(gt) < 2000").collect()}
     got = {(r["doc_id"], r["n"]): (r["n_gt"], r["n_pred"], r["edits"]) for r in Q["a23_token_edits"](spark, sf_dir).collect()}
