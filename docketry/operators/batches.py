@@ -42,3 +42,41 @@ def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     base = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranged.join(F.broadcast(base), "__part").withColumn(out, (F.col("__base") + within).cast("int")).drop("__part", "__base")
+
+
+def _ranged(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """df cut into ranges of (keys, order), stored with the number of its range: a key of any size stands in as many ranges as it fills."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), name)
+
+
+def _with_base(ranged: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
+    """ranged with what each key brings along from the ranges before. Only the first key of a range can have begun before it, so base has at most a row a range."""
+    named = base.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{k}") for k in keys], "__base")
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return ranged.join(F.broadcast(named), same, "left").drop("__p", *[f"__{k}" for k in keys])
+
+
+def numbered_by(df: DataFrame, keys: list[str], order: list[Column | str], out: str) -> DataFrame:
+    """df with its row number in `order` among the rows of its keys, counted inside ranges, so that a key may hold any share of the rows."""
+    ranged = _ranged(df, keys, order, "numbered")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("__part", *keys).agg(F.count("*").alias("n")).withColumn("__base", F.sum("n").over(before)).where("__base > 0")
+    within = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    return _with_base(ranged, base, keys).withColumn(out, (F.coalesce("__base", F.lit(0)) + within).cast("int")).drop("__part", "__base")
+
+
+def carried_last(df: DataFrame, keys: list[str], order: list[Column | str], value: str, out: str) -> DataFrame:
+    """df with the last value that isn't null up to each row of its keys, in `order`, carried on inside ranges and from the ranges before."""
+    ranged = _ranged(df, keys, order, "carried")
+    ends = ranged.where(F.col(value).isNotNull()).groupBy("__part", *keys).agg(F.max_by(value, F.struct(*order)).alias("end"))
+    parts = ranged.select("__part", *keys).distinct()
+    same = [parts[k].eqNullSafe(ends[k]) for k in keys]
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    on = parts["__part"] == ends["__part"]
+    for x in same:
+        on = on & x
+    base = parts.join(ends, on, "left").select(parts["__part"], *[parts[k] for k in keys], "end").withColumn("__base", F.last("end", True).over(before)).where("__base is not null").drop("end")
+    within = F.last(value, True).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _with_base(ranged, base, keys).withColumn(out, F.coalesce(within, "__base")).drop("__part", "__base")

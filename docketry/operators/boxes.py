@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.columns import area, corner_distance, iou, overlap
+from docketry.functions.columns import area, corner_distance, iou, let, overlap
 
 CELL = 128.0
 ROUNDS = 100
@@ -105,24 +105,47 @@ def suppress(boxes: DataFrame, most_iou: float = 0.5, top: int | None = None, by
     raise RuntimeError(f"suppression did not end in {ROUNDS} rounds")
 
 
+def nearest_by_corners(boxes: DataFrame, cells_: DataFrame, size: float = CELL) -> DataFrame:
+    """For each box the cell of its image with the least corner distance, the first of equals: image_id, a_box_id, b_box_id.
+
+    A grid over upper left corners is looked at round each box, three squares by three, on squares of twice the size each round, until the best found is nearer than anything outside can be: a
+    cell beyond the nine squares is over a square's size away by its corner alone. So a box only ever meets the cells round it.
+    """
+    left = cut(prefixed(boxes, "a_", ["image_id"]).join(cells_.select("image_id").distinct(), "image_id", "left_semi"), "nearest")
+    right = prefixed(cells_, "b_", ["image_id"])
+    out = None
+    while not left.isEmpty():
+        at = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        asks = left.withColumn("dx", around).withColumn("dy", around).withColumns({"cx": at("a_x1") + F.col("dx"), "cy": at("a_y1") + F.col("dy")})
+        met = asks.join(right.withColumns({"cx": at("b_x1"), "cy": at("b_y1")}), ["image_id", "cx", "cy"])
+        best = F.min(F.struct(F.round(corner_distance("a_", "b_"), 6).alias("d"), "b_box_id"))
+        found = cut(met.groupBy("image_id", "a_box_id").agg(best.alias("m")).where(F.col("m.d") < size - 1e-5).select("image_id", "a_box_id", "m.b_box_id"), "nearest")
+        out = found if out is None else out.unionByName(found)
+        left = cut(left.join(found, ["image_id", "a_box_id"], "left_anti"), "nearest")
+        size *= 2
+    return out if out is not None else left.join(right, "image_id").select("image_id", "a_box_id", "b_box_id")
+
+
 def nearest_cell(boxes: DataFrame, cells_: DataFrame) -> DataFrame:
-    """Each box to the cell of its image with least (1 - IoU, corner distance), the first of equals (J9). An image's
-    cells are one table's."""
-    met = prefixed(boxes, "a_", ["image_id"]).join(prefixed(cells_, "b_", ["image_id"]), "image_id")
+    """Each box to the cell of its image with least (1 - IoU, corner distance), the first of equals (J9). Boxes that overlap a cell choose among those; the others by distance."""
+    met = overlapping(boxes, cells_)
     best = F.min_by("b_box_id", F.struct(F.round(1 - iou("a_", "b_"), 9), F.round(corner_distance("a_", "b_"), 6), "b_box_id"))
-    return met.groupBy("image_id", F.col("a_box_id").alias("box_id")).agg(best.alias("cell_id"))
+    over = cut(met.where(F.round(1 - iou("a_", "b_"), 9) < 1).groupBy("image_id", F.col("a_box_id").alias("box_id")).agg(best.alias("cell_id")), "nearest")
+    far = nearest_by_corners(boxes.join(over, ["image_id", "box_id"], "left_anti"), cells_)
+    return over.unionByName(far.select("image_id", F.col("a_box_id").alias("box_id"), F.col("b_box_id").alias("cell_id")))
 
 
 def cascade(boxes: DataFrame, cells_: DataFrame) -> DataFrame:
     """Boxes to cells by three rules (J10): centre inside; else best IoU over 0 (plain IoU); else nearest."""
-    a, b = prefixed(boxes, "a_", ["image_id"]), prefixed(cells_, "b_", ["image_id"])
     cx, cy = (F.col("a_x1") + F.col("a_x2")) / 2, (F.col("a_y1") + F.col("a_y2")) / 2
     met = overlapping(boxes, cells_).withColumn("iou", F.round(iou("a_", "b_"), 9))
     inside = met.where(cx.between(F.col("b_x1"), F.col("b_x2")) & cy.between(F.col("b_y1"), F.col("b_y2"))).select("image_id", "a_box_id", "b_box_id", F.lit(1).alias("rule"))
     rest = met.join(inside.select("image_id", "a_box_id"), ["image_id", "a_box_id"], "left_anti")
     second = rest.groupBy("image_id", "a_box_id").agg(F.max_by("b_box_id", F.struct("iou", -F.col("b_box_id"))).alias("b_box_id"), F.lit(2).alias("rule"))
     done = inside.select("image_id", "a_box_id").union(second.select("image_id", "a_box_id")).distinct()
-    last = a.join(done, ["image_id", "a_box_id"], "left_anti").join(b, "image_id").groupBy("image_id", "a_box_id").agg(F.min_by("b_box_id", F.struct(F.round(corner_distance("a_", "b_"), 6), "b_box_id")).alias("b_box_id"), F.lit(3).alias("rule"))
+    rest = boxes.join(done.withColumnRenamed("a_box_id", "box_id"), ["image_id", "box_id"], "left_anti")
+    last = nearest_by_corners(rest, cells_).withColumn("rule", F.lit(3))
     return inside.union(second.select(*inside.columns)).union(last.select(*inside.columns)).select("image_id", F.col("a_box_id").alias("box_id"), F.col("b_box_id").alias("cell_id"), "rule")
 
 
@@ -210,3 +233,54 @@ def spotting(gt: DataFrame, pred: DataFrame, matched: DataFrame, eps: float = 1e
     dt = F.col("mt") + F.col("fp")
     p, r = F.col("hit") / (dt + eps), F.col("hit") / (F.col("gt") + eps)
     return all_.select("hit", dt.alias("dt"), "gt", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r + eps), 6).alias("f"), (F.coalesce("e1", F.lit(0)) + F.coalesce("e2", F.lit(0))).cast("long").alias("edits"))
+
+
+def area_credit(gt: DataFrame, pred: DataFrame, tr: float = 0.7, tp: float = 0.6, k: int = 2, part: float = 0.8) -> DataFrame:
+    """Recall and precision by areas (A30): one_to_one, split, merged (matches of the three phases), recall_sum, precision_sum, gt, pred, recall, precision, f.
+
+    sigma is the share of a truth that a prediction covers, tau the share of the prediction inside it, to two places. First pairs that are the only ones over tr and over tp for both their sides count 1. Then each
+    truth left, in order of its id, with sigma over 0 for k predictions or more, takes the unclaimed predictions of tau from tp on: a single one counts 1 if its sigma reaches tr, several whose sigmas sum to tr or more count `part`
+    for recall and `part` each for precision. Then each prediction left does the same with the unclaimed truths of sigma from tp on, their taus summing to tp or more. Phases two and three are folds over an image's truths
+    and predictions, which carry along what is claimed.
+    """
+    p = overlapping(gt, pred).select("image_id", F.col("a_box_id").alias("g"), F.col("b_box_id").alias("d"), F.round(overlap("a_", "b_") / area("a_"), 2).alias("sigma"), F.round(overlap("a_", "b_") / area("b_"), 2).alias("tau"))
+    truth, found = Window.partitionBy("image_id", "g"), Window.partitionBy("image_id", "d")
+    s, t = F.col("sigma") > tr, F.col("tau") > tp
+    c = p.withColumns({"s": F.count_if(s).over(found), "t": F.count_if(t).over(found)})
+    alone = (F.count_if(s) == 1) & (F.count_if(t) == 1) & (F.max(F.when(s, F.col("s"))) == 1) & (F.max(F.when(t, F.col("t"))) == 1)
+    by_g = c.groupBy("image_id", "g").agg(F.when(alone, F.max(F.when(s, F.col("d")))).alias("d"), F.array_sort(F.collect_list(F.struct("d", "sigma", "tau"))).alias("ps"))
+    by_d = c.groupBy("image_id", "d").agg(F.array_sort(F.collect_list(F.struct("g", "sigma", "tau"))).alias("ps"))
+    gs = by_g.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("g", "d", "ps"))).alias("gs"))
+    ds = by_d.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("d", "ps"))).alias("ds"))
+
+    def claims(items: Column, own: str, other: str, start: Column, share: str, back: str, enough: float) -> Column:
+        """A fold over items (of `own` ids): state mine (own ids done), theirs (other ids claimed), one, many, n (claimed by many)."""
+
+        def step(a: Column, x: Column) -> Column:
+            free = F.filter(x["ps"], lambda q: (F.round(q[back], 2) >= tp) & ~F.array_contains(a["theirs"], q[other]))
+
+            def take(f: Column) -> Column:
+                first = F.get(f, F.lit(0))
+                single = (F.size(f) == 1) & (first["tau"] >= tp) & (first["sigma"] >= tr)
+                total = F.round(F.aggregate(f, F.lit(0.0), lambda z, q: z + q[share]), 6)
+                many = (F.size(f) > 1) & (total >= enough)
+                done = F.struct(F.concat(a["mine"], F.array(x[own])).alias("mine"), F.concat(a["theirs"], F.transform(f, lambda q: q[other])).alias("theirs"), (a["one"] + single.cast("int")).alias("one"), (a["many"] + many.cast("int")).alias("many"), (a["n"] + F.when(many, F.size(f)).otherwise(0)).alias("n"))
+                return F.when(single | many, done).otherwise(a)
+
+            looks = ~F.array_contains(a["mine"], x[own]) & (F.size(F.filter(x["ps"], lambda q: q[share] > 0)) >= k)
+            return F.when(looks, let(free, take)).otherwise(a)
+
+        return F.aggregate(items, start, step)
+
+    def state(mine: Column, theirs: Column) -> Column:
+        return F.struct(mine.alias("mine"), theirs.alias("theirs"), F.lit(0).alias("one"), F.lit(0).alias("many"), F.lit(0).alias("n"))
+
+    matched = F.filter("gs", lambda x: x["d"].isNotNull())
+    both = gs.join(ds, "image_id").withColumn("first", matched).withColumn("two", claims(F.col("gs"), "g", "d", state(F.transform("first", lambda x: x["g"]), F.transform("first", lambda x: x["d"])), "sigma", "tau", tr))
+    three = claims(F.col("ds"), "d", "g", state(F.col("two.theirs"), F.col("two.mine")), "tau", "sigma", tp)
+    n = both.withColumn("three", three).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in {"one": F.size("first"), "one2": F.col("two.one"), "split": F.col("two.many"), "parts": F.col("two.n"), "one3": F.col("three.one"), "merged": F.col("three.many"), "whole": F.col("three.n")}.items()])
+    all_ = n.crossJoin(gt.agg(F.count("*").alias("gt"))).crossJoin(pred.agg(F.count("*").alias("pred")))  # one row each
+    ones = F.col("one") + F.col("one2") + F.col("one3")
+    r, q = ones + part * (F.col("split") + F.col("whole")), ones + part * (F.col("parts") + F.col("merged"))
+    rr, pp = F.coalesce(F.try_divide(r, "gt"), F.lit(0.0)), F.coalesce(F.try_divide(q, "pred"), F.lit(0.0))
+    return all_.select(ones.alias("one_to_one"), "split", "merged", F.round(r, 4).alias("recall_sum"), F.round(q, 4).alias("precision_sum"), "gt", "pred", F.round(rr, 6).alias("recall"), F.round(pp, 6).alias("precision"), F.round(F.coalesce(F.try_divide(2 * rr * pp, rr + pp), F.lit(0.0)), 6).alias("f"))

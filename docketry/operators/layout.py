@@ -384,6 +384,12 @@ def triage_scores(routed: DataFrame, truth: DataFrame) -> DataFrame:
     return n.select("tp", "fp", "fn", "tn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"), ((r >= 0.95) & (F.col("fn") <= 5)).alias("passes"))
 
 
+def false_positives(routed: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pages sent without a table by the signal that sent them (A34): signal, fp, share of all such pages."""
+    wrong = routed.join(truth, PAGE).where((F.col("decision") == "backend") & ~F.col("has_table")).groupBy("signal").agg(F.count("*").alias("fp"))
+    return wrong.select("signal", "fp", F.round(F.col("fp") / F.sum("fp").over(Window.partitionBy()), 6).alias("share"))  # a row a signal
+
+
 BLANK = r"[\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"  # not scored
 
 

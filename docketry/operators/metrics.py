@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.columns import let
+
 
 # First and last code point of each script bucket; all else is `other`.
 SCRIPTS = [
@@ -104,31 +106,40 @@ def token_edits(pairs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n", F.length("g").alias("n_gt"), F.length("p").alias("n_pred"), F.levenshtein("g", "p").alias("edits"))
 
 
-def bleu_counts(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """Clipped matches and totals by n-gram length, and lengths, over all pairs (A25, first half)."""
-    tokens = pairs.select("doc_id", F.col("n").alias("line"), F.array_remove(F.split("gt", " "), "").alias("g"), F.array_remove(F.split("pred", " "), "").alias("p"))
+def _occurrences(tokens: Column, n: int) -> Column:
+    """The n-grams of a token array, each with the number of its standing among its equals, as hashes: the k-th standing of a gram is the same number in
+    every text, so two arrays share as many elements as their gram counts share."""
+
+    def grams(t: Column) -> Column:
+        return F.array_sort(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, F.lit(n)))))
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.flatten(F.transform(at, lambda a, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - a - 1), lambda k: F.xxhash64(F.get(s, a), k)))))
 
-    def windows(side: str, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(side) - (n - 1)), lambda i: F.array_join(F.slice(side, i, F.lit(n)), " "))
+    return F.when(F.size(tokens) < n, F.array().cast("array<bigint>")).otherwise(let(let(tokens, grams), counted))
 
-    def grams(side: str) -> DataFrame:
-        out = None
-        for n in range(1, most + 1):
-            one = tokens.where(F.size(side) >= n).select("doc_id", "line", F.lit(n).alias("n"), F.explode(windows(side, n)).alias("gram"))
-            out = one if out is None else out.union(one)
-        return out.groupBy("doc_id", "line", "n", "gram").agg(F.count("*").alias(side))
 
-    met = grams("p").join(grams("g"), ["doc_id", "line", "n", "gram"], "left")
-    by_n = met.groupBy("n").agg(F.sum(F.least("p", F.coalesce("g", F.lit(0)))).alias("matches"), F.sum("p").alias("total"))
-    sizes = tokens.agg(F.sum(F.size("g")).alias("ref_len"), F.sum(F.size("p")).alias("hyp_len"))
-    return by_n.crossJoin(F.broadcast(sizes))  # four rows by one
+def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """Corpus BLEU with brevity penalty of pred (a text) against refs (texts) (A25): matches, total (of all lengths up to `most`), r, h, bleu, smooth.
 
+    A gram counts as often as pred has it, up to the most that one reference has it. The reference length is that of each pair's shortest reference. Without
+    smoothing a length without matches makes the score 0; with it every precision is (matches + 1) / (total + 1). Everything is worked out inside the pair's row: no gram is moved.
+    """
+    words = pairs.select(F.array_remove(F.split("pred", " "), "").alias("p"), F.transform("refs", lambda t: F.array_remove(F.split(t, " "), "")).alias("rs"))
+    none = F.array().cast("array<bigint>")
 
-def bleu(pairs: DataFrame) -> DataFrame:
-    """Corpus BLEU-4 with brevity penalty."""
-    c = bleu_counts(pairs).agg(F.avg(F.ln(F.col("matches") / F.col("total"))).alias("m"), F.first("ref_len").alias("r"), F.first("hyp_len").alias("h"), F.sum("matches").alias("matches"))
+    def matched(n: int) -> Column:
+        allowed = F.aggregate("rs", none, lambda a, t: F.array_union(a, _occurrences(t, n)))
+        return F.when(F.size("p") < n, 0).otherwise(F.size(F.array_intersect(_occurrences(F.col("p"), n), allowed)))
+
+    sums = [F.sum(matched(n)).alias(f"m{n}") for n in range(1, most + 1)] + [F.sum(F.greatest(F.lit(0), F.size("p") - (n - 1))).alias(f"t{n}") for n in range(1, most + 1)]
+    c = words.agg(*sums, F.sum(F.array_min(F.transform("rs", lambda t: F.size(t)))).alias("r"), F.sum(F.size("p")).alias("h"))
+    ns = range(1, most + 1)
+    plain = F.when(F.least(*[F.col(f"m{n}") for n in ns]) > 0, F.exp(sum(F.ln(F.col(f"m{n}") / F.col(f"t{n}")) for n in ns) / most)).otherwise(0.0)
+    smooth = F.exp(sum(F.ln((F.col(f"m{n}") + 1) / (F.col(f"t{n}") + 1)) for n in ns) / most)
     penalty = F.when(F.col("h") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))
-    return c.select("matches", "r", "h", F.round(penalty * F.exp("m"), 6).alias("bleu"))
+    return c.select(sum(F.col(f"m{n}") for n in ns).alias("matches"), sum(F.col(f"t{n}") for n in ns).alias("total"), "r", "h", F.round(penalty * plain, 6).alias("bleu"), F.round(penalty * smooth, 6).alias("smooth"))
 
 
 def confusion_f1(pairs: DataFrame, ignore: list[int] | None = None) -> DataFrame:
@@ -163,12 +174,47 @@ def set_scores(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return n.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
 
 
-def benchmark(events: DataFrame, key: str, value: str, skip: int = 0) -> DataFrame:
-    """Count, mean, population deviation, least, most of each key past the first `skip` by ts."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    rows = events.where(F.col(value).isNotNull()).withColumn("rn", rn).where(F.col("rn") > skip) if skip else events.where(F.col(value).isNotNull())
+def relation_scores(gt: DataFrame, pred: DataFrame, place: list[str], span: list[str], kinds: list[str]) -> DataFrame:
+    """Relation extraction scores (A32): mode, type (null: all), tp, fp, fn, precision, recall, f1, and over all types the means of the types' scores (macro_*).
+
+    gt and pred: place (a document's columns), type, span (of head and tail) and kinds (of their entities). Relations are sets: in mode strict they are equal when span and
+    kinds are, in mode boundaries when span is. Both modes are counted at once, over the sets of (mode, type) and (mode).
+    """
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        modes = F.array(*[F.struct(F.lit(m).alias("mode"), *[(F.col(k) if m == "strict" else F.lit(None)).cast("string").alias(k) for k in kinds]) for m in ("strict", "boundaries")])
+        return df.select(*place, "type", *span, F.explode(modes).alias("m")).select("m.mode", *place, "type", *span, *[F.col(f"m.{k}").alias(k) for k in kinds], F.lit(side).alias("side"))
+
+    both = keyed(gt, "g").unionByName(keyed(pred, "p")).groupBy("mode", *place, "type", *span, *kinds).agg(F.bool_or(F.col("side") == "g").alias("g"), F.bool_or(F.col("side") == "p").alias("p"))
+    n = both.groupingSets([["mode", "type"], ["mode"]], "mode", "type").agg(F.grouping("type").alias("all"), F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if(~F.col("g")).alias("fp"), F.count_if(~F.col("p")).alias("fn"))
+    p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
+    scored = n.withColumns({"p": p, "r": r}).withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
+    means = {f"macro_{name}": F.when(F.col("all") == 1, F.round(F.avg(F.when(F.col("all") == 0, F.col(c))).over(Window.partitionBy("mode")), 6)) for c, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))}  # a row a type
+    return scored.withColumns(means).select("mode", "type", "tp", "fp", "fn", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round("f", 6).alias("f1"), *means)
+
+
+def step_timings(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Total, mean and count of each step to four places (A36); a step without a value has a mean of 0."""
     v = F.col(value)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return events.groupBy(key).agg(F.round(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias("total"), F.round(F.coalesce(F.avg(v), F.lit(0.0)), 4).alias("mean"), F.count(v).alias("n"))
+
+
+def benchmark(events: DataFrame, key: str, value: str, skip: int = 0, batch: int = 1, salts: int = 64) -> DataFrame:
+    """Count, mean, population deviation, least, most and throughput (`batch` over the mean) of each key past the first `skip` by (ts, event_id), and mean and
+    throughput of all (A37). The last of the first `skip` is found among the first of `salts` parts of a key, so a key may hold any share of the rows."""
+    rows = events.where(F.col(value).isNotNull())
+    order = F.struct("ts", "event_id")
+    if skip:
+        part = F.pmod(F.xxhash64("event_id"), F.lit(salts))
+        early = rows.select(key, order.alias("o"), part.alias("part")).withColumn("rn", F.row_number().over(Window.partitionBy(key, "part").orderBy("o"))).where(F.col("rn") <= skip)
+        first = early.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("o"))).where(F.col("rn") <= skip)  # skip * salts rows a key
+        cuts = first.groupBy(F.col(key).alias("k")).agg(F.max("o").alias("cut"))
+        rows = rows.join(cuts, rows[key].eqNullSafe(F.col("k")), "left").withColumn("later", order > F.col("cut")).drop("k", "cut")
+    else:
+        rows = rows.withColumn("later", F.lit(True))
+    v = F.when(F.col("later"), F.col(value))
+    out = rows.groupBy(key).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(value).alias("ma")).where("n > 0")
+    return out.select(key, "n", F.round("m", 4).alias("mean"), F.round("s", 4).alias("std"), "least", "most", F.round(F.try_divide(F.lit(float(batch)), "m"), 3).alias("fps"), F.round("ma", 4).alias("mean_all"), F.round(F.try_divide(F.lit(float(batch)), "ma"), 3).alias("fps_all"))
 
 
 def close_to(a: DataFrame, b: DataFrame, keys: list[str], value: str, atol: float, rtol: float) -> DataFrame:

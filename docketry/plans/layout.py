@@ -306,11 +306,20 @@ def f4(spark, sf):
     return L.triage(L.signals(words(spark, sf)), mode="full").select("doc_id", "page", "decision")
 
 
+def _truth(w):
+    return w.groupBy("doc_id", "page").agg((F.count_if(F.col("str") == "|") >= 1).alias("has_table"))
+
+
 @register("a34_triage_scores", duck("word_items", f"WITH {_SIG}, n AS (SELECT count(*) FILTER (WHERE signal IS NOT NULL AND has_table) AS tp, count(*) FILTER (WHERE signal IS NOT NULL AND NOT has_table) AS fp, count(*) FILTER (WHERE signal IS NULL AND has_table) AS fn, count(*) FILTER (WHERE signal IS NULL AND NOT has_table) AS tn FROM tr) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, tp / (tp + fn) >= 0.95 AND fn <= 5 AS passes FROM n"))
 def a34(spark, sf):
     w = words(spark, sf)
-    truth = w.groupBy("doc_id", "page").agg((F.count_if(F.col("str") == "|") >= 1).alias("has_table"))
-    return L.triage_scores(L.triage(L.signals(w)), truth)
+    return L.triage_scores(L.triage(L.signals(w)), _truth(w))
+
+
+@register("a34_false_positives", duck("word_items", f"WITH {_SIG} SELECT signal, count(*) AS fp, round(count(*) / (SELECT count(*) FROM tr WHERE signal IS NOT NULL AND NOT has_table), 6) AS share FROM tr WHERE signal IS NOT NULL AND NOT has_table GROUP BY 1"))
+def a34_signals(spark, sf):
+    w = words(spark, sf)
+    return L.false_positives(L.triage(L.signals(w)), _truth(w))
 
 
 @register("p22_a41_garbage_pages", duck("odd_words", f"WITH {_GB.replace('FROM word_items', 'FROM odd_words')}, s AS (SELECT g.doc_id, g.page, CASE WHEN fo.corrupted THEN 1.0 ELSE g.score END AS s FROM gb g JOIN fo USING (doc_id, page, font_name)) SELECT doc_id, page, round(avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END), 6) AS garbage, avg(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END) > 0.6 AS as_image FROM s GROUP BY 1, 2"))
