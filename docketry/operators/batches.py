@@ -80,3 +80,9 @@ def carried_last(df: DataFrame, keys: list[str], order: list[Column | str], valu
     base = parts.join(ends, on, "left").select(parts["__part"], *[parts[k] for k in keys], "end").withColumn("__base", F.last("end", True).over(before)).where("__base is not null").drop("end")
     within = F.last(value, True).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return _with_base(ranged, base, keys).withColumn(out, F.coalesce(within, "__base")).drop("__part", "__base")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer parts than there are cores, for work that is dear by the row; otherwise as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.batches import numbered_by
 from docketry.functions.columns import blank, has_any
 
 # Fixed values.
@@ -121,8 +122,8 @@ def file_summary(issues: DataFrame) -> DataFrame:
 def next_ids(rows: DataFrame, taken: DataFrame, prefix: str, width: int = 3) -> DataFrame:
     """The next numbers of each case after the largest taken one, zero-padded."""
     last = taken.groupBy("case_id").agg(F.max(F.regexp_extract("id", r"(\d+)$", 1).try_cast("long")).alias("last"))
-    n = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("case_id").orderBy("src_ord"))
-    return rows.join(last, "case_id", "left").withColumn("id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).drop("last")
+    n = F.coalesce("last", F.lit(0)) + F.col("__rn")
+    return numbered_by(rows, ["case_id"], ["src_ord"], "__rn").join(last, "case_id", "left").withColumn("id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).drop("last", "__rn")
 
 
 def labelled(values: str, labels: dict[str, str]) -> Column:

@@ -106,18 +106,27 @@ def token_edits(pairs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n", F.length("g").alias("n_gt"), F.length("p").alias("n_pred"), F.levenshtein("g", "p").alias("edits"))
 
 
-def _occurrences(tokens: Column, n: int) -> Column:
-    """The n-grams of a token array, each with the number of its standing among its equals, as hashes: the k-th standing of a gram is the same number in
-    every text, so two arrays share as many elements as their gram counts share."""
-
-    def grams(t: Column) -> Column:
-        return F.array_sort(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(F.slice(t, i, F.lit(n)))))
+def _standings(grams: Column) -> Column:
+    """Gram hashes with the second and later standings of a gram as hashes of their own: two arrays share as many elements as their gram counts share. Arrays
+    whose grams all differ need no sort."""
 
     def counted(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        return let(starts, lambda at: F.flatten(F.transform(at, lambda a, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - a - 1), lambda k: F.xxhash64(F.get(s, a), k)))))
+        standing = lambda g, k: F.when(k == 0, g).otherwise(F.xxhash64(g, k))
+        return let(starts, lambda at: F.flatten(F.transform(at, lambda a, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - a - 1), lambda k: standing(F.get(s, a), k)))))
+
+    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), g).otherwise(let(F.sort_array(g), counted)))
+
+
+def _grams(tokens: Column, most: int) -> Column:
+    """Arrays of the standings of a text's n-grams, n from 1 to `most`. A gram's hash is made of that of the gram without its last word and that word's."""
+
+    def longer(h: Column, g: Column, n: int) -> Column:
+        rest = F.greatest(F.size(h) - n, F.lit(0))
+        more = F.zip_with(F.slice(g, F.lit(1), rest), F.slice(h, F.lit(n + 1), rest), lambda a, b: F.xxhash64(a, b))
+        return F.concat(F.array(_standings(g)), let(more, lambda m: longer(h, m, n + 1))) if n < most else F.array(_standings(g))
 
-    return F.when(F.size(tokens) < n, F.array().cast("array<bigint>")).otherwise(let(let(tokens, grams), counted))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: longer(h, h, 1))
 
 
 def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
@@ -126,16 +135,19 @@ def bleu(pairs: DataFrame, most: int = 4) -> DataFrame:
     A gram counts as often as pred has it, up to the most that one reference has it. The reference length is that of each pair's shortest reference. Without
     smoothing a length without matches makes the score 0; with it every precision is (matches + 1) / (total + 1). Everything is worked out inside the pair's row: no gram is moved.
     """
-    words = pairs.select(F.array_remove(F.split("pred", " "), "").alias("p"), F.transform("refs", lambda t: F.array_remove(F.split(t, " "), "")).alias("rs"))
+    tokens = lambda t: F.array_remove(F.split(t, " "), "")
     none = F.array().cast("array<bigint>")
 
-    def matched(n: int) -> Column:
-        allowed = F.aggregate("rs", none, lambda a, t: F.array_union(a, _occurrences(t, n)))
-        return F.when(F.size("p") < n, 0).otherwise(F.size(F.array_intersect(_occurrences(F.col("p"), n), allowed)))
+    def told(p: Column) -> Column:
+        rs = F.transform("refs", tokens)
+        sets = lambda mine, theirs: F.transform(mine, lambda g, i: F.size(F.array_intersect(g, F.aggregate(theirs, none, lambda a, r: F.array_union(a, F.get(r, i))))))
+        each = lambda ts: let(F.transform(ts, lambda t: _grams(t, most)), lambda theirs: let(_grams(p, most), lambda mine: sets(mine, theirs)))
+        return let(rs, lambda ts: F.concat(each(ts), F.array(F.size(p), F.array_min(F.transform(ts, lambda t: F.size(t))))))
 
-    sums = [F.sum(matched(n)).alias(f"m{n}") for n in range(1, most + 1)] + [F.sum(F.greatest(F.lit(0), F.size("p") - (n - 1))).alias(f"t{n}") for n in range(1, most + 1)]
-    c = words.agg(*sums, F.sum(F.array_min(F.transform("rs", lambda t: F.size(t)))).alias("r"), F.sum(F.size("p")).alias("h"))
+    row = pairs.select(let(tokens(F.col("pred")), told).alias("x"))
     ns = range(1, most + 1)
+    at = lambda i: F.get(F.col("x"), F.lit(i))
+    c = row.agg(*[F.sum(at(n - 1)).alias(f"m{n}") for n in ns], *[F.sum(F.greatest(F.lit(0), at(most) - (n - 1))).alias(f"t{n}") for n in ns], F.sum(at(most + 1)).alias("r"), F.sum(at(most)).alias("h"))
     plain = F.when(F.least(*[F.col(f"m{n}") for n in ns]) > 0, F.exp(sum(F.ln(F.col(f"m{n}") / F.col(f"t{n}")) for n in ns) / most)).otherwise(0.0)
     smooth = F.exp(sum(F.ln((F.col(f"m{n}") + 1) / (F.col(f"t{n}") + 1)) for n in ns) / most)
     penalty = F.when(F.col("h") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("h")))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.operators import casework as O
+from docketry.operators.batches import numbered_by
 from docketry.registry import register
 
 from .fixtures import duck, table, view
@@ -88,6 +89,11 @@ def l9(spark, sf):
     return O.risk(rows).select("id", "base", "band", "adjusted", "rank")
 
 
+@register("l9_critical_share", "WITH b AS (SELECT (1 + p_partkey % 5) * (1 + p_partkey // 5 % 5) AS base FROM part) SELECT count(*) AS n, count(*) FILTER (WHERE base >= 17) AS critical, round(count(*) FILTER (WHERE base >= 17) / count(*), 6) AS share, count(*) FILTER (WHERE base >= 17) / count(*) <= 0.2 AS plausible FROM b")
+def l9_share(spark, sf):
+    return O.critical_share(l9(spark, sf))
+
+
 @register("l10_severity", "WITH s AS (SELECT CASE WHEN (s_suppkey % 3 + 1) * (s_suppkey // 3 % 3 + 1) >= 6 THEN 'high' WHEN (s_suppkey % 3 + 1) * (s_suppkey // 3 % 3 + 1) >= 3 THEN 'medium' ELSE 'low' END AS level FROM supplier) SELECT level, count(*) AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY 1")
 def l10(spark, sf):
     k = F.col("s_suppkey")
@@ -116,11 +122,23 @@ def l12(spark, sf):
     return table(spark, sf, "orders").select(k.alias("id"), score.alias("score"), F.when(k % 23 == 0, "D").otherwise(O.banded(score, (40, "none"), (60, "C"), (80, "B"), top="A")).alias("grp"))
 
 
-@register("l13_precedents", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4, n_regionkey, o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+_L13_SQL = """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderkey % 4 AS authority, n.n_regionkey AS locality, CASE WHEN o_orderkey % 25 = c_nationkey THEN 0 WHEN m.n_regionkey = n.n_regionkey THEN 1 ELSE 2 END AS line, o_custkey % 2 * 2 + o_orderkey // 4 % 2 AS proc
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation n ON n.n_nationkey = c_nationkey JOIN nation m ON m.n_nationkey = o_orderkey % 25)
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY line, authority, locality, o_orderdate DESC, proc, o_orderkey) AS INTEGER) AS place FROM o"""
+
+
+@register("l13_precedents", _L13_SQL)
 def l13(spark, sf):
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    by = Window.partitionBy("o_custkey").orderBy(F.col("o_orderkey") % 4, "n_regionkey", F.desc("o_orderdate"), "o_orderkey")
-    return o.select("o_custkey", "o_orderkey", F.row_number().over(by).alias("place"))
+    """A precedent's court is a nation; courts of one region are beside each other."""
+    nations = table(spark, sf, "nation")
+    own, other = nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("locality")), nations.select(F.col("n_nationkey").alias("court"), F.col("n_regionkey").alias("region"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").withColumn("court", F.col("o_orderkey") % 25)
+    met = o.join(F.broadcast(own), "c_nationkey").join(F.broadcast(other), "court")  # 25 nations
+    line = F.when(F.col("court") == F.col("c_nationkey"), "direct").when(F.col("region") == F.col("locality"), "collateral").otherwise("outside")
+    names = F.array(*[F.lit(p) for p in O.PROCEDURES])
+    procedure = F.element_at(names, (F.col("o_custkey") % 2 * 2 + F.floor(F.col("o_orderkey") / 4) % 2 + 1).cast("int"))
+    cases = met.select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("precedent"), line.alias("court_line"), (F.col("o_orderkey") % 4).alias("authority"), "locality", F.col("o_orderdate").alias("decided"), procedure.alias("procedure"))
+    return O.ranked_precedents(cases, "o_custkey").select("o_custkey", "o_orderkey", "place")
 
 
 _RET = "WITH g AS (SELECT l.doc_id, source FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1), p AS (SELECT doc_id, source FROM documents WHERE length(text) > 300), f AS (SELECT coalesce(g.source, p.source) AS source, count(*) FILTER (WHERE g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS tp, count(g.doc_id) AS g, count(p.doc_id) AS p FROM g FULL JOIN p ON g.doc_id = p.doc_id GROUP BY 1)"
@@ -199,7 +217,15 @@ def l21(spark, sf):
     h = table(spark, sf, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("n"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("item")).join(h, "item", "left")
     state = F.when(F.col("n").isNull(), "missing").when(F.col("n") < 3, "partial").otherwise("covered")
-    return p.select("item", state.alias("state"), F.row_number().over(Window.partitionBy(F.col("item") % 5).orderBy(F.coalesce("n", F.lit(0)), "item")).alias("finding"))
+    found = numbered_by(p.select("item", state.alias("state"), (F.col("item") % 5).alias("level"), F.coalesce("n", F.lit(0)).alias("n")), ["level"], ["n", "item"], "finding")
+    return found.select("item", "state", "finding")
+
+
+@register("l21_findings", "WITH h AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT p_partkey % 5 AS level, count(*) AS items, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE n < 3) AS partial, count(*) FILTER (WHERE n >= 3) AS covered, round(count(*) FILTER (WHERE n >= 3) / count(*), 6) AS share FROM part LEFT JOIN h ON l_partkey = p_partkey GROUP BY 1")
+def l21_findings(spark, sf):
+    """Findings of each level by state."""
+    by = l21(spark, sf).groupBy((F.col("item") % 5).alias("level")).agg(F.count("*").alias("items"), *[F.count_if(F.col("state") == s).alias(s) for s in ("missing", "partial", "covered")])
+    return by.select("*", F.round(F.col("covered") / F.col("items"), 6).alias("share"))
 
 
 @register("l22_timeline", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS place, min(event_type) OVER f <> max(event_type) OVER f AS disputed FROM events WINDOW f AS (PARTITION BY user_id, CAST(ts AS DATE))")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import columns as C
 from docketry.operators.batches import numbered
 from docketry.operators import corpus as O
+from docketry.operators import casework as CW
 from docketry.operators import metrics as M
 from docketry.registry import register
 
@@ -273,6 +274,12 @@ def l17(spark, sf):
     return n.groupBy("lang", "source").agg(F.count_distinct("quality").alias("views"), F.max("n").alias("strongest"), F.round(F.max("n") / F.sum("n"), 6).alias("strength"))
 
 
+@register("l17_conflicts", "WITH v AS (SELECT lang, source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), t AS (SELECT lang, source, arg_max(quality, n * 10 - quality) AS va, max(n) AS na FROM v GROUP BY 1, 2) SELECT v.lang, v.source, va AS view_a, quality AS view_b, na AS docs_a, n AS docs_b, CASE WHEN n / (n + na) >= 1 / 3 THEN 'core' ELSE 'minor' END AS weight FROM v JOIN t ON v.lang = t.lang AND v.source = t.source AND quality <> va")
+def l17_conflicts(spark, sf):
+    n = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id").groupBy("lang", "source", "quality").agg(F.count("*").alias("n"))
+    return CW.conflicts(n, ["lang", "source"], "quality")
+
+
 @register("f2_triage", duck("page_text", "SELECT doc_id, state, CAST(row_number() OVER (ORDER BY CASE state WHEN 'native' THEN 1 WHEN 'ocr' THEN 2 ELSE 0 END, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'password' WHEN doc_id % 23 = 0 THEN 'corrupted' WHEN sum(CASE WHEN page = 1 THEN length(trim(line)) ELSE 0 END) = 0 THEN 'ocr' ELSE 'native' END AS state FROM page_text GROUP BY 1) q"))
 def f2(spark, sf):
     """The queue's place counts on over ranges of (rank, doc_id)."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.columns import area, iou, overlap
 from docketry.operators import boxes as B
 from docketry.operators import metrics as M
+from docketry.operators.batches import spread
 from docketry.registry import register
 
 from .fixtures import duck, table, view
@@ -86,7 +87,7 @@ def a25(spark, sf):
     """Even documents have a second reference, misread and a word longer."""
     second = F.concat(F.replace("gt", F.lit("e"), F.lit("3")), F.lit(" end"))
     refs = F.when(F.col("doc_id") % 2 == 0, F.array("gt", second)).otherwise(F.array("gt"))
-    return M.bleu(view(spark, sf, "text_pairs").select("pred", refs.alias("refs")))
+    return M.bleu(spread(view(spark, sf, "text_pairs")).select("pred", refs.alias("refs")))
 
 
 @register("a31_confusion_f1", "WITH c AS (SELECT quality AS c, count(*) AS row_n, count(*) FILTER (WHERE quality = toxic) AS tp FROM labels GROUP BY 1), p AS (SELECT toxic AS c, count(*) AS col_n FROM labels GROUP BY 1) SELECT c, coalesce(tp, 0) AS tp, round(2 * r * q / greatest(r + q, 1e-8), 6) AS f1 FROM (SELECT coalesce(c.c, p.c) AS c, coalesce(tp, 0) AS tp, coalesce(tp, 0) / greatest(coalesce(row_n, 0), 1) AS r, coalesce(tp, 0) / greatest(coalesce(col_n, 0), 1) AS q FROM c FULL JOIN p ON c.c = p.c) x")

@@ -15,8 +15,17 @@ def d1(spark, sf):
     return O.ratio_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", 0.25, "s1")
 
 
-@register("d2_bucket_batches", "SELECT bucket, CAST(t % 4 AS BIGINT) AS replica, CAST(t // 4 // greatest(1, 64 // bucket) AS BIGINT) AS batch, count(*) AS n FROM (SELECT 1 + p_partkey % 8 AS bucket, row_number() OVER (PARTITION BY 1 + p_partkey % 8 ORDER BY p_partkey) - 1 AS t FROM part) q GROUP BY 1, 2, 3")
+_D2_SQL = """WITH s AS (SELECT * FROM (VALUES (0, 320, 32, 0, 64), (1, 256, 32, 64, 80), (2, 160, 48, 144, 85)) v(k, w, h, a, c)),
+p AS (SELECT p_partkey AS id, (1 + p_partkey % 97) / 4.0 AS ratio, row_number() OVER (ORDER BY p_partkey) - 1 AS n, count(*) OVER () // 3 AS own FROM part),
+r AS (SELECT n % 3 AS replica, n // 3 AS t, ratio, own FROM p WHERE n // 3 < own),
+b AS (SELECT DISTINCT replica, (t // 229) * 3 + k AS batch, k, w, h, a + (t // 229) * 229 AS a, c, own FROM (SELECT DISTINCT replica, t - t % 229 AS t, own FROM r) q, s),
+m AS (SELECT b.replica, batch, w, h, r.t, false AS padded, ratio FROM b JOIN r ON r.replica = b.replica AND r.t >= a AND r.t < a + c
+  UNION ALL SELECT b.replica, batch, w, h, r.t, true, ratio FROM b JOIN r ON r.replica = b.replica AND r.t < c - greatest(0, least(a + c, b.own) - a))
+SELECT CAST(replica AS BIGINT) AS replica, CAST(batch AS BIGINT) AS batch, w, h, count(*) AS n, count(*) FILTER (WHERE padded) AS n_padded, CAST(sum(t) AS BIGINT) AS places, round(CASE WHEN avg(ratio) * h < 400 THEN avg(ratio) ELSE 400.0 / h END, 6) AS ratio FROM m GROUP BY 1, 2, 3, 4"""
+
+
+@register("d2_bucket_batches", _D2_SQL)
 def d2(spark, sf):
-    size = 1 + F.col("p_partkey") % 8
-    b = O.bucket_batches(table(spark, sf, "part"), "p_partkey", size, 4, 64)
-    return b.groupBy("bucket", F.col("replica").cast("long").alias("replica"), F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ((1 + F.col("p_partkey") % 97) / 4.0).alias("ratio"))
+    b = O.bucket_batches(rows, "id", "ratio", [(320, 32), (256, 32), (160, 48)], 3, 320 * 32 * 64, 400)
+    return b.groupBy("replica", "batch", "w", "h").agg(F.count("*").alias("n"), F.count_if("padded").alias("n_padded"), F.sum("t").alias("places"), F.round(F.first("batch_ratio"), 6).alias("ratio"))

@@ -129,27 +129,31 @@ def s13(spark, sf):
     return CO.ordered_join(pages, ["doc_id"], ["page"], "text", "\x0c").join(n, "doc_id").select("doc_id", F.length("text").cast("long").alias("n"), "pages")
 
 
-_SHEETS = """ UNION ALL """.join(f"SELECT '{sheet}' AS sheet, case_id, count(*) AS n, count(DISTINCT event_id) AS ids FROM rs WHERE CAST(substring(case_id, 6) AS INTEGER) % 2 = 0 AND {rule} GROUP BY 1, 2" for sheet, rule in (
-    ("final", "is_final"), ("complete", "status = 'verified'"), ("review_issues", "status = 'pending'"), ("holdings", "event_type = 'bonus_share'"), ("identity", "event_type = 'no_account_record'"), ("checklist", "event_type NOT LIKE 'no_%'"),
-))
+_ROW = ["account_type", "securities_account", "security_code", "security_name", "event_type", "event_date", "quantity_raw"]
+#: sheet: rule, columns in their order
+SHEETS = {
+    "final": ("is_final", _ROW), "complete": ("status = 'verified'", [*_ROW, "file_id"]), "review_issues": ("status = 'pending'", ["event_type", "file_id"]),
+    "holdings": ("event_type = 'bonus_share'", _ROW), "identity": ("event_type = 'no_account_record'", ["securities_account"]), "checklist": ("event_type NOT LIKE 'no_%'", ["event_type"]),
+}
+_SHEETS = " UNION ALL ".join(
+    f"SELECT '{sheet}' AS sheet, case_id, event_id, '{'|'.join(columns)}' AS columns, concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(0))' for c in columns)}) AS cells FROM rs WHERE CAST(substring(case_id, 6) AS INTEGER) % 2 = 0 AND {rule}"
+    for sheet, (rule, columns) in SHEETS.items()
+)
 
 
 @register("s14_export", duck("ledger_rows", CHAIN + _SHEETS))
 def s14(spark, sf):
-    """Six sheets of the reviewed cases, written to the shared folder with fixed columns and read back."""
+    """Six sheets of the reviewed cases, written to the shared folder with their columns in order and read back, value by value."""
     r = L.resolve(view(spark, sf, "ledger_rows"))
     gate = cut(r.select("case_id").distinct().select("case_id", (F.substring("case_id", 6, 9).cast("int") % 2 == 0).alias("excel_export_allowed")), "gate")
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
-    row = ["account_type", "securities_account", "security_code", "security_name", "event_type", "event_date", "quantity_raw"]
-    rules = {
-        "final": (F.col("is_final"), row), "complete": (F.col("status") == "verified", [*row, "file_id"]), "review_issues": (F.col("status") == "pending", ["event_type", "file_id"]),
-        "holdings": (F.col("event_type") == "bonus_share", row), "identity": (F.col("event_type") == "no_account_record", ["securities_account"]), "checklist": (~F.col("event_type").startswith("no_"), ["event_type"]),
-    }
-    stored = cut(r.select("case_id", "event_id", *[c for c in [*row, "file_id", "status", "is_final"]]), "resolved")
+    stored = cut(r.select("case_id", "event_id", *_ROW, "file_id", "status", "is_final"), "resolved")
     out = None
-    for sheet, (rule, columns) in rules.items():
+    for sheet, (rule, columns) in SHEETS.items():
         S.gated_export(stored.where(rule), gate, f"{path}/{sheet}", ["case_id", "event_id", *columns])
-        one = spark.read.schema("event_id string, case_id string").parquet(f"{path}/{sheet}").groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids")).select(F.lit(sheet).alias("sheet"), "case_id", "n", "ids")
+        back = spark.read.schema(stored.select("event_id", *columns, "case_id").schema).parquet(f"{path}/{sheet}")
+        held = [c for c in back.columns if c not in ("case_id", "event_id")]
+        one = back.select(F.lit(sheet).alias("sheet"), F.col("case_id").cast("string").alias("case_id"), "event_id", F.lit("|".join(held)).alias("columns"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in held]).alias("cells"))
         out = one if out is None else out.union(one)
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.batches import numbered_by
 from docketry.operators.boxes import cut
 
 # Fixed values.
@@ -16,7 +17,7 @@ def resolve_files(paths: DataFrame, types: list[str] = SUPPORTED) -> DataFrame:
     """Distinct supported paths in case-insensitive order (S1): path, ext, place."""
     ext = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1)
     one = paths.select("path", ext.alias("ext")).where(F.col("ext").isin(types)).distinct()
-    return one.withColumn("place", F.row_number().over(Window.partitionBy("ext").orderBy(F.lower("path"), "path")))
+    return numbered_by(one.withColumn("__low", F.lower("path")), ["ext"], ["__low", "path"], "place").drop("__low")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
