@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.batches import numbered_by
+
 from .common import SPACE, buckets_for, carried, hash_bucket, read, released, running_total, stored, totals_before, with_uid
 
 BLOCK, SHARDS, EPOCHS, SEED = 64, 16, 3, 17
+BROADCAST = 1_000_000  # sources at most whose few numbers are sent to every task
 
 
 def n_words(text: str = "text") -> Column:
@@ -44,7 +47,7 @@ def quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Data
     quotients target / (2k + 1), ties to the source that comes first. As seats never go back when the
     house grows, a shard's quota is the difference of two houses. Of a house of h seats, x = (h - s/2) / total gives each
     source floor(x * target + 1/2) seats for certain, and (h + s/2) / total more than it can have; only the few seats between are listed
-    and ranked.
+    and ranked, inside ranges of (shard, quotient), as there may be any number of sources.
     """
     paid = sources.where(F.col("target") > 0)
     sums = paid.agg(F.sum("target").alias("total"), F.count("*").alias("s"))
@@ -53,9 +56,9 @@ def quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Data
     low = F.floor(F.greatest(F.lit(0.0), (F.col("h") - F.col("s") / 2) / F.col("total")) * F.col("target") + 0.5)
     high = F.floor((F.col("h") + F.col("s") / 2) / F.col("total") * F.col("target") + 0.5)
     sure = each.withColumn("low", low).withColumn("seat", F.explode_outer(F.when(high >= low, F.sequence(low, high))))
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy((2 * F.col("seat") + 1) / F.col("target"), "number"))
     base = sure.groupBy("shard", "number").agg(F.first("low").alias("low")).groupBy("shard").agg(F.sum("low").alias("base"))
-    won = sure.where("seat is not null").withColumn("rank", rank).join(base, "shard").withColumn("won", (F.col("rank") <= F.col("h") - F.col("base")).cast("long"))
+    between = sure.where("seat is not null").withColumn("quotient", (2 * F.col("seat") + 1) / F.col("target"))
+    won = numbered_by(between, ["shard"], ["quotient", "number"], "rank").join(F.broadcast(base), "shard").withColumn("won", (F.col("rank") <= F.col("h") - F.col("base")).cast("long"))
     total = won.groupBy("number", "shard").agg((F.first("low") + F.sum("won")).alias("seats"))
     before = F.coalesce(F.lag("seats").over(Window.partitionBy("number").orderBy("shard")), F.lit(0))
     return total.select("number", "shard", before.alias("first"), (F.col("seats") - before).alias("blocks"))
@@ -73,8 +76,9 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shards: int = SHA
     sources = stored(targets(sizes, epochs), "mix-sources")
     plan = quotas(sources, block, shards).groupBy("number").agg(F.sum("blocks").alias("blocks"))
     reach = sources.join(plan, "number", "left").withColumn("reach", F.least(F.coalesce("blocks", F.lit(0)) * block, epochs * F.col("source_size")))
+    few = sources.count() <= BROADCAST
     known = reach.select(F.col("source").alias("__source"), "number", "source_size", "target", "reach")
-    dealt = docs.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    dealt = docs.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     n = buckets_for(docs.count())
     placed = running_total(dealt.withColumn("bucket", hash_bucket(n, "order")), ["number"], "bucket", ["order", "doc_id", "uid"], "size", "place")
     whole = F.floor(F.col("reach") / F.greatest(F.col("source_size"), F.lit(1)))

@@ -48,10 +48,10 @@ def completions(first: int, counts: dict[int, int], lengths: list[int], size: in
     """Undominated fillings of a bin around `first` that waste `most_waste` at most, least waste first, longest lengths first.
 
     Which sums the lengths from each one down can reach is worked out beforehand, a bit a sum, so a branch that cannot
-    end in the waste looked for is never entered. A filling is dominated when one of its lengths could give way to a longer one
-    that is left and still fits. lengths: falling, each with a count left beside `first`.
+    end in the waste looked for is never entered. A filling is dominated when some of its lengths, or none, could give way to one length that is
+    left, is not shorter than they are together, and still fits. lengths: falling, each with a count left beside `first`.
     """
-    room, rising = size - first, [-x for x in lengths]
+    room, rising, have = size - first, [-x for x in lengths], sum(1 << x for x in lengths)
     mask, reach = (1 << room + 1) - 1, [1] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
         x, r, step = lengths[i], reach[i + 1], 1
@@ -78,7 +78,7 @@ def completions(first: int, counts: dict[int, int], lengths: list[int], size: in
     for waste in range(min(most_waste, room) + 1):
         if reach[0] >> room - waste & 1:
             for taken in exact(0, room - waste):
-                if not _dominated(list(taken), waste, counts, rising):
+                if not _dominated(list(taken), waste, counts, have):
                     yield taken
 
 
@@ -98,13 +98,21 @@ def _fullest(left: dict[int, int], lengths: list[int], size: int) -> tuple[int,
     return tuple(taken)
 
 
-def _dominated(taken: list[int], room: int, counts: dict[int, int], rising: list[int]) -> bool:
-    """Some taken length could give way to a longer one that is left and fits. rising: negated lengths."""
+def _dominated(taken: list[int], room: int, counts: dict[int, int], have: int) -> bool:
+    """Some of the taken lengths, or none of them, could give way to one length that is left, is as long as all of them or longer, and fits into their place and
+    the room. have: a bit for each length that there is. One that is only as long as the single length it replaces is no gain."""
+    some, more = 1, 0  # bits: sums of some of taken; sums of two or more
+    for x in taken:
+        more |= more << x | (some & ~1) << x
+        some |= some << x
     for x in set(taken):
-        for i in range(bisect_left(rising, -x - room), bisect_left(rising, -x)):
-            if counts[-rising[i]] > taken.count(-rising[i]):
-                return True
-    return False
+        if counts[x] == taken.count(x):
+            have &= ~(1 << x)
+    longer, width = some << 1 if room else 0, 1
+    while width < room:
+        step = min(width, room - width)
+        longer, width = longer | longer << step, width + step
+    return bool(have & (longer | more))
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

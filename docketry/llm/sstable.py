@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,7 @@ FOOTER = struct.Struct("<QIQIIQQ8s8s8s")
 INDEX = struct.Struct("<8sQII")
 ENTRY = struct.Struct("<BBI")
 NONE = -(2**63)  # key of a null doc_id
+KEPT = 900_000  # words that a task's encoder keeps while it writes: about 180 MB
 
 
 def key_of(doc_id: int) -> bytes:
@@ -103,18 +104,24 @@ class Writer:
 
 
 class Reader:
-    """One file's bytes: `entries` in key order, `get` by Bloom filter, index and binary search."""
+    """One file: `entries` in key order, `get` by Bloom filter, index and binary search. read(at, n) gives n bytes of its `size` from at on: only the
+    footer and the index are read at once, the filter and a block when they are asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = data
-        at, n, self.bloom_at, self.bloom_size, _, self.n, self.tokens, self.low, self.high, magic = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        at, n, self.bloom_at, self.bloom_size, _, self.n, self.tokens, self.low, self.high, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token table")
-        self.index = [INDEX.unpack_from(data, at + i * INDEX.size) for i in range(n)]
-        self.open = zstandard.ZstdDecompressor()
+        index = read(at, n * INDEX.size)
+        self.index = [INDEX.unpack_from(index, i * INDEX.size) for i in range(n)]
+        self.open, self.bloom = zstandard.ZstdDecompressor(), b""
+
+    @classmethod
+    def of(cls, data: bytes) -> Reader:
+        return cls(lambda at, n: data[at : at + n], len(data))
 
     def _block(self, k: int) -> tuple[bytes, list[int]]:
-        raw = self.open.decompress(self.data[self.index[k][1] : self.index[k][1] + self.index[k][2]])
+        raw = self.open.decompress(self.read(self.index[k][1], self.index[k][2]))
         n = struct.unpack_from("<I", raw, len(raw) - 4)[0]
         end = len(raw) - 4 * (n + 1)
         return raw[:end], list(struct.unpack_from(f"<{n}I", raw, end))
@@ -136,7 +143,8 @@ class Reader:
             yield from self._walk(self._block(k)[0], 0)
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.data[self.bloom_at + (b >> 3)] >> (b & 7) & 1 for b in _bits(key, self.bloom_size * 8))
+        self.bloom = self.bloom or self.read(self.bloom_at, self.bloom_size)
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(key, self.bloom_size * 8))
 
     def get(self, key: bytes) -> list[bytes]:
         """Values of all entries with this key."""
@@ -161,13 +169,13 @@ class Reader:
         return found
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, parts: int | None = None, most: int = 64 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, parts: int | None = None, most: int = 64 << 20, kept: int = KEPT) -> DataFrame:
     """Tokenise (doc_id, text) and write files of at most about `most` bytes to `folder`, any place that
     pyarrow.fs opens: file, low, high, entries, tokens of each file.
 
-    Rows are range-partitioned by doc_id, and by the text's hash where one id has many; each task writes its range. A file gets its final name by a
-    rename when it is whole, under the name of its first key, so a task that runs again replaces what a
-    lost one left and never leaves half a file. Null text: only the end id; a null doc_id sorts first.
+    Rows are range-partitioned by doc_id, and by the text's hash where one id has many; each task writes its range. A file's name has its task's number and
+    one of the attempt's own; the returned table, which is stored, lists the files of the attempts that counted, and readers open only those, so what a lost task
+    left behind, whole or in part, is never read. Null text: only the end id; a null doc_id sorts first. Words kept by a task's encoder: `kept`.
     """
     path = path or tokens.vocabulary()
 
@@ -176,14 +184,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, p
         from pyspark import TaskContext
 
         place, root = fs.FileSystem.from_uri(folder)
-        task, made, encode, out = TaskContext.get().partitionId(), [], tokens.encoder(path), Writer()
+        task, made, encode, out = TaskContext.get().partitionId(), [], tokens.encoder(path, kept), Writer()
 
         def close() -> None:
             if out.n:
-                name = f"part-{task:06d}-{len(made):04d}.sst"
-                with place.open_output_stream(temp := f"{root}/_{name}-{uuid.uuid4().hex}") as f:
+                name = f"part-{task:06d}-{len(made):04d}-{uuid.uuid4().hex}.sst"
+                with place.open_output_stream(f"{root}/{name}") as f:
                     f.write(out.finish())
-                place.move(temp, f"{root}/{name}")
                 made.append((name, id_of(out.keys[0]), id_of(out.keys[-1]), out.n, out.tokens))
 
         for batch in batches:
@@ -206,16 +213,29 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, p
     return stored(spread.sortWithinPartitions("doc_id", "salt", "text").mapInPandas(save, "file string, low long, high long, entries long, tokens long"), "sst-files")
 
 
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """All entries of a folder of files: file, doc_id, at (ids before it in its file), n_tokens,
-    ids_crc32, ids."""
+def _opened(folder: str) -> Callable[[str], Reader]:
+    """Opens a file of the folder for reads at any place."""
+    from pyarrow import fs
+
+    place, root = fs.FileSystem.from_uri(folder)
+
+    def opened(name: str) -> Reader:
+        f = place.open_input_file(f"{root}/{name}")
+        return Reader(lambda at, n: f.read_at(n, at), f.size())
+
+    return opened
+
+
+def read_back(folder: str, files: DataFrame) -> DataFrame:
+    """All entries of the files that `write` lists: file, doc_id, at (ids before it in its file), n_tokens, ids_crc32, ids. A task reads a block at a time."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = _opened(folder)
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
+            for name in batch["file"]:
                 at, got, held = 0, [], 0
-                for key, ids in Reader(data).entries():
-                    got.append((path.rsplit("/", 1)[-1], id_of(key), at, len(ids) // 4, tokens.crc(ids), ids))
+                for key, ids in opened(name).entries():
+                    got.append((name, id_of(key), at, len(ids) // 4, tokens.crc(ids), ids))
                     at += len(ids) // 4
                     held += len(ids)
                     if held > 8 << 20:
@@ -225,20 +245,16 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                     yield pd.DataFrame(got, columns=COLUMNS)
 
     COLUMNS = ["file", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(folder).select("path", "content")
-    return files.mapInPandas(parse, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    n = max(1, min(files.count(), 20_000))  # a file a task
+    return files.select("file").repartition(n).mapInPandas(parse, "file string, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def lookup(spark: SparkSession, folder: str, files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Ids of the wanted documents (doc_id): doc_id, ids. Each id goes to the files whose key range holds
-    it; a file is opened once and asked by Bloom filter, block index and binary search."""
+    it; a file is opened once and asked by Bloom filter, block index and binary search, and only the blocks that may hold an id are read."""
 
     def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        place, root = fs.FileSystem.from_uri(folder)
-        with place.open_input_stream(f"{root}/{key[0]}") as f:
-            table = Reader(f.read())
+        table = _opened(folder)(key[0])
         got = [(d, v) for d in rows["doc_id"].unique() for v in table.get(key_of(int(d)))]
         return pd.DataFrame({"doc_id": pd.Series([d for d, _ in got], dtype="int64"), "ids": pd.Series([v for _, v in got], dtype=object)})
 
@@ -254,10 +270,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     place in its file. Repeated ids keep all their rows; an empty table gives no rows.
     """
     folder = f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"
-    files = write(read(spark, sf_dir, "documents"), folder)
+    files = write(read(spark, sf_dir, "documents"), folder, kept=KEPT)
     before = Window.orderBy("low", "file").rowsBetween(Window.unboundedPreceding, -1)
     places = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    rows = read_back(spark, folder).drop("ids")
+    rows = read_back(folder, files).drop("ids")
     return rows.join(places, "file").select(
         F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
+#: Words that a Python worker keeps, the first ones; later ones are encoded each time. 100,000 take about 20 MB.
+KEPT = 300_000
+
 
 class Encoder(dict):
     """word bytes -> its ids as little-endian unsigned 32-bit integers."""
 
-    MOST = 300_000  # words kept, the first ones: about 60 MB; later ones are encoded each time
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         super().__init__()
+        self.most = most
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
@@ -41,7 +43,7 @@ class Encoder(dict):
             upto = bisect_left(starts, end, at)
             out.append(struct.pack(f"<{upto - at}I", *ids[at:upto]))
             at = upto
-            if len(word) <= 64 and len(self) < self.MOST:
+            if len(word) <= 64 and len(self) < self.most:
                 self[word] = out[-1]
         return out
 
@@ -57,7 +59,7 @@ class Encoder(dict):
             made = dict(zip(fresh, self.learn(fresh), strict=True)) if fresh else {}
             for w, ps in new.items():
                 new[w] = b"".join([made[p] if p in made else self[p] for p in ps])
-                if len(w) <= 64 and len(self) < self.MOST:
+                if len(w) <= 64 and len(self) < self.most:
                     self[w] = new[w]
             got = b"".join([new[w] if w in new else self[w] for w in words])
         else:
@@ -89,9 +91,10 @@ def parts(word: bytes) -> tuple[bytes, ...]:
     return (core, low[len(core) :]) if core and len(core) < len(low) and core[-1:].isalnum() else (low,)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = KEPT) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 

@@ -29,7 +29,6 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 
 EXCEPTIONS = ("scunthorpe", "trash can", "trash bin", "trash collection", "class clown fish", "clownfish")
 ROWS = 20_000  # labelled rows at most that the model is fitted on
-TERMS = 2_000  # lexicon entries at most
 SUPPORT, LEAST = 4, 2.0  # toxic rows with a term, and its log odds ratio, at least
 
 _TABLE = str.maketrans(HOMOGLYPHS)
@@ -133,8 +132,9 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> Lexicon:
-    """Fit the lexicon on at most `rows` labelled rows.
+def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Lexicon:
+    """Fit the lexicon on at most `rows` labelled rows, which is its only bound: every term with enough support is looked at, and
+    every telling one is an entry.
 
     Terms of toxic rows with enough support are counted in all training rows; those whose log odds ratio
     reaches LEAST get it as weight. A longer head goes when a shorter one is as telling. Words that start with a term but lean the
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
         return data.mapInPandas(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
     n_pos, n_neg = data.where("toxic > 0").count(), data.where("toxic <= 0").count()
-    common = counts(None).where(F.col("pos") >= SUPPORT).orderBy(F.desc("pos"), "term").limit(50 * terms)
+    common = counts(None).where(F.col("pos") >= SUPPORT)
     counted = counts(frozenset(r["term"] for r in common.select("term").collect())).collect() if n_pos else []
 
     def odds(pos: int, neg: int) -> float:
@@ -170,9 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     kept: dict[str, float] = {}
     for t in ranked:
         heads = [t[:k] for k in range(4, min(len(t), 9)) if t[:k] in kept]
-        if not any(kept[h] >= telling[t][0] - 0.5 for h in heads) and len(kept) < terms:
+        if not any(kept[h] >= telling[t][0] - 0.5 for h in heads):
             kept[t] = telling[t][0]
-    spared = tuple(sorted(t for t, (w, _, n) in telling.items() if w < 0 and n >= 5 and t.endswith(" ") and any(t.startswith(k) and k != t for k in kept)))[:terms]
+    spared = tuple(sorted(t for t, (w, _, n) in telling.items() if w < 0 and n >= 5 and t.endswith(" ") and any(t.startswith(k) and k != t for k in kept)))
     lexicon = Lexicon(kept, EXCEPTIONS + spared)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,8 +202,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> DataFrame:
-    """docs with the column `out` (0 to 1), in place of one of that name, of each whole text; a null text scores as an empty one. The lexicon has at
-    most TERMS entries, so it travels with the tasks."""
+    """docs with the column `out` (0 to 1), in place of one of that name, of each whole text; a null text scores as an empty one. The lexicon comes from
+    a bounded number of rows, so it travels with the tasks."""
     ship(docs.sparkSession)
     rows = carried(docs.drop(out))
 

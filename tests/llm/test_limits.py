@@ -188,10 +188,15 @@ def test_fillings_are_the_undominated_ones():
         items = sorted(counts.elements(), reverse=True)
         for k in range(len(items) + 1):
             every |= {c for c in itertools.combinations(items, k) if size - first - 5 <= sum(c) <= size - first}
-        better = lambda c: any(y > x and y - x <= size - first - sum(c) and counts[y] > c.count(y) for x in c for y in counts)
+        some = lambda c: [s for k in range(len(c) + 1) for s in itertools.combinations(c, k)]
+        better = lambda c: any(counts[y] > c.count(y) and sum(s) <= y <= sum(s) + size - first - sum(c) and (y > sum(s) or len(s) > 1) for s in some(c) for y in counts)
         assert sorted(got) == sorted(c for c in every if not better(c)) and [sum(c) for c in got] == sorted((sum(c) for c in got), reverse=True)
 
 
+def test_a_pair_gives_way_to_one_length():
+    assert list(packing.completions(10, {5: 1, 3: 1, 2: 1}, [5, 3, 2], 15, 5)) == [(5,)]
+
+
 def test_many_matches_in_one_text(spark):
     took = {}
     for n in (2000, 16_000, 32_000):
@@ -311,5 +316,5 @@ def test_many_texts_under_one_id(spark, tmp_path):
     files = sstable.write(docs, folder, parts=4)
     assert files.where("low <= 7 and high >= 7").count() > 1
     assert sstable.lookup(spark, folder, files, spark.createDataFrame([(7,)], "doc_id long")).count() == 401
-    back = sstable.read_back(spark, folder).select("doc_id").collect()
+    back = sstable.read_back(folder, files).select("doc_id").collect()
     assert collections.Counter(r["doc_id"] for r in back) == collections.Counter(d for d, _ in rows)

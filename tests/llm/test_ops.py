@@ -167,7 +167,7 @@ def test_word_by_word_ids_are_the_texts_ids():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
-    e.MOST = 40
+    e.most = 40
     cases = ["", " ", "İstanbul ΑΣ ς é́a x y", "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "ﬀ \x1c\x1d q\x85r 'S don't it's, 1234 ſ.", "́ńx", "THE the The, the. the!! (the)", "日本語, テスト。 1,000.50", "a" * 300] + [f"word{i}, Word{i}." for i in range(99)]
     for c in cases:
         assert list(np.frombuffer(e.ids(c, None), dtype="<u4")) == t.encode(c, add_special_tokens=False).ids, c
@@ -264,12 +264,12 @@ def test_table_files_alone():
     values = [np.array([r.randrange(70_000 if i % 5 == 0 else 500) for _ in range(r.randrange(60))], dtype="<u4").tobytes() for i in range(len(keys))]
     for k, v in zip(keys, values, strict=True):
         w.add(sstable.key_of(k), v)
-    t = sstable.Reader(w.finish())
+    t = sstable.Reader.of(w.finish())
     assert [(sstable.id_of(k), v) for k, v in t.entries()] == list(zip(keys, values, strict=True))
     assert all(v in t.get(sstable.key_of(k)) for k, v in zip(keys, values, strict=True)) and len(t.get(sstable.key_of(keys[10]))) == 2
     absent = [k for k in range(2000) if k not in set(keys)]
     assert not any(t.get(sstable.key_of(k)) for k in absent) and sum(t.may_hold(sstable.key_of(k)) for k in absent) < 60
-    assert list(sstable.Reader(sstable.Writer().finish()).entries()) == []
+    assert list(sstable.Reader.of(sstable.Writer().finish()).entries()) == []
 
 
 # ---- op5, op6 --------------------------------------------------------------------------------------
