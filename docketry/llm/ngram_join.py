@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import carried, components, read, released, stored, with_uid
@@ -329,9 +329,8 @@ def _classed(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     # copies of a set do not sign: they are few, so the signatures stay where they are instead of moving to meet the representatives
     copies = stored(signed.where("n > 0").select("uid").join(reps.select(F.col("rep").alias("uid")), "uid", "left_anti"), "ngram-copies")
     entries = signed.where("n > 0").select("uid", "sigs").join(_small(copies, COPIES), "uid", "left_anti").select(F.col("uid").alias("rep"), F.explode("sigs").alias("sig"))
-    by = Window.partitionBy("sig")
-    meets = entries.withColumn("leader", F.min("rep").over(by)).withColumn("last", F.max("rep").over(by)).where("last > leader").drop("last")
-    meets = stored(meets, "ngram-meets")
+    ends = entries.groupBy("sig").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("last > leader").drop("last")  # summed where the entries are, so a hot signature is one row a task
+    meets = stored(entries.join(_small(stored(ends, "ngram-shared")), "sig"), "ngram-meets")
     near = meets.select("rep").distinct()
     wanted = stored(reps.join(near, "rep").select("doc_id", "n", "k1", "k2", "rep"), "ngram-wanted")
     ids = wanted.select("doc_id").distinct()

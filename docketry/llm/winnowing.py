@@ -66,7 +66,8 @@ def _places(words: Column, lengths: list[int]) -> Column:
     def all_of(w: Column) -> Column:
         pairs = F.zip_with(fingerprints(w), _runs(w, WINDOW), lambda fp, t: F.struct(fp.alias("fp"), t.alias("t")))
         full = F.transform(pairs, lambda x, i: place(x["fp"], i, WINDOW, x["t"]))
-        return F.concat(full, *[F.transform(_runs(w, n), lambda t, i, n=n: place(_short_print(t), i, n, t)) for n in lengths])
+        of_length = lambda n: lambda t, i: place(_short_print(t), i, n, t)
+        return F.concat(full, *[F.transform(_runs(w, n), of_length(n)) for n in lengths])
 
     return _let(words, all_of)
 
