@@ -124,6 +124,8 @@ def nearest_by_corners(boxes: DataFrame, cells_: DataFrame, size: float = CELL)
         out = found if out is None else out.unionByName(found)
         left = cut(left.join(found, ["image_id", "a_box_id"], "left_anti"), "nearest")
         size *= 2
+        if size > 1e15:
+            raise RuntimeError("boxes without finite corners have no nearest cell")
     return out if out is not None else left.join(right, "image_id").select("image_id", "a_box_id", "b_box_id")
 
 
