@@ -17,16 +17,17 @@ from . import tokens
 from .common import hash_bucket, read, running_total, stored
 
 SIZE, END = 4096, 1
+KEPT = 900_000  # words that a task's encoder keeps where nothing runs beside it: about 180 MB
 
 
-def token_pieces(docs: DataFrame, size: int = SIZE, end: int = END, path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, size: int = SIZE, end: int = END, path: str | None = None, kept: int = tokens.KEPT) -> DataFrame:
     """Tokenise (doc_id, text) and cut each document's ids and its end id into pieces of at most `size`:
     uid, doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit). uid tells repeated rows apart once
-    the result is stored. A null text is empty: its only id is the end id."""
+    the result is stored. A null text is empty: its only id is the end id. kept: words that a task's encoder keeps."""
     path = path or tokens.vocabulary()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path)
+        encode = tokens.encoder(path, kept)
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
@@ -270,13 +271,13 @@ def sequences(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), joined.alias("ids"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, kept: int = tokens.KEPT) -> DataFrame:
     """Documents (doc_id, text) to placed pieces: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. Null text: empty; repeated rows are packed each; an empty table gives no rows."""
-    pieces = stored(token_pieces(docs).drop("ids"), "pack-pieces")
+    pieces = stored(token_pieces(docs, kept=kept).drop("ids"), "pack-pieces")
     return pack(pieces).drop("uid")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
-    return packed_documents(read(spark, sf_dir, "documents"))
+    return packed_documents(read(spark, sf_dir, "documents"), KEPT)
