@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import read, stored
 
 WINDOW, GRAM = 10, 4  # words of a window and of a hashed run; the minimum is over WINDOW - GRAM + 1 = 7 runs
-BROADCAST = 500_000  # fingerprints, windows or hit documents at most that are sent to every task
+BROADCAST, BYTES = 500_000, 64 << 20  # rows (fingerprints, windows, hit documents) and bytes of their texts or lists at most that are sent to every task
 SALTS = 16  # parts of a fingerprint beyond that
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,9 +84,15 @@ def windows(items: DataFrame) -> DataFrame:
     return each.select("item_id", "w.fp", "w.len", "w.t").distinct()
 
 
-def _held(rows: DataFrame, keys: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with the stored table keys (distinct by): sent to every task up to BROADCAST rows; beyond that a key's rows meet it in SALTS parts."""
-    if keys.count() <= BROADCAST:
+def _light(df: DataFrame, size: Column | None = None) -> bool:
+    """The stored table df is small enough to be sent to every task; size: the bytes of a row beside its few numbers."""
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return n <= BROADCAST and held <= BYTES
+
+
+def _held(rows: DataFrame, keys: DataFrame, by: list[str], how: str = "inner", size: Column | None = None) -> DataFrame:
+    """rows joined with the stored table keys (distinct by): sent to every task while it is light; beyond that a key's rows meet it in SALTS parts."""
+    if _light(keys, size):
         return rows.join(F.broadcast(keys), by, how)
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     many = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -117,7 +123,7 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     some = F.broadcast(suspects) if suspects.count() <= BROADCAST else suspects
     again = docs.select("doc_id", key, "text").join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left_semi")
     placed = again.select("doc_id", "key", F.explode(_places(words_of(F.col("text")), lengths)).alias("p"))
-    found = _held(placed.select("doc_id", "key", "p.*"), texts, ["fp", "t"]).select("doc_id", "key", "at", "len", "t")
+    found = _held(placed.select("doc_id", "key", "p.*"), texts, ["fp", "t"], size=F.octet_length("t")).select("doc_id", "key", "at", "len", "t")
     return base, stored(found.distinct(), "winnow-hits"), grams
 
 
@@ -136,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = grams.select("t", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items_of = found.select("doc_id", "key", "t").distinct().join(named, "t").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     told = stored(covered.join(items_of, covered["doc_id"].eqNullSafe(items_of["doc_id"]) & (covered["key"] == items_of["key"])).select(covered["doc_id"].alias("id"), covered["key"].alias("k"), "n_hit", "item_ids"), "winnow-told")
-    some = F.broadcast(told) if told.count() <= BROADCAST and grams.count() <= BROADCAST else told
+    some = F.broadcast(told) if _light(told, F.aggregate("item_ids", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(i) + 16)) else told
     met = base.join(some, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key").eqNullSafe(F.col("k"))), "left")
     return met.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
