@@ -97,3 +97,25 @@ def corner_distance(a: str, b: str) -> Column:
 def let(value: Column, f) -> Column:
     """f(value) with value worked out once a row, however often f names it, also inside lambdas."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def edits(a: str, b: str, short: int = 64) -> Column:
+    """Edit distance of two text columns, the same as levenshtein, which takes the product of the lengths.
+
+    Where one text holds the other it is the difference of lengths. Else it is at most the places that differ with both laid over each other, and at least what one text has of
+    its characters more than the other has; where these meet, nothing is left to find, and where they don't only the band up to the former is searched. Texts of up to `short` characters go straight through.
+    """
+    x, y = F.col(a), F.col(b)
+    longer = F.length(x) - F.length(y)
+    most = F.size(F.filter(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: ~p.eqNullSafe(q)), lambda d: d))
+    kinds = F.array_distinct(F.split(x, ""))
+
+    def surplus(ks: Column) -> Column:
+        count = lambda t, k: F.length(t) - F.length(F.replace(t, k, F.lit("")))
+        return F.aggregate(ks, F.lit(0), lambda n, k: n + F.greatest(F.lit(0), count(x, k) - count(y, k)))
+
+    # counting goes over the text for each kind of character, so it is left out where most differ
+    least = let(kinds, lambda ks: F.when(4 * F.size(ks) <= F.length(x), let(surplus(ks), lambda n: F.greatest(n, n - longer))).otherwise(F.lit(0)))
+    searched = let(most, lambda m: F.when(least == m, m).otherwise(F.call_function("levenshtein", x, y, m)))
+    inside = F.contains(x, y) | F.contains(y, x)
+    return F.when(x == y, 0).when(F.greatest(F.length(x), F.length(y)) <= short, F.levenshtein(x, y)).when(inside, F.abs(longer)).otherwise(searched)

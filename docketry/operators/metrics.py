@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.columns import let
+from docketry.functions.columns import edits, let
 
 
 # First and last code point of each script bucket; all else is `other`.
@@ -92,18 +92,23 @@ def mteval_tokens(text: str, rules: list[tuple[str, str]]) -> Column:
 
 def token_edits(pairs: DataFrame) -> DataFrame:
     """Token edit distance of each pair (doc_id, n, gt, pred) (A23): the distinct tokens of a pair are numbered, each number becomes one
-    character, and levenshtein runs over those. The characters leave out surrogates; a pair may have up to 1,000,000 distinct tokens."""
-    sides = [pairs.select("doc_id", "n", F.lit(s).alias("side"), F.posexplode(F.split(s, " ")).alias("i", "t")) for s in ("gt", "pred")]
-    no = F.dense_rank().over(Window.partitionBy("doc_id", "n").orderBy("t")) + 0x20
-    point = F.when(no >= 0xD800, no + 0x800).otherwise(no)  # past the surrogates
-    char = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
-    coded = sides[0].union(sides[1]).withColumn("c", char)
-
-    def text(side: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("i", "c")))), lambda x: x["c"]), "")
-
-    both = coded.groupBy("doc_id", "n").agg(text("gt").alias("g"), text("pred").alias("p"))
-    return both.select("doc_id", "n", F.length("g").alias("n_gt"), F.length("p").alias("n_pred"), F.levenshtein("g", "p").alias("edits"))
+    character, and the edits are those between the texts of these. The characters leave out surrogates; a pair may have up to 1,000,000 distinct tokens. All is worked out inside the pair's row."""
+    none = F.array().cast("array<string>")
+    g, p = F.coalesce(F.split("gt", " "), none), F.coalesce(F.split("pred", " "), none)
+
+    def char(no: Column) -> Column:
+        point = F.when(no >= 0xD800, no + 0x800).otherwise(no)  # past the surrogates
+        return F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
+
+    def coded(words: Column) -> Column:
+        chars = F.transform(words, lambda w, i: char(i + 0x21))
+        text = lambda ts, cs: F.array_join(F.transform(ts, lambda t: F.get(cs, (F.array_position(words, t) - 1).cast("int"))), "")
+        return let(chars, lambda cs: F.struct(text(F.col("tg"), cs).alias("g"), text(F.col("tp"), cs).alias("p")))
+
+    split = pairs.where("gt is not null or pred is not null").select("doc_id", "n", F.col("gt").eqNullSafe(F.col("pred")).alias("same"), g.alias("tg"), p.alias("tp"))
+    both = split.withColumn("c", F.when(~F.col("same"), let(F.array_distinct(F.concat("tg", "tp")), coded)))
+    both = both.select("doc_id", "n", F.size("tg").alias("n_gt"), F.size("tp").alias("n_pred"), F.col("c.g").alias("g"), F.col("c.p").alias("p"))
+    return both.select("doc_id", "n", "n_gt", "n_pred", F.coalesce(edits("g", "p"), F.lit(0)).alias("edits"))
 
 
 def _standings(grams: Column) -> Column:

@@ -70,7 +70,7 @@ def a22(spark, sf):
 
 @register("a23_token_edits")
 def a23(spark, sf):
-    return M.token_edits(view(spark, sf, "text_pairs"))
+    return M.token_edits(spread(view(spark, sf, "text_pairs")))
 
 
 _GRAMS = " UNION ALL ".join(f"SELECT doc_id, line, {n} AS n, side, array_to_string(t[i:i + {n - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(t) - {n - 2})) AS i FROM tk WHERE len(t) >= {n}) q" for n in (1, 2, 3, 4))

@@ -1,9 +1,14 @@
 """Tables row by row, limits on shares, bounds of edit distances, pages of many lines."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from docketry.functions import columns as C
 from docketry.operators import files as FO
 from docketry.operators import layout as L
+from docketry.operators import metrics as M
 from docketry.plans import ledger as PL
 from docketry.plans import sources as PS
 from docketry.sources import records as S
@@ -41,3 +46,22 @@ def test_a_table_at_the_limit_of_crossed_places_counts(spark):
         cells += [(1, 1, n, x, end, 800.0 - 12 * n, 10.0, "t") for x, end in zip((0.0, 100.0, 200.0), ends, strict=True)]
     found = L.tables(spark.createDataFrame(cells, "doc_id long, page long, line_no long, x1 double, x2 double, y double, h double, text string"))
     assert [(r["n_rows"], r["columns"]) for r in found.collect()] == [(60, 3)]
+
+
+def test_edits_are_those_of_levenshtein(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(300):
+        a = "".join(r.choice("abcdeé漢\U0001f600 ") for _ in range(r.randrange(0, 120)))
+        b = list(a)
+        for _ in range(r.choice([0, 1, 2, 10, 60])):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "e", "3", "xy"])
+        rows.append((a, r.choice(["".join(b), a.replace("e", "3"), a[:-1], a[5:], a[::-1]])))
+    rows += [(None, "a"), ("", "b" * 70), ("ab" * 50, "ba" * 50), ("".join(chr(0x4E00 + i) for i in range(90)), "".join(chr(0x4E05 + i) for i in range(90)))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", C.edits("a", "b", 10).alias("e"), F.levenshtein("a", "b").alias("l")).collect()
+    assert [x for x in got if x["e"] != x["l"]] == []
+    tokens = M.token_edits(spark.createDataFrame([(1, 0, "a b a c", "a a c"), (2, 0, "", "x y"), (3, 0, "q q", "q q"), (4, 0, None, "z")], "doc_id long, n int, gt string, pred string"))
+    assert sorted(tuple(x) for x in tokens.collect()) == [(1, 0, 4, 3, 1), (2, 0, 1, 2, 2), (3, 0, 2, 2, 0), (4, 0, 0, 1, 1)]
+    assert "Window" not in tokens._jdf.queryExecution().optimizedPlan().toString()
