@@ -78,7 +78,7 @@ def wild(text: Column, pattern: str) -> Column:
 def recognition(pairs: DataFrame, eps: float = 1e-5) -> DataFrame:
     """Exact rate and 1 - mean normalised edit distance of gt and pred."""
     longest = F.greatest(F.length("gt"), F.length("pred"))
-    d = F.when(longest == 0, 0.0).otherwise(F.levenshtein("gt", "pred") / longest)
+    d = F.when(longest == 0, 0.0).otherwise(edits("gt", "pred") / longest)
     return pairs.agg(F.count("*").alias("n"), F.round(F.count_if(F.col("gt") == F.col("pred")) / (F.count("*") + eps), 6).alias("acc"), F.round(1 - F.sum(d) / (F.count("*") + eps), 6).alias("norm_edit"))
 
 

@@ -36,7 +36,7 @@ def _all_pred(spark, sf):
 
 @register("a21_recognition", duck("text_pairs", "SELECT count(*) AS n, round(count(*) FILTER (WHERE gt = pred) / (count(*) + 1e-5), 6) AS acc, round(1 - sum(CASE WHEN greatest(length(gt), length(pred)) = 0 THEN 0.0 ELSE levenshtein(gt, pred) / greatest(length(gt), length(pred)) END) / (count(*) + 1e-5), 6) AS norm_edit FROM text_pairs"))
 def a21(spark, sf):
-    return M.recognition(view(spark, sf, "text_pairs"))
+    return M.recognition(spread(view(spark, sf, "text_pairs")))
 
 
 @register("p24_scoring_text", duck("text_pairs", "SELECT doc_id, n, replace(gt, ' ', '') = replace(pred, ' ', '') AS same FROM text_pairs"))
