@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docketry.functions.columns import area, iou, overlap
+from docketry.functions.columns import area, edits, iou, overlap
 from docketry.operators import boxes as B
 from docketry.operators import metrics as M
 from docketry.operators.batches import spread
@@ -173,7 +173,7 @@ def a38(spark, sf):
 def j13(spark, sf):
     t = view(spark, sf, "text_pairs")
     met = t.select("doc_id", "n", "gt").join(t.where("doc_id % 7 <> 0").select("doc_id", "n", "pred"), ["doc_id", "n"], "left")
-    return met.select("doc_id", "n", F.when(F.col("pred").isNull(), 0.0).otherwise(F.round(1 - F.levenshtein("gt", "pred") / F.greatest(F.length("gt"), F.length("pred"), F.lit(1)), 6)).alias("score"))
+    return met.select("doc_id", "n", F.when(F.col("pred").isNull(), 0.0).otherwise(F.round(1 - edits("gt", "pred") / F.greatest(F.length("gt"), F.length("pred"), F.lit(1)), 6)).alias("score"))
 
 
 @register("p28_collapse_ids", "SELECT l_orderkey AS k, list_aggregate(list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i] <> 0 AND (i = 1 OR a[i] <> a[i - 1]) THEN a[i] END), lambda x: x IS NOT NULL), 'string_agg', ',') AS ids FROM (SELECT l_orderkey, list(l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS a FROM lineitem GROUP BY 1) q")
