@@ -99,6 +99,22 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def sums_before(values: Column, size: int = 64) -> Column:
+    """For each element of an array of whole numbers the sum of those before it. Sums run inside pieces of `size` and over the pieces, as a fold copies what it has gathered at each step."""
+    none = F.array().cast("array<bigint>")
+
+    def running(a: Column) -> Column:
+        start = F.struct(none.alias("out"), F.lit(0).cast("long").alias("t"))
+        return F.aggregate(a, start, lambda s, v: F.struct(F.concat(s["out"], F.array(s["t"])).alias("out"), (s["t"] + v).alias("t")), lambda s: s["out"])
+
+    def parted(a: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda i: F.slice(a, i * size + 1, F.lit(size)))
+        base = lambda ps: running(F.transform(ps, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda t, v: t + v)))
+        return let(pieces, lambda ps: F.flatten(F.zip_with(ps, base(ps), lambda p, b: F.transform(running(p), lambda v: v + b))))
+
+    return let(values, lambda a: F.when(F.size(a) <= size, running(a)).otherwise(parted(a)))
+
+
 def edits(a: str, b: str, short: int = 64) -> Column:
     """Edit distance of two text columns, the same as levenshtein, which takes the product of the lengths.
 

@@ -9,6 +9,7 @@ from docketry.functions import columns as C
 from docketry.operators import files as FO
 from docketry.operators import layout as L
 from docketry.operators import metrics as M
+from docketry.plans import layout as PY
 from docketry.plans import ledger as PL
 from docketry.plans import sources as PS
 from docketry.sources import records as S
@@ -65,3 +66,40 @@ def test_edits_are_those_of_levenshtein(spark):
     tokens = M.token_edits(spark.createDataFrame([(1, 0, "a b a c", "a a c"), (2, 0, "", "x y"), (3, 0, "q q", "q q"), (4, 0, None, "z")], "doc_id long, n int, gt string, pred string"))
     assert sorted(tuple(x) for x in tokens.collect()) == [(1, 0, 4, 3, 1), (2, 0, 1, 2, 2), (3, 0, 2, 2, 0), (4, 0, 0, 1, 1)]
     assert "Window" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_before(spark):
+    df = spark.createDataFrame([([],), ([4],), (list(range(200)),)], "v array<long>").select("v", C.sums_before(F.col("v"), 8).alias("s"))
+    assert [r["s"] for r in df.collect()] == [[sum(r["v"][:i]) for i in range(len(r["v"]))] for r in df.collect()]
+
+
+def test_blocks_of_lines_in_any_order(spark):
+    """Lines side by side and under each other, so that runs are put together, against all pairs in a loop; and no word is moved for set lines."""
+    r = random.Random(8)
+    rows = [(1, p, i, 0, float(r.randrange(0, 400)), float(r.randrange(0, 700)), float(r.randrange(20, 150)), r.choice([8.0, 10.0, 18.0])) for p in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, page long, row long, part int, x1 double, y double, w double, h double").withColumn("x2", F.col("x1") + F.col("w"))
+    got = sorted((b["page"], b["n_lines"], b["x1"], b["y1"], b["x2"], b["y2"], b["box_id"]) for b in L.blocks(df).collect())
+
+    def meets(a, b):
+        height, gap, shared = b[3] - b[1], b[1] - a[3], min(a[2], b[2]) - max(a[0], b[0])
+        reach = (gap < 0 and a[1] < b[3]) or (-0.5 * height <= gap < 2.5 * height)
+        return reach and (shared > 0.3 * min(a[2] - a[0], b[2] - b[0]) or (abs(a[0] - b[0]) < 20 and abs(a[2] - b[2]) < 20))
+
+    want = []
+    for page in range(6):
+        ls = sorted((-y, i << 20, x, x + w, h - y) for _, p, i, _, x, y, w, h in rows if p == page)
+        ls = [(x1, y1, x2, y2, i) for y1, i, x1, x2, y2 in ls]
+        name = list(range(len(ls)))
+        for j, b in enumerate(ls):
+            for a_no, a in enumerate(ls[:j]):
+                if meets(a, b):
+                    name = [name[a_no] if n == name[j] else n for n in name]
+        for n in set(name):
+            g = [x for x, m in zip(ls, name, strict=True) if m == n]
+            want.append((page, len(g), min(x[0] for x in g), min(x[1] for x in g), max(x[2] for x in g), max(x[3] for x in g), min(x[4] for x in g)))
+    assert got == sorted(want) and len(want) < len(rows)
+
+
+def test_set_lines_move_no_words(spark, sf_dir):
+    plan = PY.set_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
