@@ -99,13 +99,13 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def sums_before(values: Column, size: int = 64) -> Column:
+def sums_before(values: Column, size: int = 16) -> Column:
     """For each element of an array of whole numbers the sum of those before it. Sums run inside pieces of `size` and over the pieces, as a fold copies what it has gathered at each step."""
-    none = F.array().cast("array<bigint>")
 
     def running(a: Column) -> Column:
-        start = F.struct(none.alias("out"), F.lit(0).cast("long").alias("t"))
-        return F.aggregate(a, start, lambda s, v: F.struct(F.concat(s["out"], F.array(s["t"])).alias("out"), (s["t"] + v).alias("t")), lambda s: s["out"])
+        start = F.array(F.lit(0).cast("long"))
+        sums = F.aggregate(a, start, lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+        return F.slice(sums, 1, F.size(a))
 
     def parted(a: Column) -> Column:
         pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda i: F.slice(a, i * size + 1, F.lit(size)))

@@ -123,18 +123,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         no = F.col("line_no")
         kind = F.when(no == 0, "heading").when(no % 11 == 0, "table cell").otherwise("paragraph")
         return pages.select("doc_id", "page", "line_no", (F.col("page") * 40 + no).alias("elem_ord"), F.col("line").alias("text"), kind.alias("type"), F.when(no == 0, 1 + F.col("page") % 3).alias("level"))
+    if name == "word_texts":  # word_items without their places
+        each = pages.where("replace(line, ' ', '') <> ''").select("doc_id", "page", "line_no", F.posexplode_outer(F.array_remove(F.split("line", " ", -1), "")).alias("k", "str"))
+        return each.withColumns({"k": F.col("k").cast("long"), "font_name": _font()})
     if name == "line_words":  # word_items with a line's words in its row: no word is moved, for more work a row
         # filtered by the line: a filter on the words would work them out once more
-        return pages.where("replace(line, ' ', '') <> ''").select("doc_id", "page", "line_no", let(F.filter(F.split("line", " ", -1), lambda w: w != ""), _placed).alias("ws"))
-    words = pages.select("doc_id", "page", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda x: x != "")).alias("k", "str"))
-    before = Window.partitionBy("doc_id", "page", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    x = 5 * F.coalesce(F.sum(F.length("str")).over(before), F.lit(0)) + 5 * F.col("k")
+        return pages.where("replace(line, ' ', '') <> ''").select("doc_id", "page", "line_no", let(F.array_remove(F.split("line", " ", -1), ""), _placed).alias("ws"))
+    # exploded from the line's row, where each word has its place already: nothing is moved or sorted; outer, as a filter on the array would work it out once more
+    words = view(spark, sf_dir, "line_words").select("doc_id", "page", "line_no", F.explode_outer("ws").alias("word"))
     return words.select(
-        "doc_id", "page", "line_no", F.col("k").cast("long").alias("k"), "str", x.cast("double").alias("x"), (800 - 14 * F.col("line_no")).cast("double").alias("y"), (5 * F.length("str")).cast("double").alias("w"),
-        F.lit(10.0).alias("h"), F.when(F.col("line_no") == 0, 18.0).otherwise(10.0).alias("font_size"), F.when(F.col("doc_id") % 17 == 0, "ABCDEF+Sub").otherwise("F1").alias("font_name"),
+        "doc_id", "page", "line_no", "word.k", "word.str", "word.x", (800 - 14 * F.col("line_no")).cast("double").alias("y"), "word.w",
+        F.lit(10.0).alias("h"), F.when(F.col("line_no") == 0, 18.0).otherwise(10.0).alias("font_size"), _font().alias("font_name"),
     )
 
 
+def _font() -> Column:
+    return F.when(F.col("doc_id") % 17 == 0, "ABCDEF+Sub").otherwise("F1")
+
+
 def _placed(words: Column) -> Column:
     """Words as structs k, str, x, w, five wide a character and five between two."""
     x = sums_before(F.transform(words, lambda w: 5 * (F.length(w) + 1)))
