@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.batches import numbered_by
+from docketry.operators.boxes import cut
 from docketry.functions.columns import blank, has_any
 
 # Fixed values.
@@ -114,9 +115,13 @@ def roll_up(issues: DataFrame, many: int = 5) -> DataFrame:
 
 
 def file_summary(issues: DataFrame) -> DataFrame:
-    """Counts and the first three names, 等 when there are more."""
-    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, 3), lambda x: x["name"])
-    return issues.groupBy("file_id").agg(F.count_if(F.col("severity") == 2).alias("errors"), F.count_if(F.col("severity") == 1).alias("warnings"), F.concat(F.array_join(names, "、"), F.when(F.count("*") > 3, "等").otherwise("")).alias("sample"))
+    """Counts and the first three names, 等 when there are more (A17, T8). A file may have any share of the issues: they are counted and ranked, never gathered."""
+    kept = cut(issues.select("file_id", "severity", "ord", "name"), "issues")  # read twice
+    n = kept.groupBy("file_id").agg(F.count_if(F.col("severity") == 2).alias("errors"), F.count_if(F.col("severity") == 1).alias("warnings"), F.count("*").alias("n"))
+    ranked = kept.withColumn("rn", F.row_number().over(Window.partitionBy("file_id").orderBy("ord", "name"))).where("rn <= 3")
+    first = ranked.groupBy(F.col("file_id").alias("fid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), "、").alias("names"))
+    both = n.join(first, F.col("file_id").eqNullSafe(F.col("fid")))
+    return both.select("file_id", "errors", "warnings", F.concat("names", F.when(F.col("n") > 3, "等").otherwise("")).alias("sample"))
 
 
 def next_ids(rows: DataFrame, taken: DataFrame, prefix: str, width: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.columns import blank, first_filled, has_any, ordered_distinct, text_of
+from docketry.functions.columns import blank, first_filled, has_any, text_of
 
 # Fixed values.
 FINAL_TYPES = ["ordinary_trade", "security_registration", "bonus_share", "new_share_subscription", "new_bond_subscription", "no_trade_record", "no_holding_record", "no_account_record"]
@@ -104,39 +104,75 @@ def normalise(rows: DataFrame) -> DataFrame:
     return have.withColumns({"event_type": event_type(), "direction": direction()})
 
 
-def evidence() -> Column:
-    return F.struct("file_id", F.col("event_id").alias("source_row_id"), F.col("ln").cast("string").alias("row_no"))
+def evidence(more: tuple[str, ...] = ()) -> Column:
+    return F.struct("file_id", F.col("event_id").alias("source_row_id"), F.col("ln").cast("string").alias("row_no"), *more)
 
 
-def merge_duplicates(events: DataFrame) -> DataFrame:
-    """One row for each case and 11-field key, the first; adds merged (rows it stands for) and evidence of
-    all of them, in order, each once (A1). Rows whose key is blank throughout stay as they are: their key
-    takes in src_ord. Rows are combined on the map side; the evidence of a key is one list, as long as what is asked for."""
-    key = [text_of(c) for c in EXACT_KEY]
-    empty = F.lit(True)
+#: where a row stands: rows of one exact key, and of one conflict key, stand together
+_PLACE = ["case_id", *CONFLICT_KEY, "__salt"]
+_WHOLE = [*_PLACE, *[c for c in EXACT_KEY if c not in CONFLICT_KEY], "__own"]
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """events with the columns of their keys trimmed; __given holds them as they were where trimming changed one, so that no value is moved twice. Rows whose exact key is blank throughout have
+    __own, and rows that name no account, date, code and name are in no conflict, so they stand by their whole key (__salt)."""
+    blank_key = F.lit(True)
+    changed = F.lit(False)
     for c in EXACT_KEY:
-        empty = empty & blank(c)
-    keyed = events.withColumn("__key", F.struct(*[k.alias(c) for k, c in zip(key, EXACT_KEY, strict=True)])).withColumn("__own", F.when(empty, F.col("src_ord")))
-    row = F.struct(*events.columns)
-    merged = keyed.groupBy("case_id", "__key", "__own").agg(
-        F.min_by(row, "src_ord").alias("row"), F.count("*").alias("merged"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("src_ord", evidence().alias("v")))), lambda p: p["v"])).alias("evidence")
-    )
-    return merged.select("row.*", "merged", "evidence")
+        blank_key = blank_key & blank(c)
+        changed = changed | ~F.col(c).eqNullSafe(text_of(c))
+    own = F.when(blank_key, F.col("src_ord"))
+    told = events.withColumns({"__given": F.when(changed, F.struct(*EXACT_KEY)), "__own": own}).withColumns({c: text_of(c) for c in EXACT_KEY})
+    nameless = F.lit(True)
+    for c in CONFLICT_KEY:
+        nameless = nameless & (F.col(c) == "") if c != "event_type" else nameless
+    return told.withColumn("__salt", F.when(nameless, F.xxhash64(*EXACT_KEY, "__own")))
 
 
-def mark_conflicts(events: DataFrame) -> DataFrame:
-    """Adds conflict_fields: those of CONFLICT_FIELDS with more than one value among the rows of one case and
-    5-field key (A2). Rows with a blank key field are in no group: each stands under a key of its own. Blank is tested before trimming, so a
-    value of white space counts as one more. Values differ where the least is not the greatest, so no set is gathered."""
+def _as_given(c: str, given: Column) -> Column:
+    return F.when(given.isNotNull(), given[c]).otherwise(F.col(c))
+
+
+def _restored(keyed: DataFrame, given: str = "__given") -> DataFrame:
+    return keyed.withColumns({c: _as_given(c, F.col(given)) for c in EXACT_KEY}).drop("__given", "__own", "__salt")
+
+
+def merge_duplicates(events: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each case and 11-field key, the first; adds merged (rows it stands for) and evidence of
+    all of them, in order, each once (A1), with the columns `more`. Rows whose key is blank throughout stay as they are: their key
+    takes in src_ord. Rows are moved once, plain; the evidence of a key is one list, as long as what is asked for."""
+    keyed = _keyed(events)
+    rest = [c for c in keyed.columns if c not in _WHOLE and c not in more]
+    listed = F.array_sort(F.collect_list(F.struct("src_ord", evidence(more).alias("v"))))
+    merged = keyed.repartition(*_PLACE).groupBy(*_WHOLE).agg(F.min_by(F.struct(*rest), "src_ord").alias("__row"), F.count("*").alias("merged"), F.array_distinct(F.transform(listed, lambda p: p["v"])).alias("evidence"))
+    plain = merged.select("*", *[F.col("__row")[c].alias(c) for c in rest])
+    return _restored(plain).select(*[c for c in events.columns if c not in more], "merged", "evidence")
+
+
+def _firsts(keyed: DataFrame) -> DataFrame:
+    """The first row of each exact key, with how many it stands for."""
+    same = Window.partitionBy(*_WHOLE)
+    return keyed.repartition(*_PLACE).withColumns({"merged": F.count("*").over(same), "__rn": F.row_number().over(same.orderBy("src_ord"))}).where("__rn = 1").drop("__rn")
+
+
+def _conflicts(keyed: DataFrame) -> DataFrame:
+    given = F.col("__given")
     full = F.lit(True)
     for c in CONFLICT_KEY:
-        full = full & ~blank(c)
-    by = Window.partitionBy("case_id", *[F.when(full, F.trim(c)) for c in CONFLICT_KEY], F.when(~full, F.col("src_ord")))
+        full = full & ~blank(_as_given(c, given))
+    by = Window.partitionBy(*_PLACE)
     many = []
     for c in CONFLICT_FIELDS:
-        value = F.when(~blank(c), F.trim(c))
+        value = F.when(full & ~blank(_as_given(c, given)), F.col(c))
         many.append(F.when(full & (F.min(value).over(by) != F.max(value).over(by)), F.lit(c)))
-    return events.withColumn("conflict_fields", F.array_compact(F.array(*many)))
+    return keyed.withColumn("conflict_fields", F.array_compact(F.array(*many)))
+
+
+def mark_conflicts(events: DataFrame) -> DataFrame:
+    """Adds conflict_fields: those of CONFLICT_FIELDS with more than one value among the rows of one case and
+    5-field key (A2). Rows with a blank key field are in no group. Blank is tested before trimming, so a
+    value of white space counts as one more. Values differ where the least is not the greatest, so no set is gathered."""
+    return _restored(_conflicts(_keyed(events))).select(*events.columns, "conflict_fields")
 
 
 def validate(events: DataFrame) -> DataFrame:
@@ -161,18 +197,20 @@ def validate(events: DataFrame) -> DataFrame:
     )
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """The whole chain: normalise, merge, mark, validate; adds status pending or verified and is_final (A4)."""
-    done = validate(mark_conflicts(merge_duplicates(normalise(rows))))
-    return done.withColumn("status", F.when(F.size("issue_types") > 0, "pending").otherwise("verified")).withColumn("is_final", (F.col("status") == "verified") & is_final())
+def resolve(rows: DataFrame, with_evidence: bool = True) -> DataFrame:
+    """The whole chain: normalise, merge, mark, validate; adds status pending or verified and is_final (A4). Without evidence, rows are moved and sorted once for merging and
+    marking."""
+    events = normalise(rows)
+    marked = mark_conflicts(merge_duplicates(events)) if with_evidence else _restored(_conflicts(_firsts(_keyed(events)))).select(*events.columns, "merged", "conflict_fields")
+    return validate(marked).withColumn("status", F.when(F.size("issue_types") > 0, "pending").otherwise("verified")).withColumn("is_final", (F.col("status") == "verified") & is_final())
 
 
 def data_source(files: DataFrame, events: DataFrame) -> DataFrame:
-    """Evidence labels of each merged row, in order, each once, joined (P10)."""
-    e = events.select("case_id", "event_id", *EXACT_KEY, F.posexplode("evidence").alias("i", "e"))
-    label = F.concat_ws(" ", F.col("original_file_name"), F.concat(F.lit("行"), F.col("e.row_no")))
-    named = e.join(files.select(F.col("file_id").alias("fid"), "original_file_name"), F.col("e.file_id") == F.col("fid"), "left")
-    return named.groupBy("case_id", "event_id", *EXACT_KEY).agg(F.array_join(ordered_distinct(F.collect_list(F.struct(F.col("i").alias("ord"), label.alias("v")))), "；").alias("data_source")).drop(*EXACT_KEY)
+    """Evidence labels of each merged row, in order, each once, joined (P10). events: not merged yet; a row takes its file's name along, so that nothing is put together twice."""
+    named = events.join(files.select("file_id", "original_file_name"), "file_id", "left")
+    labels = F.transform("evidence", lambda e: F.concat_ws(" ", e["original_file_name"], F.concat(F.lit("行"), e["row_no"])))
+    said = F.array_distinct(F.filter(labels, lambda v: v != ""))
+    return merge_duplicates(named, ("original_file_name",)).select("case_id", "event_id", F.array_join(said, "；").alias("data_source"))
 
 
 def reconcile(holdings: DataFrame, trades: DataFrame) -> DataFrame:
