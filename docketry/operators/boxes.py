@@ -67,16 +67,19 @@ def pairs_over(gt: DataFrame, pred: DataFrame, least: float, eps: float = 0.0) -
 def greedy_match(pairs: DataFrame, order: list[Column], keys: tuple[str, str] = ("a_box_id", "b_box_id")) -> DataFrame:
     """One-to-one matching, the first pair in a total order first (J7, J8). Each round takes the pairs that come
     first for both their sides and drops what they touch: just what the loop over all pairs takes."""
-    left = cut(pairs, "match")
-    taken = None
+    left, taken = pairs, None
     a, b = keys
     for _ in range(ROUNDS):
-        ranked = left.withColumn("ra", F.row_number().over(Window.partitionBy("image_id", a).orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("image_id", b).orderBy(*order)))
-        best = cut(ranked.where("ra = 1 and rb = 1").drop("ra", "rb"), "match")
-        if best.isEmpty():
-            return taken if taken is not None else best
-        taken = best if taken is None else taken.unionByName(best)
-        left = cut(left.join(best.select("image_id", a), ["image_id", a], "left_anti").join(best.select("image_id", b), ["image_id", b], "left_anti"), "match")
+        # an image's pairs stand together, so that its windows move nothing more; a round is stored once, with what it takes and what it leaves
+        by_a, by_b = Window.partitionBy("image_id", a), Window.partitionBy("image_id", b)
+        ranked = left.repartition("image_id").withColumn("__ra", F.row_number().over(by_a.orderBy(*order))).withColumn("__rb", F.row_number().over(by_b.orderBy(*order)))
+        best = ranked.withColumn("__best", (F.col("__ra") == 1) & (F.col("__rb") == 1)).drop("__ra", "__rb")
+        told = best.withColumn("__a", F.max("__best").over(by_a)).withColumn("__b", F.max("__best").over(by_b))
+        now = cut(told.where("__best or not (__a or __b)").drop("__a", "__b"), "match")
+        found, left = now.where("__best").drop("__best"), now.where("not __best").drop("__best")
+        taken = found if taken is None else taken.unionByName(found)
+        if left.isEmpty():
+            return taken
     raise RuntimeError(f"matching did not end in {ROUNDS} rounds")
 
 
@@ -141,14 +144,15 @@ def nearest_cell(boxes: DataFrame, cells_: DataFrame) -> DataFrame:
 def cascade(boxes: DataFrame, cells_: DataFrame) -> DataFrame:
     """Boxes to cells by three rules (J10): centre inside; else best IoU over 0 (plain IoU); else nearest."""
     cx, cy = (F.col("a_x1") + F.col("a_x2")) / 2, (F.col("a_y1") + F.col("a_y2")) / 2
-    met = overlapping(boxes, cells_).withColumn("iou", F.round(iou("a_", "b_"), 9))
-    inside = met.where(cx.between(F.col("b_x1"), F.col("b_x2")) & cy.between(F.col("b_y1"), F.col("b_y2"))).select("image_id", "a_box_id", "b_box_id", F.lit(1).alias("rule"))
-    rest = met.join(inside.select("image_id", "a_box_id"), ["image_id", "a_box_id"], "left_anti")
-    second = rest.groupBy("image_id", "a_box_id").agg(F.max_by("b_box_id", F.struct("iou", -F.col("b_box_id"))).alias("b_box_id"), F.lit(2).alias("rule"))
-    done = inside.select("image_id", "a_box_id").union(second.select("image_id", "a_box_id")).distinct()
-    rest = boxes.join(done.withColumnRenamed("a_box_id", "box_id"), ["image_id", "box_id"], "left_anti")
-    last = nearest_by_corners(rest, cells_).withColumn("rule", F.lit(3))
-    return inside.union(second.select(*inside.columns)).union(last.select(*inside.columns)).select("image_id", F.col("a_box_id").alias("box_id"), F.col("b_box_id").alias("cell_id"), "rule")
+    sides = ["image_id", "box_id", "x1", "y1", "x2", "y2"]
+    within = cx.between(F.col("b_x1"), F.col("b_x2")) & cy.between(F.col("b_y1"), F.col("b_y2"))
+    met = overlapping(boxes.select(*sides), cells_.select(*sides)).select("image_id", "a_box_id", "b_box_id", F.round(iou("a_", "b_"), 9).alias("iou"), within.alias("inside"))
+    mine = Window.partitionBy("image_id", "a_box_id")
+    ranked = met.withColumns({"any": F.max("inside").over(mine), "rn": F.row_number().over(mine.orderBy(F.desc("iou"), "b_box_id"))})
+    decided = cut(ranked.where("inside or (not any and rn = 1)").select("image_id", "a_box_id", "b_box_id", F.when(F.col("inside"), 1).otherwise(2).alias("rule")), "cascade")
+    rest = boxes.select(*sides).join(decided.select("image_id", F.col("a_box_id").alias("box_id")), ["image_id", "box_id"], "left_anti")
+    last = nearest_by_corners(rest, cells_.select(*sides)).withColumn("rule", F.lit(3))
+    return decided.union(last.select(*decided.columns)).select("image_id", F.col("a_box_id").alias("box_id"), F.col("b_box_id").alias("cell_id"), "rule")
 
 
 def rows_of(boxes: DataFrame, gap: float, y: str = "y1") -> DataFrame:

@@ -200,8 +200,19 @@ def j6(spark, sf):
     return p.select("image_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), F.round("iou", 6).alias("iou"), F.round(overlap("a_", "b_") / area("a_"), 6).alias("contained"))
 
 
-def _matched(spark, sf):
-    return B.greedy_match(B.pairs_over(_all_gt(spark, sf), _all_pred(spark, sf), 0.5).withColumn("iou", F.round("iou", 9)), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
+_SIDES = ["image_id", "box_id", "x1", "y1", "x2", "y2"]
+
+
+def _greedy(gt, pred, text: bool):
+    """Pairs of 0.5 on, the best first. Boxes bring along their sides, and what is scored."""
+    more = ["text"] if text else []
+    pairs = B.pairs_over(gt.select(*_SIDES, *more, *(["ignore"] if text else [])), pred.select(*_SIDES, *more), 0.5)
+    kept = [f"{side}_{c}" for side in "ab" for c in ("box_id", *more)] + (["a_ignore"] if text else [])
+    return B.greedy_match(pairs.select("image_id", *kept, F.round("iou", 9).alias("iou")), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
+
+
+def _matched(spark, sf, text: bool = False):
+    return _greedy(_all_gt(spark, sf), _all_pred(spark, sf), text)
 
 
 @register("j7_greedy_match")
@@ -220,7 +231,7 @@ def j8(spark, sf):
 
 @register("a26_spotting")
 def a26(spark, sf):
-    return B.spotting(_all_gt(spark, sf), _all_pred(spark, sf), B.cut(_matched(spark, sf)))
+    return B.spotting(_all_gt(spark, sf), _all_pred(spark, sf), _matched(spark, sf, True))
 
 
 @register("a27_kie_scores")
@@ -229,8 +240,7 @@ def a27(spark, sf):
     flat = F.lower(F.replace("text", F.lit(" "), F.lit("")))
     gt = _all_gt(spark, sf).where("text <> 't0'").withColumn("text", flat)
     pred = _all_pred(spark, sf).where("text <> 't0'").withColumn("text", flat)
-    m = B.greedy_match(B.pairs_over(gt, pred, 0.5).withColumn("iou", F.round("iou", 9)), [F.desc("iou"), F.col("a_box_id"), F.col("b_box_id")])
-    return B.spotting(gt, pred, B.cut(m))
+    return B.spotting(gt, pred, _greedy(gt, pred, True))
 
 
 @register("a28_detection_hmean")
