@@ -109,24 +109,20 @@ def evidence(more: tuple[str, ...] = ()) -> Column:
 
 
 #: where a row stands: rows of one exact key, and of one conflict key, stand together
-_PLACE = ["case_id", *CONFLICT_KEY, "__salt"]
+_PLACE = ["case_id", *CONFLICT_KEY]
 _WHOLE = [*_PLACE, *[c for c in EXACT_KEY if c not in CONFLICT_KEY], "__own"]
 
 
 def _keyed(events: DataFrame) -> DataFrame:
     """events with the columns of their keys trimmed; __given holds them as they were where trimming changed one, so that no value is moved twice. Rows whose exact key is blank throughout have
-    __own, and rows that name no account, date, code and name are in no conflict, so they stand by their whole key (__salt)."""
+    __own. Rows that name no account, date, code and name stand together in their case: they may be full by white space."""
     blank_key = F.lit(True)
     changed = F.lit(False)
     for c in EXACT_KEY:
         blank_key = blank_key & blank(c)
         changed = changed | ~F.col(c).eqNullSafe(text_of(c))
     own = F.when(blank_key, F.col("src_ord"))
-    told = events.withColumns({"__given": F.when(changed, F.struct(*EXACT_KEY)), "__own": own}).withColumns({c: text_of(c) for c in EXACT_KEY})
-    nameless = F.lit(True)
-    for c in CONFLICT_KEY:
-        nameless = nameless & (F.col(c) == "") if c != "event_type" else nameless
-    return told.withColumn("__salt", F.when(nameless, F.xxhash64(*EXACT_KEY, "__own")))
+    return events.withColumns({"__given": F.when(changed, F.struct(*EXACT_KEY)), "__own": own}).withColumns({c: text_of(c) for c in EXACT_KEY})
 
 
 def _as_given(c: str, given: Column) -> Column:
@@ -134,7 +130,7 @@ def _as_given(c: str, given: Column) -> Column:
 
 
 def _restored(keyed: DataFrame, given: str = "__given") -> DataFrame:
-    return keyed.withColumns({c: _as_given(c, F.col(given)) for c in EXACT_KEY}).drop("__given", "__own", "__salt")
+    return keyed.withColumns({c: _as_given(c, F.col(given)) for c in EXACT_KEY}).drop("__given", "__own")
 
 
 def merge_duplicates(events: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
