@@ -130,7 +130,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return each.withColumns({"k": F.col("k").cast("long"), "font_name": _font()})
     if name == "line_words":  # word_items with a line's words in its row: no word is moved, for more work a row
         # filtered by the line: a filter on the words would work them out once more
-        return pages.where("replace(line, ' ', '') <> ''").select("doc_id", "page", "line_no", let(F.array_remove(F.split("line", " ", -1), ""), _placed).alias("ws"))
+        return pages.where("replace(line, ' ', '') <> ''").select("doc_id", "page", "line_no", let(F.array_remove(F.split("line", " ", -1), ""), placed).alias("ws"))
     # exploded from the line's row, where each word has its place already: nothing is moved or sorted; outer, as a filter on the array would work it out once more
     words = view(spark, sf_dir, "line_words").select("doc_id", "page", "line_no", F.explode_outer("ws").alias("word"))
     return words.select(
@@ -158,7 +158,7 @@ def _font() -> Column:
     return F.when(F.col("doc_id") % 17 == 0, "ABCDEF+Sub").otherwise("F1")
 
 
-def _placed(words: Column) -> Column:
+def placed(words: Column) -> Column:
     """Words as structs k, str, x, w, five wide a character and five between two."""
     x = sums_before(F.transform(words, lambda w: 5 * (F.length(w) + 1)))
     return let(x, lambda at: F.transform(words, lambda w, i: F.struct(i.cast("long").alias("k"), w.alias("str"), F.get(at, i).cast("double").alias("x"), (5 * F.length(w)).cast("double").alias("w"))))
